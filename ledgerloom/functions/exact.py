@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 
 DEC = "decimal(38,0)"
 CAP = 10**38 - 1
+U128_MAX = 2**128 - 1
 
 # Fixed values of the data model.
 PRICE_SCALE = 10**16
@@ -49,32 +50,70 @@ def sat_sum(c: Column) -> Column:
     return F.coalesce(total, F.when(F.count(c) > 0, big(CAP)).otherwise(big(0))).cast(DEC)
 
 
-def div_floor(a: Column, b: Column) -> Column:
-    """Integer quotient truncated toward zero; 0 when the divisor is 0.
+def _rare(args: dict[str, Column], body) -> Column:
+    """Evaluate ``body`` over named arguments in a lambda.  Lambdas are interpreted, so
+    a long expression that is seldom needed adds next to nothing to generated code."""
+    packed = F.array(F.struct(*[c.cast(DEC).alias(n) for n, c in args.items()]))
+    return F.transform(packed, lambda s: body(*[s[n] for n in args]))[0]
 
-    The short form holds quotients below 1e32; larger ones take the second form,
-    which divides by ``b * 1e6`` first and adds the remainder's quotient.
-    """
-    a, b = a.cast(DEC), b.cast(DEC)
-    short = F.try_divide(a - a % b, b).cast(DEC)
+
+def _quotient(a: Column, b: Column) -> Column:
+    return F.try_divide(a - a % b, b).cast(DEC)
+
+
+def _long_quotient(a: Column, b: Column) -> Column:
+    """Quotients of 1e32 and more: divide by ``b * 1e6`` first, then the remainder."""
     step = sat_mul(b, big(10**6))
     rest = a % step
-    long = (F.try_divide(a - rest, step).cast(DEC) * big(10**6)).cast(DEC) + \
-        F.try_divide(rest - rest % b, b).cast(DEC)
-    return F.when(b == 0, big(0)).otherwise(F.coalesce(short, long)).cast(DEC)
+    return ((_quotient(a, step) * big(10**6)).cast(DEC) + _quotient(rest, b)).cast(DEC)
+
+
+def _nonzero(c: Column | int) -> Column:
+    return big(c) if isinstance(c, int) else F.nullif(c.cast(DEC), big(0))
+
 
+def div_floor(a: Column, b: Column | int) -> Column:
+    """Integer quotient truncated toward zero; 0 when the divisor is 0."""
+    a = a.cast(DEC)
+    if isinstance(b, int) and b >= 10**6:
+        return _quotient(a, big(b))
+    d = big(b) if isinstance(b, int) else b.cast(DEC)
+    return F.coalesce(_quotient(a, _nonzero(b)), _rare(
+        {"a": a, "b": d}, lambda x, y: F.when(y == 0, big(0)).otherwise(_long_quotient(x, y)))).cast(DEC)
 
-def mul_div_floor(a: Column, b: Column, c: Column) -> Column:
-    """``a * b / c`` with a saturating product; 0 when ``c`` is 0."""
-    return div_floor(sat_mul(a, b), c)
 
+def _u128_limit(c: Column) -> Column:
+    """Largest quotient a saturated 128-bit product can give when divided by ``c``."""
+    tens, unit = U128_MAX // 10, U128_MAX % 10
+    whole = _quotient(big(tens), c)
+    rest = (big(tens) - sat_mul(whole, c)).cast(DEC)
+    return sat_add(sat_mul(whole, big(10)), _quotient(sat_add(sat_mul(rest, big(10)), big(unit)), c))
+
+
+def _wide_mul_div(a: Column, b: Column, c: Column) -> Column:
+    """Products past 38 digits, split over quotient and remainder of ``a / c`` and held
+    to the quotient of the saturated product."""
+    whole = _long_quotient(a, c)
+    rest = sat_mul(a % c, b)
+    split = sat_add(sat_mul(whole, b), _long_quotient(rest, c))
+    return (F.when(a.isNull() | b.isNull() | c.isNull(), F.lit(None).cast(DEC)).when(c == 0, big(0))
+            .otherwise(F.least(split, _u128_limit(c))))
+
+
+def mul_div_floor(a: Column, b: Column, c: Column | int) -> Column:
+    """``a * b / c`` where the product saturates at 2^128 - 1; 0 when ``c`` is 0."""
+    a, b = a.cast(DEC), b.cast(DEC)
+    p = F.try_multiply(a, b).cast(DEC)
+    if isinstance(c, int) and c >= 10**7:
+        d, limit = big(c), big(U128_MAX // c)
+
+        def wide(x: Column, y: Column) -> Column:
+            split = F.try_add(F.try_multiply(_quotient(x, d), y), _quotient(F.try_multiply(x % d, y).cast(DEC), d))
+            return F.when(x.isNotNull() & y.isNotNull(), F.least(F.coalesce(split.cast(DEC), limit), limit))
 
-def mul_div_wide(a: Column, b: Column, c: Column) -> Column:
-    """``a * b / c`` split over quotient and remainder, for products past 38 digits
-    whose quotient still fits.  Equals the plain form where the product fits."""
-    whole = div_floor(a, c)
-    return F.when(c == 0, big(0)).otherwise(
-        sat_add(sat_mul(whole, b), div_floor(sat_mul(a - whole * c, b), c))).cast(DEC)
+        return F.coalesce(_quotient(p, d), _rare({"a": a, "b": b}, wide)).cast(DEC)
+    d = big(c) if isinstance(c, int) else c
+    return F.coalesce(_quotient(p, _nonzero(c)), _rare({"a": a, "b": b, "c": d}, _wide_mul_div)).cast(DEC)
 
 
 def invert_price(p: Column) -> Column:

@@ -20,7 +20,7 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0,
     ``row_number`` sees no more rows than the page needs.
     """
     top = df.orderBy(*order).limit(offset + limit)
-    rows = top.withColumn(position, F.row_number().over(Window.orderBy(*order))) \
+    rows = top.withColumn(position, F.row_number().over(Window.orderBy(*order)).cast("bigint")) \
         .filter(F.col(position) > offset)
     if total:
         n = row_total(df)
@@ -38,5 +38,5 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lim
     """Per-key page.  The rank filter is pushed below the shuffle as a group limit,
     so a hot key sends at most ``offset + limit`` rows per map task."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(position, F.row_number().over(w)) \
+    return df.withColumn(position, F.row_number().over(w).cast("bigint")) \
         .filter(F.col(position) <= offset + limit).filter(F.col(position) > offset)

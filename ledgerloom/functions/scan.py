@@ -28,34 +28,22 @@ def _before(keys: Sequence[str]):
 
 
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, CHUNK]
-    c = carry.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)],
-                     *[x for x in carry.columns if x not in on])
-    cond = None
-    for i, k in enumerate(on):
-        eq = rows[k].eqNullSafe(c[f"__k{i}"])
-        cond = eq if cond is None else cond & eq
-    return rows.join(c, cond, "left").drop(*[f"__k{i}" for i in range(len(on))])
+    """Join the per-chunk carry back.  Rows and carry share the (key, chunk) columns the
+    rows are already partitioned by; keys are taken to be non-null."""
+    return rows.join(carry, [*keys, CHUNK], "left")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
                  sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sum per key for each ``name -> value`` in ``sums``."""
-    base = df.withColumn(CHUNK, chunk)
-    for n, c in sums.items():
-        base = base.withColumn(f"__v_{n}", c)
+    base = df.withColumns({CHUNK: chunk, **{f"__v_{n}": c for n, c in sums.items()}})
     part = base.groupBy(*keys, CHUNK).agg(*[F.sum(f"__v_{n}").alias(f"__c_{n}") for n in sums])
-    carry = part
-    for n in sums:
-        carry = carry.withColumn(f"__c_{n}", F.sum(f"__c_{n}").over(_before(keys)))
+    carry = part.withColumns({f"__c_{n}": F.sum(f"__c_{n}").over(_before(keys)) for n in sums})
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = base
-    for n in sums:
-        rows = rows.withColumn(n, F.sum(f"__v_{n}").over(w))
+    rows = base.withColumns({n: F.sum(f"__v_{n}").over(w) for n in sums})
+    types = {n: rows.schema[n].dataType for n in sums}
     out = _attach(rows, carry, keys)
-    for n in sums:
-        out = out.withColumn(n, (F.coalesce(F.col(f"__c_{n}"), F.lit(0)) + F.col(n))
-                             .cast(rows.schema[n].dataType))
+    out = out.withColumns({n: (F.coalesce(F.col(f"__c_{n}"), F.lit(0)) + F.col(n)).cast(types[n]) for n in sums})
     return out.drop(CHUNK, *[f"__c_{n}" for n in sums], *[f"__v_{n}" for n in sums])
 
 
@@ -68,30 +56,28 @@ def clamped_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ch
     chunks, so hot keys split like in :func:`running_sums`.
     """
     from .exact import DEC
-    base = df.withColumn(CHUNK, chunk)
-    for n, (d, init) in sums.items():
-        base = base.withColumn(f"__d_{n}", d.cast(DEC)).withColumn(f"__i_{n}", init.cast(DEC))
+    base = df.withColumns({CHUNK: chunk, **{f"__d_{n}": d.cast(DEC) for n, (d, _) in sums.items()},
+                           **{f"__i_{n}": i.cast(DEC) for n, (_, i) in sums.items()}})
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = base
-    for n in sums:
-        rows = rows.withColumn(f"__s_{n}", F.sum(f"__d_{n}").over(w).cast(DEC))
-    for n in sums:
-        rows = rows.withColumn(f"__m_{n}", F.min(f"__s_{n}").over(w))
+    rows = base.withColumns({f"__s_{n}": F.sum(f"__d_{n}").over(w).cast(DEC) for n in sums})
+    rows = rows.withColumns({f"__m_{n}": F.min(f"__s_{n}").over(w) for n in sums})
     part = rows.groupBy(*keys, CHUNK).agg(
         *[F.sum(f"__d_{n}").cast(DEC).alias(f"__cs_{n}") for n in sums],
         *[F.min(f"__s_{n}").alias(f"__cm_{n}") for n in sums])
-    for n in sums:
-        part = part.withColumn(f"__cs0_{n}", F.coalesce(F.sum(f"__cs_{n}").over(_before(keys)), big(0)).cast(DEC))
-    for n in sums:
-        part = part.withColumn(f"__cm0_{n}",
-                               F.min((F.col(f"__cs0_{n}") + F.col(f"__cm_{n}")).cast(DEC)).over(_before(keys)))
+    part = part.withColumns({f"__cs0_{n}": F.coalesce(F.sum(f"__cs_{n}").over(_before(keys)), big(0)).cast(DEC)
+                             for n in sums})
+    part = part.withColumns({f"__cm0_{n}": F.min((F.col(f"__cs0_{n}") + F.col(f"__cm_{n}")).cast(DEC)).over(_before(keys))
+                             for n in sums})
     carry = part.select(*keys, CHUNK, *[f"__cs0_{n}" for n in sums], *[f"__cm0_{n}" for n in sums])
     out = _attach(rows, carry, keys)
-    for n in sums:
+
+    def value(n: str) -> Column:
         init, s0 = F.col(f"__i_{n}"), F.col(f"__cs0_{n}")
         total = (init + s0 + F.col(f"__s_{n}")).cast(DEC)
         low = F.least(F.col(f"__cm0_{n}"), (s0 + F.col(f"__m_{n}")).cast(DEC))
-        out = out.withColumn(n, (total - F.least(big(0), (init + low).cast(DEC))).cast(DEC))
+        return (total - F.least(big(0), (init + low).cast(DEC))).cast(DEC)
+
+    out = out.withColumns({n: value(n) for n in sums})
     helper = [f"{p}_{n}" for n in sums for p in ("__d", "__i", "__s", "__m", "__cs0", "__cm0")]
     return out.drop(CHUNK, *helper)
 
@@ -99,26 +85,15 @@ def clamped_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ch
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
                values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Most recent non-null value per key (the row itself counts if ``inclusive``)."""
-    base = df.withColumn(CHUNK, chunk)
-    for n, c in values.items():
-        base = base.withColumn(f"__v_{n}", c)
-    rank = F.struct(*[F.col(f"__o{i}") for i in range(len(order))])
-    keyed = base
-    for i, o in enumerate(order):
-        keyed = keyed.withColumn(f"__o{i}", o)
-    part = keyed.groupBy(*keys, CHUNK).agg(
-        *[F.max_by(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), rank)).alias(f"__c_{n}")
-          for n in values])
+    base = df.withColumns({CHUNK: chunk, **{f"__v_{n}": c for n, c in values.items()}})
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    part = base.groupBy(*keys, CHUNK).agg(
+        *[F.max_by(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), rank)).alias(f"__c_{n}") for n in values])
     carry = part
-    for n in values:
-        carry = carry.withColumn(f"__c_{n}", F.last(f"__c_{n}", ignorenulls=True).over(_before(keys)))
+    carry = carry.withColumns({f"__c_{n}": F.last(f"__c_{n}", ignorenulls=True).over(_before(keys)) for n in values})
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = base
-    for n in values:
-        rows = rows.withColumn(n, F.last(f"__v_{n}", ignorenulls=True).over(w))
-    out = _attach(rows, carry, keys)
-    for n in values:
-        out = out.withColumn(n, F.coalesce(F.col(n), F.col(f"__c_{n}")))
+    rows = base.withColumns({n: F.last(f"__v_{n}", ignorenulls=True).over(w) for n in values})
+    out = _attach(rows, carry, keys).withColumns({n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in values})
     return out.drop(CHUNK, *[f"__c_{n}" for n in values], *[f"__v_{n}" for n in values])
 
 

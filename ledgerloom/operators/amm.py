@@ -15,6 +15,7 @@ plain per-series windows over them stay small whatever the trade volume.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,6 +38,13 @@ def height_chunk(column: str = "height", width: int = BLOCKS_PER_DAY) -> Column:
     return F.floor(F.col(column) / width).cast("bigint")
 
 
+
+def chain_position(height: str = "height", seq: str = "seq") -> Column:
+    """(height, seq) as one number: a fixed-width key keeps ``min_by`` / ``max_by`` in
+    hash aggregation, where a struct key would force a sort."""
+    return (F.col(height).cast("decimal(18,0)") * F.lit(Decimal(10**19)) + F.col(seq)).cast(DEC)
+
+
 # ---------------------------------------------------------------- activity
 
 def pool_balance_flow(deltas: DataFrame, pools: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,9 +95,9 @@ def running_reserves(flow: DataFrame, initial: DataFrame | None = None) -> DataF
 
 def latest_reserves(reserves: DataFrame) -> DataFrame:
     """Last reserve pair of each pool."""
-    last = F.max_by(F.struct("base_reserve", "quote_reserve"), F.struct(*FLOW_ORDER))
-    return reserves.groupBy("pool_id").agg(last.alias("r")).select(
-        "pool_id", F.col("r.base_reserve").alias("base_reserve"), F.col("r.quote_reserve").alias("quote_reserve"))
+    at = chain_position()
+    return reserves.groupBy("pool_id").agg(F.max_by("base_reserve", at).alias("base_reserve"),
+                                           F.max_by("quote_reserve", at).alias("quote_reserve"))
 
 
 def live_reserves(contract_balances: DataFrame, pools: DataFrame) -> DataFrame:
@@ -105,18 +113,20 @@ def trade_prices(reserves: DataFrame) -> DataFrame:
     """Both prices after each trade, at 1e16; 0 on an empty side."""
     t = classify_activity(reserves).filter(F.col("kind").isin(*TRADE_KINDS))
     b, q = F.col("base_reserve"), F.col("quote_reserve")
-    return (t.withColumn("price_base", mul_div_floor(q, big(PRICE_SCALE), b))
-            .withColumn("price_quote", mul_div_floor(b, big(PRICE_SCALE), q)))
+    # the products are named first so that they are evaluated once per row
+    return (t.withColumn("__nb", sat_mul(q, big(PRICE_SCALE))).withColumn("__nq", sat_mul(b, big(PRICE_SCALE)))
+            .withColumn("price_base", div_floor(F.col("__nb"), b))
+            .withColumn("price_quote", div_floor(F.col("__nq"), q)).drop("__nb", "__nq"))
 
 
 # ---------------------------------------------------------------- candles
 
 def candles(trades: DataFrame, seconds: int = 600) -> DataFrame:
     """Open/high/low/close/volume of both price sides per pool and bucket."""
-    at = F.struct("ts", "height", "seq")
+    at = chain_position()
 
     def scaled(c: str) -> Column:
-        return mul_div_floor(F.abs(F.col(c)), big(PRICE_SCALE), big(AMOUNT_SCALE))
+        return sat_mul(F.abs(F.col(c)), big(PRICE_SCALE // AMOUNT_SCALE))
 
     aggs = []
     for side, delta in (("base", "base_delta"), ("quote", "quote_delta")):
@@ -192,7 +202,7 @@ def fill_candles(c: DataFrame, keys: Sequence[str], seconds: int, now: int | Col
                     F.when(real, F.col("volume")).otherwise(big(0)).alias("volume"), real.alias("is_real"))
 
 
-def price_line(prices: DataFrame, now: int, frames: dict[str, int] | None = None) -> DataFrame:
+def price_line(prices: DataFrame, now: int | Column, frames: dict[str, int] | None = None) -> DataFrame:
     """Last price per bucket and timeframe, forward filled up to ``now``.
     ``prices``: ts, height, price."""
     frames = frames or TIMEFRAMES
@@ -201,7 +211,8 @@ def price_line(prices: DataFrame, now: int, frames: dict[str, int] | None = None
     x = prices.select("ts", "height", "price", tf).select("t.*", "height", "price",
                                                           bucket_start(F.col("ts"), F.col("t.dur")).alias("bucket_ts"))
     b = x.groupBy("tf", "dur", "bucket_ts").agg(F.max_by("price", "height").alias("price"))
-    end = F.greatest(bucket_start(F.lit(now).cast("bigint"), F.col("dur")), F.col("bucket_ts"))
+    n = F.lit(now) if isinstance(now, int) else now
+    end = F.greatest(bucket_start(n.cast("bigint"), F.col("dur")), F.col("bucket_ts"))
     nxt = F.coalesce(F.lead("bucket_ts").over(_series(["tf"])) - F.col("dur"), end)
     return (b.withColumn("__until", nxt)
             .select("tf", F.explode(F.sequence("bucket_ts", "__until", "dur")).alias("bucket_ts"), "price"))

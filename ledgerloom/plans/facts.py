@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.exact import DEC, big
+from ..session import stage
 
 EPOCH = 1704067200
 NOW = EPOCH + 30 * 86400
@@ -90,6 +91,72 @@ class Facts:
         return trade_prices(self.reserves)
 
     @cached_property
-    def m10(self) -> DataFrame:
+    def m10_plan(self) -> DataFrame:
         from ..operators.amm import candles
         return candles(self.trades)
+
+    @cached_property
+    def m10(self) -> DataFrame:
+        """Ten-minute candles as a staged table: far smaller than the trades, read often."""
+        return stage(self.m10_plan)
+
+    @cached_property
+    def btc(self) -> DataFrame:
+        """BTC/USD by height: the last price event of each block."""
+        return self.ev.filter(F.col("event_type") == "signup").groupBy("height").agg(
+            F.max_by("cents", "event_id").alias("c")).select(
+            "height", (F.col("height") * 600 + EPOCH).alias("ts"),
+            ((F.col("c") + 40000).cast(DEC) * big(10**16)).cast(DEC).alias("price"))
+
+    @cached_property
+    def quotes(self) -> DataFrame:
+        """Canonical quote units found among the pools."""
+        return self.pools.filter(F.col("quote_id").isin(1, 2)).select("quote_id").distinct() \
+            .withColumn("unit", F.when(F.col("quote_id") == 1, "btc").otherwise("usd"))
+
+    @cached_property
+    def derived_quotes(self) -> DataFrame:
+        return self.pools.filter(~F.col("quote_id").isin(1, 2)).select("quote_id").distinct() \
+            .withColumn("strategy", F.lit("neutral"))
+
+    @cached_property
+    def canonical(self) -> DataFrame:
+        from ..operators.prices import canonical_pools
+        return canonical_pools(self.pools, self.quotes)
+
+    @cached_property
+    def token_usd(self) -> DataFrame:
+        from ..operators.prices import token_usd_candles
+        return stage(token_usd_candles(self.m10, self.canonical, self.btc))
+
+    # ------------------------------------------------------------ lineitem / orders
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """Token outputs: one row per (outpoint, token)."""
+        li = self.table("lineitem").join(
+            self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
+        key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                          F.date_format("l_shipdate", "yyyyMMdd"),
+                          (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("bigint"))
+        spent = F.col("l_returnflag") == "R"
+        return li.select(
+            F.col("l_orderkey").alias("tx_id"), key.alias("outpoint"), (F.col("l_suppkey") % 10 + 100).alias("token"),
+            F.col("o_custkey").alias("address"),
+            (F.col("l_quantity").cast("bigint").cast(DEC) * big(10**8)).cast(DEC).alias("amount"),
+            day.alias("created_height"), F.when(spent, day + 30).alias("spent_height"),
+            F.when(spent, F.col("l_orderkey") + 1000000000).alias("spent_by"))
+
+    @cached_property
+    def supply(self) -> DataFrame:
+        return self.outputs.filter(F.col("spent_height").isNull()).groupBy("token") \
+            .agg(F.sum("amount").cast(DEC).alias("supply"))
+
+    # ------------------------------------------------------------ part
+    @cached_property
+    def creations(self) -> DataFrame:
+        return self.table("part").select(
+            F.col("p_partkey").alias("token"), F.array("p_name").alias("names"), F.array("p_brand").alias("symbols"),
+            F.col("p_size").cast(DEC).alias("cap"),
+            (F.col("p_retailprice").cast("decimal(18,2)") * 100).cast(DEC).alias("mint_amount"),
+            F.col("p_partkey").alias("creation_height"), (F.col("p_size") % 5).cast("bigint").alias("template"))

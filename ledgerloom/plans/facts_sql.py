@@ -63,3 +63,82 @@ select pool_id, ts // 600 * 600 as bucket_ts, side, arg_min(price, seq) as open,
        arg_max(price, seq) as close, cast(sum(vol) as hugeint) as volume
 from sided group by 1, 2, 3
 """
+
+CTES["btc"] = """
+select height, height * 600 + 1704067200 as ts,
+       cast(40000 + arg_max(cents, event_id) as hugeint) * 10000000000000000 as price
+from ev where event_type = 'signup' group by height
+"""
+
+CTES["quotes"] = """
+select distinct quote_id, case when quote_id = 1 then 'btc' else 'usd' end as unit from pools where quote_id in (1, 2)
+"""
+
+CTES["canonical"] = """
+select pool_id, base_id as token, quote_id as quote, true as token_is_base, unit from pools join quotes using (quote_id)
+union all
+select p.pool_id, p.quote_id, p.base_id, false, q.unit from pools p join quotes q on p.base_id = q.quote_id
+"""
+
+CTES["m10_wide"] = """
+select b.pool_id, b.bucket_ts, b.open as base_open, b.high as base_high, b.low as base_low, b.close as base_close, b.volume as base_volume,
+       q.open as quote_open, q.high as quote_high, q.low as quote_low, q.close as quote_close, q.volume as quote_volume
+from m10 b join m10 q on b.pool_id = q.pool_id and b.bucket_ts = q.bucket_ts and b.side = 'base' and q.side = 'quote'
+"""
+
+
+def _usd_fields() -> str:
+    from .sqltext import muldiv
+    out = []
+    for f in ("open", "high", "low", "close"):
+        out.append(f"""case when unit = 'usd' then p_{f} when p_{f} <> 0 then {muldiv(f'p_{f}', 'btc_price', 10**16)}
+            when i_{f} <> 0 then btc_price * 10000000000000000 // i_{f} else 0 end as {f}""")
+    out.append(f"case when unit = 'usd' then vol else {muldiv('vol', 'btc_price', 10**16)} end as volume")
+    return ",\n".join(out)
+
+
+CTES["token_pool_usd"] = f"""
+select token, unit, pool_id, bucket_ts, {_usd_fields()}
+from (select c.token, c.unit, w.pool_id, w.bucket_ts, b.price as btc_price,
+             {", ".join(f"case when token_is_base then base_{f} else quote_{f} end as p_{f}, case when token_is_base then quote_{f} else base_{f} end as i_{f}" for f in ("open", "high", "low", "close"))},
+             case when token_is_base then quote_volume else base_volume end as vol
+      from m10_wide w join canonical c using (pool_id)
+      asof left join btc b on w.bucket_ts + 599 >= b.ts)
+where unit = 'usd' or btc_price is not null
+"""
+
+CTES["token_usd"] = f"""
+select token, bucket_ts, case when adj then p_close else open end as open,
+       case when adj then greatest(high, p_close) else greatest(high, open) end as high,
+       case when adj then least(low, p_close) else least(low, open) end as low, close, volume
+from (select *, coalesce(lag(bucket_ts) over w = bucket_ts - 600 and lag(close) over w <> 0, false) as adj,
+             lag(close) over w as p_close
+      from (select token, bucket_ts,
+                   {", ".join(f"case when b.{f} is not null and u.{f} is not null then {'b.volume + u.volume' if f == 'volume' else f'(b.{f} + u.{f}) // 2'} else coalesce(b.{f}, u.{f}) end as {f}" for f in ("open", "high", "low", "close", "volume"))}
+            from (select * from token_pool_usd where unit = 'btc' qualify row_number() over (partition by token, bucket_ts order by pool_id desc) = 1) b
+            full join (select * from token_pool_usd where unit = 'usd' qualify row_number() over (partition by token, bucket_ts order by pool_id desc) = 1) u
+            using (token, bucket_ts))
+      window w as (partition by token order by bucket_ts))
+"""
+
+CTES["outputs"] = """
+select l_orderkey as tx_id,
+       concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'),
+                 cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint)) as outpoint,
+       l_suppkey % 10 + 100 as token, o_custkey as address, cast(cast(l_quantity as bigint) as hugeint) * 100000000 as amount,
+       date_diff('day', date '1995-01-01', cast(l_shipdate as date)) as created_height,
+       case when l_returnflag = 'R' then date_diff('day', date '1995-01-01', cast(l_shipdate as date)) + 30 end as spent_height,
+       case when l_returnflag = 'R' then l_orderkey + 1000000000 end as spent_by
+from lineitem join orders on l_orderkey = o_orderkey
+"""
+
+CTES["supply"] = """
+select token, cast(sum(amount) as hugeint) as supply from outputs where spent_height is null group by token
+"""
+
+CTES["creations"] = """
+select p_partkey as token, p_name as name, p_brand as symbol, cast(p_size as hugeint) as cap,
+       cast(cast(p_retailprice as decimal(18,2)) * 100 as hugeint) as mint_amount, p_partkey as creation_height,
+       cast(p_size % 5 as bigint) as template
+from part
+"""

@@ -24,13 +24,14 @@ def plain(df: DataFrame) -> DataFrame:
 def with_ctes(body: str) -> str:
     """Prefix the named subqueries that ``body`` refers to, directly or not."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name, sub in CTES.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"(?:\bfrom|\bjoin|,)\s+{name}\b", text):
+                seen.add(name)
                 visit(sub)
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     if not needed:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ def build_session(app: str = "ledgerloom", cores: str | int = "*", shuffle_parti
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.driver.memory", "8g"))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -47,3 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iterative plan in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result as a columnar table in the shared checkpoint folder.
+
+    For results that one plan reads several times: it is computed once, its size is
+    known to the optimizer, readers prune columns, and lost executors reread it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
