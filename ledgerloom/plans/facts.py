@@ -160,3 +160,44 @@ class Facts:
             F.col("p_size").cast(DEC).alias("cap"),
             (F.col("p_retailprice").cast("decimal(18,2)") * 100).cast(DEC).alias("mint_amount"),
             F.col("p_partkey").alias("creation_height"), (F.col("p_size") % 5).cast("bigint").alias("template"))
+
+    @cached_property
+    def contract_deltas(self) -> DataFrame:
+        return self.flow_legs.select("owner", "token", "height", "seq", "tx_id", "delta")
+
+    @cached_property
+    def deltas(self) -> DataFrame:
+        from ..operators.ledger import holder_deltas
+        return holder_deltas(self.outputs, self.contract_deltas)
+
+    @cached_property
+    def balances(self) -> DataFrame:
+        from ..operators.ledger import holder_balances
+        return holder_balances(self.deltas)
+
+    @cached_property
+    def holder_counts(self) -> DataFrame:
+        from ..operators.ledger import holder_counts
+        return holder_counts(self.balances)
+
+    @cached_property
+    def mempool(self) -> DataFrame:
+        rate = F.col("cents").cast("decimal(18,0)") / (F.col("k") + 1)
+        return self.ev.select(F.col("event_id").alias("txid"), F.col("ts").alias("first_seen"), F.col("user_id").alias("address"),
+                              F.floor(rate).cast("bigint").alias("fee_rate"), (F.col("event_type") == "purchase").alias("confirmed"))
+
+    @cached_property
+    def writes(self) -> DataFrame:
+        """Storage writes: contract state keyed by a small set of names."""
+        names = F.array(*[F.lit(x) for x in ("/name", "/symbol", "/cap", "/value-per-mint", "/other")])
+        key = F.element_at(names, F.col("k") % 5 + 1)
+        text = F.when(F.col("k") % 5 < 2, F.concat(F.lit("n"), (F.col("cents") % 7).cast("string"))) \
+            .otherwise(F.col("cents").cast("string"))
+        return self.ev.select(F.col("user_id").alias("contract"), key.alias("key"), text.alias("value"),
+                              "height", F.col("event_id").alias("tx_idx"), F.lit(0).cast("bigint").alias("ev_idx"),
+                              F.col("height").alias("txid"))
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        """Contracts with the transaction (here: block) that created them."""
+        return self.ev.groupBy(F.col("user_id").alias("contract")).agg(F.min("height").alias("txid"))

@@ -142,3 +142,43 @@ select p_partkey as token, p_name as name, p_brand as symbol, cast(p_size as hug
        cast(p_size % 5 as bigint) as template
 from part
 """
+
+CTES["contract_deltas"] = """
+select pool_id as owner, base_id as token, height, seq, tx_id, base_delta as delta from flow join pools using (pool_id)
+union all select pool_id, quote_id, height, seq, tx_id, quote_delta from flow join pools using (pool_id)
+"""
+
+CTES["deltas"] = """
+select token, holder_type, holder_id, height, cast(sum(delta) as hugeint) as delta from (
+  select token, 'address' as holder_type, cast(address as varchar) as holder_id, created_height as height, amount as delta from outputs
+  union all select token, 'address', cast(address as varchar), spent_height, -amount from outputs where spent_height is not null
+  union all select token, 'contract', cast(owner as varchar), height, delta from contract_deltas where owner <> token)
+group by 1, 2, 3, 4 having sum(delta) <> 0
+"""
+
+CTES["balances"] = """
+select token, holder_type, holder_id, cast(sum(delta) as hugeint) as amount from deltas group by 1, 2, 3 having sum(delta) <> 0
+"""
+
+CTES["holder_counts"] = """
+select token, count(*) as holders from balances where amount > 0 group by token
+"""
+
+CTES["mempool"] = """
+select event_id as txid, ts as first_seen, user_id as address, cents // (k + 1) as fee_rate, event_type = 'purchase' as confirmed from ev
+"""
+
+CTES["writes"] = """
+select user_id as contract, ['/name', '/symbol', '/cap', '/value-per-mint', '/other'][k % 5 + 1] as key,
+       case when k % 5 < 2 then 'n' || cast(cents % 7 as varchar) else cast(cents as varchar) end as value,
+       height, event_id as tx_idx, height as txid from ev
+"""
+
+CTES["contracts"] = "select user_id as contract, min(height) as txid from ev group by 1"
+
+CTES["contract_history"] = """
+select owner, token, height, s - least(0, min(s) over w) as amount
+from (select *, sum(delta) over (partition by owner, token order by height rows unbounded preceding) as s
+      from (select owner, token, height, sum(delta) as delta from contract_deltas group by 1, 2, 3))
+window w as (partition by owner, token order by height rows unbounded preceding)
+"""
