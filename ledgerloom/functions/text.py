@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .exact import DEC, big, sat_add, sat_mul
+from .exact import CAP, DEC, big
 
 JSON_SAFE_MAX = 2**53 - 1
 
@@ -39,11 +39,12 @@ def parse_bp(c: Column) -> Column:
 def hex_to_dec(h: Column) -> Column:
     """Up to 32 hex digits as DECIMAL(38,0); saturates past 38 digits."""
     p = F.lpad(F.lower(h), 32, "0")
-    out = big(0)
+    out = None
     for i in range(4):
         part = F.conv(F.substring(p, 8 * i + 1, 8), 16, 10).cast(DEC)
-        out = sat_add(sat_mul(out, big(2**32)), part)
-    return out
+        term = F.try_multiply(part, big(2 ** (32 * (3 - i)))).cast(DEC)
+        out = term if out is None else F.try_add(out, term).cast(DEC)
+    return F.coalesce(out, F.when(h.isNotNull(), big(CAP)))
 
 
 def parse_num(c: Column, bare_hex: bool = False) -> Column:
