@@ -62,7 +62,7 @@ def _reach(requests: DataFrame, edges: DataFrame, hops: int, forward: bool) -> l
     sets = [requests.select(F.col(goal).alias("goal"), F.col(goal).alias("token")).distinct()]
     for _ in range(hops - 1):
         prev = sets[-1].withColumnRenamed("token", "via")
-        sets.append(prev.join(step, "via").select("goal", "token").union(sets[-1]).distinct())
+        sets.append(stage(prev.join(step, "via").select("goal", "token").union(sets[-1]).distinct()))
     return sets
 
 
@@ -91,6 +91,8 @@ def _search(requests: DataFrame, edges: DataFrame, max_hops: int, fee_bps: int,
         n = n.groupBy("request_id", "goal", "token", "tokens").agg(F.min(rank).alias("b"))
         n = n.select("request_id", "goal", "token", "tokens", F.col("b.pools").alias("pools"),
                      (-F.col("b.k") if forward else F.col("b.k")).cast(DEC).alias("amount"))
+        # both the finished and the growing paths read this hop, so it is computed once
+        n = stage(n)
         done = n.filter(F.col("token") == F.col("goal"))
         found = done if found is None else found.unionByName(done)
         cur = n.filter(F.col("token") != F.col("goal"))
@@ -137,6 +139,7 @@ def arbitrage_cycles(tokens: DataFrame, edges: DataFrame, max_hops: int = DEFAUL
         n = n.filter(fresh & unused).select(
             "start", F.col("next").alias("token"), F.concat("seen", F.array("next")).alias("seen"),
             F.concat("legs", F.array(F.struct(F.col("pool_id").cast("bigint").alias("pool_id"), "r_in", "r_out"))).alias("legs"))
+        n = stage(n)
         done = n.filter((F.col("token") == F.col("start")) & (F.size("legs") >= 2))
         found = done if found is None else found.unionByName(done)
         cur = n.filter(F.col("token") != F.col("start"))

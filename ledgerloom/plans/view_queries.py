@@ -13,7 +13,6 @@ from .facts_sql import CTES
 from .price_queries import (CANON_PRICE_SQL, METRIC_TEXT, metrics_of, pool_metrics_of, pool_values_of)
 from .catalogue_queries import PREFIX_SQL
 from .registry import query
-from .sqltext import muldiv
 from .trace_queries import wraps_of
 from ..operators.prices import canonical_pool_prices
 
@@ -229,7 +228,7 @@ def token_utxos(t: Facts):
 
 
 @query("pool_details", f"""
-select pool_id, base_id, quote_id, base_reserve, quote_reserve, m.tvl_usd, lp_supply, created_height, {muldiv('m.tvl_usd * 100000000', '1', 1)} // lp_supply as lp_value,
+select pool_id, base_id, quote_id, base_reserve, quote_reserve, m.tvl_usd, lp_supply, created_height, m.tvl_usd * 100000000 // lp_supply as lp_value,
        case when volume_7d_usd = 0 then coalesce(f.volume_7d, 0) else volume_7d_usd end as volume_7d_usd,
        case when volume_all_usd = 0 then coalesce(f.volume_all, 0) else volume_all_usd end as volume_all_usd
 from (select pool_id, base_id, quote_id, base_reserve, quote_reserve from pool_values) v join pool_metrics m using (pool_id)
@@ -255,11 +254,11 @@ def pools_overview(t: Facts):
     return views.pools_overview(table, limit=15).select("pool_id", "tvl_usd", "apr_bp", "position", "total_tvl", "largest", "trending")
 
 
-@query("lp_positions", f"""
-select holder_id as address, pool_id, amount, {muldiv('amount', 'base_tvl_usd', 1)} // supply as base_value, {muldiv('amount', 'quote_tvl_usd', 1)} // supply as quote_value,
-       {muldiv('amount', 'base_tvl_usd', 1)} // supply + {muldiv('amount', 'quote_tvl_usd', 1)} // supply as total_value
+@query("lp_positions", """
+select holder_id as address, pool_id, amount, amount * base_tvl_usd // supply as base_value, amount * quote_tvl_usd // supply as quote_value,
+       amount * base_tvl_usd // supply + amount * quote_tvl_usd // supply as total_value
 from balances b join supply s using (token) join pool_values v on v.pool_id % 10 + 100 = b.token where holder_type = 'address'
-""".replace(", 340282366920938463463374607431768211455)", ", 170141183460469231731687303715884105727)"), text="amount base_value quote_value total_value")
+""", text="amount base_value quote_value total_value")
 def lp_positions(t: Facts):
     from ..operators.ledger import address_balances
     # each pool's shares are represented by one of the ledger tokens
