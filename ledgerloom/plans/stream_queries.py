@@ -82,7 +82,6 @@ def run_incremental(t: Facts):
 def reprocess_from(t: Facts):
     path = f"{scratch(t)}/derived"
     per = lambda k: lambda df: df.groupBy("height").agg((F.sum("cents") * k).alias("cents"))
-    # a small fan-out per partition keeps one file per height
     incremental.reprocess_from(t.ev, path, per(1), 0)
     incremental.reprocess_from(t.ev, path, per(2), 2000)
     return t.spark.read.parquet(path).select(F.col("height").cast("bigint").alias("height"), "cents")

@@ -21,7 +21,7 @@ def last_op(ops: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return won.select(*keys, "w.*")
 
 
-def _current(spark, path: str) -> DataFrame | None:
+def current(spark, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
@@ -39,22 +39,21 @@ def upsert_sink(ops: DataFrame, path: str, keys: Sequence[str], order: Sequence[
     spark = ops.sparkSession
     won = stage(last_op(ops, keys, order).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
     new = won.filter(F.col("op") == "put").drop("op")
-    old = _current(spark, path)
+    old = current(spark, path)
     if old is not None:
         touched = won.select(BUCKET).distinct()
         kept = old.join(touched, BUCKET, "left_semi").join(won.select(*keys), list(keys), "left_anti")
-        # a touched bucket that ends up empty must be written too, so keep a marker-free
-        # full rewrite of the touched buckets and drop emptied ones by hand
+        # dynamic overwrite leaves a partition without new rows alone, so emptied ones are dropped
         new = stage(new.unionByName(kept.select(*new.columns)))
         gone = touched.join(new.select(BUCKET).distinct(), BUCKET, "left_anti")
-        _drop_partitions(spark, path, gone)
+        drop_partitions(spark, path, BUCKET, gone)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
-def _drop_partitions(spark, path: str, gone: DataFrame) -> None:
-    """Remove emptied bucket folders; at most one small number per bucket."""
+def drop_partitions(spark, path: str, column: str, gone: DataFrame) -> None:
+    """Remove partition folders; ``gone`` holds one small number per partition."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in gone.collect():
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{BUCKET}={r[0]}"), True)
+    for r in gone.toLocalIterator():
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{column}={r[0]}"), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.amm import chain_position, split_sides
 from ..functions.exact import AMOUNT_SCALE, PRICE_SCALE, big, sat_mul, sat_sum
 from ..session import stage
-from ..sources.upsert import _current, upsert_sink
+from ..sources.upsert import current as _current, drop_partitions, upsert_sink
 
 Module = tuple[str, int, Callable[[DataFrame], DataFrame]]
 
@@ -47,36 +48,44 @@ def run_incremental(spark: SparkSession, blocks: DataFrame, ledger_path: str, ou
 
     ``blocks``: height, block_hash and the module's columns.  Each batch skips blocks
     whose hash the module has in its ledger and blocks below the module's genesis
-    height.  Results carry the block hash and are written before the ledger entry, one
-    partition per (height), so a replay after a failure rewrites the same rows.
+    height.  Results and ledger entries go to one partition per batch, results first:
+    a batch replayed before its ledger entry exists rewrites the same partition, one
+    replayed after it finds nothing to do.
     """
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, epoch: int) -> None:
+        tag = F.lit(f"{run}-{epoch}")
         for name, genesis, fn in modules:
             todo = batch.filter(F.col("height") >= genesis)
             ledger = _current(spark, f"{ledger_path}/{name}")
             if ledger is not None:
                 todo = todo.join(ledger.select("block_hash"), "block_hash", "left_anti")
             todo = stage(todo)
-            out = fn(todo)
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("height").parquet(f"{out_path}/{name}")
-            todo.select("block_hash", "height").distinct().withColumn("epoch", F.lit(epoch)) \
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{ledger_path}/{name}")
+            for df, where in ((fn(todo), out_path), (todo.select("block_hash", "height").distinct(), ledger_path)):
+                df.withColumn("batch", tag).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                    .partitionBy("batch").parquet(f"{where}/{name}")
 
     return blocks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reprocess_from(facts: DataFrame, out_path: str, fn: Callable[[DataFrame], DataFrame], height: int) -> None:
+def reprocess_from(facts: DataFrame, out_path: str, fn: Callable[[DataFrame], DataFrame], height: int,
+                   range_width: int = 1000) -> None:
     """Derive all heights from ``height`` on again and replace them in the table.
-    Derived rows of heights that no longer exist go too."""
+
+    The table is partitioned by height range.  Only ranges from the rewound height on
+    are rewritten; rows below it in the boundary range are kept, and derived rows of
+    heights that no longer exist go.
+    """
     spark = facts.sparkSession
-    fresh = stage(fn(facts.filter(F.col("height") >= height)))
+    part = F.floor(F.col("height") / range_width).cast("bigint")
+    fresh = fn(facts.filter(F.col("height") >= height)).withColumn("height_range", part)
     old = _current(spark, out_path)
     if old is not None:
-        gone = old.filter(F.col("height") >= height).select("height").distinct().join(fresh.select("height").distinct(), "height", "left_anti")
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(out_path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for r in gone.toLocalIterator():
-            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"height={r[0]}"), True)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("height").parquet(out_path)
+        kept = old.filter((F.col("height_range") == height // range_width) & (F.col("height") < height))
+        fresh = stage(fresh.unionByName(kept))
+        gone = old.filter(F.col("height_range") >= height // range_width).select("height_range").distinct() \
+            .join(fresh.select("height_range").distinct(), "height_range", "left_anti")
+        drop_partitions(spark, out_path, "height_range", gone)
+    fresh.repartition("height_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("height_range").parquet(out_path)
