@@ -50,22 +50,31 @@ def sat_sum(c: Column) -> Column:
     return F.coalesce(total, F.when(F.count(c) > 0, big(CAP)).otherwise(big(0))).cast(DEC)
 
 
-def _rare(args: dict[str, Column], body) -> Column:
-    """Evaluate ``body`` over named arguments in a lambda.  Lambdas are interpreted, so
-    a long expression that is seldom needed adds next to nothing to generated code."""
-    packed = F.array(F.struct(*[c.cast(DEC).alias(n) for n, c in args.items()]))
-    return F.transform(packed, lambda s: body(*[s[n] for n in args]))[0]
+def _sql_big(v: int) -> str:
+    return f"CAST('{v}' AS DECIMAL(38,0))"
 
 
-def _quotient(a: Column, b: Column) -> Column:
-    return F.try_divide(a - a % b, b).cast(DEC)
+def _sql_quotient(a: str, b: str) -> str:
+    return f"CAST(try_divide({a} - {a} % {b}, {b}) AS DECIMAL(38,0))"
 
 
-def _long_quotient(a: Column, b: Column) -> Column:
+def _sql_long_quotient(a: str, b: str) -> str:
     """Quotients of 1e32 and more: divide by ``b * 1e6`` first, then the remainder."""
-    step = sat_mul(b, big(10**6))
-    rest = a % step
-    return ((_quotient(a, step) * big(10**6)).cast(DEC) + _quotient(rest, b)).cast(DEC)
+    step = f"COALESCE(CAST(try_multiply({b}, 1000000) AS DECIMAL(38,0)), {_sql_big(CAP)})"
+    head = f"CAST({_sql_quotient(a, step)} * 1000000 AS DECIMAL(38,0))"
+    return f"CAST({head} + {_sql_quotient(f'({a} % {step})', b)} AS DECIMAL(38,0))"
+
+
+def _rare(args: dict[str, Column], body: str) -> Column:
+    """Evaluate the SQL text ``body`` over ``s.<name>`` in a lambda.  Lambdas are
+    interpreted, so a long formula that is seldom needed adds next to nothing to
+    generated code, and as text it costs the driver one parse."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in args.items()]))
+    return F.get(F.call_function("transform", packed, F.expr(f"s -> {body}")), F.lit(0))
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    return F.try_divide(a - a % b, b).cast(DEC)
 
 
 def _nonzero(c: Column | int) -> Column:
@@ -78,42 +87,37 @@ def div_floor(a: Column, b: Column | int) -> Column:
     if isinstance(b, int) and b >= 10**6:
         return _quotient(a, big(b))
     d = big(b) if isinstance(b, int) else b.cast(DEC)
-    return F.coalesce(_quotient(a, _nonzero(b)), _rare(
-        {"a": a, "b": d}, lambda x, y: F.when(y == 0, big(0)).otherwise(_long_quotient(x, y)))).cast(DEC)
-
-
-def _u128_limit(c: Column) -> Column:
-    """Largest quotient a saturated 128-bit product can give when divided by ``c``."""
-    tens, unit = U128_MAX // 10, U128_MAX % 10
-    whole = _quotient(big(tens), c)
-    rest = (big(tens) - sat_mul(whole, c)).cast(DEC)
-    return sat_add(sat_mul(whole, big(10)), _quotient(sat_add(sat_mul(rest, big(10)), big(unit)), c))
-
-
-def _wide_mul_div(a: Column, b: Column, c: Column) -> Column:
-    """Products past 38 digits, split over quotient and remainder of ``a / c`` and held
-    to the quotient of the saturated product."""
-    whole = _long_quotient(a, c)
-    rest = sat_mul(a % c, b)
-    split = sat_add(sat_mul(whole, b), _long_quotient(rest, c))
-    return (F.when(a.isNull() | b.isNull() | c.isNull(), F.lit(None).cast(DEC)).when(c == 0, big(0))
-            .otherwise(F.least(split, _u128_limit(c))))
+    body = f"CASE WHEN s.b = 0 THEN {_sql_big(0)} ELSE {_sql_long_quotient('s.a', 's.b')} END"
+    return F.coalesce(_quotient(a, _nonzero(b)), _rare({"a": a, "b": d}, body)).cast(DEC)
+
+
+def _wide_body(c: int | None) -> str:
+    """Products past 38 digits: split over quotient and remainder of ``a / c`` and hold
+    the result to the quotient of the product saturated at 2^128 - 1."""
+    if c is not None:
+        d, limit = _sql_big(c), _sql_big(min(U128_MAX // c, CAP))
+        zero = ""
+    else:
+        d, tens = "s.c", _sql_big(U128_MAX // 10)
+        whole = _sql_quotient(tens, d)
+        rest = _sql_quotient(f"({tens} % {d} * 10 + {U128_MAX % 10})", d)
+        limit = f"COALESCE(CAST(try_add(try_multiply({whole}, 10), {rest}) AS DECIMAL(38,0)), {_sql_big(CAP)})"
+        zero = f"WHEN s.c = 0 THEN {_sql_big(0)} "
+    head = f"try_multiply({_sql_long_quotient('s.a', d)}, s.b)"
+    prod = f"CAST(try_multiply(s.a % {d}, s.b) AS DECIMAL(38,0))"
+    split = f"COALESCE(CAST(try_add({head}, {_sql_long_quotient(prod, d)}) AS DECIMAL(38,0)), {limit})"
+    missing = "s.a IS NULL OR s.b IS NULL" + ("" if c is not None else " OR s.c IS NULL")
+    return f"CASE WHEN {missing} THEN NULL {zero}ELSE LEAST({split}, {limit}) END"
 
 
 def mul_div_floor(a: Column, b: Column, c: Column | int) -> Column:
     """``a * b / c`` where the product saturates at 2^128 - 1; 0 when ``c`` is 0."""
     a, b = a.cast(DEC), b.cast(DEC)
     p = F.try_multiply(a, b).cast(DEC)
-    if isinstance(c, int) and c >= 10**7:
-        d, limit = big(c), big(U128_MAX // c)
-
-        def wide(x: Column, y: Column) -> Column:
-            split = F.try_add(F.try_multiply(_quotient(x, d), y), _quotient(F.try_multiply(x % d, y).cast(DEC), d))
-            return F.when(x.isNotNull() & y.isNotNull(), F.least(F.coalesce(split.cast(DEC), limit), limit))
-
-        return F.coalesce(_quotient(p, d), _rare({"a": a, "b": b}, wide)).cast(DEC)
-    d = big(c) if isinstance(c, int) else c
-    return F.coalesce(_quotient(p, _nonzero(c)), _rare({"a": a, "b": b, "c": d}, _wide_mul_div)).cast(DEC)
+    if isinstance(c, int):
+        return F.coalesce(_quotient(p, big(c)), _rare({"a": a, "b": b}, _wide_body(c))).cast(DEC)
+    c = c.cast(DEC)
+    return F.coalesce(_quotient(p, _nonzero(c)), _rare({"a": a, "b": b, "c": c}, _wide_body(None))).cast(DEC)
 
 
 def invert_price(p: Column) -> Column:

@@ -15,6 +15,7 @@ from .amm import BLOCKS_PER_DAY, BLOCKS_PER_WEEK, chain_position
 from .prices import close_windows
 
 DAY = 86400
+SIDES = ("base", "quote")
 SPANS = {"1d": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
 
 
@@ -50,27 +51,28 @@ def pool_values(amounts: DataFrame, pools: DataFrame, quotes: DataFrame, prices:
     ``amounts``: pool_id, base_reserve, quote_reserve (further columns kept).
     ``prices``: token, price_usd, price_sats.  A canonical side is valued directly.
     """
-    p = prices.select("token", "price_usd", "price_sats")
+    info = prices.select("token", "price_usd", "price_sats").join(
+        quotes.select(F.col("quote_id").alias("token"), "unit"), "token", "full_outer")
     j = amounts.join(pools.select("pool_id", "base_id", "quote_id"), "pool_id")
-    for s in ("base", "quote"):
-        j = j.join(p.select(F.col("token").alias(f"{s}_id"), F.col("price_usd").alias(f"{s}_price_usd"),
-                            F.col("price_sats").alias(f"{s}_price_sats")), f"{s}_id", "left")
-        j = j.join(quotes.select(F.col("quote_id").alias(f"{s}_id"), F.col("unit").alias(f"{s}_unit")), f"{s}_id", "left")
-        j = j.withColumn(f"{s}_price_usd", F.coalesce(f"{s}_price_usd", big(0)))
-        j = j.withColumn(f"{s}_price_sats", F.coalesce(f"{s}_price_sats", big(0)))
-    j = j.withColumn("__btc", btc_price)
-    for s in ("base", "quote"):
+    for s in SIDES:
+        j = j.join(info.select(F.col("token").alias(f"{s}_id"), F.coalesce("price_usd", big(0)).alias(f"{s}_price_usd"),
+                               F.coalesce("price_sats", big(0)).alias(f"{s}_price_sats"), F.col("unit").alias(f"{s}_unit")), f"{s}_id", "left")
+    j = j.withColumns({"__btc": btc_price, **{f"{s}_price_{u}": F.coalesce(f"{s}_price_{u}", big(0)) for s in SIDES for u in ("usd", "sats")}})
+
+    def usd(s: str) -> Column:
+        a, unit, x = F.col(f"{s}_reserve"), F.col(f"{s}_unit"), F.col("__btc")
+        # one product: the price of a canonical side is 1 USD or the BTC price
+        price = F.when(unit == "usd", big(PRICE_SCALE)).when((unit == "btc") & x.isNotNull(), x).otherwise(F.col(f"{s}_price_usd"))
+        return scaled_value(a, price)
+
+    def sats(s: str) -> Column:
         a, unit, x = F.col(f"{s}_reserve"), F.col(f"{s}_unit"), F.col("__btc")
-        plain_usd = scaled_value(a, F.col(f"{s}_price_usd"))
-        plain_sats = scaled_value(a, F.col(f"{s}_price_sats"))
-        usd = F.when(unit == "usd", sat_mul(a, big(PRICE_SCALE // AMOUNT_SCALE))) \
-            .when((unit == "btc") & x.isNotNull(), scaled_value(a, x)).otherwise(plain_usd)
-        sats = F.when(unit == "btc", a).when((unit == "usd") & x.isNotNull(), mul_div_floor(a, big(PRICE_SCALE), x)) \
-            .otherwise(plain_sats)
-        j = j.withColumn(f"{s}_tvl_usd", usd.cast(DEC)).withColumn(f"{s}_tvl_sats", sats.cast(DEC))
-    return (j.withColumn("tvl_usd", sat_add(F.col("base_tvl_usd"), F.col("quote_tvl_usd")))
-            .withColumn("tvl_sats", sat_add(F.col("base_tvl_sats"), F.col("quote_tvl_sats")))
-            .drop("__btc", "base_unit", "quote_unit"))
+        direct = F.when(unit == "btc", a).when((unit == "usd") & x.isNotNull(), mul_div_floor(a, big(PRICE_SCALE), x))
+        return F.coalesce(direct, scaled_value(a, F.col(f"{s}_price_sats"))).cast(DEC)
+
+    j = j.withColumns({**{f"{s}_tvl_usd": usd(s) for s in SIDES}, **{f"{s}_tvl_sats": sats(s) for s in SIDES}})
+    return j.withColumns({f"tvl_{u}": sat_add(F.col(f"base_tvl_{u}"), F.col(f"quote_tvl_{u}")) for u in ("usd", "sats")}) \
+        .drop("__btc", "base_unit", "quote_unit")
 
 
 def pool_metrics(values: DataFrame, windows: DataFrame, past: DataFrame) -> DataFrame:
@@ -80,11 +82,9 @@ def pool_metrics(values: DataFrame, windows: DataFrame, past: DataFrame) -> Data
     """
     j = values.join(windows, "pool_id", "left").join(past, "pool_id", "left")
     amount = lambda s, w: F.coalesce(F.col(f"{s}_{w}"), big(0))
-    for unit in ("usd", "sats"):
-        for w in ("1d", "7d", "30d", "all"):
-            j = j.withColumn(f"volume_{w}_{unit}", sat_add(
-                scaled_value(amount("base", w), F.col(f"base_price_{unit}")),
-                scaled_value(amount("quote", w), F.col(f"quote_price_{unit}"))))
+    cells = [(w, u) for u in ("usd", "sats") for w in ("1d", "7d", "30d", "all")]
+    j = j.withColumns({f"{s}_{w}_{u}": scaled_value(amount(s, w), F.col(f"{s}_price_{u}")) for w, u in cells for s in SIDES})
+    j = j.withColumns({f"volume_{w}_{u}": sat_add(F.col(f"base_{w}_{u}"), F.col(f"quote_{w}_{u}")) for w, u in cells})
     t = F.col("tvl_usd")
     return j.select(
         "pool_id", "tvl_usd", "tvl_sats",

@@ -199,8 +199,7 @@ def sats_candles(candles: DataFrame, keys: Sequence[str], line: DataFrame, secon
                     F.min("bucket_ts").alias("lo"))
     lo, first, last = (ends.select(c).scalar() for c in ("lo", "first", "last"))
     j = j.withColumn("btc", F.coalesce("btc", F.when(F.col("bucket_ts") < lo, first).otherwise(last), big(0)))
-    for f in (*PRICES, "volume"):
-        j = j.withColumn(f, usd_to_sats(F.col(f), F.col("btc")))
+    j = j.withColumns({f: usd_to_sats(F.col(f), F.col("btc")) for f in (*PRICES, "volume")})
     w = Window.partitionBy(*keys).orderBy("bucket_ts")
     j = j.withColumn("open", F.coalesce(F.lag("close").over(w), F.col("open")))
     return j.withColumn("high", F.greatest("high", "open")).withColumn("low", F.least("low", "open")).drop("btc")
@@ -227,9 +226,7 @@ def close_windows(candles: DataFrame, keys: Sequence[str], now: int, spans: dict
         t = max(nb - s, 0)
         aggs.append(F.max_by("close", F.when(F.col("bucket_ts") <= t, F.col("bucket_ts"))).alias(f"c_{n}"))
     out = c.groupBy(*keys).agg(*aggs)
-    for n in ("now", *spans):
-        out = out.withColumn(f"c_{n}", F.coalesce(F.col(f"c_{n}"), F.col("first_close")))
-    return out
+    return out.withColumns({f"c_{n}": F.coalesce(F.col(f"c_{n}"), F.col("first_close")) for n in ("now", *spans)})
 
 
 def chart_changes(usd: DataFrame, mcusd: DataFrame, now: int, frames: dict[str, int] | None = None) -> DataFrame:

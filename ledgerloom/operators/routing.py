@@ -53,6 +53,10 @@ def ceil_div(a: Column, b: Column) -> Column:
     return F.when(a == 0, big(0)).otherwise((div_floor((a - 1).cast(DEC), b) + 1).cast(DEC)).cast(DEC)
 
 
+def parallelism(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _reach(requests: DataFrame, edges: DataFrame, hops: int, forward: bool) -> list[DataFrame]:
     """For each number of hops left, the (goal, token) pairs from which the goal can be
     reached; ``forward`` walks towards the target, else towards the source."""
@@ -75,11 +79,15 @@ def _search(requests: DataFrame, edges: DataFrame, max_hops: int, fee_bps: int,
         "request_id", F.col(goal).alias("goal"), F.col(start).alias("token"), F.col("amount").cast(DEC).alias("amount"),
         F.array(F.col(start)).alias("tokens"), F.array().cast("array<bigint>").alias("pools"))
     found = None
+    spread = parallelism(requests.sparkSession)
     e = edges.withColumnRenamed(here, "token").withColumnRenamed(there, "next")
     for hop in range(1, hops + 1):
         ok = reach[hops - hop].select("goal", F.col("token").alias("next"))
         n = cur.join(e, "token").filter(~F.array_contains("tokens", F.col("next")))
         n = n.join(ok, ["goal", "next"], "left_semi")
+        # wide integer math is the cost of a hop: spread it before, not after, it runs;
+        # the grouping below reuses this partitioning
+        n = n.repartition(spread, "request_id")
         n = (with_xyk_out if forward else with_xyk_in)(n, "r_in", "r_out", "amount", "value", fee_bps)
         n = n.filter(F.col("value") > 0)
         p = F.col("pool_id").cast("bigint")
@@ -147,6 +155,7 @@ def arbitrage_cycles(tokens: DataFrame, edges: DataFrame, max_hops: int = DEFAUL
     c = found.withColumn("hi", cap).filter(F.col("hi") > 0).withColumn("lo", big(0)) \
         .withColumn("cycle", F.array_join(F.transform("legs", lambda l: l["pool_id"].cast("string")), ">"))
     keep = ["start", "cycle", "legs"]
+    c = c.repartition(parallelism(edges.sparkSession), "start", "cycle")
     for _ in range(rounds):
         c = c.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(grid))))
         c = c.withColumn("span", div_floor((F.col("hi") - F.col("lo")).cast(DEC), grid))
