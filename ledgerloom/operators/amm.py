@@ -19,8 +19,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exact import (AMOUNT_SCALE, DEC, PRICE_SCALE, big, bucket_start, dec, div_floor,
-                               mul_div_floor, sat_mul, sat_sum)
+from ..functions.exact import AMOUNT_SCALE, DEC, PRICE_SCALE, big, bucket_start, div_floor, sat_mul, sat_sum
 from ..functions.paging import page
 from ..functions.scan import clamped_sums
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.asof import asof_backward
-from ..functions.exact import DEC
 from ..functions.paging import page
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.asof import asof_backward
-from ..functions.exact import (AMOUNT_SCALE, DEC, PRICE_SCALE, apr_bp_30d, big, div_floor, mul_div_floor,
-                               percent_change_bp, sat_add, sat_mul)
+from ..functions.exact import (AMOUNT_SCALE, DEC, PRICE_SCALE, apr_bp_30d,
+    big, mul_div_floor, percent_change_bp, sat_add, sat_mul)
 from ..functions.paging import page
 from ..functions.text import format_bp
 from .amm import BLOCKS_PER_DAY, BLOCKS_PER_WEEK, chain_position

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.asof import asof_backward, asof_nearest
-from ..functions.exact import (AMOUNT_SCALE, CAP, DEC, PRICE_SCALE, big, bucket_start, div_floor, invert_price,
-                               mul_div_floor, percent_change_bp, sat_add, sat_mul)
+from ..functions.exact import (AMOUNT_SCALE, CAP, DEC, PRICE_SCALE, big, bucket_start,
+    div_floor, invert_price, mul_div_floor, percent_change_bp, sat_add, sat_mul)
 from ..functions.scan import carry_last
 from .amm import BLOCKS_PER_DAY, TIMEFRAMES, height_chunk, price_line
 

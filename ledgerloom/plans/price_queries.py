@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exact import DEC, big
-from ..functions.paging import page
 from ..operators import amm, metrics, prices
 from ..operators.amm import TIMEFRAMES
 from .facts import EPOCH, NOW, TIP, Facts

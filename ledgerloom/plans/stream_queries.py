@@ -7,12 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.exact import DEC, big, invert_price, percent_change_bp, apr_bp_30d
+from ..functions.exact import DEC, invert_price, percent_change_bp, apr_bp_30d
 from ..session import ensure_checkpoint_dir
 from ..sources import blocks, upsert
 from ..streaming import chain, incremental, mempool
 from .facts import TIP, Facts
-from .facts_sql import CTES
 from .registry import query
 from .sqltext import bp_text, pct
 

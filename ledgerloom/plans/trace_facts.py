@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exact import DEC
+from ..operators.traces import BASE_KEY, FACTORY_KEY, QUOTE_KEY
 from .facts_sql import CTES
 
 ROUTER, ORACLE, FACTORY, BRIDGE = 9001, 9002, 9004, 1
@@ -121,7 +122,7 @@ def trace_events(t) -> DataFrame:
     def step(i: int, s: tuple) -> Column:
         event, ctype, owner, op, in_tok, in_amt, out_tok, out_amt, extra, status, mark = s
         odd = F.when(F.col("event_id") % 2 == 0, "failure").otherwise("success")
-        storage = F.array(kv("/alkane/0", F.col("base_id")), kv("/alkane/1", F.col("quote_id")), kv("/factory_id", F.lit(FACTORY))) \
+        storage = F.array(kv(BASE_KEY, F.col("base_id")), kv(QUOTE_KEY, F.col("quote_id")), kv(FACTORY_KEY, F.lit(FACTORY))) \
             if mark == "keys" else F.array()
         return F.struct(
             F.lit(i).cast("bigint").alias("idx"), F.lit(event).alias("event"), F.lit(ctype or None).cast("string").alias("call_type"),

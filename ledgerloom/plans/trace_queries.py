@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exact import DEC, big
+from ..functions.exact import DEC
 from ..operators import bridge, traces
-from .facts import EPOCH, Facts
+from .facts import Facts
 from .facts_sql import CTES
 from .registry import query
 from .trace_facts import BRIDGE, FACTORY, trace_events
@@ -99,9 +99,9 @@ def trace_nets(t: Facts):
     return traces.net_entries(traces.trace_nets(trace_events(t))).select("trace_id", "class", "side", "token", "amount")
 
 
-@query("trace_storage", """
-select trace_id, cast(100000 + trace_id as bigint) as contract, key, case key when '/alkane/0' then base_id when '/alkane/1' then quote_id else 9004 end as value
-from tev, (values ('/alkane/0'), ('/alkane/1'), ('/factory_id')) k(key) where mark = 'keys'
+@query("trace_storage", f"""
+select trace_id, cast(100000 + trace_id as bigint) as contract, key, case key when '{traces.BASE_KEY}' then base_id when '{traces.QUOTE_KEY}' then quote_id else 9004 end as value
+from tev, (values ('{traces.BASE_KEY}'), ('{traces.QUOTE_KEY}'), ('{traces.FACTORY_KEY}')) k(key) where mark = 'keys'
 """, text="value")
 def trace_storage(t: Facts):
     return traces.storage_writes(frames_of(t)).select("trace_id", "contract", "key", "value")

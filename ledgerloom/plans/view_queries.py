@@ -10,7 +10,7 @@ from ..operators import catalogue as cat
 from .amm_queries import CATALOG_SQL, created_pools, pool_names
 from .facts import EPOCH, NOW, TIP, Facts
 from .facts_sql import CTES
-from .price_queries import (CANON_PRICE_SQL, METRIC_TEXT, metrics_of, pool_metrics_of, pool_values_of)
+from .price_queries import CANON_PRICE_SQL, METRIC_TEXT, metrics_of, pool_metrics_of, pool_values_of
 from .catalogue_queries import PREFIX_SQL
 from .registry import query
 from .trace_queries import wraps_of
