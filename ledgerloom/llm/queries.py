@@ -48,8 +48,8 @@ with d as (select doc_id, list_filter(regexp_extract_all(translate(coalesce(text
 b as (select item_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
 win as (select distinct item_id, w[s:least(s + 9, len(w))] as g from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from b where len(w) > 0)),
 sizes as (select distinct len(g) as k from win),
-at as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
-occ as (select distinct a.doc_id, a.p, a.k, x.item_id from (select doc_id, p, k, w[p:p + k - 1] as g from at, sizes where p + k - 1 <= len(w)) a join win x on x.g = a.g),
+spot as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+occ as (select distinct a.doc_id, a.p, a.k, x.item_id from (select doc_id, p, k, w[p:p + k - 1] as g from spot, sizes where p + k - 1 <= len(w)) a join win x on x.g = a.g),
 hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from occ) group by 1),
 its as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as l from (select distinct doc_id, cast(item_id as varchar) as i from occ) group by 1)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(l, '')) as items_sha256, n_hit is not null as contaminated
