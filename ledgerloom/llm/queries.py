@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, packing, quality
+from . import decontaminate, extraction, fingerprints, jaccard_join, lattice_lm, line_dedup, packing, phrase_dedup, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +24,34 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("row")
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of earlier documents."""
+    out = phrase_dedup.drop_repeated_words(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside benchmark windows."""
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document."""
+    return lattice_lm.score_texts(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of each page."""
+    return url_filter.verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    out = extraction.extract(_table(spark, sf_dir, "pages"))
+    return out.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), F.col("main").alias("text"), F.char_length("main").cast("long").alias("n_chars"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of each document."""
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
@@ -40,8 +62,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_classifier, op4_benchmark_decontamination, op8_ngram_jaccard_join, op9_best_fit_packing)}
+    op1_line_dedup, op2_quality_classifier, op3_phrase_dedup, op4_benchmark_decontamination, op5_lattice_lm, op6_url_filter, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_document_fingerprints)}
 
 OP4_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -56,4 +83,14 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join hit using (doc_id) left join its using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
+OP3_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, p, w[p:p + 12] as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from d where len(w) >= 13)),
+first as (select g, min(doc_id) as f from win group by g),
+gone as (select distinct doc_id, unnest(range(p, p + 13)) as q from win join first using (g) where f < doc_id),
+spot as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from d),
+kept as (select doc_id, string_agg(word, ' ' order by q) as k, count(*) as n from spot anti join gone using (doc_id, q) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_phrase_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
