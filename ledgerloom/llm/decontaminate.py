@@ -2,7 +2,8 @@
 
 The words of the benchmark are ordered by how often the documents use them. A document can only hold a window if it holds each of its words, so the
 rarest word is the prefix that a full containment needs: document words are joined on it alone. A candidate fixes where the window would
-have to begin (positional bound) and must lie inside the document (length bound); its words are then compared one by one.
+have to begin (positional bound) and must lie inside the document (length bound); its words are then compared one by one, all candidates
+of a document within its row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that belong to no word once A-Z are lower-case.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A table of words is broadcast up to this many rows (some 20 MB); a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,14 +47,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
     complete = ranked.groupBy("id").agg(F.min(F.struct("n", "word", "p")).alias("f"), F.count("*").alias("c"))
     prefix = stage(complete.join(wins, "id").where("c = k").select(F.col("f.word").alias("word"), F.col("f.p").alias("p"), "w", "k", "items"))
     # a window with a word that no document has cannot occur, so c < k leaves it out
-    tokens = stage(prefix.select("word").distinct())
-    held = words.select("d", "h", F.posexplode("ws").alias("at", "word")).join(_small(tokens), "word")
-    places = held.groupBy("d", "h").agg(F.collect_set(F.struct("at", "word")).alias("places"))
-    texts = join_key(keyed(docs), places, "inner")
-    spots = texts.select("d", "h", words_of(F.col("text")).alias("ws"), F.explode("places").alias("x")).select("d", "h", "ws", "x.at", "x.word")
-    cands = spots.join(_small(prefix), "word").withColumn("first", F.col("at") - F.col("p") + 1).where((F.col("first") >= 1) & (F.col("first") + F.col("k") - 1 <= F.size("ws")))
-    same = F.slice("ws", F.col("first"), F.col("k")) == F.col("w")
-    return cands.where(same).select("d", "h", F.col("first").alias("at"), "k", "items")
+    spots = words.select("d", "h", F.posexplode("ws").alias("at", "word")).join(_small(prefix), "word").withColumn("first", F.col("at") - F.col("p") + 1).where("first >= 1")
+    cands = spots.groupBy("d", "h").agg(F.collect_set(F.struct("first", "k", "w", "items")).alias("cands"))
+    held = join_key(keyed(docs), cands, "inner").select("d", "h", words_of(F.col("text")).alias("ws"), "cands")
+    same = F.filter("cands", lambda c: (c["first"] + c["k"] - 1 <= F.size("ws")) & (F.slice("ws", c["first"], c["k"]) == c["w"]))
+    return held.select("d", "h", F.explode(same).alias("c")).select("d", "h", F.col("c.first").alias("at"), "c.k", "c.items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

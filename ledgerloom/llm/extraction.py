@@ -274,6 +274,10 @@ def disguise(page: list[tuple], rng: random.Random) -> list[tuple[tuple, str, in
         n = rng.randint(1, len(main))
         s = rng.randint(0, len(main) - n)
         main = main[s:s + n]
+    if main and rng.random() < 0.15:  # a block may repeat a few words without end
+        k = rng.randrange(len(main))
+        words = main[k][1].split(" ")[:rng.randint(1, 3)] * rng.randint(5, 60)
+        main[k] = (main[k][0], " ".join(words), 0)
     wrap = ("html", "body", *[x for _ in range(rng.randint(0, 2)) for x in ("div", "." + rng.choice(NEUTRAL))])
     kind = rng.random()
     good = ("article",) if kind < 0.2 else ("main",) if kind < 0.3 else (rng.choice(["div", "div", "section", "main", "article"]), *_class(GOOD_WORDS, rng))
