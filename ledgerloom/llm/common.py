@@ -103,6 +103,19 @@ def lists(values: np.ndarray, counts: Iterable[int], kind: pa.DataType) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
+def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``, for narrow rows that numpy handles many at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key of sorted Arrow batches, one key at a time; only one key's rows are held."""
     held: list[pa.RecordBatch] = []

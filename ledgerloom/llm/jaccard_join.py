@@ -4,7 +4,8 @@ A set of five-word shingles follows, in each run, the paths of the shingles it c
 Two sets meet in a bucket if they choose a shared shingle; with rate 1.2 and similarity 0.8 a run finds a pair with chance 0.65, so
 ``runs`` = 8 miss one pair in 5000 (``recall_of_runs``). Buckets of more than ``small`` sets split on further chosen shingles of their members, with a rate of 2.5,
 as long as a split separates them; what stays together is compared in blocks, so that no bucket has a cap and none meets in one task.
-Each pair is compared in the smallest bucket that it shares. Equal sets are one class and are compared once.
+Of buckets with the same members one is kept, and each pair is compared in the smallest bucket that it
+shares. Equal sets are one class and are compared once.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import as_bytes, chunks, gram_hashes, join_key, keyed, lists, mix, small_batches, sorted_groups, stage, word_hashes
 
-WORDS, THRESHOLD, RUNS, SMALL, BLOCK, DEPTH = 5, 0.8, 8, 200, 300, 4
+WORDS, THRESHOLD, RUNS, SMALL, BLOCK, DEPTH = 5, 0.8, 8, 200, 1000, 4
 RATE, DEEP_RATE = 1.2, 2.5
 LARGEST = float(2**64)
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 
 
 def recall_of_runs(similarity: float, runs: int, rate: float = RATE) -> float:
@@ -173,8 +176,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     buckets = level.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     level = stage(level.join(buckets, "key"))
     met = level.select("v").distinct()
-    picked = join_key(keyed(docs), classes.join(met, "v", "left_semi").select("v", "copies", "d", "h"), "inner")
-    sets = stage(_sets(picked).dropDuplicates(["v"]))
+    reps = classes.join(met, "v", "left_semi").select("v", "copies", F.coalesce("d", F.lit(LAST)).alias("o"), "h")
+    texts = keyed(docs).select(F.coalesce("d", F.lit(LAST)).alias("o"), "h", "text")
+    sets = stage(_sets(texts.join(reps, ["o", "h"]).dropDuplicates(["o", "h"])))
     leaves = []
     for _ in range(DEPTH):
         big = level.where(F.col("c") > small)
@@ -193,7 +197,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.union(x)
-    leaf = leaf.distinct()
+    # of buckets with the same members one is enough
+    members = leaf.distinct()
+    same = members.groupBy("key", "c").agg(F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    leaf = members.join(same.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
     mine = leaf.groupBy("v").agg(F.collect_list(F.struct("key", "c")).alias("leaf"))
     spread = (sets.join(mine, "v").select("v", "copies", "s", F.col("leaf.key").alias("keys"), F.explode("leaf").alias("l"))
               .select("v", "copies", "s", "keys", "l.key", F.ceil(F.col("l.c") / BLOCK).cast("int").alias("p"))

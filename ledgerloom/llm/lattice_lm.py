@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, keyed, small_batches, sorted_groups, stage
+from .common import as_bytes, keyed, larger, small_batches, sorted_groups, stage
 
 #: Bytes of text of a block, characters of a piece, rounds of expectation maximisation.
 BLOCK_BYTES, LONGEST, ROUNDS = 4 << 20, 8, 2
+#: Words that the lattice works on at once.
+WORD_ROWS = 40_000
 BEGIN = "▁"
 #: Classes with counts of their own, and the discount of their counts.
 CLASSES, CLASS_DISCOUNT = 8, 0.75
@@ -49,6 +51,17 @@ def vocabulary(model: str = "piece_bpe_32k.model") -> list[str]:
     return [p for _, p in sorted(found)]
 
 
+def log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials, place by place; the first term is finite."""
+    if len(terms) == 1:
+        return terms[0]
+    stacked = np.stack(terms)
+    top = stacked.max(axis=0)
+    stacked -= top
+    np.exp(stacked, out=stacked)
+    return top + np.log(stacked.sum(axis=0))
+
+
 class Lattice:
     """Forward and backward sums over all segmentations of many words at once; words of one length share a matrix."""
 
@@ -96,10 +109,7 @@ class Lattice:
         alpha = np.full((m + 1, n), -np.inf)
         alpha[0] = 0
         for j in range(1, m + 1):
-            acc = alpha[j - 1] + lp[0][:, j - 1]
-            for k in range(2, min(LONGEST, j) + 1):
-                acc = np.logaddexp(acc, alpha[j - k] + lp[k - 1][:, j - k])
-            alpha[j] = acc
+            alpha[j] = log_sum([alpha[j - k] + lp[k - 1][:, j - k] for k in range(1, min(LONGEST, j) + 1)])
         return alpha
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -107,7 +117,7 @@ class Lattice:
         length = np.array([len(w) for w in words])
         for m in np.unique(length).tolist():
             mine = np.flatnonzero(length == m)
-            step = max(1, (1 << 18) // (m + 1))
+            step = max(1, (1 << 16) // (m + 1))
             for a in range(0, len(mine), step):
                 part = mine[a:a + step]
                 flat = np.frombuffer("".join([words[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -133,10 +143,7 @@ class Lattice:
             beta = np.full((m + 1, n), -np.inf)
             beta[m] = -alpha[m]
             for j in range(m - 1, -1, -1):
-                acc = beta[j + 1] + lp[0][:, j]
-                for size in range(2, min(LONGEST, m - j) + 1):
-                    acc = np.logaddexp(acc, beta[j + size] + lp[size - 1][:, j])
-                beta[j] = acc
+                beta[j] = log_sum([beta[j + size] + lp[size - 1][:, j] for size in range(1, min(LONGEST, m - j) + 1)])
             for size, a in enumerate(arcs, 1):
                 post = np.exp(alpha[:m - size + 1].T + lp[size - 1] + beta[size:].T)
                 total += np.bincount(a.ravel(), weights=post.ravel(), minlength=self.none + 1)
@@ -169,7 +176,7 @@ def _expected_counts(words: DataFrame, pieces: list[str], weights: list[np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, weights)
         total = np.zeros((len(weights), len(pieces) + 1))
-        for b in batches:
+        for b in larger(batches, WORD_ROWS):
             k = b.column(1).to_numpy()
             words = b.column(0).to_pylist()
             for i in np.unique(k).tolist():
@@ -253,7 +260,7 @@ def score_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", rounds: int
 
     def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, weights)
-        for b in batches:
+        for b in larger(batches, WORD_ROWS):
             c = b.column(1).to_numpy()
             spelled = lattice.scores([w.decode() for w in b.column(0).to_pylist()]) + spell
             with np.errstate(divide="ignore"):
