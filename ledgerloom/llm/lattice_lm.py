@@ -10,7 +10,8 @@ others are one more). A class has its own discounted counts and piece weights an
 the classes, so ``lang`` is read only while learning.
 
 Whole words have their training counts less an absolute discount (by the numbers of words seen once to four times); the mass that this frees
-belongs to spelled words. Piece weights start from the vocabulary's own order of scores and are fitted to the distinct training words by expectation maximisation. Words and counts are aggregated by shuffles, documents are scored in blocks against the words they hold, and only piece weights (bounded by the vocabulary) reach the driver.
+belongs to spelled words. Piece weights start from the vocabulary's own order of scores and are fitted to the distinct training words by expectation maximisation. Words and counts are aggregated by shuffles. The scores of the FREQUENT most frequent words go to all tasks; all other words meet theirs in a join, and a document's
+sums come back. Only these words and the piece weights (bounded by the vocabulary) reach the driver.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, keyed, larger, small_batches, sorted_groups, stage
+from .common import as_bytes, join_key, keyed, larger, small_batches, stage
 
-#: Bytes of text of a block, characters of a piece, rounds of expectation maximisation.
-BLOCK_BYTES, LONGEST, ROUNDS = 4 << 20, 8, 2
+#: Characters of a piece, rounds of expectation maximisation.
+LONGEST, ROUNDS = 8, 2
+#: Words that a task counts before it hands them on, and the most frequent words, whose scores every task holds.
+HELD_WORDS, FREQUENT = 400_000, 100_000
 #: Words that the lattice works on at once.
 WORD_ROWS = 40_000
 BEGIN = "▁"
@@ -191,44 +194,45 @@ def _expected_counts(words: DataFrame, pieces: list[str], weights: list[np.ndarr
 
 
 def score_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and all columns of ``docs`` in ``row``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and the other columns of ``docs`` in ``row``.
 
-    Each row is a document, repeated or not. A null or empty text is its end token. Without training documents nothing is known and only pieces,
-    weighted by the vocabulary's order, give scores. A null doc_id has no remainder: it is scored, and counts as training text.
+    Rows that agree in doc_id and text score alike, and each counts as training text. A null or empty text is its end token. Without training
+    documents nothing is known and only pieces, weighted by the vocabulary's order, give scores. A null doc_id counts as training text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)).alias("held_out")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     common = docs.select(held, lang.alias("lang")).where("not held_out").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
     kind = F.lit(len(common))
     for i, r in enumerate(common):
         kind = F.when(lang == F.lit(r.lang), i).otherwise(kind)
-    base = keyed(docs, row, held, F.when(held, -1).otherwise(kind).alias("k"))
-    classes = len(common) + 1
+    base = keyed(docs, held, F.when(held, -1).otherwise(kind).alias("k"))
     texts_of = {r.k: r["count"] for r in base.where("k >= 0").groupBy("k").count().collect()}  # one row per class
-    facts = docs.select(held, F.octet_length("text").alias("n")).agg(F.sum("n"), F.sum((~F.col("held_out")).cast("long"))).first()
-    blocks = max(1, math.ceil((facts[0] or 0) / BLOCK_BYTES))
-    ends = facts[1] or 0
-    placed = base.withColumn("block", F.pmod(F.xxhash64("d", "h"), F.lit(blocks)).cast("int"))
+    classes = max(texts_of, default=0) + 1
+    ends = sum(texts_of.values())
 
-    def count(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {}
-        for raw, k in zip(as_bytes(group.column("text").combine_chunks()), group.column("k").to_pylist()):
-            seen.setdefault(k, Counter()).update(_words(raw))
-        block = group.column("block")[0].as_py()
-        for k, words in seen.items():
-            names, n = list(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))
-            n = n if k >= 0 else np.zeros_like(n)
-            for a in range(0, len(names), 50_000):
-                part = names[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part, pa.binary()), pa.array(np.full(len(part), k, np.int32)), pa.array(n[a:a + 50_000])],
-                                                 ["block", "word", "k", "n"])
-
-    held_words = stage(sorted_groups(placed.select("block", "k", "text"), ["block"], count, "block int, word binary, k int, n long"))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, words in seen.items():
+                names, n = list(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))
+                n = n if k >= 0 else np.zeros_like(n)
+                for a in range(0, len(names), 50_000):
+                    part = names[a:a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), k, np.int32)), pa.array(n[a:a + 50_000])], ["word", "k", "n"])
+            seen.clear()
+
+        for b in batches:
+            for raw, k in zip(as_bytes(b.column(1)), b.column(0).to_pylist()):
+                seen.setdefault(k, Counter()).update(_words(raw))
+            if sum(map(len, seen.values())) > HELD_WORDS:
+                yield from out()
+        yield from out()
+
     own = [F.coalesce(F.sum(F.when(F.col("k") == i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(classes)]
-    counts = stage(held_words.groupBy("word").agg(F.sum("n").alias("c"), *own))
+    counts = stage(base.select("k", "text").mapInArrow(count, "word binary, k int, n long").groupBy("word").agg(F.sum("n").alias("c"), *own))
     known = counts.where("c > 0")
     facts = known.agg(*[F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)], F.count("*"), F.coalesce(F.sum("c"), F.lit(0)),
                       *[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(classes)], *[F.coalesce(F.sum((F.col(f"c{i}") > 0).cast("long")), F.lit(0)) for i in range(classes)]).first()
@@ -266,33 +270,59 @@ def score_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", rounds: int
             with np.errstate(divide="ignore"):
                 s = np.logaddexp(spelled, np.log((c - taken[np.minimum(c, 3)]) * whole))
                 logs = [np.logaddexp(np.log(np.maximum(b.column(2 + i).to_numpy() - CLASS_DISCOUNT, 0) / max(size[i], 1)), np.log(back[i]) + s[i]) / math.log(10) for i in range(classes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x.astype(np.float32)) for x in logs)], ["word", "c", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in logs)], ["word", "c", *names])
 
     names = [f"s{i}" for i in range(classes)]
-    scored = counts.select("word", "c", *[f"c{i}" for i in range(classes)]).mapInArrow(word_scores, "word binary, c long, " + ", ".join(f"{x} float" for x in names))
-    entries = held_words.select("block", "word").distinct().join(scored, "word")
+    shape = "word binary, c long, " + ", ".join(f"{x} double" for x in names)
+    score = lambda rows: rows.select("word", "c", *[f"c{i}" for i in range(classes)]).mapInArrow(word_scores, shape)
     overall = ends * whole if ends else novel
     end_score = np.log10(ended / np.maximum(size, 1) + back * overall)
     end_base = math.log10((ends + 0.1) * low)
-    schema = T.StructType([placed.schema["row"], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-
-    def judge(texts: pa.Table, words: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        c = words.column("c").to_numpy()
-        logs = np.array([words.column(x).to_numpy() for x in names], dtype=np.float64)
-        basic = np.log10((c + 0.1) * low)
-        cols: list[list] = [[], [], [], []]
-        for raw in as_bytes(texts.column("text").combine_chunks()):
-            at = np.array([place[w] for w in _words(raw)], dtype=np.int64)
-            by_class = prior + logs[:, at].sum(axis=1) + end_score
-            top = by_class.max()
-            total = float(top + np.log10((10 ** (by_class - top)).sum()))
-            for column, v in zip(cols, (len(at) + 1, int((c[at] > 0).sum()) + (ends > 0), float(basic[at].sum()) + end_base, total)):
-                column.append(v)
-        n = texts.num_rows
-        arrays = [texts.column("row").combine_chunks(), texts.column("held_out").combine_chunks(), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                  pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())]
-        return pa.Table.from_arrays(arrays, names=[f.name for f in schema])
-
-    both = placed.select("block", "row", "held_out", "text").groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(judge, schema)
-    return both.select(F.col("row.doc_id").alias("doc_id"), *[f.name for f in schema if f.name != "row"], "row")
+    frequent = score(counts.orderBy(F.desc("c"), "word").limit(FREQUENT)).toPandas()  # bounded by FREQUENT
+    place = {w: i for i, w in enumerate(map(bytes, frequent["word"]))}
+    c_top = np.append(frequent["c"].to_numpy(dtype=np.int64), 0)
+    s_top = np.vstack([np.append(frequent[x].to_numpy(dtype=float), 0.0) for x in names])
+    top = spark.sparkContext.broadcast((place, c_top, s_top))
+
+    def frequent_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, c_top, s_top = top.value
+        rare = len(place)
+        b_top = np.append(np.log10((c_top[:-1] + 0.1) * low), 0.0)
+        for b in batches:
+            total, seen, basic, logs = [], [], [], []
+            for raw in as_bytes(b.column(2)):
+                words = _words(raw)
+                at = np.fromiter((place.get(w, rare) for w in words), dtype=np.int64, count=len(words))
+                total.append(len(at) + 1)
+                seen.append(int((c_top[at] > 0).sum()))
+                basic.append(float(b_top[at].sum()))
+                logs.append(s_top[:, at].sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *b.columns[3:], pa.array(total, pa.int64()), pa.array(seen, pa.int64()), pa.array(basic, pa.float64()), *(pa.array([x[i] for x in logs], pa.float64()) for i in range(len(names)))],
+                                             ["d", "h", "row", "held_out", "n", "seen", "b", *names])
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = top.value[0]
+        for b in batches:
+            ds, hs, words, times = [], [], [], []
+            for d, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
+                mine = Counter(w for w in _words(raw) if w not in place)
+                words.extend(mine)
+                times.extend(mine.values())
+                ds.extend([d] * len(mine))
+                hs.extend([h] * len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(hs, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["d", "h", "word", "tf"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    texts = keyed(docs, row, held)
+    schema = T.StructType([*texts.select("d", "h", "row", "held_out").schema.fields, *T._parse_datatype_string("n long, seen long, b double, " + ", ".join(f"{x} double" for x in names)).fields])
+    first = texts.select("d", "h", "text", "row", "held_out").mapInArrow(frequent_sums, schema)
+    pairs = keyed(docs).select("d", "h", "text").mapInArrow(rare_words, "d long, h long, word binary, tf int")
+    met = pairs.join(score(counts), "word").groupBy("word", "d", "h").agg(F.first("tf").alias("tf"), F.first("c").alias("c"), *[F.first(x).alias(x) for x in names])  # repeated rows count once
+    rest = met.groupBy("d", "h").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("r_seen"), F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) * low)).alias("r_b"), *[F.sum(F.col("tf") * F.col(x)).alias(f"r_{x}") for x in names])
+    both = join_key(first, rest, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    by_class = [F.lit(float(prior[i] + end_score[i])) + F.col(x) + zero(f"r_{x}") for i, x in enumerate(names)]
+    scored = both.select("row", "held_out", F.col("n").alias("n_tokens"), (F.col("seen") + zero("r_seen") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
+                         (F.col("b") + zero("r_b") + F.lit(end_base)).alias("base_score"), F.array(*by_class).alias("by"))
+    total = F.array_max("by") + F.log10(F.aggregate("by", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - F.array_max("by"))))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", total.alias("score"), "row")
