@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,13 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), 0.95 * k) if n[k - 1] else 0.5 for k in (1, 2, 3)]
 
 
+class Places(dict):
+    """Places of the frequent words; all others share the last."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
 def _words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
@@ -279,20 +287,19 @@ def score_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", rounds: int
     end_score = np.log10(ended / np.maximum(size, 1) + back * overall)
     end_base = math.log10((ends + 0.1) * low)
     frequent = score(counts.orderBy(F.desc("c"), "word").limit(FREQUENT)).toPandas()  # bounded by FREQUENT
-    place = {w: i for i, w in enumerate(map(bytes, frequent["word"]))}
+    place = Places((w, i) for i, w in enumerate(map(bytes, frequent["word"])))
     c_top = np.append(frequent["c"].to_numpy(dtype=np.int64), 0)
     s_top = np.vstack([np.append(frequent[x].to_numpy(dtype=float), 0.0) for x in names])
     top = spark.sparkContext.broadcast((place, c_top, s_top))
 
     def frequent_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, c_top, s_top = top.value
-        rare = len(place)
         b_top = np.append(np.log10((c_top[:-1] + 0.1) * low), 0.0)
         for b in batches:
             total, seen, basic, logs = [], [], [], []
             for raw in as_bytes(b.column(2)):
                 words = _words(raw)
-                at = np.fromiter((place.get(w, rare) for w in words), dtype=np.int64, count=len(words))
+                at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
                 total.append(len(at) + 1)
                 seen.append(int((c_top[at] > 0).sum()))
                 basic.append(float(b_top[at].sum()))
@@ -305,7 +312,7 @@ def score_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", rounds: int
         for b in batches:
             ds, hs, words, times = [], [], [], []
             for d, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
-                mine = Counter(w for w in _words(raw) if w not in place)
+                mine = Counter(filterfalse(place.__contains__, _words(raw)))
                 words.extend(mine)
                 times.extend(mine.values())
                 ds.extend([d] * len(mine))
