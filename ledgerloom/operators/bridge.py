@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.asof import asof_backward
 from ..functions.paging import page
+from ..functions.scan import running_sums
+
+#: Heights of a chunk of the running totals.
+HEIGHTS = 10_000
 
 
 def wrap_history(events: DataFrame, kind: str, address=None, successful: bool | None = None,
@@ -23,9 +27,8 @@ def unwrap_totals(events: DataFrame) -> DataFrame:
     """Cumulative unwrapped amount, all and successful, per height with unwraps."""
     per = events.filter(F.col("kind") == "unwrap").groupBy("height").agg(
         F.sum("amount").alias("a"), F.sum(F.when(F.col("success"), F.col("amount")).otherwise(0)).alias("s"))
-    # one row per height by now
-    w = Window.orderBy("height").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("height", F.sum("a").over(w).alias("total_all"), F.sum("s").over(w).alias("total_successful"))
+    sums = {"total_all": F.col("a"), "total_successful": F.col("s")}
+    return running_sums(per, [], [F.col("height")], F.floor(F.col("height") / HEIGHTS).cast("bigint"), sums).select("height", *sums)
 
 
 def unwrap_total_at(totals: DataFrame, heights: DataFrame) -> DataFrame:

@@ -127,20 +127,20 @@ def proxy_target(edges: DataFrame, max_depth: int = 8) -> DataFrame:
 
 
 def series_ids(creations: DataFrame, priority: DataFrame | None = None) -> DataFrame:
-    """Slug per token; the first token of a name gets the plain slug, the n-th ``slug-n``.
+    """Slug per token; the first token of a normalized name gets the plain slug, the n-th ``slug-n``.
 
     ``creations``: token, name, creation_height; ``priority``: token, priority (listed
     tokens come first).  A popular name is numbered in creation-height chunks.
     """
     from ..functions.scan import ordinal
-    c = creations.withColumn("slug", slug(F.col("name"))).filter(F.col("slug") != "")
+    c = creations.withColumns({"slug": slug(F.col("name")), "__name": normalize_name(F.col("name"))}).filter(F.col("slug") != "")
     if priority is not None:
         c = c.join(priority, "token", "left")
     else:
         c = c.withColumn("priority", F.lit(None).cast("int"))
     c = c.withColumn("__p", F.coalesce("priority", F.lit(1_000_000)))
     chunk = F.when(F.col("__p") < 1_000_000, F.lit(-1).cast("bigint")).otherwise(F.floor(F.col("creation_height") / 1000).cast("bigint"))
-    n = ordinal(c, ["slug"], [F.col("__p"), F.col("creation_height"), F.col("token")], chunk, "n")
+    n = ordinal(c, ["__name"], [F.col("__p"), F.col("creation_height"), F.col("token")], chunk, "n")
     sid = F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), F.col("n").cast("string")))
     return n.select("token", sid.alias("series_id"), "creation_height")
 

@@ -278,7 +278,7 @@ def canonical_pool_prices(candles: DataFrame, canonical: DataFrame, now: int) ->
     nb = now - now % 600
     j = candles.filter(F.col("bucket_ts") <= nb).join(canonical, "pool_id")
     j = j.filter(F.col("side") == F.when(F.col("token_is_base"), "base").otherwise("quote"))
-    key = lambda u: F.when(F.col("unit") == u, F.col("bucket_ts") * 1000000 + F.col("pool_id"))
+    key = lambda u: F.when(F.col("unit") == u, (F.col("bucket_ts").cast(DEC) * big(10**18) + F.col("pool_id")).cast(DEC))
     return j.groupBy("token").agg(F.max_by("close", key("btc")).alias("btc_price"),
                                   F.max_by("close", key("usd")).alias("usd_price"))
 

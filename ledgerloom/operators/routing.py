@@ -126,11 +126,11 @@ def best_route_exact_out(requests: DataFrame, edges: DataFrame, max_hops: int =
 
 
 def arbitrage_cycles(tokens: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_HOPS, fee_bps: int = DEFAULT_FEE_BPS,
-                     grid: int = 16, rounds: int = 3) -> DataFrame:
+                     around: int = 2) -> DataFrame:
     """Most profitable simple cycle from each token.  ``tokens``: token.
 
-    The input is at most a third of the smallest input reserve; it is tried on a grid
-    that narrows around the best point each round.
+    Constant-product legs compose to ``a*x / (b + c*x)``, so a cycle pays most for the input ``(sqrt(a*b) - b) / c``, at most a third of the
+    smallest input reserve. The integers ``around`` it are scored with the exact leg formula.
     """
     hops = max(2, min(max_hops, MAX_HOPS))
     e = edges.select("pool_id", F.col("token_in").alias("token"), F.col("token_out").alias("next"), "r_in", "r_out")
@@ -152,28 +152,23 @@ def arbitrage_cycles(tokens: DataFrame, edges: DataFrame, max_hops: int = DEFAUL
         found = done if found is None else found.unionByName(done)
         cur = n.filter(F.col("token") != F.col("start"))
     cap = div_floor(F.array_min(F.transform("legs", lambda l: l["r_in"])), 3)
-    c = found.withColumn("hi", cap).filter(F.col("hi") > 0).withColumn("lo", big(0)) \
+    c = found.withColumn("hi", cap).filter(F.col("hi") > 0) \
         .withColumn("cycle", F.array_join(F.transform("legs", lambda l: l["pool_id"].cast("string")), ">"))
-    keep = ["start", "cycle", "legs"]
-    c = c.repartition(parallelism(edges.sparkSession), "start", "cycle")
-    for _ in range(rounds):
-        c = c.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(grid))))
-        c = c.withColumn("span", div_floor((F.col("hi") - F.col("lo")).cast(DEC), grid))
-        c = c.withColumn("amount", (F.col("lo") + F.greatest(F.col("span"), big(1)) * F.col("i").cast(DEC)).cast(DEC))
-        c = c.withColumn("value", F.col("amount"))
-        for k in range(hops):
-            leg = F.try_element_at("legs", F.lit(k + 1))
-            c = c.withColumn("__ri", leg["r_in"]).withColumn("__ro", leg["r_out"])
-            c = with_xyk_out(c, "__ri", "__ro", "value", "__v", fee_bps)
-            c = c.withColumn("value", F.coalesce("__v", "value")).drop("__v", "__ri", "__ro")
-        best = F.max(F.struct((F.col("value") - F.col("amount")).cast(DEC).alias("profit"), (-F.col("amount")).cast(DEC).alias("neg"),
-                              "span", "lo", "hi", F.col("legs").alias("legs"))).alias("b")
-        g = c.groupBy("start", "cycle").agg(best)
-        amount = (-F.col("b.neg")).cast(DEC)
-        c = g.select("start", "cycle", F.col("b.legs").alias("legs"), F.col("b.profit").alias("profit"), amount.alias("best_in"),
-                     F.greatest((amount - F.col("b.span")).cast(DEC), big(0)).alias("lo"),
-                     F.least((amount + F.col("b.span")).cast(DEC), F.col("b.hi")).alias("hi"))
-        c = stage(c)
+    pay = 1 - fee_bps / 10_000
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.0).alias("c"))
+    curve = F.aggregate("legs", one, lambda s, l: F.struct((s["a"] * pay * l["r_out"].cast("double")).alias("a"), (s["b"] * l["r_in"].cast("double")).alias("b"),
+                                                           (s["c"] * l["r_in"].cast("double") + s["a"] * pay).alias("c")))
+    c = c.withColumn("f", curve).withColumn("best", F.greatest(F.lit(1.0), F.floor((F.sqrt(F.col("f.a") * F.col("f.b")) - F.col("f.b")) / F.col("f.c")).cast("double")))
+    c = c.withColumn("near", F.when(F.col("best") >= F.col("hi").cast("double"), F.col("hi")).otherwise(F.col("best").cast(DEC)))
+    tries = F.array_distinct(F.array(*[F.least(F.greatest((F.col("near") + d).cast(DEC), big(1)), F.col("hi")) for d in range(-around, around + 1)]))
+    c = c.select("start", "cycle", "legs", F.explode(tries).alias("amount")).withColumn("value", F.col("amount"))
+    for k in range(hops):
+        leg = F.try_element_at("legs", F.lit(k + 1))
+        c = c.withColumn("__ri", leg["r_in"]).withColumn("__ro", leg["r_out"])
+        c = with_xyk_out(c, "__ri", "__ro", "value", "__v", fee_bps)
+        c = c.withColumn("value", F.coalesce("__v", "value")).drop("__v", "__ri", "__ro")
+    gain = F.max(F.struct((F.col("value") - F.col("amount")).cast(DEC).alias("profit"), (-F.col("amount")).cast(DEC).alias("neg"), F.col("legs").alias("legs"))).alias("b")
+    c = c.groupBy("start", "cycle").agg(gain).select("start", "cycle", F.col("b.legs").alias("legs"), F.col("b.profit").alias("profit"), (-F.col("b.neg")).cast(DEC).alias("best_in"))
     top = F.max(F.struct("profit", (-F.size("legs")).alias("h"), "cycle", "best_in")).alias("t")
     return c.filter(F.col("profit") > 0).groupBy("start").agg(top).select(
         F.col("start").alias("token"), F.col("t.profit").alias("profit"), F.col("t.best_in").alias("amount_in"), F.col("t.cycle").alias("cycle"))

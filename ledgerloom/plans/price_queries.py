@@ -229,8 +229,8 @@ def chart_change_events(t: Facts):
 
 
 CANON_PRICE_SQL = """
-select token, arg_max(close, bucket_ts * 1000000 + pool_id) filter (where unit = 'btc') as btc_price,
-       arg_max(close, bucket_ts * 1000000 + pool_id) filter (where unit = 'usd') as usd_price
+select token, arg_max(close, cast(bucket_ts as hugeint) * 1000000000000000000 + pool_id) filter (where unit = 'btc') as btc_price,
+       arg_max(close, cast(bucket_ts as hugeint) * 1000000000000000000 + pool_id) filter (where unit = 'usd') as usd_price
 from m10 join canonical using (pool_id) where side = case when token_is_base then 'base' else 'quote' end group by token
 """
 

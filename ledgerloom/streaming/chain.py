@@ -15,7 +15,7 @@ def reorg_point(indexed: DataFrame, chain: DataFrame, genesis: int = 0) -> DataF
     return j.agg(F.coalesce(same + 1, F.lit(genesis)).cast("bigint").alias("reorg_height"))
 
 
-def canonical_chain(blocks: DataFrame, tip: DataFrame, max_rounds: int = 40) -> DataFrame:
+def canonical_chain(blocks: DataFrame, tip: DataFrame) -> DataFrame:
     """Blocks on the path from the tip back to the first known ancestor.
 
     blocks: block_hash, prev_hash, …; tip: block_hash.  Pointer doubling: round k joins
@@ -25,7 +25,7 @@ def canonical_chain(blocks: DataFrame, tip: DataFrame, max_rounds: int = 40) ->
     jump = stage(blocks.select(F.col("block_hash").alias("a"), F.col("prev_hash").alias("b"))
                  .join(blocks.select(F.col("block_hash").alias("b")), "b", "left_semi").select("a", "b"))
     found = stage(tip.select("block_hash"))
-    for _ in range(max_rounds):
+    while True:
         more = found.join(jump, found.block_hash == jump.a).select(F.col("b").alias("block_hash"))
         if more.isEmpty():
             break

@@ -15,14 +15,14 @@ from ..sources.upsert import current as _current, drop_partitions, upsert_sink
 Module = tuple[str, int, Callable[[DataFrame], DataFrame]]
 
 
-def stream_candles(trades: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_candles(trades: DataFrame) -> DataFrame:
     """Ten-minute candles on a stream of priced trades, for update mode.
 
-    Open and close carry their chain position, so late rows inside the watermark land
-    in the right place and partial candles of any batch order agree.
+    Open and close carry their chain position, and no watermark closes a bucket: a trade
+    of any age lands in its candle.  State holds one row per pool and bucket.
     """
     at = chain_position()
-    t = trades.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
+    t = trades.withColumn("event_time", F.timestamp_seconds("ts"))
     aggs = []
     for side in ("base", "quote"):
         p, v = F.col(f"price_{side}"), sat_mul(F.abs(F.col(f"{side}_delta")), big(PRICE_SCALE // AMOUNT_SCALE))

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paging import page, top_per_key
 
-# Fixed values.
+# The usual bound on pending transactions and the least fee rate kept.
 MAX_PENDING = 50_000
 MIN_FEE_RATE = 0.5
 
 
+def _transactions(pending: DataFrame) -> DataFrame:
+    """One row per transaction with its earliest sighting."""
+    return pending.groupBy("txid").agg(F.min("first_seen").alias("first_seen"))
+
+
 def mempool_state(seen: DataFrame, min_fee_rate: float = MIN_FEE_RATE) -> DataFrame:
     """One row per pending (txid, address) with its earliest sighting; low fees are skipped.
     Works on a stream too, where it keeps one state row per pair."""
@@ -22,8 +27,9 @@ def mempool_state(seen: DataFrame, min_fee_rate: float = MIN_FEE_RATE) -> DataFr
 
 
 def mempool_prune(pending: DataFrame, limit: int = MAX_PENDING) -> DataFrame:
-    """The newest transactions up to the size of the pool; the oldest beyond it leave."""
-    return pending.orderBy(F.desc("first_seen"), F.desc("txid")).limit(limit)
+    """The newest ``limit`` transactions with all their addresses; the oldest beyond it leave."""
+    kept = _transactions(pending).orderBy(F.desc("first_seen"), F.desc("txid")).limit(limit)
+    return pending.join(kept.select("txid"), "txid", "left_semi").select(*pending.columns)
 
 
 def mempool_confirmed(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -37,12 +43,11 @@ def pending_for_address(pending: DataFrame, limit: int, offset: int = 0) -> Data
 
 
 def pending_traces(pending: DataFrame, traces: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Page of pending transactions that carry traces."""
-    t = pending.join(traces.select("txid").distinct(), "txid", "left_semi")
+    """Page of pending transactions that carry traces, one row each."""
+    t = _transactions(pending).join(traces.select("txid").distinct(), "txid", "left_semi")
     return page(t, [F.desc("first_seen"), F.desc("txid")], limit, offset)
 
 
-def stream_mempool(sightings: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Streaming form: drops repeated sightings within the watermark."""
-    return sightings.withWatermark(event_time, delay).filter(F.col("fee_rate") >= MIN_FEE_RATE) \
-        .dropDuplicatesWithinWatermark(["txid", "address"])
+def stream_mempool(sightings: DataFrame, min_fee_rate: float = MIN_FEE_RATE) -> DataFrame:
+    """Streaming form: the first sighting of each (txid, address); none is forgotten, so ``first_seen`` never moves."""
+    return sightings.filter(F.col("fee_rate") >= min_fee_rate).dropDuplicates(["txid", "address"])

@@ -89,3 +89,17 @@ def test_derived_series_carries_its_own_close():
     # third bucket: 6 at quote 2 -> 9 at quote 3, averaged with the anchor 6
     assert closes == [4 * one, 6 * one, (9 * one + 6 * one) // 2]
     assert [int(x) for x in got.open] == [4 * one, 4 * one, 6 * one]
+
+
+def test_cycle_input_keeps_to_the_cap(spark):
+    """Two pools with a cap of 10: the best input within it, by trying all."""
+    pools = {1: (30, 3000), 2: (3000, 60)}
+    rows = [(1, 10, 20, 30, 3000), (2, 20, 10, 3000, 60)]
+    edges = spark.createDataFrame([(p, a, b, Decimal(x), Decimal(y)) for p, a, b, x, y in rows],
+                                  "pool_id bigint, token_in bigint, token_out bigint, r_in decimal(38,0), r_out decimal(38,0)")
+    got = routing.arbitrage_cycles(spark.createDataFrame([(10,)], "token bigint"), edges, fee_bps=0).collect()
+
+    def out(x, leg):
+        return x * pools[leg][1] // (pools[leg][0] + x)
+    best = max((out(out(x, 1), 2) - x, -x) for x in range(1, 11))
+    assert [(int(r.profit), int(r.amount_in)) for r in got] == [(best[0], -best[1])]

@@ -1,6 +1,7 @@
 """Sinks, replays and chain shape."""
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,29 @@ def test_incremental_run_is_idempotent(spark, tmp_path):
     feed(10, 15)
     assert run("c1") == [(i, i) for i in range(3, 15)]
     assert run("c2") == [(i, i) for i in range(3, 15)]
+
+
+def test_late_trades_reach_their_candle(spark, tmp_path):
+    schema = "pool_id bigint, height bigint, seq bigint, ts bigint, price_base decimal(38,0), price_quote decimal(38,0), base_delta decimal(38,0), quote_delta decimal(38,0)"
+    for k, ts in enumerate((0, 100000, 200000, 300)):
+        spark.createDataFrame([(1, ts // 600, k, ts, *map(Decimal, (5, 5, 100, 100)))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.candles_to_table(incremental.stream_candles(source), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {(r.bucket_ts, r.side): int(r.volume) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    one = got[(99600, "base")]
+    assert got[(0, "base")] == 2 * one and len(got) == 6
+
+
+def test_pool_size_counts_transactions(spark):
+    from ledgerloom.streaming import mempool
+    rows = [("t1", 1, "a"), ("t2", 2, "a"), ("t2", 2, "b"), ("t3", 3, "a"), ("t3", 3, "b")]
+    pending = spark.createDataFrame([(t, s, a, 1.0) for t, s, a in rows], "txid string, first_seen bigint, address string, fee_rate double")
+    assert sorted((r.txid, r.address) for r in mempool.mempool_prune(pending, 2).collect()) == [("t2", "a"), ("t2", "b"), ("t3", "a"), ("t3", "b")]
+    page = mempool.pending_traces(pending, pending.select("txid"), 2).collect()
+    assert [(r.txid, r.position, r.total) for r in page] == [("t3", 1, 3), ("t2", 2, 3)]
+
+
+def test_series_number_within_the_normalized_name(spark):
+    from ledgerloom.operators import catalogue
+    rows = spark.createDataFrame([(1, "a b", 10), (2, "a-b", 20), (3, " A B", 30)], "token bigint, name string, creation_height bigint")
+    assert {r.token: r.series_id for r in catalogue.series_ids(rows).collect()} == {1: "a-b", 2: "a-b", 3: "a-b-2"}
