@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.asof import asof_backward, asof_nearest
-from ..functions.exact import (AMOUNT_SCALE, CAP, DEC, PRICE_SCALE, big, bucket_start,
+from ..functions.exact import (AMOUNT_SCALE, CAP, DEC, PRICE_SCALE, U128_MAX, big, bucket_start,
     div_floor, invert_price, mul_div_floor, percent_change_bp, sat_add, sat_mul)
 from ..functions.scan import carry_last
+from ..session import stage
 from .amm import BLOCKS_PER_DAY, TIMEFRAMES, height_chunk, price_line
 
 SATS_PER_BTC = 10**8
@@ -285,10 +286,6 @@ def canonical_pool_prices(candles: DataFrame, canonical: DataFrame, now: int) ->
 
 # ---------------------------------------------------------------- derived series
 
-DERIVED_SCHEMA = ("token bigint, quote bigint, bucket_ts bigint, open decimal(38,0), high decimal(38,0), "
-                  "low decimal(38,0), close decimal(38,0), volume decimal(38,0)")
-
-
 def derived_inputs(candles: DataFrame, choice: DataFrame, token_usd: DataFrame, derived_quotes: DataFrame,
                    seconds: int = 600) -> DataFrame:
     """Non-recursive inputs of the derived series, one row per active bucket.
@@ -329,76 +326,115 @@ def derived_inputs(candles: DataFrame, choice: DataFrame, token_usd: DataFrame,
     return j.withColumn("prev_q_close", F.last("q_close", ignorenulls=True).over(before))
 
 
-def _merge(a, b, strategy):
-    def one(x, y):
-        if strategy == "optimistic":
-            return max(x, y)
-        if strategy == "pessimistic":
-            return min(x, y)
-        w = a[4] + b[4]
-        if strategy == "neutral" or w == 0:
-            return (x + y) // 2
-        return (x * a[4] + y * b[4]) // w
-    return tuple(one(a[i], b[i]) for i in range(4)) + (a[4] or b[4],)
-
-
-def _derive_series(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One (token, quote) series in bucket order; each close feeds the next bucket."""
-    def num(v):
-        return None if v is None or v != v else int(v)
-
-    def candle(r, p):
-        v = [num(getattr(r, f"{p}_{f}")) for f in (*PRICES, "volume")]
-        return None if any(x is None for x in v) else tuple(v)
-
-    def flat(p):
-        return (p, p, p, p, 0)
-
-    last, rows = 0, []
-    for r in pdf.sort_values("bucket_ts").itertuples(index=False):
-        pool, tok, quo = candle(r, "p"), candle(r, "t"), candle(r, "q")
-        strategy = r.strategy or "neutral"
-        pool_seen = r.p_real is True or r.p_real == True  # noqa: E712  (nullable column)
-        if not (r.has_pool is True or r.has_pool == True):  # noqa: E712
-            final = tok or (flat(last) if last else None)
-        else:
-            q_last, q_prev = num(r.last_q_close), num(r.prev_q_close)
-            ratio = (last * PRICE_SCALE // q_prev if q_prev else None) if last else num(r.last_p_close)
-            path_a = None
-            if quo and ratio:
-                path_a = tuple(x * ratio // PRICE_SCALE for x in quo[:4]) + (0,)
-            path_b = None
-            if pool and q_last is not None and all(pool[:4]):
-                pr = tuple(q_last * x // PRICE_SCALE for x in pool[:4])
-                path_b = pr + (pool[4] * pr[3] // PRICE_SCALE,)
-            own = None
-            if pool_seen and tok and path_b:
-                own = _merge(path_b, tok, strategy)[:4] + (path_b[4] + tok[4],)
-            own = own or path_b or tok
-            anchored = strategy in ("neutral", "neutral_vwap") and last
-            if anchored and own and not quo and (bool(tok) != bool(pool_seen)):
-                own = _merge(flat(last), own, strategy)[:4] + (own[4],)
-            if anchored and path_a and quo and not tok and not pool_seen:
-                path_a = _merge(flat(last), path_a, strategy)[:4] + (path_a[4],)
-            if quo and own and path_a:
-                final = _merge(own, path_a, strategy)[:4] + (own[4] + path_a[4],)
-            else:
-                final = own or (path_a if quo else None) or (flat(last) if last and not quo else None)
-        if final is None:
-            continue
-        o, h, l, c, v = final
-        if last:
-            o, h, l = last, max(h, last), min(l, last)
-        last = c
-        rows.append((r.token, r.quote, r.bucket_ts, *[Decimal(min(x, CAP)) for x in (o, h, l, c, v)]))
-    return pd.DataFrame(rows, columns=["token", "quote", "bucket_ts", *PRICES, "volume"])
+# How a token's own candle and the one carried over from the quote make one.
+HIGHER, LOWER, MIDDLE, OWN = range(4)
+
+
+def _middle(a: Column, b: Column) -> Column:
+    return div_floor(sat_add(a, b), 2)
+
+
+def _own_candle(inputs: DataFrame) -> DataFrame:
+    """Columns of a bucket that do not depend on the bucket before: ``own_*`` (the pool's
+    prices in USD blended with the token's USD candle, else whichever there is), ``how``
+    own and carried candles combine, ``pull`` and ``idle`` (the candle is averaged with
+    the previous close because only one source moved), ``moved`` (the quote has a candle)."""
+    strategy, pooled = F.coalesce("strategy", F.lit("neutral")), F.coalesce("has_pool", F.lit(False))
+    names = (*PRICES, "volume")
+    have = lambda p: F.coalesce(F.col(f"{p}_close").isNotNull(), F.lit(False))
+    priced = pooled & F.col("last_q_close").isNotNull()
+    for f in (*PRICES, "volume"):
+        priced &= F.coalesce(F.col(f"p_{f}") != 0, F.lit(False)) if f != "volume" else F.col("p_volume").isNotNull()
+    e = inputs.withColumn("__priced", priced)
+    for f in PRICES:
+        e = e.withColumn(f"b_{f}", F.when(F.col("__priced"), mul_div_floor(F.col("last_q_close"), F.col(f"p_{f}"), PRICE_SCALE)))
+    e = e.withColumn("b_volume", F.when(F.col("__priced"), mul_div_floor(F.col("p_volume"), F.col("b_close"), PRICE_SCALE)))
+    weight = sat_add(F.col("b_volume"), F.col("t_volume"))
+
+    def blend(f: str) -> Column:
+        b, t = F.col(f"b_{f}"), F.col(f"t_{f}")
+        bv, tv = F.col("b_volume"), F.col("t_volume")
+        total = F.try_add(F.try_multiply(b, bv).cast(DEC), F.try_multiply(t, tv).cast(DEC)).cast(DEC)
+        # past 38 digits: share by share, at most one unit below, and held where the sum saturates
+        wide = F.least(sat_add(mul_div_floor(b, bv, weight), mul_div_floor(t, tv, weight)), mul_div_floor(big(CAP), big(CAP), weight))
+        weighted = F.when(total.isNotNull(), div_floor(total, weight)).otherwise(wide)
+        return (F.when(strategy == "optimistic", F.greatest(b, t)).when(strategy == "pessimistic", F.least(b, t))
+                .when((strategy == "neutral") | (weight == 0), _middle(b, t)).otherwise(weighted))
+
+    both = F.col("__priced") & have("t")
+    own = {f: F.when(both, blend(f) if f != "volume" else weight).otherwise(F.coalesce(f"b_{f}", f"t_{f}")).cast(DEC) for f in names}
+    e = e.withColumns({f"own_{f}": c for f, c in own.items()})
+    seen = F.coalesce("p_real", F.lit(False))
+    e = e.withColumn("moved", pooled & have("q"))
+    evenly = (strategy == "neutral") | (F.coalesce("own_volume", big(0)) == 0)
+    how = F.when(strategy == "optimistic", HIGHER).when(strategy == "pessimistic", LOWER).when(evenly, MIDDLE).otherwise(OWN)
+    anchored = pooled & strategy.isin("neutral", "neutral_vwap")
+    # price times volume saturates in a weighted mean, even with a partner of no volume
+    e = e.withColumn("own_limit", F.when(~evenly, mul_div_floor(big(CAP), big(CAP), F.col("own_volume"))))
+    return e.withColumns({"how": how, "pull": anchored & ~F.col("moved") & have("own") & (have("t") != seen),
+                          "idle": anchored & F.col("moved") & ~have("t") & ~seen})
+
+
+def _fold_closes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Closes of one stretch of a series, each from the close before it."""
+    whole = {c: [None if v is None or v != v else int(v) for v in pdf[c]] for c in ("own_close", "own_limit", "q_close", "prev_q_close", "last_p_close")}
+    last, closes = 0, []
+    for own, limit, quote, base, pool, how, pull, idle, moved in zip(*whole.values(), pdf["how"], pdf["pull"], pdf["idle"], pdf["moved"]):
+        ends = []
+        if own is not None:
+            ends.append(own if not (pull and last) else min(own, limit) if how == OWN else (own + last) // 2)
+        rate = pool if not last else min(last * PRICE_SCALE, U128_MAX) // base if base else None
+        if moved and rate:
+            carried = min(quote * rate, U128_MAX) // PRICE_SCALE
+            ends.append((carried + last) // 2 if idle and last else carried)
+        if len(ends) == 2:
+            last = max(ends) if how == HIGHER else min(ends) if how == LOWER else sum(ends) // 2 if how == MIDDLE else min(ends[0], limit)
+        elif ends:
+            last = ends[0]
+        closes.append(Decimal(min(last, CAP)) if ends or last and not moved else None)
+    return pdf[["token", "quote", "bucket_ts"]].assign(close=closes)
 
 
 def derived_candles(inputs: DataFrame) -> DataFrame:
     """USD candles of a token seen through another token's USD series.
 
-    The value of a bucket depends on the close derived for the one before, so each
-    (token, quote) series runs through one grouped-map call.  A series has at most
-    one row per ten minutes, whatever the number of trades behind it.
+    A close may depend on the one before it, so each series is cut where it does not: at
+    buckets that only the token's own candle decides.  Stretches in which nothing else
+    happens need no more than a window; the closes of the others are folded stretch by
+    stretch.  With the previous close known, candles are plain columns.
     """
-    return inputs.groupBy("token", "quote").applyInPandas(_derive_series, DERIVED_SCHEMA)
+    key = ["token", "quote"]
+    order = Window.partitionBy(*key).orderBy("bucket_ts")
+    e = _own_candle(inputs)
+    settled = F.col("own_close").isNotNull() & ~F.col("moved") & ~F.col("pull")
+    e = e.withColumn("stretch", F.sum(settled.cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(*key, "stretch")
+    e = e.withColumn("chained", F.max(F.col("moved") | F.col("pull")).over(inside))
+    e = stage(e.withColumn("plain_close", F.first("own_close").over(inside.orderBy("bucket_ts"))))
+    types = {f.name: f.dataType.simpleString() for f in e.schema}
+    folded = e.filter("chained").select(*key, "stretch", "bucket_ts", "own_close", "own_limit", "q_close", "prev_q_close", "last_p_close", "how", "pull", "idle", "moved") \
+        .withColumn("last_p_close", F.col("last_p_close").cast(DEC)).groupBy(*key, "stretch") \
+        .applyInPandas(lambda pdf: _fold_closes(pdf.sort_values("bucket_ts")), ", ".join(f"{c} {types[c]}" for c in (*key, "bucket_ts")) + f", close {DEC}")
+    e = e.join(folded.withColumnRenamed("close", "folded"), [*key, "bucket_ts"], "left")
+    e = e.withColumn("ended", F.when(F.col("chained"), F.col("folded")).otherwise(F.col("plain_close")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("last", F.coalesce(F.last("ended", ignorenulls=True).over(before), big(0)))
+    old = F.col("last") != 0
+    rate = F.when(old, F.when(F.col("prev_q_close") != 0, mul_div_floor(F.col("last"), big(PRICE_SCALE), F.col("prev_q_close")))).otherwise(F.col("last_p_close").cast(DEC))
+    e = e.withColumn("rate", F.when(F.col("moved"), F.nullif(rate, big(0))))
+
+    def value(f: str) -> Column:
+        own, carried = F.col(f"own_{f}"), mul_div_floor(F.col(f"q_{f}"), F.col("rate"), PRICE_SCALE)
+        held = F.least(own, F.col("own_limit"))
+        own = F.when(F.col("pull") & old, F.when(F.col("how") == OWN, held).otherwise(_middle(own, F.col("last")))).otherwise(own)
+        carried = F.when(F.col("idle") & old, _middle(carried, F.col("last"))).otherwise(carried)
+        joint = F.when(F.col("how") == HIGHER, F.greatest(own, carried)).when(F.col("how") == LOWER, F.least(own, carried)) \
+            .when(F.col("how") == MIDDLE, _middle(own, carried)).otherwise(held)
+        flat = F.when(~F.col("moved") & old, F.col("last"))
+        return F.when(own.isNotNull() & carried.isNotNull(), joint).otherwise(F.coalesce(own, carried, flat)).cast(DEC)
+
+    e = e.withColumns({f"v_{f}": value(f) for f in PRICES}).filter("v_close is not null")
+    return e.select(*key, "bucket_ts", F.when(old, F.col("last")).otherwise(F.col("v_open")).alias("open"),
+                    F.when(old, F.greatest("v_high", "last")).otherwise(F.col("v_high")).alias("high"),
+                    F.when(old, F.least("v_low", "last")).otherwise(F.col("v_low")).alias("low"),
+                    F.col("v_close").alias("close"), F.coalesce("own_volume", big(0)).cast(DEC).alias("volume"))

@@ -12,32 +12,41 @@ from .registry import query
 from .trace_facts import BRIDGE, FACTORY, trace_events
 
 # Frames in SQL: the n-th invoke of a depth pairs with the n-th return of that depth.
-CTES["tlev"] = """
+def _levels(source: str) -> str:
+    return f"""
 select *, case when event = 'invoke' then up else up + 1 end as depth, min(up) over (partition by trace_id) >= 0 and net = 0 as balanced
 from (select *, sum(case event when 'invoke' then 1 else -1 end) over (partition by trace_id order by idx rows unbounded preceding) as up,
              sum(case event when 'invoke' then 1 else -1 end) over (partition by trace_id) as net
-      from tev where event <> 'create')
+      from {source} where event <> 'create')
 """
 
-CTES["frames"] = """
+
+def _paired(levels: str) -> str:
+    return f"""
 select i.*, r.idx as end_idx, r.status as r_status, r.out_tok as r_tok, r.out_amt as r_amt, r.extra_amt as r_extra,
        case i.ctype when 'delegatecall' then 'delegate' when 'staticcall' then 'static' else 'normal' end as kind
-from (select *, row_number() over (partition by trace_id, depth order by idx) as n from tlev where event = 'invoke') i
-left join (select *, row_number() over (partition by trace_id, depth order by idx) as n from tlev where event = 'return') r
+from (select *, row_number() over (partition by trace_id, depth order by idx) as n from {levels} where event = 'invoke') i
+left join (select *, row_number() over (partition by trace_id, depth order by idx) as n from {levels} where event = 'return') r
 on i.trace_id = r.trace_id and i.depth = r.depth and i.n = r.n and r.idx > i.idx
 """
 
+
+CTES["tclean"] = "select * from tev where shape <> 'open' and not (shape = 'surplus' and idx = 1)"
+CTES["tlev"], CTES["clev"] = _levels("tev"), _levels("tclean")
+CTES["frames"], CTES["clean_frames"] = _paired("tlev"), _paired("clev")
+
 CTES["eff"] = """
-select f.*, p.owner as parent from frames f
-left join (select c.trace_id, c.idx, arg_max(a.owner, a.idx) as owner from frames c join frames a
+select f.*, p.owner as parent from clean_frames f
+left join (select c.trace_id, c.idx, arg_max(a.owner, a.idx) as owner from clean_frames c join clean_frames a
            on a.trace_id = c.trace_id and a.idx < c.idx and a.end_idx > c.end_idx and a.kind = 'normal' group by 1, 2) p using (trace_id, idx)
 where f.balanced and f.r_status <> 'failure' and f.kind <> 'static'
-  and not exists (select 1 from frames a where a.trace_id = f.trace_id and a.idx < f.idx and a.end_idx > f.end_idx and (a.r_status = 'failure' or a.kind = 'static'))
+  and not exists (select 1 from clean_frames a where a.trace_id = f.trace_id and a.idx < f.idx and a.end_idx > f.end_idx and (a.r_status = 'failure' or a.kind = 'static'))
 """
 
 
 def frames_of(t: Facts):
-    return traces.call_frames(trace_events(t))
+    """Frames of cleaned traces."""
+    return traces.call_frames(traces.clean_traces(trace_events(t), host_values(t)))
 
 
 def host_values(t: Facts):
@@ -45,7 +54,7 @@ def host_values(t: Facts):
 
 
 @query("clean_traces", """
-select trace_id, idx from tev where shape <> 'open' and not (shape = 'surplus' and idx = 1)
+select trace_id, idx from tclean
 """, ints="idx")
 def clean_traces(t: Facts):
     return traces.clean_traces(trace_events(t), host_values(t)).select("trace_id", "idx")
@@ -55,7 +64,7 @@ def clean_traces(t: Facts):
 select trace_id, idx as start, end_idx as "end", depth, kind, r_status as status, balanced from frames
 """, ints='start depth "end"')
 def call_frames(t: Facts):
-    return frames_of(t).select("trace_id", "start", "end", "depth", "kind", "status", "balanced") \
+    return traces.call_frames(trace_events(t)).select("trace_id", "start", "end", "depth", "kind", "status", "balanced") \
         .withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -69,7 +78,7 @@ select trace_id, owner, token, sum(delta) as delta from (
   select trace_id, idx, owner, in_tok as token, in_amt as delta from eff union all select trace_id, idx, parent, in_tok, -in_amt from eff
   union all select trace_id, idx, owner, r_tok, -r_amt from eff union all select trace_id, idx, parent, r_tok, r_amt from eff
   union all select trace_id, idx, owner, r_tok, -r_extra from eff union all select trace_id, idx, parent, r_tok, r_extra from eff)
-where owner is not null and token is not null and trace_id not in (select trace_id from frames where depth = 1 and kind = 'normal' and r_status = 'failure')
+where owner is not null and token is not null and trace_id not in (select trace_id from clean_frames where depth = 1 and kind = 'normal' and r_status = 'failure')
 group by 1, 2, 3 having sum(delta) <> 0
 """
 
@@ -80,7 +89,7 @@ def trace_deltas(t: Facts):
 
 
 @query("mint_deltas", """
-select trace_id, owner, coalesce(r_extra, r_amt) as minted from frames
+select trace_id, owner, coalesce(r_extra, r_amt) as minted from clean_frames
 where opcode = 77 and kind <> 'static' and balanced and r_status = 'success' and r_tok = owner
 """, text="minted", ints="owner")
 def mint_deltas(t: Facts):
