@@ -74,8 +74,7 @@ def test_price_from_square_root(spark):
     assert [g is None or int(g) for g in got] == [s * s * 10**12 // 2**192, 2**192 * 10**12 // 2**400, True]
 
 
-def test_derived_series_carries_its_own_close():
-    import pandas as pd
+def test_derived_series_carries_its_own_close(spark):
     base = dict(token=1, quote=2, has_pool=True, strategy="neutral", p_real=None, last_p_close=None, last_q_close=None, prev_q_close=None)
     for p in "ptq":
         base.update({f"{p}_{f}": None for f in ("open", "high", "low", "close", "volume")})
@@ -84,11 +83,14 @@ def test_derived_series_carries_its_own_close():
     rows = [{**base, "bucket_ts": 0, **price("t", 4 * one)},
             {**base, "bucket_ts": 600, **price("t", 8 * one)},                                    # only the token: averaged with the last close
             {**base, "bucket_ts": 1200, **price("q", 3 * one), "prev_q_close": Decimal(2 * one), "last_q_close": Decimal(3 * one)}]
-    got = prices._derive_series(pd.DataFrame(rows))
-    closes = [int(x) for x in got.close]
+    kinds = {"token": "bigint", "quote": "bigint", "bucket_ts": "bigint", "has_pool": "boolean", "p_real": "boolean", "strategy": "string"}
+    names = list(rows[0])
+    given = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} {kinds.get(n, 'decimal(38,0)')}" for n in names))
+    got = prices.derived_candles(given).orderBy("bucket_ts").collect()
+    closes = [int(r.close) for r in got]
     # third bucket: 6 at quote 2 -> 9 at quote 3, averaged with the anchor 6
     assert closes == [4 * one, 6 * one, (9 * one + 6 * one) // 2]
-    assert [int(x) for x in got.open] == [4 * one, 4 * one, 6 * one]
+    assert [int(r.open) for r in got] == [4 * one, 4 * one, 6 * one]
 
 
 def test_cycle_input_keeps_to_the_cap(spark):
