@@ -42,29 +42,63 @@ def candles_to_table(candles: DataFrame, path: str, checkpoint: str):
         .trigger(availableNow=True).start()
 
 
+def _received(spark: SparkSession, path: str, ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the touched height ranges.  Each run delivers a block at most once as a whole, in any
+    number of parts, so a row counts as often as the run that delivered it most often did."""
+    rows = _current(spark, path).join(ranges, "height_range", "left_semi").groupBy("height_range", "run", *columns).agg(F.count(F.lit(1)).alias("n"))
+    most = rows.groupBy("height_range", *columns).agg(F.max("n").cast("int").alias("n"))
+    return most.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+
+
 def run_incremental(spark: SparkSession, blocks: DataFrame, ledger_path: str, out_path: str, modules: list[Module],
-                    checkpoint: str):
+                    checkpoint: str, range_width: int = 1000):
     """Feed a stream of block rows to modules in order; returns the started query.
 
-    ``blocks``: height, block_hash and the module's columns.  Each batch skips blocks
-    whose hash the module has in its ledger and blocks below the module's genesis
-    height.  Results and ledger entries go to one partition per batch, results first:
-    a batch replayed before its ledger entry exists rewrites the same partition, one
-    replayed after it finds nothing to do.
+    ``blocks``: height, block_hash and the module's columns; a block may arrive in parts.
+    Every batch is kept under ``ledger_path/blocks``, and each module's ledger holds the
+    blocks it has seen with their number of rows.  Height ranges with a block that is new or has
+    grown are derived again from all rows received and replaced, results first; rows delivered again by another
+    run change nothing, and a replayed batch rewrites the same partitions.  A module's
+    results carry ``height``.  If a module fails, the others still finish the batch; the
+    query then ends with its error and the batch is replayed at the next start.
     """
     run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    inbox = f"{ledger_path}/blocks"
+    if any(name == "blocks" for name, _, _ in modules):
+        raise ValueError("no module can be named blocks")
+
+    def put(df: DataFrame, path: str, *parts: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+    def derive(name: str, genesis: int, fn: Callable[[DataFrame], DataFrame], rows: DataFrame, sizes: DataFrame) -> None:
+        known, where = _current(spark, f"{ledger_path}/{name}"), f"{out_path}/{name}"
+        now = sizes.filter(F.col("height") >= genesis)
+        stale = now if known is None else now.join(known.select("height_range", "block_hash", "rows"), ["height_range", "block_hash", "rows"], "left_anti")
+        ranges = stage(stale.select("height_range").distinct())
+        if ranges.isEmpty():
+            return
+        todo = rows.join(ranges, "height_range", "left_semi").filter(F.col("height") >= genesis).drop("height_range")
+        fresh = stage(fn(todo).withColumn("height_range", F.floor(F.col("height") / range_width).cast("bigint")))
+        if known is not None:
+            drop_partitions(spark, where, "height_range", ranges.join(fresh.select("height_range").distinct(), "height_range", "left_anti"))
+        put(fresh, where, "height_range")
+        put(stage(now.join(ranges, "height_range", "left_semi")), f"{ledger_path}/{name}", "height_range")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        tag = F.lit(f"{run}-{epoch}")
-        for name, genesis, fn in modules:
-            todo = batch.filter(F.col("height") >= genesis)
-            ledger = _current(spark, f"{ledger_path}/{name}")
-            if ledger is not None:
-                todo = todo.join(ledger.select("block_hash"), "block_hash", "left_anti")
-            todo = stage(todo)
-            for df, where in ((fn(todo), out_path), (todo.select("block_hash", "height").distinct(), ledger_path)):
-                df.withColumn("batch", tag).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                    .partitionBy("batch").parquet(f"{where}/{name}")
+        part = F.floor(F.col("height") / range_width).cast("bigint")
+        got = batch.filter("height is not null").withColumns({"height_range": part, "run": F.lit(run), "epoch": F.lit(epoch).cast("bigint")})
+        put(got, inbox, "height_range", "run", "epoch")
+        ranges = batch.select(part.alias("height_range")).distinct()
+        rows = stage(_received(spark, inbox, ranges, batch.columns))
+        sizes = stage(rows.groupBy("height_range", "height", "block_hash").agg(F.count(F.lit(1)).alias("rows")))
+        failed = []
+        for module in modules:
+            try:
+                derive(*module, rows, sizes)
+            except Exception as e:  # the other modules still finish the batch
+                failed.append(e)
+        if failed:
+            raise failed[0]
 
     return blocks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

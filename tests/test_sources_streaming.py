@@ -62,6 +62,30 @@ def test_incremental_run_is_idempotent(spark, tmp_path):
     assert run("c2") == [(i, i) for i in range(3, 15)]
 
 
+def test_block_in_parts_is_derived_whole_and_modules_fail_alone(spark, tmp_path):
+    import pytest
+    d = {n: str(tmp_path / n) for n in ("in", "ledger", "out", "c1", "c2", "c3")}
+    schema = "height bigint, block_hash string, v bigint"
+    for h, v in ((100, 1), (100, 1), (101, 5), (100, 7)):
+        spark.createDataFrame([(h, f"b{h}", v)], schema).coalesce(1).write.mode("append").parquet(d["in"])
+    total = lambda df: df.groupBy("height").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    def broken(df):
+        raise RuntimeError("broken module")
+    def run(ckpt, modules):
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d["in"])
+        incremental.run_incremental(spark, src, d["ledger"], d["out"], modules, d[ckpt]).awaitTermination()
+    def rows(name):
+        return sorted((r.height, r.n, r.v) for r in spark.read.parquet(f"{d['out']}/{name}").collect())
+    whole = [(100, 3, 9), (101, 1, 5)]
+    run("c1", [("m", 0, total)])
+    assert rows("m") == whole
+    run("c2", [("m", 0, total), ("later", 101, total)])
+    assert rows("m") == whole and rows("later") == [(101, 1, 5)]
+    with pytest.raises(Exception, match="broken module"):
+        run("c3", [("bad", 0, broken), ("next", 0, total)])
+    assert rows("next") == whole
+
+
 def test_late_trades_reach_their_candle(spark, tmp_path):
     schema = "pool_id bigint, height bigint, seq bigint, ts bigint, price_base decimal(38,0), price_quote decimal(38,0), base_delta decimal(38,0), quote_delta decimal(38,0)"
     for k, ts in enumerate((0, 100000, 200000, 300)):
