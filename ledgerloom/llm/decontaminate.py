@@ -14,15 +14,15 @@ from .common import join_key, keyed, stage
 
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ASCII characters that belong to no word once A-Z are lower-case.
-GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that belong to no word: all but digits and letters.
+GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: A table of words is broadcast up to this many rows (some 20 MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words of a text; null has none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS), "")
+    """Lower-cased words of a text; null has none. All gaps become spaces, so that the split needs no pattern."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + GAPS, LOWER + " " * len(GAPS)), " "), "")
 
 
 def _small(df: DataFrame) -> DataFrame:
