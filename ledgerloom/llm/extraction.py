@@ -339,7 +339,9 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Null, empty and text-free pages have an empty text; repeated rows get equal texts. Without pages to learn from the untrained network judges.
     """
     small_batches(pages.sparkSession)
-    taken = pages.select("html", F.xxhash64("page_id").alias("k"), F.xxhash64("html").alias("j")).orderBy("k", "j").limit(sample)
+    hashed = pages.select("html", F.xxhash64("page_id").alias("k"))
+    cut = hashed.select("k").orderBy("k").limit(sample).agg(F.max("k")).first()[0]  # so that no partition offers whole pages beyond the sample
+    taken = hashed.where(F.col("k") <= F.lit(cut).cast("long")).withColumn("j", F.xxhash64("html")).orderBy("k", "j").limit(sample)
     model = learn([r.html for r in taken.collect()])  # bounded by ``sample``
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
     schema = T.StructType([*pages.select(row).schema.fields, T.StructField("main", T.StringType())])
