@@ -1,61 +1,56 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A text is a set of words weighted by how often they occur. For each word hashes stand in for random numbers: r and c with a Gamma(2, 1) distribution and b
-uniform. With t = floor(ln(weight) / r + b) the sample of a set is the (word, t) of least c * exp(-r * (t - b) - r); two sets have equal samples with
-the chance of their generalised Jaccard similarity (sum of least over sum of greatest weights). ``FAMILIES`` independent draws are made in each of ``BINS``
-bins that words fall into by a hash (bin-wise sampling), so a word costs FAMILIES evaluations for FAMILIES x BINS samples; likeness is the share of
-equal samples among those that either text has.
+A text is a set of words weighted by how often they occur. A word that occurs n times has n elements (word, 1) to (word, n), so that the elements that two
+texts share are the least and all their elements the greatest weights. Each element is drawn for all ``SAMPLES`` samples, one a round: its hash gives
+the order of samples (an odd step from a start, modulo SAMPLES) and a number for each round. A sample of a text is the element of the least (round, number) among
+all its elements. Elements draw independently and alike, so two texts have equal samples with the chance of their generalised Jaccard
+similarity (sum of least over sum of greatest weights), however the weights are spread; likeness is the share of equal samples.
+
+Later rounds cannot change a sample that an earlier one has filled. So the first pass makes only as many rounds as give ``DRAWS`` draws a sample; texts in which one is
+still empty (about one in a thousand) are drawn again with all rounds, which fill every sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stage
+from .common import keyed, stage
 
-FAMILIES, BINS = 4, 32
+SAMPLES, DRAWS = 128, 12
 #: Documents of a range in which neighbours are found.
 RANGE_ROWS = 20_000
 #: A null doc_id comes after all others in descending order.
 LAST = -(1 << 63)
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """One of three uniform numbers from the bits of a hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
-
-
-def sample_of(term: Column, weight: Column, family: int) -> Column:
-    """Sortable key of a word in one family: its value in the upper and a hash of (word, t) in the lower half."""
-    h, g = F.xxhash64(term, F.lit(2 * family)), F.xxhash64(term, F.lit(2 * family + 1))
-    r = -F.ln(_uniform(h, 43) * _uniform(h, 22))
-    ln_c = F.ln(-F.ln(_uniform(h, 1) * _uniform(g, 43)))
-    b = _uniform(g, 22)
-    t = F.floor(F.ln(weight) / r + b)
-    value = F.floor((ln_c - r * (t - b) - r + F.lit(100.0)) * F.lit(float(1 << 23)))
-    bounded = F.least(F.greatest(value, F.lit(0)), F.lit((1 << 31) - 1))
-    return F.shiftleft(bounded.cast("long"), 32).bitwiseOR(F.xxhash64(term, t, F.lit(-1 - family)).bitwiseAND(F.lit(0xFFFFFFFF)))
+def signatures(texts: DataFrame, keys: list[str], draws: int = DRAWS) -> DataFrame:
+    """``keys`` and ``sig``: the filled ones of SAMPLES 16-bit samples of the words of ``text``, in order; all are filled if ``draws`` is SAMPLES or more.
 
-
-def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``sig``: FAMILIES x BINS 16-bit samples (-1 in bins without words) of the words of ``text``."""
+    Texts without words are left out. No shuffle is needed if the rows are dealt by some of ``keys``.
+    """
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
-    terms = texts.select(*keys, F.explode(words).alias("w")).where("w <> ''").select(*keys, F.xxhash64("w").alias("term"))
-    weighted = terms.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("n"))
-    names = [f"s{k}" for k in range(FAMILIES)]
-    least = weighted.groupBy(*keys, F.pmod(F.xxhash64("term"), F.lit(BINS)).alias("bin")).agg(*[F.min(sample_of(F.col("term"), F.col("n"), k)).alias(f"s{k}") for k in range(FAMILIES)])
-    codes = F.array(*[F.col(n).bitwiseAND(F.lit(0xFFFF)).cast("int") for n in names])
-    found = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", codes.alias("v")))).alias("bins"))
-    none = F.array(*[F.lit(-1)] * FAMILIES)
-    return found.select(*keys, F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda b: F.coalesce(F.col("bins")[b], none))).alias("sig"))
+    rounds = F.lit(SAMPLES) if draws >= SAMPLES else F.least(F.lit(SAMPLES), F.ceil(F.lit(draws * SAMPLES) / F.size(words)))
+    terms = texts.select(*keys, rounds.cast("int").alias("rounds"), F.explode(words).alias("w")).where("w <> ''").select(*keys, "rounds", F.xxhash64("w").alias("term"))
+    weighted = terms.groupBy(*keys, "term").agg(F.first("rounds").alias("rounds"), F.count("*").alias("n"))
+    drawn = (weighted.select(*keys, "term", "rounds", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * F.col("rounds") - 1)).alias("x"))
+             .select(*keys, F.xxhash64("term", F.expr("x div rounds")).alias("e"), F.expr("x % rounds").alias("m")))
+    start, step = F.shiftrightunsigned("e", 8).bitwiseAND(F.lit(SAMPLES - 1)), F.col("e").bitwiseAND(F.lit(SAMPLES - 1)).bitwiseOR(F.lit(1))
+    slot = (start + step * F.col("m")).bitwiseAND(F.lit(SAMPLES - 1)).cast("int")
+    g = F.xxhash64("e", "m")
+    key = F.shiftleft("m", 56).bitwiseOR(F.shiftleft(F.shiftrightunsigned(g, 24), 16)).bitwiseOR(g.bitwiseAND(F.lit(0xFFFF)))
+    least = drawn.select(*keys, slot.alias("slot"), key.alias("key")).groupBy(*keys, "slot").agg(F.min("key").alias("key"))
+    filled = F.sort_array(F.collect_list(F.struct("slot", F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v"))))
+    return least.groupBy(*keys).agg(filled.alias("filled")).select(*keys, F.col("filled.v").alias("sig"))
 
 
 def no_words() -> Column:
-    return F.array_repeat(F.lit(-1), FAMILIES * BINS)
+    return F.array_repeat(F.lit(-1), SAMPLES)
 
 
 def text_form(sig: Column) -> Column:
-    """Four hexadecimal digits a sample, or dashes where a bin is empty."""
+    """Four hexadecimal digits a sample, or dashes for a text without words."""
     return F.array_join(F.transform(sig, lambda x: F.when(x < 0, F.lit("----")).otherwise(F.lower(F.lpad(F.hex(x), 4, "0")))), "")
 
 
@@ -91,26 +86,36 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return joined.select("o", "h", "n", F.col("next.o").alias("no"), F.col("next.h").alias("nh"))
 
 
+def _drawn(texts: DataFrame, follow: DataFrame, draws: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(o, h, edited_sha256, n_chars, own, changed) of the documents in ``follow``, staged; ``own`` and ``changed`` are shorter than SAMPLES if a sample is empty."""
+    wanted = follow.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("po"), F.col("h").alias("ph"), F.floor(F.col("n") / 3).alias("take"))
+    begun = keep(texts.join(wanted, ["o", "h"]).select(F.col("po").alias("o"), F.col("ph").alias("h"), F.expr("substring(text, 1, cast(take as int))").alias("begin"), "take").dropDuplicates(["o", "h"]))
+    whole = texts.join(begun, ["o", "h"])
+    edited = F.concat(F.expr("substring(text, 1, cast(char_length(text) - take as int))"), F.col("begin"))
+    both = whole.select("o", "h", "text", edited.alias("edited"))
+    texts_of = both.select("o", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    facts = whole.groupBy("o", "h").agg(F.first(F.sha2(edited, 256)).alias("edited_sha256"), F.first(F.char_length("text")).cast("long").alias("n_chars"))
+    sigs = signatures(texts_of.select("o", "h", "x.kind", "x.text"), ["o", "h", "kind"], draws)
+    pair = sigs.groupBy("o", "h").agg(*[F.first(F.when(F.col("kind") == k, F.col("sig")), ignorenulls=True).alias(n) for k, n in ((0, "own"), (1, "changed"))])
+    return stage(facts.join(pair, ["o", "h"], "left").select("o", "h", "edited_sha256", "n_chars", F.coalesce("own", no_words()).alias("own"), F.coalesce("changed", no_words()).alias("changed")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     Rows that agree in doc_id and text are one document in the order and have equal results; a single document is its own next. Null texts are empty; texts
     without words have a fingerprint of dashes.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id"))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), "doc_id")
+    texts = keyed(docs).select(F.coalesce("d", F.lit(LAST)).alias("o"), "h", F.coalesce("text", F.lit("")).alias("text"))
     follow = stage(neighbours(texts))
-    wanted = follow.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("po"), F.col("h").alias("ph"), F.floor(F.col("n") / 3).alias("take"))
-    begun = texts.join(wanted, ["o", "h"]).select(F.col("po").alias("o"), F.col("ph").alias("h"), F.expr("substring(text, 1, cast(take as int))").alias("begin"), "take").dropDuplicates(["o", "h"])
-    whole = texts.join(begun, ["o", "h"])
-    edited = F.concat(F.expr("substring(text, 1, cast(char_length(text) - take as int))"), F.col("begin"))
-    both = whole.select("o", "h", "text", edited.alias("edited"))
-    once = both.select("o", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    facts = whole.groupBy("o", "h").agg(F.first(F.sha2(edited, 256)).alias("edited_sha256"), F.first(F.char_length("text")).cast("long").alias("n_chars"))
-    sigs = signatures(once.select("o", "h", "x.kind", "x.text"), ["o", "h", "kind"])
-    pair = sigs.groupBy("o", "h").agg(*[F.first(F.when(F.col("kind") == k, F.col("sig")), ignorenulls=True).alias(n) for k, n in ((0, "own"), (1, "changed"))])
-    held = stage(facts.join(pair, ["o", "h"], "left").select("o", "h", "edited_sha256", "n_chars", F.coalesce("own", no_words()).alias("own"), F.coalesce("changed", no_words()).alias("changed")))
+    held = _drawn(texts, follow, DRAWS)
+    part = (F.size("own") < SAMPLES) | (F.size("changed") < SAMPLES)
+    few = stage(held.where(part).select("o", "h").join(follow, ["o", "h"]))
+    if few.limit(1).count():
+        held = stage(held.where(~part).unionByName(_drawn(texts, few, SAMPLES, stage)))
     after = follow.select("o", "h", F.col("no"), F.col("nh")).join(held.select(F.col("o").alias("no"), F.col("h").alias("nh"), F.col("own").alias("other")), ["no", "nh"])
     done = held.join(after.select("o", "h", "other"), ["o", "h"]).select(
         "o", "h", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))
-    return texts.select("o", "h", "doc_id").join(done, ["o", "h"]).drop("o", "h")
+    return ids.join(done, ["o", "h"]).drop("o", "h")

@@ -168,3 +168,21 @@ def test_fingerprints_odd_rows(spark, monkeypatch):
     assert out[2][2:] == (1.0, 0.0) and out[3][2:] == (1.0, 1.0) and out[4] == out[5]
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
     assert fingerprints.fingerprints(docs.where("doc_id = 2")).first().near_next == 1.0
+
+
+def test_fingerprints_of_dominant_words(spark):
+    own = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    spam = "spam " * 10_000
+    docs = spark.createDataFrame([(4, spam + own("a", 100)), (3, spam + own("b", 100)), (2, "hot " * 30 + own("c", 300)), (1, "cold " * 3000 + own("c", 300))], "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fingerprints.fingerprints(docs).collect()}
+    assert got[4] > 0.93 and got[3] < 0.03  # 10000 / 10200, and nothing shared
+    assert abs(got[2] - 300 / 3330) < 0.1
+
+
+def test_fingerprints_do_not_depend_on_the_rounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{i % (7 * k)}" for i in range(60 * k))) for k in range(1, 9)], "doc_id long, text string")
+    usual = sorted(map(tuple, fingerprints.fingerprints(docs).collect()))
+    for draws in (1, fingerprints.SAMPLES):
+        monkeypatch.setattr(fingerprints, "DRAWS", draws)
+        assert sorted(map(tuple, fingerprints.fingerprints(docs).collect())) == usual
+    assert all("-" not in r.fingerprint for r in fingerprints.fingerprints(docs).collect())
