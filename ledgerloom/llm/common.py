@@ -43,6 +43,15 @@ def join_key(left: DataFrame, right: DataFrame, how: str, keys: tuple[str, ...]
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """``d``, ``h`` and ``text`` of each document, without repeated rows; no text moves but those of repeated documents."""
+    rows = keyed(docs)
+    again = stage(rows.groupBy("d", "h").agg(F.count("*").alias("c")).where("c > 1").select("d", "h"))
+    if not again.limit(1).count():
+        return rows
+    return join_key(rows, again, "left_anti").union(join_key(rows, again, "left_semi").dropDuplicates(["d", "h"]))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import keyed, stage
+from .common import once, stage
 
 SAMPLES, DRAWS = 128, 12
 #: Documents of a range in which neighbours are found.
@@ -89,12 +89,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def _drawn(texts: DataFrame, follow: DataFrame, draws: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(o, h, edited_sha256, n_chars, own, changed) of the documents in ``follow``, staged; ``own`` and ``changed`` are shorter than SAMPLES if a sample is empty."""
     wanted = follow.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("po"), F.col("h").alias("ph"), F.floor(F.col("n") / 3).alias("take"))
-    begun = keep(texts.join(wanted, ["o", "h"]).select(F.col("po").alias("o"), F.col("ph").alias("h"), F.expr("substring(text, 1, cast(take as int))").alias("begin"), "take").dropDuplicates(["o", "h"]))
+    begun = keep(texts.join(wanted, ["o", "h"]).select(F.col("po").alias("o"), F.col("ph").alias("h"), F.expr("substring(text, 1, cast(take as int))").alias("begin"), "take"))
     whole = texts.join(begun, ["o", "h"])
     edited = F.concat(F.expr("substring(text, 1, cast(char_length(text) - take as int))"), F.col("begin"))
     both = whole.select("o", "h", "text", edited.alias("edited"))
     texts_of = both.select("o", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    facts = whole.groupBy("o", "h").agg(F.first(F.sha2(edited, 256)).alias("edited_sha256"), F.first(F.char_length("text")).cast("long").alias("n_chars"))
+    facts = whole.select("o", "h", F.sha2(edited, 256).alias("edited_sha256"), F.char_length("text").cast("long").alias("n_chars"))
     sigs = signatures(texts_of.select("o", "h", "x.kind", "x.text"), ["o", "h", "kind"], draws)
     pair = sigs.groupBy("o", "h").agg(*[F.first(F.when(F.col("kind") == k, F.col("sig")), ignorenulls=True).alias(n) for k, n in ((0, "own"), (1, "changed"))])
     return stage(facts.join(pair, ["o", "h"], "left").select("o", "h", "edited_sha256", "n_chars", F.coalesce("own", no_words()).alias("own"), F.coalesce("changed", no_words()).alias("changed")))
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     without words have a fingerprint of dashes.
     """
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), "doc_id")
-    texts = keyed(docs).select(F.coalesce("d", F.lit(LAST)).alias("o"), "h", F.coalesce("text", F.lit("")).alias("text"))
+    texts = once(docs).select(F.coalesce("d", F.lit(LAST)).alias("o"), "h", F.coalesce("text", F.lit("")).alias("text"))
     follow = stage(neighbours(texts))
     held = _drawn(texts, follow, DRAWS)
     part = (F.size("own") < SAMPLES) | (F.size("changed") < SAMPLES)

@@ -186,3 +186,11 @@ def test_fingerprints_do_not_depend_on_the_rounds(spark, monkeypatch):
         monkeypatch.setattr(fingerprints, "DRAWS", draws)
         assert sorted(map(tuple, fingerprints.fingerprints(docs).collect())) == usual
     assert all("-" not in r.fingerprint for r in fingerprints.fingerprints(docs).collect())
+
+
+def test_fingerprints_of_a_repeated_row(spark):
+    text = "a a b c d e f g h a b"
+    docs = spark.createDataFrame([(3, text)] * 4 + [(2, text), (1, "a b c x y z")], "doc_id long, text string")
+    out = fingerprints.fingerprints(docs).collect()
+    assert len(out) == 6 and len({r.fingerprint for r in out if r.doc_id != 1}) == 1
+    assert all(r.near_next == 1.0 for r in out if r.doc_id == 3)
