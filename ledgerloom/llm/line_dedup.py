@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import join_key, keyed, small_batches, stage
+from .common import join_key, keyed, once, small_batches, stage
 
 #: Words that a run of lines must have to count as a repeated passage.
 MIN_WORDS = 20
@@ -43,7 +43,7 @@ def _kept_lines(text: str | None) -> list[str]:
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per line with words: document, number, 128-bit content, words, and the lines of the shortest runs from and up to it."""
+    """One row per line with words of each document (repeated rows once): document, number, 128-bit content, words, and the lines of the shortest runs from and up to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
@@ -59,7 +59,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["d", "h", "i", "a", "b", "n", "fore", "back"])
 
-    return keyed(docs).select("d", "h", "text").mapInArrow(run, LINES)
+    return once(docs).mapInArrow(run, LINES)
 
 
 def _ranked(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_line_dedup_repeated_rows_and_nulls(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_repeated_long_documents(spark):
+    text = "\n".join(f"l{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text, 0)] * 3 + [(2, "x\n" + text, 0)] + [(None, text, 0)] * 2, SCHEMA)
+    lines = line_dedup.line_table(docs)
+    assert lines.count() == lines.select("d", "h", "i").distinct().count() == 61
+    out = sorted((r["row"]["doc_id"] or 0, r["kept"], r["n_removed"]) for r in line_dedup.drop_repeated_lines(docs).collect())
+    assert out == [(0, "", 20)] * 2 + [(1, text, 0)] * 3 + [(2, "x", 20)]
+
+
 def near_docs(seed=5):
     rng = random.Random(seed)
     vocab = [f"v{i}" for i in range(300)]
