@@ -194,3 +194,16 @@ def test_fingerprints_of_a_repeated_row(spark):
     out = fingerprints.fingerprints(docs).collect()
     assert len(out) == 6 and len({r.fingerprint for r in out if r.doc_id != 1}) == 1
     assert all(r.near_next == 1.0 for r in out if r.doc_id == 3)
+
+
+def test_quality_measures_very_long_texts():
+    assert quality.features("word " * (1 << 20))[17] == pytest.approx(0.1)
+
+
+def test_quality_learns_from_repeated_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 8)
+    docs = spark.createDataFrame([(1, "a b.")] * 50 + [(2, f"text {i}") for i in range(50)] + [(3, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality.F, "crc32", lambda c: quality.F.lit(1))
+    assert quality.training_rows(docs.where("doc_id <> 2"), labels).count() == 2
+    assert quality.training_rows(docs, labels).count() == 8
