@@ -1,9 +1,9 @@
 """N-gram Jaccard join by chosen paths: every pair of different shingle sets with a Jaccard similarity of ``threshold`` or more.
 
 A set of five-word shingles follows, in each run, the paths of the shingles it chooses: those whose hash for this run is below ``rate / |set|``.
-Two sets meet in a bucket if they choose a shared shingle; with rate 1.2 and similarity 0.8 a run finds a pair with chance 0.65, so
-``runs`` = 8 miss one pair in 5000 (``recall_of_runs``). Buckets of more than ``small`` sets split on further chosen shingles of their members, with a rate of 2.5,
-as long as a split separates them; what stays together is compared in blocks, so that no bucket has a cap and none meets in one task.
+Two sets meet in a bucket if they choose a shared shingle. Buckets of more than ``small`` sets split on further chosen shingles of their members, with a rate of
+DEEP_RATE, as long as a split separates them. The worst pair has one set inside the other and all its buckets split DEPTH times; RUNS and DEEP_RATE are such
+that of such pairs with similarity 0.8 one in 5000 is missed (``least_recall``); what stays together is compared in blocks, so that no bucket has a cap and none meets in one task.
 Of buckets with the same members one is kept, and each pair is compared in the smallest bucket that it
 shares. Equal sets are one class and are compared once.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import as_bytes, chunks, gram_hashes, join_key, keyed, lists, mix, small_batches, sorted_groups, stage, word_hashes
 
-WORDS, THRESHOLD, RUNS, SMALL, BLOCK, DEPTH = 5, 0.8, 8, 200, 1000, 4
-RATE, DEEP_RATE = 1.2, 2.5
+WORDS, THRESHOLD, RUNS, SMALL, BLOCK, DEPTH = 5, 0.8, 10, 200, 1000, 4
+RATE, DEEP_RATE = 1.2, 3.2
 LARGEST = float(2**64)
 #: Stands for a null doc_id.
 LAST = (1 << 63) - 1
@@ -30,6 +30,17 @@ def recall_of_runs(similarity: float, runs: int, rate: float = RATE) -> float:
     return 1 - float(np.exp(-rate * runs * 2 * similarity / (1 + similarity)))
 
 
+def least_recall(similarity: float, runs: int = RUNS, rate: float = RATE, deep: float = DEEP_RATE, depth: int = DEPTH) -> float:
+    """The same for the worst pair: one set inside the other, and every bucket that both are in splits ``depth`` times.
+
+    The larger set then chooses ``rate * similarity`` shared shingles a run; after a split a pair is lost if none of its children, which split further, keeps it.
+    """
+    kept = 1.0
+    for _ in range(depth):
+        kept = 1 - float(np.exp(-deep * similarity * kept))
+    return 1 - float(np.exp(-rate * runs * similarity * kept))
+
+
 def shingle_sets(texts: list[bytes], n: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words has none."""
     for _, part in chunks(texts):

@@ -107,6 +107,21 @@ def test_recall_target():
     assert jaccard_join.recall_of_runs(0.8, jaccard_join.RUNS) > 0.999
 
 
+def test_recall_of_the_worst_pairs():
+    """One set inside the other, all buckets split to the last level."""
+    rng, lost, n = np.random.default_rng(3), 0, 4000
+
+    def together(a, b, key, depth, rate):
+        both = np.intersect1d(jaccard_join.chosen(a, key, rate), jaccard_join.chosen(b, key, rate))
+        return len(both) > 0 if not depth else any(together(a, b, int(k), depth - 1, jaccard_join.DEEP_RATE) for k in both)
+
+    for _ in range(n):
+        b = rng.integers(0, 2**64, 100, dtype=np.uint64)
+        lost += not any(together(b[:80], b, int(x), jaccard_join.DEPTH, jaccard_join.RATE) for x in jaccard_join.mix(np.arange(1, jaccard_join.RUNS + 1, dtype=np.uint64)))
+    assert lost <= 3  # 0.8 are expected
+    assert jaccard_join.least_recall(0.8) >= 0.9998
+
+
 def test_decontamination_equals_sql(spark, con):
     want = con.execute(queries.OP4_SQL).fetchall()
     got = [tuple(r) for r in queries.op4_benchmark_decontamination(spark, SF).collect()]
