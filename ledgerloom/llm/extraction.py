@@ -23,8 +23,8 @@ from .common import small_batches
 #: Pages to learn from (the first by hash of their id), disguises of each, passes, and sizes of the network.
 SAMPLE, DISGUISES, PASSES, HIDDEN, PATH_DIM, WORD_DIM = 200, 6, 6, 16, 128, 32
 DIM = PATH_DIM + WORD_DIM + 8
-#: Longest sequence that is read in one go; longer ones are read in stretches with their surroundings.
-STRETCH, MARGIN = 512, 64
+#: Blocks that are read in one go; longer pages are read stretch by stretch, each from the state that the one before has left.
+STRETCH = 512
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|select|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
                  r"|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|</?[a-zA-Z][^>]*>", re.S | re.I)
@@ -159,11 +159,10 @@ class Labeller:
         self.p["o"] = (rng.normal(size=(2 * HIDDEN, 1)) / np.sqrt(2 * HIDDEN)).astype(np.float32)
         self.p["q"] = np.zeros(1, dtype=np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
         steps, n, _ = x.shape
         w, c0 = self.p["w" + side], self.p["c" + side]
-        h = np.zeros((n, HIDDEN), np.float32)
-        c = np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out = np.zeros((steps, n, HIDDEN), np.float32)
         tape = []
         read = x @ w[:DIM] + c0
@@ -180,12 +179,19 @@ class Labeller:
                 tape.append((t, h, c, f, i, o, g, th, m))
             h, c = h2, c2
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
-    def chances(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Chance of main text for (steps, pages, DIM)."""
-        h = np.concatenate([self._run(x, mask, s, False)[0] for s in "fb"], axis=2)
-        return 1 / (1 + np.exp(-np.clip((h @ self.p["o"])[:, :, 0] + self.p["q"], -30, 30)))
+    def chances(self, pages: list[np.ndarray]) -> np.ndarray:
+        """Chance of main text (blocks, pages) of pages of like length; the state goes on from stretch to stretch, forward and backward."""
+        longest = max(map(len, pages))
+        z = np.zeros((longest, len(pages)), np.float32)
+        for k, side in enumerate("fb"):
+            state = None
+            starts = range(0, longest, STRETCH)
+            for a in starts if side == "f" else reversed(starts):
+                h, _, state = self._run(*padded([p[a:a + STRETCH] for p in pages]), side, False, state)
+                z[a:a + STRETCH] += h @ self.p["o"][k * HIDDEN:(k + 1) * HIDDEN, 0]
+        return 1 / (1 + np.exp(-np.clip(z + self.p["q"], -30, 30)))
 
     def _slopes(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
         runs = {s: self._run(x, mask, s, True) for s in "fb"}
@@ -218,7 +224,12 @@ class Labeller:
         step = 0
         for _ in range(passes):
             order = sorted(rng.permutation(len(pages)).tolist(), key=lambda k: len(pages[k][0]) // 8)
-            parts = [order[a:a + 16] for a in range(0, len(order), 16)]
+            parts = [[]]
+            for k in order:  # fewer long pages share a matrix
+                if len(parts[-1]) == 16 or len(parts[-1]) * max([len(pages[j][0]) for j in parts[-1]] + [len(pages[k][0])]) > 15 * STRETCH:
+                    parts.append([])
+                parts[-1].append(k)
+            parts = [p for p in parts if p]
             rng.shuffle(parts)
             for part in parts:
                 x, mask = padded([pages[k][0] for k in part])
@@ -300,7 +311,7 @@ def learn(pages: list[str | None], seed: int = 11) -> Labeller:
     rng = random.Random(seed)
     seen = []
     for page in pages:
-        b = blocks(page)[:STRETCH]
+        b = blocks(page)
         if not b:
             continue
         seen.append((vectors(b), np.array([told(p) for p, _, _ in b], np.float32)))
@@ -314,22 +325,15 @@ def learn(pages: list[str | None], seed: int = 11) -> Labeller:
 
 
 def labels_of(model: Labeller, pages: list[list[tuple]]) -> list[np.ndarray]:
-    """Which blocks of each page are main text; pages of like length share a matrix, long pages are read in overlapping stretches."""
-    jobs, slots, paths = [], _Slots(), {}
-    for k, page in enumerate(pages):
-        v = vectors(page, slots, paths)
-        for a in range(0, max(len(page), 1), STRETCH):
-            lo, hi = max(0, a - MARGIN), min(len(page), a + STRETCH + MARGIN)
-            if hi > lo:
-                jobs.append((hi - lo, k, a, lo, v[lo:hi]))
+    """Which blocks of each page are main text; pages of like length share a matrix."""
+    slots, paths = _Slots(), {}
+    jobs = [(len(page), k, vectors(page, slots, paths)) for k, page in enumerate(pages) if page]
     out = [np.zeros(len(p), dtype=bool) for p in pages]
     jobs.sort(key=lambda j: j[0])
     for s in range(0, len(jobs), 64):
         part = jobs[s:s + 64]
-        chance = model.chances(*padded([j[4] for j in part]))
-        for c, (n, k, a, lo, _) in zip(chance.T, part):
-            end = min(a + STRETCH, len(out[k]))
-            out[k][a:end] = c[a - lo:end - lo] > 0.5
+        for c, (n, k, _) in zip(model.chances([j[2] for j in part]).T, part):
+            out[k] = c[:n] > 0.5
     return out
 
 

@@ -207,3 +207,25 @@ def test_quality_learns_from_repeated_rows_once(spark, monkeypatch):
     monkeypatch.setattr(quality.F, "crc32", lambda c: quality.F.lit(1))
     assert quality.training_rows(docs.where("doc_id <> 2"), labels).count() == 2
     assert quality.training_rows(docs, labels).count() == 8
+
+
+def test_labeller_reads_long_pages_as_one_sequence(monkeypatch):
+    import numpy as np
+    model, rng = extraction.Labeller(), np.random.default_rng(1)
+    pages = [rng.normal(size=(n, extraction.DIM)).astype(np.float32) for n in (40, 95, 100)]
+    whole = model.chances(pages)
+    monkeypatch.setattr(extraction, "STRETCH", 7)
+    assert np.allclose(model.chances(pages), whole, atol=1e-5)
+    assert np.allclose(model.chances(pages[:1])[:, 0], whole[:40, 0], atol=1e-5)
+
+
+def test_learning_sees_the_end_of_long_pages(monkeypatch):
+    seen = []
+    monkeypatch.setattr(extraction.Labeller, "train", lambda self, pages: seen.extend(pages))
+    extraction.learn(["<nav>n</nav><article>" + "<p>x y.</p>" * 700 + "</article><footer>f</footer>"])
+    assert len(seen[0][0]) == 702 and seen[0][1][-1] == 0 and seen[0][1][-2] == 1
+
+
+def test_training_takes_long_pages():
+    import numpy as np
+    extraction.Labeller().train([(np.ones((n, extraction.DIM), np.float32), np.ones(n, np.float32)) for n in (3, 600, 9000)], passes=1)
