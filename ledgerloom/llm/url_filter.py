@@ -3,7 +3,8 @@
 The longest rule that fits decides a page. The hosts of pages that rules allow (block) seed trust (distrust), by their numbers of such pages.
 Trust is personalised PageRank over host edges, distrust the same over reversed edges: who links to blocked hosts is distrusted. Edges are the links
 of pages to other hosts, weighted by linking pages, and one edge each way between a host and the domain above it. A host is blocked when its
-share of distrust exceeds its share of trust. Ranks are staged each round; edges are aggregated, so a round shuffles two numbers an edge.
+share of distrust exceeds its share of trust. Rounds go on until every rank has settled relative to itself, however small or far from a seed; edges are aggregated,
+so a round shuffles two numbers an edge, and ranks are staged every few rounds.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from .common import stage
 
 #: (verdict, host, path) of the rules to judge by.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-ROUNDS, DAMPING = 12, 0.85
-#: Ranks are compared after rounding, so that the order of summation cannot decide a tie.
-DIGITS = 12
+DAMPING = 0.85
+#: Rounds end when no rank changes by more than this share of itself; they are looked at after every STEPS rounds.
+CHANGE, STEPS = 1e-6, 6
+#: Ranks that differ by no more than this share of themselves are equal, so that neither the order of summation nor the last round decides a tie.
+CLOSE = 2e-5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]*)"""
 
@@ -60,21 +63,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("t")).alias("share"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(side, host, rank): personalised PageRank of each side from seeds (side, host, rank) over (side, src, dst, share); what hosts without edges
-    would pass on is lost."""
-    rank = seeds
-    for _ in range(rounds):
-        moved = edges.join(rank.withColumnRenamed("host", "src"), ["side", "src"]).select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = stage(moved.union(seeds.select("side", "host", F.col("rank") * (1 - damping))).groupBy("side", "host").agg(F.round(F.sum("rank"), 15).alias("rank")))
+    would pass on is lost. Without ``rounds`` it goes on until the largest relative change is CHANGE."""
+    rank, done = seeds, 0
+    while rounds is None or done < rounds:
+        steps = STEPS if rounds is None else min(STEPS, rounds - done)
+        for _ in range(steps):
+            before = rank
+            moved = edges.join(before.withColumnRenamed("host", "src"), ["side", "src"]).select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            rank = moved.union(seeds.select("side", "host", F.col("rank") * (1 - damping))).groupBy("side", "host").agg(F.sum("rank").alias("rank"))
+        done += steps
+        both = rank.select("side", "host", "rank", F.lit(0.0).alias("was")).union(before.select("side", "host", F.lit(0.0), "rank"))
+        rank = stage(both.groupBy("side", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).where("rank > 0"))
+        change = rank.agg(F.max(F.abs(F.col("rank") - F.col("was")) / F.col("rank"))).first()[0] if rounds is None else 1.0
+        rank = rank.select("side", "host", "rank")
+        if (change or 0.0) <= CHANGE:
+            break
     return rank
 
 
-def verdicts(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def verdicts(pages: DataFrame, rules=RULES, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each page.
 
     Null urls and urls without :// have an empty host, no rule and no links, and are allowed, like every host that no seed reaches. Repeated pages are
-    judged alike, and each counts as a page.
+    judged alike, and each counts as a page. trust and distrust are given to nine significant digits.
     """
     judged = judged_pages(pages, rules)
     by_host = stage(judged.where("host <> ''").groupBy("host").agg(*[F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")]))
@@ -87,9 +100,10 @@ def verdicts(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float
     seeds = stage(by_host.select("host", F.explode(sides).alias("s")).select("s.side", "host", "s.rank").where("rank > 0"))
     ranks = propagate(graph, seeds, rounds, damping)
     both = ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("side") == v, F.col("rank"))), F.lit(0.0)).alias(n) for v, n in (("allow", "trust"), ("block", "distrust"))])
-    hosts = stage(both.select("host", F.round("trust", DIGITS).alias("trust"), F.round("distrust", DIGITS).alias("distrust")))
+    hosts = stage(both)
     out = judged.join(hosts, "host", "left")
-    zero = F.lit(0.0)
-    worse = F.coalesce("distrust", zero) > F.coalesce("trust", zero)
+    trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
+    worse = distrust > trust * (1 + CLOSE)
+    digits = lambda x: F.format_string("%.8e", x).cast("double")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(worse, "block").otherwise("allow")).alias("verdict"),
-                      F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+                      digits(trust).alias("trust"), digits(distrust).alias("distrust"))

@@ -229,3 +229,11 @@ def test_learning_sees_the_end_of_long_pages(monkeypatch):
 def test_training_takes_long_pages():
     import numpy as np
     extraction.Labeller().train([(np.ones((n, extraction.DIM), np.float32), np.ones(n, np.float32)) for n in (3, 600, 9000)], passes=1)
+
+
+def test_ranks_reach_far_hosts_however_small(spark):
+    """Sixteen edges from a seed of 1e-12 a rank is still exact."""
+    edges = spark.createDataFrame([("t", f"h{k}", f"h{k + 1}", 1.0) for k in range(16)], "side string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("t", "h0", 1e-12)], "side string, host string, rank double")
+    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds).collect()}
+    assert got == {f"h{k}": pytest.approx(0.15e-12 * 0.85 ** k, rel=1e-9) for k in range(17)}
