@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import as_bytes, join_key, keyed, larger, small_batches, stage
 
-#: Characters of a piece, rounds of expectation maximisation.
-LONGEST, ROUNDS = 8, 2
+#: Rounds of expectation maximisation.
+ROUNDS = 2
 #: Words that a task counts before it hands them on, and the most frequent words, whose scores every task holds.
 HELD_WORDS, FREQUENT = 400_000, 100_000
 #: Words that the lattice works on at once.
@@ -50,7 +50,7 @@ def vocabulary(model: str = "piece_bpe_32k.model") -> list[str]:
     found = []
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and len(p) <= LONGEST and not any("A" <= c <= "Z" for c in p):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and not any("A" <= c <= "Z" for c in p):
             found.append((-sp.get_score(i), p))
     return [p for _, p in sorted(found)]
 
@@ -74,6 +74,7 @@ class Lattice:
         self.hash = np.array(codes + [0], dtype=np.uint64)
         self.logs = [np.append(w, -np.inf) for w in weights]
         self.none = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.one = np.full(SLOTS, self.none, dtype=np.int32)
         self.two = np.full(SLOTS, self.none, dtype=np.int32)
         for i, c in enumerate(codes):
@@ -102,7 +103,7 @@ class Lattice:
 
     def arcs(self, chars: np.ndarray) -> list[np.ndarray]:
         """By length of piece: the piece at each place of each word."""
-        return [self._find(self._codes(chars, n)) for n in range(1, min(LONGEST, chars.shape[1]) + 1)]
+        return [self._find(self._codes(chars, n)) for n in range(1, min(self.longest, chars.shape[1]) + 1)]
 
     def _weights(self, arcs: list[np.ndarray], k: int) -> list[np.ndarray]:
         lp = [self.logs[k][a] for a in arcs]
@@ -113,7 +114,7 @@ class Lattice:
         alpha = np.full((m + 1, n), -np.inf)
         alpha[0] = 0
         for j in range(1, m + 1):
-            alpha[j] = log_sum([alpha[j - k] + lp[k - 1][:, j - k] for k in range(1, min(LONGEST, j) + 1)])
+            alpha[j] = log_sum([alpha[j - k] + lp[k - 1][:, j - k] for k in range(1, min(self.longest, j) + 1)])
         return alpha
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,7 +148,7 @@ class Lattice:
             beta = np.full((m + 1, n), -np.inf)
             beta[m] = -alpha[m]
             for j in range(m - 1, -1, -1):
-                beta[j] = log_sum([beta[j + size] + lp[size - 1][:, j] for size in range(1, min(LONGEST, m - j) + 1)])
+                beta[j] = log_sum([beta[j + size] + lp[size - 1][:, j] for size in range(1, min(self.longest, m - j) + 1)])
             for size, a in enumerate(arcs, 1):
                 post = np.exp(alpha[:m - size + 1].T + lp[size - 1] + beta[size:].T)
                 total += np.bincount(a.ravel(), weights=post.ravel(), minlength=self.none + 1)

@@ -237,3 +237,12 @@ def test_ranks_reach_far_hosts_however_small(spark):
     seeds = spark.createDataFrame([("t", "h0", 1e-12)], "side string, host string, rank double")
     got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds).collect()}
     assert got == {f"h{k}": pytest.approx(0.15e-12 * 0.85 ** k, rel=1e-9) for k in range(17)}
+
+
+def test_lattice_has_the_long_pieces():
+    import numpy as np
+    pieces = lattice_lm.vocabulary()
+    assert max(map(len, pieces)) > 8
+    lattice = lattice_lm.Lattice(pieces, [lattice_lm.piece_weights(pieces, np.ones(len(pieces)))])
+    long = max((p for p in pieces if p.startswith("▁")), key=len)
+    assert lattice.expected([long[1:]], 0)[pieces.index(long)] > 0.5
