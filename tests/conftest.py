@@ -14,6 +14,11 @@ def spark():
     return build_session("tests", 8)
 
 
+@pytest.fixture(scope="session")
+def sf():
+    return SF
+
+
 @pytest.fixture(scope="session")
 def con():
     from compare import duck

@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from conftest import SF
 
 from __spark_entry__ import oracle_sql, queries
 
@@ -14,9 +13,9 @@ dedupe_last_op canonical_chain mempool_prune number_formats allocate_edicts""".s
 
 
 @pytest.mark.parametrize("name", sorted(queries()) if os.environ.get("ALL_PLANS") else QUICK)
-def test_plan_matches_sql(spark, con, name):
+def test_plan_matches_sql(spark, con, sf, name):
     from compare import compare
-    ok, message = compare(spark, con, SF, name, queries()[name], oracle_sql().get(name))
+    ok, message = compare(spark, con, sf, name, queries()[name], oracle_sql().get(name))
     assert ok, message
 
 
