@@ -1,48 +1,80 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A text is a set of words weighted by how often they occur. A word that occurs n times has n elements (word, 1) to (word, n), so that the elements that two
-texts share are the least and all their elements the greatest weights. Each element is drawn for all ``SAMPLES`` samples, one a round: its hash gives
-the order of samples (an odd step from a start, modulo SAMPLES) and a number for each round. A sample of a text is the element of the least (round, number) among
-all its elements. Elements draw independently and alike, so two texts have equal samples with the chance of their generalised Jaccard
-similarity (sum of least over sum of greatest weights), however the weights are spread; likeness is the share of equal samples.
-
-Later rounds cannot change a sample that an earlier one has filled. So the first pass makes only as many rounds as give ``DRAWS`` draws a sample; texts in which one is
-still empty (about one in a thousand) are drawn again with all rounds, which fill every sample.
+A text is a set of words weighted by how often they occur. For each of SAMPLES samples every (word, weight w) draws r and c from Gamma(2, 1) and beta from
+(0, 1), all from hashes of the word and the sample, never of the text: t = floor(ln w / r + beta), and ln a = ln c - r (t - beta + 1). The sample of a
+text is the (word, t) of the least a, kept as 16 bits of a hash. Two texts have equal samples with the chance of their generalised Jaccard similarity
+(sum of least over sum of greatest weights), so likeness is the share of equal samples. Weights need not be whole numbers, and a word is one row however often it occurs.
+
+r and ln c come from tables of quantiles: r is one of CELLS equally likely ones, ln c lies on a line between two, or, below the TAIL first cells, where
+the least a is found, on the series of the inverse distribution (to within 1e-4 of c).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import once, stage
 
-SAMPLES, DRAWS = 128, 12
-#: Documents of a range in which neighbours are found.
-RANGE_ROWS = 20_000
+SAMPLES = 128
+#: Samples of a row while they are drawn; more make the generated code too long to be compiled.
+STEP = 4
+CELLS, TAIL = 1024, 16
+#: Characters of a partition: each of its words is a row of an aggregate that should fit in memory. Smaller ones hold less and repeat more.
+PART_CHARS = 8_000_000
 #: A null doc_id comes after all others in descending order.
 LAST = -(1 << 63)
 
 
-def signatures(texts: DataFrame, keys: list[str], draws: int = DRAWS) -> DataFrame:
-    """``keys`` and ``sig``: the filled ones of SAMPLES 16-bit samples of the words of ``text``, in order; all are filled if ``draws`` is SAMPLES or more.
+def gamma_quantiles(u: np.ndarray) -> np.ndarray:
+    """Inverse of the distribution 1 - exp(-x) (1 + x) of Gamma(2, 1), by bisection."""
+    low, high = np.zeros(len(u)), np.full(len(u), 60.0)
+    for _ in range(80):
+        mid = (low + high) / 2
+        less = 1 - np.exp(-mid) * (1 + mid) < u
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    return (low + high) / 2
+
+
+def _table(values: np.ndarray) -> Column:
+    return F.expr(f"array({', '.join(f'{x:.12g}D' for x in values)})")
+
 
-    Texts without words are left out. No shuffle is needed if the rows are dealt by some of ``keys``.
+def least_samples(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``g`` and k0 to k{STEP-1}: the least keys of samples g to g + STEP - 1 of (``keys``, term, w) rows.
+
+    A key holds ln a in its upper 48 bits and the hash of (term, t) in its lower 16. One hash of (term, sample) gives c (34 bits), beta (20) and r (10).
+    """
+    edges = gamma_quantiles(np.concatenate(([1e-9], np.arange(1, CELLS) / CELLS, [1 - 0.25 / CELLS])))
+    r = gamma_quantiles((np.arange(CELLS) + 0.5) / CELLS)
+    tables = {"tc": np.log(edges)[:-1], "td": np.diff(np.log(edges)), "tr": r, "tq": 1 / r}
+    each = range(STEP)
+    rows = weighted.select(*keys, "term", F.log("w").alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1), F.lit(STEP))).alias("g"))
+    rows = rows.select("*", *[_table(v).alias(k) for k, v in tables.items()], *[F.xxhash64("term", F.col("g") + i).alias(f"h{i}") for i in each])
+    cell, within, which = "shiftrightunsigned(h{i}, 54)", f"(shiftrightunsigned(h{{i}}, 30) & 16777215L) * {2**-24!r}D", f"(h{{i}} & {CELLS - 1}L)"
+    s = f"sqrt(({cell} + {within}) * {2 / CELLS!r}D)"
+    lnc = f"if({cell} < {TAIL}L, coalesce(ln({s} * (1D + {s} * ({1 / 3!r}D + {s} * {11 / 72!r}D))), -99D), tc[{cell}] + {within} * td[{cell}])"
+    beta = f"((shiftrightunsigned(h{{i}}, 10) & 1048575L) + 0.5D) * {2**-20!r}D"
+    rows = rows.select("*", *[F.expr(f"floor(lw * tq[{which}] + {beta})".format(i=i)).alias(f"t{i}") for i in each])
+    key = f"shiftleft(floor(({lnc} - tr[{which}] * (t{{i}} - {beta} + 1D)) * {2**39}D), 16) | ((shiftrightunsigned(h{{i}}, 10) ^ (t{{i}} * 40503L)) & 65535L)"
+    return rows.groupBy(*keys, "g").agg(*[F.min(F.expr(key.format(i=i))).alias(f"k{i}") for i in each])
+
+
+def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``own`` and ``changed``: SAMPLES 16-bit samples of the words of ``text`` and of ``edited`` (-1: it has none).
+
+    Texts without words in both are left out. Words that occur as often in both are drawn once. No shuffle is needed if rows are dealt by some of ``keys``.
     """
-    words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
-    rounds = F.lit(SAMPLES) if draws >= SAMPLES else F.least(F.lit(SAMPLES), F.ceil(F.lit(draws * SAMPLES) / F.size(words)))
-    terms = texts.select(*keys, rounds.cast("int").alias("rounds"), F.explode(words).alias("w")).where("w <> ''").select(*keys, "rounds", F.xxhash64("w").alias("term"))
-    weighted = terms.groupBy(*keys, "term").agg(F.first("rounds").alias("rounds"), F.count("*").alias("n"))
-    drawn = (weighted.select(*keys, "term", "rounds", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * F.col("rounds") - 1)).alias("x"))
-             .select(*keys, F.xxhash64("term", F.expr("x div rounds")).alias("e"), F.expr("x % rounds").alias("m")))
-    start, step = F.shiftrightunsigned("e", 8).bitwiseAND(F.lit(SAMPLES - 1)), F.col("e").bitwiseAND(F.lit(SAMPLES - 1)).bitwiseOR(F.lit(1))
-    slot = (start + step * F.col("m")).bitwiseAND(F.lit(SAMPLES - 1)).cast("int")
-    g = F.xxhash64("e", "m")
-    key = F.shiftleft("m", 56).bitwiseOR(F.shiftleft(F.shiftrightunsigned(g, 24), 16)).bitwiseOR(g.bitwiseAND(F.lit(0xFFFF)))
-    least = drawn.select(*keys, slot.alias("slot"), key.alias("key")).groupBy(*keys, "slot").agg(F.min("key").alias("key"))
-    filled = F.sort_array(F.collect_list(F.struct("slot", F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v"))))
-    return least.groupBy(*keys).agg(filled.alias("filled")).select(*keys, F.col("filled.v").alias("sig"))
+    both = texts.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    words = both.select(*keys, "x.kind", F.explode(F.split(F.coalesce("x.text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    counts = words.select(*keys, F.xxhash64("w").alias("term"), F.expr("cast(1 - kind as bigint)").alias("a"), F.expr("cast(kind as bigint)").alias("b")).groupBy(*keys, "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    cases = F.expr("case when a = b then array(struct(2 as kind, a as w)) when b = 0 then array(struct(0 as kind, a as w)) when a = 0 then array(struct(1 as kind, b as w)) "
+                   "else array(struct(0 as kind, a as w), struct(1 as kind, b as w)) end")
+    least = least_samples(counts.select(*keys, "term", F.explode(cases).alias("x")).select(*keys, "x.kind", "term", "x.w"), [*keys, "kind"])
+    halves = least.groupBy(*keys, "g").agg(*[F.min(F.when(F.col("kind") != other, F.col(f"k{i}"))).alias(f"{name}{i}") for name, other in (("own", 1), ("changed", 0)) for i in range(STEP)])
+    part = [F.array(*[F.coalesce(F.col(f"{name}{i}").bitwiseAND(F.lit(0xFFFF)).cast("int"), F.lit(-1)) for i in range(STEP)]).alias(name) for name in ("own", "changed")]
+    steps = halves.select(*keys, "g", *part).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", "own", "changed"))).alias("steps"))
+    return steps.select(*keys, *[F.flatten(F.col(f"steps.{name}")).alias(name) for name in ("own", "changed")])
 
 
 def no_words() -> Column:
@@ -55,66 +87,47 @@ def text_form(sig: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples among those that either has; 1 for two texts without words."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when(x == y, F.when(x < 0, 0).otherwise(1)).otherwise(2))
-    same = F.size(F.filter(pairs, lambda p: p == 1))
-    either = F.size(F.filter(pairs, lambda p: p > 0))
-    return F.when(either == 0, 1.0).otherwise(same / either)
+    """Share of equal samples; 1 for two texts without words, 0 if one has none."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda p: p))
+    return same / F.lit(SAMPLES)
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(ids: DataFrame) -> DataFrame:
     """(o, h, n, no, nh): each document, its length and the document after it by falling doc_id (after the last: the first).
 
-    Documents are cut into ranges of doc_id; a window orders each range, and only the first documents of ranges are ordered together.
+    Documents are dealt by ranges of doc_id; a window orders each range, and only the first documents of ranges, one a partition, are ordered together.
     """
-    ids = stage(docs.select("o", "h", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("o", "h").agg(F.first("n").alias("n")))
-    ranges = max(1, ids.count() // RANGE_ROWS)
-    splits = ids.agg(F.percentile_approx("o", [(k + 1) / ranges for k in range(ranges - 1)], 10 * ranges)).first()[0] if ranges > 1 else []
-    bucket = F.lit(0)
-    if splits:
-        limits = F.array(*[F.lit(int(x)) for x in sorted(set(splits))])
-        bucket = F.size(F.filter(limits, lambda x: x < F.col("o")))
-    placed = ids.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.desc("o"), F.desc("h"))
-    inside = placed.withColumn("next", F.lead(F.struct("o", "h")).over(order))
-    heads = placed.groupBy("bucket").agg(F.max(F.struct("o", "h")).alias("head"))
-    down = Window.orderBy(F.desc("bucket"))  # one row for each range
-    linked = heads.select("bucket", F.lead("head").over(down).alias("after"))
-    first = placed.agg(F.max(F.struct("o", "h")).alias("start")).first()[0]
-    start = F.struct(F.lit(first.o if first else None).cast("long").alias("o"), F.lit(first.h if first else None).cast("long").alias("h"))
-    joined = inside.join(linked, "bucket").withColumn("next", F.coalesce("next", "after", start))
+    placed = stage(ids.repartitionByRange("o", "h").withColumn("part", F.spark_partition_id()))
+    inside = placed.withColumn("next", F.lead(F.struct("o", "h")).over(Window.partitionBy("part").orderBy(F.desc("o"), F.desc("h"))))
+    heads = placed.groupBy("part").agg(F.max(F.struct("o", "h")).alias("head"))
+    down, every = Window.orderBy(F.desc("part")), Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    linked = heads.select("part", F.coalesce(F.lead("head").over(down), F.first("head").over(every)).alias("after"))
+    joined = inside.join(linked, "part").withColumn("next", F.coalesce("next", "after"))
     return joined.select("o", "h", "n", F.col("next.o").alias("no"), F.col("next.h").alias("nh"))
 
 
-def _drawn(texts: DataFrame, follow: DataFrame, draws: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(o, h, edited_sha256, n_chars, own, changed) of the documents in ``follow``, staged; ``own`` and ``changed`` are shorter than SAMPLES if a sample is empty."""
-    wanted = follow.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("po"), F.col("h").alias("ph"), F.floor(F.col("n") / 3).alias("take"))
-    begun = keep(texts.join(wanted, ["o", "h"]).select(F.col("po").alias("o"), F.col("ph").alias("h"), F.expr("substring(text, 1, cast(take as int))").alias("begin"), "take"))
-    whole = texts.join(begun, ["o", "h"])
-    edited = F.concat(F.expr("substring(text, 1, cast(char_length(text) - take as int))"), F.col("begin"))
-    both = whole.select("o", "h", "text", edited.alias("edited"))
-    texts_of = both.select("o", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    facts = whole.select("o", "h", F.sha2(edited, 256).alias("edited_sha256"), F.char_length("text").cast("long").alias("n_chars"))
-    sigs = signatures(texts_of.select("o", "h", "x.kind", "x.text"), ["o", "h", "kind"], draws)
-    pair = sigs.groupBy("o", "h").agg(*[F.first(F.when(F.col("kind") == k, F.col("sig")), ignorenulls=True).alias(n) for k, n in ((0, "own"), (1, "changed"))])
-    return stage(facts.join(pair, ["o", "h"], "left").select("o", "h", "edited_sha256", "n_chars", F.coalesce("own", no_words()).alias("own"), F.coalesce("changed", no_words()).alias("changed")))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     Rows that agree in doc_id and text are one document in the order and have equal results; a single document is its own next. Null texts are empty; texts
-    without words have a fingerprint of dashes.
+    without words have a fingerprint of dashes. Very long texts are rows of words like others; only the array of one text's words is held at once.
     """
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), "doc_id")
     texts = once(docs).select(F.coalesce("d", F.lit(LAST)).alias("o"), "h", F.coalesce("text", F.lit("")).alias("text"))
-    follow = stage(neighbours(texts))
-    held = _drawn(texts, follow, DRAWS)
-    part = (F.size("own") < SAMPLES) | (F.size("changed") < SAMPLES)
-    few = stage(held.where(part).select("o", "h").join(follow, ["o", "h"]))
-    if few.limit(1).count():
-        held = stage(held.where(~part).unionByName(_drawn(texts, few, SAMPLES, stage)))
-    after = follow.select("o", "h", F.col("no"), F.col("nh")).join(held.select(F.col("o").alias("no"), F.col("h").alias("nh"), F.col("own").alias("other")), ["no", "nh"])
+    lengths = stage(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+                    .groupBy("o", "h").agg(F.first("n").alias("n")))
+    follow = stage(neighbours(lengths))
+    chars = lengths.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS + 1)
+    dealt = texts.repartition(parts, "o", "h")
+    wanted = follow.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("po"), F.col("h").alias("ph"), F.floor(F.col("n") / 3).cast("int").alias("take"))
+    begun = dealt.join(wanted.repartition(parts, "o", "h"), ["o", "h"]).select(F.col("po").alias("o"), F.col("ph").alias("h"), F.expr("substring(text, 1, take)").alias("begin"), "take")
+    whole = dealt.join(begun.repartition(parts, "o", "h"), ["o", "h"])
+    pairs = whole.select("o", "h", "text", F.concat(F.expr("substring(text, 1, char_length(text) - take)"), F.col("begin")).alias("edited"))
+    facts = pairs.select("o", "h", F.sha2("edited", 256).alias("edited_sha256"), F.char_length("text").cast("long").alias("n_chars"))
+    held = stage(facts.join(signatures(pairs, ["o", "h"]), ["o", "h"], "left").select(
+        "o", "h", "edited_sha256", "n_chars", F.coalesce("own", no_words()).alias("own"), F.coalesce("changed", no_words()).alias("changed")))
+    after = follow.select("o", "h", "no", "nh").join(held.select(F.col("o").alias("no"), F.col("h").alias("nh"), F.col("own").alias("other")), ["no", "nh"])
     done = held.join(after.select("o", "h", "other"), ["o", "h"]).select(
         "o", "h", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))

@@ -160,8 +160,7 @@ def test_fingerprints_of_the_table(spark):
     assert abs(sum(errors) / len(errors)) < 0.03 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.1
 
 
-def test_fingerprints_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+def test_fingerprints_odd_rows(spark):
     docs = spark.createDataFrame([(5, "e e e"), (5, "e e e"), (4, None), (3, " \n"), (2, "b c d"), (None, "a")], "doc_id long, text string")
     out = sorted(((r.doc_id or 0), r.n_chars, r.near_edited, r.near_next) for r in fingerprints.fingerprints(docs).collect())
     assert [x[:2] for x in out] == [(0, 1), (2, 5), (3, 2), (4, 0), (5, 5), (5, 5)]
@@ -179,13 +178,41 @@ def test_fingerprints_of_dominant_words(spark):
     assert abs(got[2] - 300 / 3330) < 0.1
 
 
-def test_fingerprints_do_not_depend_on_the_rounds(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, " ".join(f"w{i % (7 * k)}" for i in range(60 * k))) for k in range(1, 9)], "doc_id long, text string")
-    usual = sorted(map(tuple, fingerprints.fingerprints(docs).collect()))
-    for draws in (1, fingerprints.SAMPLES):
-        monkeypatch.setattr(fingerprints, "DRAWS", draws)
-        assert sorted(map(tuple, fingerprints.fingerprints(docs).collect())) == usual
-    assert all("-" not in r.fingerprint for r in fingerprints.fingerprints(docs).collect())
+def test_samples_equal_direct_gamma_draws(spark):
+    """Each sample is the (word, t) of the least a, with c and r from the inverse distribution of Gamma(2, 1) itself, not from tables."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([(k, " ".join(f"w{i % (7 * k)}" for i in range(60 * k))) for k in range(1, 9)], "o long, text string")
+    got = {r.o: r.own for r in fingerprints.signatures(docs.withColumn("edited", F.lit("")), ["o"]).collect()}
+    terms = spark.range(56).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.xxhash64("w").alias("t"))
+    hashes = terms.select("w", *[F.xxhash64("t", F.lit(j)).alias(str(j)) for j in range(fingerprints.SAMPLES)]).collect()
+    h = {r.w: np.array(r[1:], dtype=np.int64).view(np.uint64) for r in hashes}
+    same = total = 0
+    for k, text in docs.collect():
+        best = np.full(fingerprints.SAMPLES, np.inf)
+        sig = np.zeros(fingerprints.SAMPLES, dtype=np.int64)
+        for w, n in collections.Counter(text.split()).items():
+            x = h[w]
+            c = fingerprints.gamma_quantiles((x >> np.uint64(30)).astype(float) / 2**34)
+            r = fingerprints.gamma_quantiles(((x & np.uint64(1023)).astype(float) + 0.5) / 1024)
+            beta = ((x >> np.uint64(10)) & np.uint64(0xFFFFF)).astype(float) / 2**20
+            t = np.floor(math.log(n) / r + beta)
+            a = np.log(c) - r * (t - beta + 1)
+            mark = ((x >> np.uint64(10)).astype(np.int64) ^ (t.astype(np.int64) * 40503)) & 0xFFFF
+            sig = np.where(a < best, mark, sig)
+            best = np.minimum(a, best)
+        same += sum(int(p == q) for p, q in zip(got[k], sig))
+        total += fingerprints.SAMPLES
+    assert same >= 0.99 * total
+
+
+def test_fingerprints_weigh_words_as_generalised_jaccard(spark):
+    """Rising weights of one word against the same rest: likeness follows the sum of least over the sum of greatest weights."""
+    rest = " ".join(f"r{i}" for i in range(100))
+    docs = spark.createDataFrame([(10 - k, "heavy " * n + rest) for k, n in enumerate((1, 3, 10, 30, 100, 300, 1000))], "doc_id long, text string")
+    near = {r.doc_id: r.near_next for r in fingerprints.fingerprints(docs).collect()}
+    for k, (n, m) in enumerate(zip((1, 3, 10, 30, 100, 300), (3, 10, 30, 100, 300, 1000))):
+        assert abs(near[10 - k] - (100 + n) / (100 + m)) < 0.16
 
 
 def test_fingerprints_of_a_repeated_row(spark):
