@@ -113,17 +113,65 @@ def test_url_filter_small(spark):
 def test_ranks_equal_plain_iteration(spark):
     edges = [("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 1.0), ("c", "a", 1.0)]
     seeds = {"a": 0.75, "b": 0.25}
-    rank = dict(seeds)
+    rank = {"a": 0.15 * 0.75, "b": 0.15 * 0.25}
     for _ in range(5):
         nxt = {h: 0.15 * x for h, x in seeds.items()}
         for s, d, w in edges:
             nxt[d] = nxt.get(d, 0) + 0.85 * w * rank.get(s, 0)
         rank = nxt
-    got = url_filter.propagate(spark.createDataFrame([("t", *e) for e in edges], "side string, src string, dst string, share double"),
-                               spark.createDataFrame([("t", h, x) for h, x in seeds.items()], "side string, host string, rank double"), 5)
+    base = spark.createDataFrame([("t", h, 0.15 * seeds.get(h, 0), 0.0) for h in "abc"], "side string, host string, a double, own double")
+    got = url_filter.iterate(spark.createDataFrame([("t", *e) for e in edges], "side string, src string, dst string, share double"), base, rounds=5)
     assert {r.host: round(r["rank"], 12) for r in got.collect()} == {h: round(x, 12) for h, x in rank.items()}
 
 
+@pytest.mark.parametrize("links", [0, 12])
+def test_verdicts_equal_dense_algebra(spark, links):
+    """Hosts on several levels, some linked: ranks solve the linear system over all edges, and verdicts compare them."""
+    import random
+
+    import numpy as np
+    rng = random.Random(5)
+    tops = [f"d{k}.{t}" for k in range(6) for t in ("com", "org", "net")]
+    hosts = tops + [f"s{k}.{rng.choice(tops)}" for k in range(30)]
+    hosts += [f"u{k}.{rng.choice(hosts[18:])}" for k in range(20)]
+    hosts = [h for h in hosts if h != tops[0]] + ["a.b.c.d.e.f.g.h.i.deep.net"]
+    far = rng.sample(hosts, 12)
+    pages = []
+    for k in range(160):
+        h = rng.choice(hosts)
+        to = rng.choice(far) if links and rng.random() < 0.2 and h in far else None
+        pages.append((k, f"http://{h}/{rng.choice(['de', 'fr', 'x', 'en'])}/{k}", f'<a href="http://{to}/y">y</a>' if to else ""))
+    got = {r.page_id: r for r in url_filter.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    weight, seeds = collections.Counter(), {"allow": collections.Counter(), "block": collections.Counter()}
+    known = {u.split("/")[2] for _, u, _ in pages} | {x.split("/")[2] for _, _, x in pages if x}
+    for _, u, x in pages:
+        if x and x.split("/")[2] != u.split("/")[2]:
+            weight[u.split("/")[2], x.split("/")[2]] += 1
+    for h in known:
+        if h.count(".") >= 2:
+            weight[h, h.split(".", 1)[1]] += 1
+            weight[h.split(".", 1)[1], h] += 1
+    for r in got.values():
+        if r.rule:
+            seeds[r.verdict][r.host] += 1
+    every = sorted({x for e in weight for x in e} | known)
+    at = {h: i for i, h in enumerate(every)}
+    m = np.zeros((len(every), len(every)))
+    for (a, b), n in weight.items():
+        m[at[a], at[b]] = n
+    share = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+    back = (share / np.maximum(share.sum(axis=0, keepdims=True), 1e-300)).T
+    ranks = {}
+    for side, matrix in (("allow", share), ("block", back)):
+        v = np.array([seeds[side][h] for h in every]) / max(1, sum(seeds[side].values()))
+        ranks[side] = np.linalg.solve(np.eye(len(every)) - 0.85 * matrix.T, 0.15 * v)
+    assert len({r.verdict for r in got.values() if not r.rule}) == 2
+    for r in got.values():
+        trust, distrust = ranks["allow"][at[r.host]], ranks["block"][at[r.host]]
+        assert r.trust == pytest.approx(trust, rel=1e-5, abs=1e-15) and r.distrust == pytest.approx(distrust, rel=1e-5, abs=1e-15)
+        assert r.rule or r.verdict == ("block" if distrust > trust * (1 + 2e-5) else "allow")
+
+
 def test_extraction_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op7_html_extraction(spark, SF).collect():
@@ -260,7 +308,7 @@ def test_training_takes_long_pages():
 
 def test_ranks_reach_far_hosts_however_small(spark):
     """Sixteen edges from a seed of 1e-12 a rank is still exact."""
-    edges = spark.createDataFrame([("t", f"h{k}", f"h{k + 1}", 1.0) for k in range(16)], "side string, src string, dst string, share double")
+    edges = spark.createDataFrame([("t", f"h{k}", f"h{k + 1}", 1.0, True) for k in range(16)], "side string, src string, dst string, share double, linked boolean")
     seeds = spark.createDataFrame([("t", "h0", 1e-12)], "side string, host string, rank double")
     got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds).collect()}
     assert got == {f"h{k}": pytest.approx(0.15e-12 * 0.85 ** k, rel=1e-9) for k in range(17)}
