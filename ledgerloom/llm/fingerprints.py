@@ -93,7 +93,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """(o, h, n, no, nh): each document, its length and the document after it by falling doc_id (after the last: the first).
+    """The rows of ``ids`` with (no, nh): the document after each by falling doc_id (after the last: the first).
 
     Documents are dealt by ranges of doc_id; a window orders each range, and only the first documents of ranges, one a partition, are ordered together.
     """
@@ -103,7 +103,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     down, every = Window.orderBy(F.desc("part")), Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     linked = heads.select("part", F.coalesce(F.lead("head").over(down), F.first("head").over(every)).alias("after"))
     joined = inside.join(linked, "part").withColumn("next", F.coalesce("next", "after"))
-    return joined.select("o", "h", "n", F.col("next.o").alias("no"), F.col("next.h").alias("nh"))
+    return joined.select(*ids.columns, F.col("next.o").alias("no"), F.col("next.h").alias("nh"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,10 +112,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id and text are one document in the order and have equal results; a single document is its own next. Null texts are empty; texts
     without words have a fingerprint of dashes. Very long texts are rows of words like others; only the array of one text's words is held at once.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), "doc_id")
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"),
+                      F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     texts = once(docs).select(F.coalesce("d", F.lit(LAST)).alias("o"), "h", F.coalesce("text", F.lit("")).alias("text"))
-    lengths = stage(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64("text").alias("h"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-                    .groupBy("o", "h").agg(F.first("n").alias("n")))
+    lengths = stage(ids.groupBy("o", "h").agg(F.first("n").alias("n"), F.first("doc_id").alias("doc_id"), F.count("*").alias("rows")))
     follow = stage(neighbours(lengths))
     chars = lengths.agg(F.sum("n")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS + 1)
@@ -127,8 +127,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     facts = pairs.select("o", "h", F.sha2("edited", 256).alias("edited_sha256"), F.char_length("text").cast("long").alias("n_chars"))
     held = stage(facts.join(signatures(pairs, ["o", "h"]), ["o", "h"], "left").select(
         "o", "h", "edited_sha256", "n_chars", F.coalesce("own", no_words()).alias("own"), F.coalesce("changed", no_words()).alias("changed")))
-    after = follow.select("o", "h", "no", "nh").join(held.select(F.col("o").alias("no"), F.col("h").alias("nh"), F.col("own").alias("other")), ["no", "nh"])
-    done = held.join(after.select("o", "h", "other"), ["o", "h"]).select(
-        "o", "h", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
+    after = follow.select("o", "h", "no", "nh", "doc_id", "rows").join(held.select(F.col("o").alias("no"), F.col("h").alias("nh"), F.col("own").alias("other")), ["no", "nh"])
+    done = held.join(after.drop("no", "nh"), ["o", "h"]).select(
+        "o", "h", "doc_id", "rows", "n_chars", "edited_sha256", text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))
-    return ids.join(done, ["o", "h"]).drop("o", "h")
+    again = ids.select("o", "h").join(done.where("rows > 1"), ["o", "h"])  # only repeated rows are joined back
+    return done.where("rows = 1").unionByName(again.select(*done.columns)).drop("o", "h", "rows")
