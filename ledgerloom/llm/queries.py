@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, extraction, fingerprints, jaccard_join, lattice_lm, line_dedup, packing, phrase_dedup, quality, url_filter
+from . import decontaminate, extraction, filter_audit, fingerprints, jaccard_join, lattice_lm, line_dedup, packing, phrase_dedup, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of the 120 orders."""
+    out = filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_classifier, op3_phrase_dedup, op4_benchmark_decontamination, op5_lattice_lm, op6_url_filter, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_document_fingerprints)}
+    op1_line_dedup, op2_quality_classifier, op3_phrase_dedup, op4_benchmark_decontamination, op5_lattice_lm, op6_url_filter, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_document_fingerprints, op11_filter_audit)}
 
 OP4_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -93,4 +99,26 @@ kept as (select doc_id, string_agg(word, ' ' order by q) as k, count(*) as n fro
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_phrase_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
+OP11_SQL = r"""
+with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+seen as (select t, min(doc_id) as f from w group by t),
+fails as (select w.doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 10 * length(w.t),
+  regexp_matches(w.t, '[#$%&*|]'), coalesce(f < w.doc_id, false)] as x from w join seen on seen.t = w.t),
+lab as (select doc_id, max(case when quality = 1 then 1 else 0 end) as g, max(case when toxic = 1 then 1 else 0 end) as b from labels group by 1),
+d as (select part, x, count(*) as n, sum(coalesce(g, 0)) as g, sum(coalesce(b, 0)) as b from fails left join lab using (doc_id) group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 3, 4, 5]) as k),
+o as (select a.c || b.c || c.c || d.c || e.c as o, [a.k, b.k, c.k, d.k, e.k] as ks from l a, l b, l c, l d, l e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s as (select o, ks[1:i - 1] as was, ks[i] as k, i as step from o, (select unnest([1, 2, 3, 4, 5]) as i)),
+m as (select part, o, step, k,
+  sum(case when not x[k] and len(list_filter(was, lambda y: x[y])) = 0 then n else 0 end) as kept,
+  sum(case when x[k] and len(list_filter(was, lambda y: x[y])) = 0 then n else 0 end) as removed,
+  sum(case when x[k] and len(list_filter(was, lambda y: x[y])) > 0 then n else 0 end) as redundant,
+  sum(case when x[k] and len(list_filter(x, lambda y: y)) = 1 then n else 0 end) as unique_fails,
+  sum(case when x[k] and len(list_filter(was, lambda y: x[y])) = 0 then g else 0 end) as good_lost,
+  sum(case when x[k] and len(list_filter(was, lambda y: x[y])) = 0 then b else 0 end) as toxic_lost
+  from d, s group by 1, 2, 3, 4)
+select part, o as filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, k) as bigint) as shapley from m
+"""
+
+ORACLES: dict[str, str] = {"op11_filter_audit": OP11_SQL, "op3_phrase_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
