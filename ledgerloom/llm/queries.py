@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, extraction, filter_audit, fingerprints, jaccard_join, lattice_lm, line_dedup, packing, phrase_dedup, quality, url_filter
+from . import collocations, decontaminate, extraction, filter_audit, fingerprints, jaccard_join, lattice_lm, line_dedup, packing, phrase_dedup, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_line_dedup, op2_quality_classifier, op3_phrase_dedup, op4_benchmark_decontamination, op5_lattice_lm, op6_url_filter, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_document_fingerprints, op11_filter_audit)}
+    op1_line_dedup, op2_quality_classifier, op3_phrase_dedup, op4_benchmark_decontamination, op5_lattice_lm, op6_url_filter, op7_html_extraction, op8_ngram_jaccard_join, op9_best_fit_packing, op10_document_fingerprints, op11_filter_audit, op12_phrase_collocations)}
 
 OP4_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -121,4 +126,24 @@ select part, o as filter_order, cast(step as integer) as step, cast(kept as bigi
   cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, k) as bigint) as shapley from m
 """
 
-ORACLES: dict[str, str] = {"op11_filter_audit": OP11_SQL, "op3_phrase_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
+OP12_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+size as (select lang, cast(sum(len(w)) as bigint) as n from w group by 1),
+spot as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+gram as (select lang, k, w[i:i + k - 1] as g from spot, (select unnest([1, 2, 3, 4]) as k) where i + k - 1 <= len(w)),
+f as (select lang, g, k, count(*) as a from gram group by 1, 2, 3 having count(*) >= 30),
+cut as (select lang, g, a, k, unnest(range(1, k)) as j from f where k > 1),
+cuts as (select c.lang, c.g, c.a, c.k, c.j, x.a as l, y.a as r, cast(2000000 as hugeint) * c.a // (cast(x.a as hugeint) + y.a) as score
+  from cut c join f x on x.lang = c.lang and x.g = c.g[1:c.j] join f y on y.lang = c.lang and y.g = c.g[c.j + 1:c.k]),
+pick as (select lang, g, a, k, l, r, score from cuts qualify row_number() over (partition by lang, g order by score, j) = 1),
+part as (select lang, g, a, k, unnest(range(2, k)) as m from f where k > 2),
+inner_part as (select lang, a, g[s:s + m - 1] as g from (select lang, g, a, m, unnest(range(1, k - m + 2)) as s from part)),
+longer as (select lang, g, max(a) as m from inner_part group by 1, 2),
+kept as (select lang, g, a, l, r, score from pick left join longer using (lang, g) where m is null or not (cast(100 as hugeint) * m >= cast(80 as hugeint) * a)),
+named as (select lang, array_to_string(g, ' ') as phrase, a, l, r, score from kept),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, n, cast(score as bigint) as score from ranked join size using (lang) where rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op12_phrase_collocations": OP12_SQL, "op11_filter_audit": OP11_SQL, "op3_phrase_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
