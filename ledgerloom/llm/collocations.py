@@ -206,8 +206,9 @@ def names(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if not len(h):
                 continue
             seeds = np.array([seed(x) for x in langs], dtype=np.uint64)[lang]
-            mine = np.flatnonzero(has(bits, marks(seeds, [h])))
-            _, one = np.unique(np.stack([lang[mine].astype(np.uint64), h[mine]], axis=1), axis=0, return_index=True)
+            at = marks(seeds, [h])
+            mine = np.flatnonzero(has(bits, at))
+            _, one = np.unique(at[mine], return_index=True)
             mine, data = mine[one], block[2].tobytes()
             yield pa.record_batch([pa.array([langs[x] for x in lang[mine]], type=pa.string()), pa.array(h[mine].view(np.int64)),
                                    pa.array([data[a:b].decode() for a, b in zip(starts[mine], ends[mine])], type=pa.string())], names=["lang", "w", "word"])
