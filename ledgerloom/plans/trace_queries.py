@@ -257,7 +257,58 @@ def allocate_edicts(t: Facts):
     return traces.allocate_edicts(txs).withColumn("vout", F.col("vout").cast("bigint"))
 
 
-@query("utxo_waves")
+ALLOC_CHAIN_SQL = """
+select tx_id, vout, token, sum(amount) as amount from (
+  select tx_id, tok, kind, routed, a, gold, least(have, w) as one, least(greatest(have - w, 0), w) as two, greatest(have - 2 * w, 0) as rest, refunds from (
+    select o_orderkey as tx_id, 100 + o_orderkey % 3 as tok, o_orderkey % 3 as kind, o_orderkey % 2 = 0 as routed, o_orderkey % 5 <> 0 as refunds, cents // 2 as a, cents // 3 as w,
+      case o_orderkey % 3 when 0 then cents when 1 then cents // 5 else 0 end as have, case o_orderkey % 3 when 1 then 7 else 0 end as gold
+    from (select o_orderkey, cast(cast(o_totalprice as decimal(18,2)) * 100 as hugeint) as cents from orders))) x,
+  lateral (select greatest(rest - 5, 0) as next) z,
+  lateral (select 2 as vout, tok as token, case when kind = 2 and refunds then a else 0 end as amount
+    union all select 0, tok, case when kind <> 2 then one else 0 end union all select 2, tok, case when kind <> 2 then two else 0 end
+    union all select 0, tok, case when kind <> 2 and not routed then rest else 0 end union all select 0, 900, case when not routed then gold else 0 end
+    union all select 2, 900, case when routed then gold else 0 end
+    union all select 0, tok, case when kind <> 2 and routed then next - next // 2 else 0 end union all select 2, tok, case when kind <> 2 and routed then next // 2 else 0 end) y
+where amount > 0 group by 1, 2, 3
+"""
+
+
+@query("allocate_directives", ALLOC_CHAIN_SQL, text="amount", ints="vout")
+def allocate_directives(t: Facts):
+    # two directives, the first in each status: it sends each output a third of the order, and what is left to the second one's sheet or to the first output;
+    # the second burns five on an unspendable output, takes one token whole and deals out the rest
+    o = tx_plans(t).withColumn("third", F.floor(F.col("cents") / 3).cast(DEC))
+    pair = lambda i, v: F.struct(F.lit(i).cast("bigint").alias("id") if isinstance(i, int) else i.alias("id"), v.cast(DEC).alias("value"))
+    edict = lambda token, amount, to: F.struct(token.cast("bigint").alias("token"), amount.cast(DEC).alias("amount"), F.lit(to).alias("output"))
+    status = F.element_at(F.array(F.lit("notrace"), F.lit("success"), F.lit("revert")), (F.col("tx_id") % 3 + 1).cast("int"))
+    part = lambda k: F.floor(F.col("cents") / k)
+    first = F.struct(F.when(F.col("tx_id") % 2 == 0, 5).alias("pointer"), F.when(F.col("tx_id") % 5 != 0, 2).alias("refund"), status.alias("status"),
+                     F.array(pair(F.col("token"), part(2))).alias("net_in"), F.array(pair(F.col("token"), part(5)), pair(900, F.lit(7))).alias("net_out"),
+                     F.array(edict(F.col("token"), F.col("third"), 3)).alias("edicts"))
+    second = F.struct(F.lit(None).cast("int").alias("pointer"), F.lit(None).cast("int").alias("refund"), F.lit("notrace").alias("status"), F.array().alias("net_in"), F.array().alias("net_out"),
+                      F.array(edict(F.col("token"), F.lit(5), 1), edict(F.lit(900), F.lit(0), 2), edict(F.col("token"), F.lit(0), 3)).alias("edicts"))
+    d = F.concat(F.array(first).cast(f"array<{DIRECTIVE}>"), F.array(second).cast(f"array<{DIRECTIVE}>"))
+    txs = o.select("tx_id", "spendable", d.alias("directives"), F.array(F.struct(F.col("token").alias("id"), F.col("cents").alias("value"))).alias("seed"))
+    return traces.allocate_edicts(txs).withColumn("vout", F.col("vout").cast("bigint"))
+
+
+WAVES_SQL = """
+select * from (
+with recursive o as (
+  select o_orderkey as tx, 100 + o_orderkey % 3 as tok, cast(cast(o_totalprice as decimal(18,2)) * 100 as hugeint) // 3 as want, cast(cast(o_totalprice as decimal(18,2)) * 100 as hugeint) as cents from orders),
+held as (
+  select tx, token, have, tok, want from (select tx, tok as token, cents as have, tok, want from o where tx % 6 = 0)
+  union all
+  select n.tx, h.token, h.have - case when h.token <> h.tok then 0 when h.tx % 4 = 0 then least(greatest(h.have - h.want, 0), h.want) when h.tx % 4 = 1 then least(h.have, h.want) else 0 end, n.tok, n.want
+  from held h join o n on n.tx = h.tx + 1 where n.tx % 6 <> 0
+    and h.have > case when h.token <> h.tok then 0 when h.tx % 4 = 0 then least(greatest(h.have - h.want, 0), h.want) when h.tx % 4 = 1 then least(h.have, h.want) else 0 end),
+split as (select *, case when token <> tok then 0 when tx % 4 = 0 then least(greatest(have - want, 0), want) when tx % 4 = 1 then least(have, want) else 0 end as away from held)
+select tx as tx_id, 0 as vout, token, have - away as amount from split where have > away
+union all select tx, 2, token, away from split where away > 0) w
+"""
+
+
+@query("utxo_waves", WAVES_SQL, text="amount", ints="vout")
 def utxo_waves(t: Facts):
     # each order spends the first output of the one before, in chains of six; chain heads spend earlier outpoints
     txs = tx_plans(t)
@@ -265,4 +316,4 @@ def utxo_waves(t: Facts):
         .withColumn("prev_tx", F.when(F.col("tx_id") % 6 == 0, -F.col("tx_id") - 1).otherwise(F.col("prev_tx")))
     prior = txs.filter(F.col("tx_id") % 6 == 0).select((-F.col("tx_id") - 1).alias("prev_tx"), F.lit(0).alias("prev_vout"),
                                                        "token", F.col("cents").alias("amount"))
-    return traces.utxo_waves(txs.select("tx_id", "spendable", "directives"), inputs, prior)
+    return traces.utxo_waves(txs.select("tx_id", "spendable", "directives"), inputs, prior).withColumn("vout", F.col("vout").cast("bigint"))
