@@ -91,33 +91,66 @@ def div_floor(a: Column, b: Column | int) -> Column:
     return F.coalesce(_quotient(a, _nonzero(b)), _rare({"a": a, "b": d}, body)).cast(DEC)
 
 
-def _wide_body(c: int | None) -> str:
-    """Products past 38 digits: split over quotient and remainder of ``a / c`` and hold
-    the result to the quotient of the product saturated at 2^128 - 1."""
-    if c is not None:
-        d, limit = _sql_big(c), _sql_big(min(U128_MAX // c, CAP))
-        zero = ""
+_HALF = 10**19
+
+
+def _sql_let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _wide_body(up: bool) -> str:
+    """The quotient of a product past 38 digits, exactly: the product as two parts of 19 digits, held at 2^128 - 1, then long division.
+
+    ``up`` rounds up. A divisor below 10^28 takes the lower part in two steps; for a larger one the quotient has at most 11 digits and follows from the leading digits,
+    give or take two, which is settled by multiplying back.
+    """
+    half, zero, one = _sql_big(_HALF), _sql_big(0), _sql_big(1)
+    dec_ = lambda x: f"CAST({x} AS DECIMAL(38,0))"
+    mul = lambda x, y: f"CAST(try_multiply({x}, {y}) AS DECIMAL(38,0))"
+    add = lambda x, y: f"CAST(try_add({x}, {y}) AS DECIMAL(38,0))"
+    high = lambda x: _sql_quotient(x, half)
+    parts = (f"named_struct('a', {high('s.a')}, 'x', {dec_(f's.a % {half}')}, 'b', {high('s.b')}, 'y', {dec_(f's.b % {half}')})")
+    cross = add(mul("p.a", "p.y"), mul("p.x", "p.b"))
+    low = mul("p.x", "p.y")
+    product = f"named_struct('h', {add(add(mul(mul('p.a', 'p.b'), half), cross), high(low))}, 'l', {dec_(f'{low} % {half}')})"
+    most_h, most_l = _sql_big(U128_MAX // _HALF), _sql_big(U128_MAX % _HALF)
+    held = f"CASE WHEN r.h IS NULL OR r.h > {most_h} OR (r.h = {most_h} AND r.l > {most_l}) THEN named_struct('h', {most_h}, 'l', {most_l}) ELSE r END"
+    less = (f"CASE WHEN t.l > 0 THEN named_struct('h', t.h, 'l', {dec_(f't.l - {one}')}) ELSE named_struct('h', {dec_(f't.h - {one}')}, 'l', {_sql_big(_HALF - 1)}) END")
+    ten, nine = _sql_big(10**10), _sql_big(10**9)
+    step = f"named_struct('q', {_sql_long_quotient('w.h', 's.c')}, 'cur', {dec_(f'(w.h % s.c) * {ten} + {_sql_quotient('w.l', nine)}')})"
+    step2 = f"named_struct('q', {add(mul('u.q', ten), _sql_long_quotient('u.cur', 's.c'))}, 'cur', {dec_(f'(u.cur % s.c) * {nine} + (w.l % {nine})')})"
+    small = _sql_let("u", step, _sql_let("v", step2, add(mul("v.q", nine), _sql_long_quotient("v.cur", "s.c"))))
+    guess = _sql_quotient(dec_(f"w.h * {nine} + {_sql_quotient('w.l', ten)}"), _sql_quotient("s.c", ten))
+    back_low = dec_(f"k * (s.c % {half})")
+    back = f"named_struct('h', {dec_(f'k * {high('s.c')} + {high(back_low)}')}, 'l', {dec_(f'{back_low} % {half}')})"
+    fits = _sql_let("z", back, "z.h < w.h OR (z.h = w.h AND z.l <= w.l)")
+    large = _sql_let("g", guess, f"filter(array(g, {dec_(f'g - {one}')}, {dec_(f'g - {_sql_big(2)}')}), k -> {fits})[0]")
+    quotient = f"COALESCE(CASE WHEN s.c < {_sql_big(10**28)} THEN {small} ELSE {large} END, {_sql_big(CAP)})"
+    if up:
+        whole = _sql_let("t", _sql_let("r", product, held), f"CASE WHEN t.h = 0 AND t.l = 0 THEN {zero} ELSE {_sql_let('w', less, f'COALESCE({add(quotient, one)}, {_sql_big(CAP)})')} END")
     else:
-        d, tens = "s.c", _sql_big(U128_MAX // 10)
-        whole = _sql_quotient(tens, d)
-        rest = _sql_quotient(f"({tens} % {d} * 10 + {U128_MAX % 10})", d)
-        limit = f"COALESCE(CAST(try_add(try_multiply({whole}, 10), {rest}) AS DECIMAL(38,0)), {_sql_big(CAP)})"
-        zero = f"WHEN s.c = 0 THEN {_sql_big(0)} "
-    head = f"try_multiply({_sql_long_quotient('s.a', d)}, s.b)"
-    prod = f"CAST(try_multiply(s.a % {d}, s.b) AS DECIMAL(38,0))"
-    split = f"COALESCE(CAST(try_add({head}, {_sql_long_quotient(prod, d)}) AS DECIMAL(38,0)), {limit})"
-    missing = "s.a IS NULL OR s.b IS NULL" + ("" if c is not None else " OR s.c IS NULL")
-    return f"CASE WHEN {missing} THEN NULL {zero}ELSE LEAST({split}, {limit}) END"
+        whole = _sql_let("w", _sql_let("r", product, held), quotient)
+    return f"CASE WHEN s.a IS NULL OR s.b IS NULL OR s.c IS NULL THEN NULL WHEN s.c = 0 THEN {zero} ELSE {_sql_let('p', parts, whole)} END"
+
+
+WIDE_DOWN, WIDE_UP = _wide_body(False), _wide_body(True)
 
 
 def mul_div_floor(a: Column, b: Column, c: Column | int) -> Column:
     """``a * b / c`` where the product saturates at 2^128 - 1; 0 when ``c`` is 0."""
     a, b = a.cast(DEC), b.cast(DEC)
     p = F.try_multiply(a, b).cast(DEC)
-    if isinstance(c, int):
-        return F.coalesce(_quotient(p, big(c)), _rare({"a": a, "b": b}, _wide_body(c))).cast(DEC)
-    c = c.cast(DEC)
-    return F.coalesce(_quotient(p, _nonzero(c)), _rare({"a": a, "b": b, "c": c}, _wide_body(None))).cast(DEC)
+    d = big(c) if isinstance(c, int) else c.cast(DEC)
+    return F.coalesce(_quotient(p, _nonzero(c)), _rare({"a": a, "b": b, "c": d}, WIDE_DOWN)).cast(DEC)
+
+
+def mul_div_ceil(a: Column, b: Column, c: Column | int) -> Column:
+    """As mul_div_floor(), rounded up."""
+    a, b = a.cast(DEC), b.cast(DEC)
+    p = F.try_multiply(a, b).cast(DEC)
+    d = big(c) if isinstance(c, int) else c.cast(DEC)
+    short = F.when(p == 0, big(0)).otherwise((_quotient((p - 1).cast(DEC), _nonzero(c)) + 1).cast(DEC))
+    return F.coalesce(short, _rare({"a": a, "b": b, "c": d}, WIDE_UP)).cast(DEC)
 
 
 def invert_price(p: Column) -> Column:

@@ -19,7 +19,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exact import AMOUNT_SCALE, DEC, PRICE_SCALE, big, bucket_start, div_floor, sat_mul, sat_sum
+from ..functions.exact import AMOUNT_SCALE, DEC, PRICE_SCALE, big, bucket_start, mul_div_floor, sat_mul, sat_sum
 from ..functions.paging import page
 from ..functions.scan import clamped_sums
 
@@ -112,10 +112,7 @@ def trade_prices(reserves: DataFrame) -> DataFrame:
     """Both prices after each trade, at 1e16; 0 on an empty side."""
     t = classify_activity(reserves).filter(F.col("kind").isin(*TRADE_KINDS))
     b, q = F.col("base_reserve"), F.col("quote_reserve")
-    # the products are named first so that they are evaluated once per row
-    return (t.withColumn("__nb", sat_mul(q, big(PRICE_SCALE))).withColumn("__nq", sat_mul(b, big(PRICE_SCALE)))
-            .withColumn("price_base", div_floor(F.col("__nb"), b))
-            .withColumn("price_quote", div_floor(F.col("__nq"), q)).drop("__nb", "__nq"))
+    return t.withColumn("price_base", mul_div_floor(q, big(PRICE_SCALE), b)).withColumn("price_quote", mul_div_floor(b, big(PRICE_SCALE), q))
 
 
 # ---------------------------------------------------------------- candles

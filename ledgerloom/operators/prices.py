@@ -180,10 +180,15 @@ def mcap_candles(candles: DataFrame, supply: DataFrame) -> DataFrame:
 
 
 def usd_to_sats(usd: Column, btc: Column) -> Column:
-    """USD value at 1e16 to sats at 1e16, whole part and remainder scaled apart."""
-    sats = sat_mul(usd, big(SATS_PER_BTC))
-    whole = div_floor(sats, btc)
-    rest = sats - whole * btc
+    """USD value at 1e16 to sats at 1e16, whole part and remainder scaled apart; the product before the first division saturates at 2^128 - 1."""
+    sats = F.try_multiply(usd.cast(DEC), big(SATS_PER_BTC)).cast(DEC)
+    whole = mul_div_floor(usd, big(SATS_PER_BTC), btc)
+    # a product past 38 digits is divided but for its last digit, then with it
+    tens = F.when(usd > big(U128_MAX // SATS_PER_BTC), big(U128_MAX // 10)).otherwise(F.try_multiply(usd.cast(DEC), big(SATS_PER_BTC // 10)).cast(DEC))
+    last = F.when(usd > big(U128_MAX // SATS_PER_BTC), big(U128_MAX % 10)).otherwise(big(0))
+    divisor = F.nullif(btc.cast(DEC), big(0))
+    wide = (((tens % divisor) * 10 + last).cast(DEC) % divisor).cast(DEC)
+    rest = F.when(sats.isNotNull(), F.try_subtract(sats, F.try_multiply(whole, btc.cast(DEC)).cast(DEC)).cast(DEC)).otherwise(wide)
     return F.when(btc == 0, big(0)).otherwise(
         sat_add(sat_mul(whole, big(PRICE_SCALE)), mul_div_floor(rest, big(PRICE_SCALE), btc))).cast(DEC)
 

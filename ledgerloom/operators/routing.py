@@ -3,22 +3,31 @@
 edges     pool_id, token_in, token_out, r_in, r_out
 requests  request_id, source, target, amount
 
-Paths grow by one equi-join per hop.  A hop may only go to tokens from which the
-target can still be reached in the hops left, so the fan-out of a hub token is cut
-before it is expanded; among parallel pools of one token path only the best amount
-can win, so the others drop out hop by hop.  Both cuts are exact.
+Token paths are found once per distinct (source, target) and kept with the pools of each step; a request is one
+join with its pair's row and one fold over its paths, so nothing is shuffled or written per hop and request.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+from functools import reduce
+from math import isqrt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exact import BPS, DEC, big, div_floor, mul_div_floor, sat_mul
+from ..functions.exact import BPS, DEC, big, mul_div_ceil, mul_div_floor
 from ..session import stage
 
 DEFAULT_FEE_BPS = 50
 DEFAULT_HOPS = 3
 MAX_HOPS = 6
+#: Shares over which the requests of one pair are dealt.
+PAIR_SHARES = 16
+POOL = "struct<pool_id:bigint,r_in:decimal(38,0),r_out:decimal(38,0)>"
+LEG = f"array<{POOL}>"
 
 
 def pool_edges(reserves: DataFrame, pools: DataFrame) -> DataFrame:
@@ -31,81 +40,92 @@ def pool_edges(reserves: DataFrame, pools: DataFrame) -> DataFrame:
     return j.select("pool_id", both.alias("e")).select("pool_id", "e.*")
 
 
-def with_xyk_out(df: DataFrame, r_in: str, r_out: str, amount: str, out: str, fee_bps: int = DEFAULT_FEE_BPS) -> DataFrame:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def xyk_out(r_in: Column, r_out: Column, amount: Column, fee_bps: int = DEFAULT_FEE_BPS) -> Column:
     """Constant-product output for an exact input, fee taken first; null on an empty pool."""
-    x = div_floor(sat_mul(F.col(amount), big(BPS - fee_bps)), BPS)
-    df = df.withColumn("__x", x)
-    value = mul_div_floor(F.col("__x"), F.col(r_out), (F.col(r_in) + F.col("__x")).cast(DEC))
-    return df.withColumn(out, F.when((F.col(r_in) > 0) & (F.col(r_out) > 0), value)).drop("__x")
+    paid = mul_div_floor(amount, big(BPS - fee_bps), BPS)
+    return F.when((r_in > 0) & (r_out > 0), _let(paid, lambda x: mul_div_floor(x, r_out, (r_in + x).cast(DEC))))
 
 
-def with_xyk_in(df: DataFrame, r_in: str, r_out: str, amount: str, out: str, fee_bps: int = DEFAULT_FEE_BPS) -> DataFrame:
+def xyk_in(r_in: Column, r_out: Column, amount: Column, fee_bps: int = DEFAULT_FEE_BPS) -> Column:
     """Least input for an exact output, rounded up; null when the pool cannot give it."""
-    ok = (F.col(r_in) > 0) & (F.col(r_out) > 0) & (F.col(amount) > 0) & (F.col(amount) < F.col(r_out))
-    df = df.withColumn("__n", F.when(ok, sat_mul(F.col(amount), F.col(r_in)))) \
-        .withColumn("__d", F.when(ok, (F.col(r_out) - F.col(amount)).cast(DEC)))
-    df = df.withColumn("__x", F.when(F.col("__n").isNotNull(), ceil_div(F.col("__n"), F.col("__d"))))
-    return df.withColumn(out, F.when(F.col("__x").isNotNull(), ceil_div(sat_mul(F.col("__x"), big(BPS)), big(BPS - fee_bps)))) \
-        .drop("__n", "__d", "__x")
+    ok = (r_in > 0) & (r_out > 0) & (amount > 0) & (amount < r_out)
+    return F.when(ok, mul_div_ceil(mul_div_ceil(amount, r_in, (r_out - amount).cast(DEC)), big(BPS), BPS - fee_bps))
 
 
-def ceil_div(a: Column, b: Column) -> Column:
-    return F.when(a == 0, big(0)).otherwise((div_floor((a - 1).cast(DEC), b) + 1).cast(DEC)).cast(DEC)
+def with_xyk_out(df: DataFrame, r_in: str, r_out: str, amount: str, out: str, fee_bps: int = DEFAULT_FEE_BPS) -> DataFrame:
+    return df.withColumn(out, xyk_out(F.col(r_in), F.col(r_out), F.col(amount), fee_bps))
 
 
-def parallelism(spark) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def with_xyk_in(df: DataFrame, r_in: str, r_out: str, amount: str, out: str, fee_bps: int = DEFAULT_FEE_BPS) -> DataFrame:
+    return df.withColumn(out, xyk_in(F.col(r_in), F.col(r_out), F.col(amount), fee_bps))
+
+
+# ---------------------------------------------------------------- paths
 
+def checked_hops(max_hops: int, least: int = 1) -> int:
+    if not least <= max_hops <= MAX_HOPS:
+        raise ValueError(f"hops must be {least} to {MAX_HOPS}, not {max_hops}")
+    return max_hops
 
-def _reach(requests: DataFrame, edges: DataFrame, hops: int, forward: bool) -> list[DataFrame]:
-    """For each number of hops left, the (goal, token) pairs from which the goal can be
-    reached; ``forward`` walks towards the target, else towards the source."""
-    goal = "target" if forward else "source"
-    step = edges.select(F.col("token_in" if forward else "token_out").alias("token"),
-                        F.col("token_out" if forward else "token_in").alias("via")).distinct()
-    sets = [requests.select(F.col(goal).alias("goal"), F.col(goal).alias("token")).distinct()]
-    for _ in range(hops - 1):
-        prev = sets[-1].withColumnRenamed("token", "via")
-        sets.append(stage(prev.join(step, "via").select("goal", "token").union(sets[-1]).distinct()))
-    return sets
+
+def path_index(pairs: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_HOPS) -> DataFrame:
+    """(source, target, paths): the simple token paths of each distinct pair, with the pools that serve each step.
+
+    Half paths grow from both ends over the pair's own neighbours and meet in an equi-join on the two tokens of a middle step, so no hub's pools are spread out
+    and no path is grown that does not arrive. One row a pair: ``paths`` is an array of (tokens, legs), ``legs`` one array of (pool_id, r_in, r_out) a step.
+    """
+    hops = checked_hops(max_hops)
+    pool = F.struct(F.col("pool_id").cast("bigint").alias("pool_id"), "r_in", "r_out")
+    steps = stage(edges.groupBy("token_in", "token_out").agg(F.sort_array(F.collect_list(pool)).alias("leg")))
+    wanted = pairs.filter(F.col("source") != F.col("target")).select("source", "target").distinct()
+    half = {}
+    for side, here, there in (("source", "token_in", "token_out"), ("target", "token_out", "token_in")):
+        ends = wanted.select(F.col(side).alias("end")).distinct()
+        grown = [ends.select("end", F.col("end").alias("token"), F.array("end").alias("tokens"), F.array().cast(f"array<{LEG}>").alias("legs"))]
+        for _ in range((hops - (side == "target")) // 2):
+            n = grown[-1].join(steps.withColumnsRenamed({here: "token", there: "next"}), "token").filter(~F.array_contains("tokens", F.col("next")))
+            pair = lambda a, b: F.concat(a, b) if side == "source" else F.concat(b, a)  # noqa: B023, E731
+            grown.append(n.select("end", F.col("next").alias("token"), pair(F.col("tokens"), F.array("next")).alias("tokens"), pair(F.col("legs"), F.array("leg")).alias("legs")))
+        half[side] = grown
+    found = []
+    for length in range(1, hops + 1):
+        first = half["source"][length // 2].select(F.col("end").alias("source"), F.col("token").alias("token_in"), F.col("tokens").alias("t0"), F.col("legs").alias("l0"))
+        last = half["target"][length - 1 - length // 2].select(F.col("end").alias("target"), F.col("token").alias("token_out"), F.col("tokens").alias("t1"), F.col("legs").alias("l1"))
+        met = wanted.join(first, "source").join(last, "target").filter(~F.arrays_overlap("t0", "t1")).join(steps, ["token_in", "token_out"])
+        found.append(met.select("source", "target", F.struct(F.concat("t0", "t1").alias("tokens"), F.concat("l0", F.array("leg"), "l1").alias("legs")).alias("p")))
+    return reduce(DataFrame.unionByName, found).groupBy("source", "target").agg(F.collect_list("p").alias("paths"))
+
+
+def _folded(path: Column, amount: Column, fee_bps: int, forward: bool) -> Column:
+    """(amount, pools) over a path's legs; each step takes the best of its parallel pools, which is exact because outputs grow with inputs."""
+    def step(s: Column, leg: Column) -> Column:
+        def one(p: Column) -> Column:
+            value = xyk_out(p["r_in"], p["r_out"], s["amount"], fee_bps) if forward else xyk_in(p["r_in"], p["r_out"], s["amount"], fee_bps)
+            return _let(value, lambda v: F.struct((-v if forward else v).cast(DEC).alias("k"), p["pool_id"].alias("pool_id"), (v > 0).alias("ok")))
+        best = F.array_min(F.filter(F.transform(leg, one), lambda x: x["ok"]))
+        pools = lambda b: F.concat(s["pools"], F.array(b["pool_id"])) if forward else F.concat(F.array(b["pool_id"]), s["pools"])
+        return _let(best, lambda b: F.struct((-b["k"] if forward else b["k"]).cast(DEC).alias("amount"), pools(b).alias("pools")))
+    legs = path["legs"] if forward else F.reverse(path["legs"])
+    return F.aggregate(legs, F.struct(amount.alias("amount"), F.array().cast("array<bigint>").alias("pools")), step)
 
 
 def _search(requests: DataFrame, edges: DataFrame, max_hops: int, fee_bps: int, forward: bool) -> DataFrame:
-    hops = max(1, min(max_hops, MAX_HOPS))
-    reach = _reach(requests, edges, hops, forward)
-    start, goal = ("source", "target") if forward else ("target", "source")
-    here, there = ("token_in", "token_out") if forward else ("token_out", "token_in")
-    cur = requests.filter(F.col("source") != F.col("target")).select(
-        "request_id", F.col(goal).alias("goal"), F.col(start).alias("token"), F.col("amount").cast(DEC).alias("amount"),
-        F.array(F.col(start)).alias("tokens"), F.array().cast("array<bigint>").alias("pools"))
-    found = None
-    spread = parallelism(requests.sparkSession)
-    e = edges.withColumnRenamed(here, "token").withColumnRenamed(there, "next")
-    for hop in range(1, hops + 1):
-        ok = reach[hops - hop].select("goal", F.col("token").alias("next"))
-        n = cur.join(e, "token").filter(~F.array_contains("tokens", F.col("next")))
-        n = n.join(ok, ["goal", "next"], "left_semi")
-        # wide integer math is the cost of a hop: spread it before, not after, it runs;
-        # the grouping below reuses this partitioning
-        n = n.repartition(spread, "request_id")
-        n = (with_xyk_out if forward else with_xyk_in)(n, "r_in", "r_out", "amount", "value", fee_bps)
-        n = n.filter(F.col("value") > 0)
-        p = F.col("pool_id").cast("bigint")
-        n = n.select("request_id", "goal", F.col("next").alias("token"), F.col("value").alias("amount"),
-                     (F.concat("tokens", F.array("next")) if forward else F.concat(F.array("next"), "tokens")).alias("tokens"),
-                     (F.concat("pools", F.array(p)) if forward else F.concat(F.array(p), "pools")).alias("pools"))
-        # parallel pools: one best row per token path
-        rank = F.struct((-F.col("amount") if forward else F.col("amount")).cast(DEC).alias("k"), "pools")
-        n = n.groupBy("request_id", "goal", "token", "tokens").agg(F.min(rank).alias("b"))
-        n = n.select("request_id", "goal", "token", "tokens", F.col("b.pools").alias("pools"),
-                     (-F.col("b.k") if forward else F.col("b.k")).cast(DEC).alias("amount"))
-        # both the finished and the growing paths read this hop, so it is computed once
-        n = stage(n)
-        done = n.filter(F.col("token") == F.col("goal"))
-        found = done if found is None else found.unionByName(done)
-        cur = n.filter(F.col("token") != F.col("goal"))
-    best = F.struct((-F.col("amount") if forward else F.col("amount")).cast(DEC).alias("k"), F.size("pools").alias("hops"), "pools", "tokens")
-    b = found.groupBy("request_id").agg(F.min(best).alias("b"))
+    index = stage(path_index(requests, edges, max_hops))
+    # one pair may have most of the requests: they are dealt over shares, its one row is copied
+    asked = requests.select("request_id", "source", "target", F.col("amount").cast(DEC).alias("asked"), F.pmod(F.xxhash64("request_id"), F.lit(PAIR_SHARES)).alias("share"))
+    copies = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_SHARES - 1).cast("long"))).alias("share"))
+    r = asked.join(copies, ["source", "target", "share"])
+
+    def entry(p: Column) -> Column:
+        return _let(_folded(p, F.col("asked"), fee_bps, forward), lambda s: F.struct(
+            (-s["amount"] if forward else s["amount"]).cast(DEC).alias("k"), F.size(p["legs"]).alias("hops"), s["pools"].alias("pools"), p["tokens"].alias("tokens")))
+    best = F.array_min(F.filter(F.transform("paths", entry), lambda x: x["k"].isNotNull()))
+    b = r.select("request_id", best.alias("b")).filter(F.col("b").isNotNull())
     return b.select("request_id", (-F.col("b.k") if forward else F.col("b.k")).cast(DEC).alias("amount"), F.col("b.hops").alias("hops"),
                     F.col("b.tokens").alias("tokens"), F.col("b.pools").alias("pools"))
 
@@ -125,53 +145,144 @@ def best_route_exact_out(requests: DataFrame, edges: DataFrame, max_hops: int =
     return r.filter(F.col("amount") <= max_in) if max_in is not None else r
 
 
-def arbitrage_cycles(tokens: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_HOPS, fee_bps: int = DEFAULT_FEE_BPS,
-                     around: int = 2) -> DataFrame:
-    """Most profitable simple cycle from each token.  ``tokens``: token.
+# ---------------------------------------------------------------- cycles
+
+def parallelism(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
-    Constant-product legs compose to ``a*x / (b + c*x)``, so a cycle pays most for the input ``(sqrt(a*b) - b) / c``, at most a third of the
-    smallest input reserve. The integers ``around`` it are scored with the exact leg formula.
+def cycle_output(legs: list[tuple[int, int]], x: int, pay: int) -> int:
+    """Output of (r_in, r_out) legs for an exact input; products are not bounded here."""
+    for r_in, r_out in legs:
+        x = x * pay // BPS
+        x = x * r_out // (r_in + x)
+    return x
+
+
+def cycle_input(legs: list[tuple[int, int]], y: int, pay: int) -> int | None:
+    """Least input that gives at least ``y``; null when the legs cannot give it."""
+    for r_in, r_out in reversed(legs):
+        if y >= r_out:
+            return None
+        x = -(-y * r_in // (r_out - y))
+        y = -(-x * BPS // pay)
+    return y
+
+
+def _curve(legs: list[tuple[int, int]], pay: int) -> tuple[int, int, int]:
+    """(a, b, c) of the smooth output a x / (b + c x) of the legs; floors only lower it."""
+    a, b, c = 1, 1, 0
+    for r_in, r_out in legs:
+        a, b, c = a * pay * r_out, b * r_in * BPS, c * r_in * BPS + a * pay
+    return a, b, c
+
+
+def profit_bounds(legs: list[tuple[int, int]], limit: int, pay: int) -> tuple[int, int]:
+    """(a profit that some whole input up to ``limit`` reaches, one that none exceeds): scored near the smooth top, and (sqrt(a) - sqrt(b))^2 / c."""
+    a, b, c = _curve(legs, pay)
+    if a <= b or limit < 1:
+        return 0, 0
+    near = max(1, min(limit, (isqrt(a * b) - b) // c))
+    low = max([0, *(cycle_output(legs, x, pay) - x for x in range(max(1, near - 2), min(limit, near + 2) + 1))])
+    return low, (a + b - 2 * isqrt(a * b)) // c + 1
+
+
+def _first_reaching(legs: list[tuple[int, int]], p: int, limit: int, pay: int) -> int | None:
+    """The smallest whole input up to ``limit`` with a profit of ``p`` or more.
+
+    Only inputs between the roots of the smooth curve can have it. From an input x none below the least input for an output of p + x has it, which steps over
+    coarse legs; the stretch after it is scored in extended precision, and exactly wherever a floor is too close to call.
+    """
+    a, b, c = _curve(legs, pay)
+    lead = a - b - p * c
+    spread = lead * lead - 4 * c * p * b
+    if lead < 0 or spread < 0:
+        return None
+    x = max(1, (lead - isqrt(spread) - 1) // (2 * c))
+    last, block = min(limit, (lead + isqrt(spread) + 1) // (2 * c) + 1), 256
+    while x <= last:
+        least = cycle_input(legs, p + x, pay)
+        if least is None or least > last:
+            return None
+        if least <= x:
+            return x
+        x = least
+        n = min(block, last - x + 1)
+        paid = np.arange(n, dtype=np.longdouble) + np.longdouble(x)
+        value, unsure = paid, np.zeros(n, dtype=bool)
+        for r_in, r_out in legs:
+            for top, under in ((pay, BPS), (r_out, None)):
+                raw = value * np.longdouble(top) / (np.longdouble(under) if under else value + np.longdouble(r_in))
+                value = np.floor(raw)
+                near = np.abs(raw - np.rint(raw))
+                unsure |= near <= raw * np.longdouble(2e-18) + np.longdouble(1e-12)
+        for i in np.flatnonzero(unsure | (value - paid >= np.longdouble(p))).tolist():
+            if cycle_output(legs, x + i, pay) - x - i >= p:
+                return x + i
+        x, block = x + n, min(block * 2, 1 << 17)
+    return None
+
+
+def best_input(legs: list[tuple[int, int]], limit: int, pay: int) -> tuple[int, int]:
+    """(profit, input) of the most profitable whole input up to ``limit``, the smallest of equal ones; (0, 0) without profit.
+
+    What can be reached is monotone in the profit, so it is bisected between its bounds.
+    """
+    low, high = profit_bounds(legs, limit, pay)
+    best = None
+    while low < high:
+        mid = (low + high + 1) // 2
+        found = _first_reaching(legs, mid, limit, pay)
+        if found is None:
+            high = mid - 1
+        else:
+            low, best = cycle_output(legs, found, pay) - found, found
+    if low <= 0:
+        return 0, 0
+    return low, best if best is not None else _first_reaching(legs, low, limit, pay)
+
+
+def arbitrage_cycles(tokens: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_HOPS, fee_bps: int = DEFAULT_FEE_BPS) -> DataFrame:
+    """Most profitable simple cycle from each token, with the exact whole input: at most a third of the smallest input reserve, the smallest of equally good ones.
+    ``tokens``: token. Ties between cycles take fewer legs, then the larger path text.
+
+    Cycles come from the path index: a path from a token to each neighbour and the pools that lead back. Each cycle is a row that is solved by itself.
     """
-    hops = max(2, min(max_hops, MAX_HOPS))
-    e = edges.select("pool_id", F.col("token_in").alias("token"), F.col("token_out").alias("next"), "r_in", "r_out")
-    req = tokens.select(F.col("token").alias("target"))
-    reach = _reach(req, edges, hops, True)
-    cur = tokens.select(F.col("token").alias("start"), "token", F.array().cast("array<bigint>").alias("seen"),
-                        F.array().cast("array<struct<pool_id:bigint,r_in:decimal(38,0),r_out:decimal(38,0)>>").alias("legs"))
-    found = None
-    for hop in range(1, hops + 1):
-        ok = reach[hops - hop].select(F.col("goal").alias("start"), F.col("token").alias("next"))
-        n = cur.join(e, "token").join(ok, ["start", "next"], "left_semi")
-        fresh = ~F.array_contains("seen", F.col("next"))
-        unused = ~F.exists("legs", lambda l: l["pool_id"] == F.col("pool_id"))
-        n = n.filter(fresh & unused).select(
-            "start", F.col("next").alias("token"), F.concat("seen", F.array("next")).alias("seen"),
-            F.concat("legs", F.array(F.struct(F.col("pool_id").cast("bigint").alias("pool_id"), "r_in", "r_out"))).alias("legs"))
-        n = stage(n)
-        done = n.filter((F.col("token") == F.col("start")) & (F.size("legs") >= 2))
-        found = done if found is None else found.unionByName(done)
-        cur = n.filter(F.col("token") != F.col("start"))
-    cap = div_floor(F.array_min(F.transform("legs", lambda l: l["r_in"])), 3)
-    c = found.withColumn("hi", cap).filter(F.col("hi") > 0) \
-        .withColumn("cycle", F.array_join(F.transform("legs", lambda l: l["pool_id"].cast("string")), ">"))
-    pay = 1 - fee_bps / 10_000
-    one = F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.0).alias("c"))
-    curve = F.aggregate("legs", one, lambda s, l: F.struct((s["a"] * pay * l["r_out"].cast("double")).alias("a"), (s["b"] * l["r_in"].cast("double")).alias("b"),
-                                                           (s["c"] * l["r_in"].cast("double") + s["a"] * pay).alias("c")))
-    c = c.withColumn("f", curve).withColumn("best", F.greatest(F.lit(1.0), F.floor((F.sqrt(F.col("f.a") * F.col("f.b")) - F.col("f.b")) / F.col("f.c")).cast("double")))
-    c = c.withColumn("near", F.when(F.col("best") >= F.col("hi").cast("double"), F.col("hi")).otherwise(F.col("best").cast(DEC)))
-    tries = F.array_distinct(F.array(*[F.least(F.greatest((F.col("near") + d).cast(DEC), big(1)), F.col("hi")) for d in range(-around, around + 1)]))
-    c = c.select("start", "cycle", "legs", F.explode(tries).alias("amount")).withColumn("value", F.col("amount"))
-    for k in range(hops):
-        leg = F.try_element_at("legs", F.lit(k + 1))
-        c = c.withColumn("__ri", leg["r_in"]).withColumn("__ro", leg["r_out"])
-        c = with_xyk_out(c, "__ri", "__ro", "value", "__v", fee_bps)
-        c = c.withColumn("value", F.coalesce("__v", "value")).drop("__v", "__ri", "__ro")
-    gain = F.max(F.struct((F.col("value") - F.col("amount")).cast(DEC).alias("profit"), (-F.col("amount")).cast(DEC).alias("neg"), F.col("legs").alias("legs"))).alias("b")
-    c = c.groupBy("start", "cycle").agg(gain).select("start", "cycle", F.col("b.legs").alias("legs"), F.col("b.profit").alias("profit"), (-F.col("b.neg")).cast(DEC).alias("best_in"))
-    top = F.max(F.struct("profit", (-F.size("legs")).alias("h"), "cycle", "best_in")).alias("t")
-    return c.filter(F.col("profit") > 0).groupBy("start").agg(top).select(
-        F.col("start").alias("token"), F.col("t.profit").alias("profit"), F.col("t.best_in").alias("amount_in"), F.col("t.cycle").alias("cycle"))
+    hops = checked_hops(max_hops, 2)
+    back = edges.join(tokens.select(F.col("token").alias("token_out")), "token_out", "left_semi").select(
+        F.col("token_out").alias("source"), F.col("token_in").alias("target"), F.struct(F.col("pool_id").cast("bigint").alias("pool_id"), "r_in", "r_out").alias("back"))
+    index = path_index(back, edges, hops - 1)
+    c = back.join(index, ["source", "target"]).select("source", "back", F.explode("paths").alias("p"))
+    # one row for each choice of parallel pools
+    c = c.select("source", "back", F.col("p.legs").alias("open"), F.array().cast(f"array<{POOL}>").alias("legs"))
+    for k in range(hops - 1):
+        c = c.withColumn("choice", F.explode(F.coalesce(F.try_element_at("open", F.lit(k + 1)), F.array(F.lit(None).cast(POOL)))))
+        c = c.withColumn("legs", F.when(F.col("choice").isNull(), F.col("legs")).otherwise(F.concat("legs", F.array("choice")))).drop("choice")
+    c = c.filter(~F.exists("legs", lambda l: l["pool_id"] == F.col("back.pool_id"))).select(F.col("source").alias("token"), F.concat("legs", F.array("back")).alias("legs"))
+    pay = BPS - fee_bps
+
+    def rows(batches, fn, names):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                pairs = [(int(x["r_in"]), int(x["r_out"])) for x in r.legs]
+                out += fn(r.token, r.legs, pairs, min(x for x, _ in pairs) // 3)
+            yield pd.DataFrame(out, columns=names)
+
+    def bounds(token, legs, pairs, limit):
+        low, high = profit_bounds(pairs, limit, pay)
+        return [(token, legs, Decimal(low), Decimal(high))] if high > 0 else []
+
+    def solve(token, legs, pairs, limit):
+        profit, amount = best_input(pairs, limit, pay)
+        return [(token, Decimal(profit), Decimal(amount), ">".join(str(x["pool_id"]) for x in legs), -len(legs))] if profit else []
+    bounded = stage(c.mapInPandas(lambda b: rows(b, bounds, ["token", "legs", "low", "high"]), f"token bigint, legs {LEG}, low decimal(38,0), high decimal(38,0)"))
+    # only cycles that may beat what another one of the token surely reaches are solved
+    hopeful = bounded.join(bounded.groupBy("token").agg(F.max("low").alias("sure")), "token").filter((F.col("high") >= F.col("sure"))).select("token", "legs")
+    solved = hopeful.repartition(parallelism(tokens.sparkSession)).mapInPandas(
+        lambda b: rows(b, solve, ["token", "profit", "amount_in", "cycle", "h"]), "token bigint, profit decimal(38,0), amount_in decimal(38,0), cycle string, h int")
+    top = F.max(F.struct("profit", "h", "cycle", "amount_in")).alias("t")
+    return solved.groupBy("token").agg(top).select("token", F.col("t.profit").alias("profit"), F.col("t.amount_in").alias("amount_in"), F.col("t.cycle").alias("cycle"))
 
 
 def pair_route(pairs: DataFrame, edges: DataFrame, pools: DataFrame, amount: int = 1, max_hops: int = DEFAULT_HOPS,
