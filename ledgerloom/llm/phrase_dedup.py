@@ -27,6 +27,8 @@ WINDOW, GRAM = 13, 6
 SHARD_BYTES, STREAM_BYTES = 1 << 19, 1 << 23
 #: A null doc_id comes after all others.
 LAST = (1 << 63) - 1
+#: Characters that can stand for words in an automaton over text.
+CHARACTERS = 1_100_000
 
 
 def documents(docs: DataFrame, *extra) -> DataFrame:
@@ -106,28 +108,34 @@ def _locate(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Compile the automaton of a shard and stream its segments: covered word ranges (o, h, x, y)."""
     kind, o, h, at = (group.column(k).to_numpy() for k in ("kind", "o", "h", "at"))
     texts = group.column("text").to_pylist()
-    symbol: dict[str, str] = {}
-    unknown = "\x01"
-
-    def name(word: str) -> str:
-        n = len(symbol) + 2
-        return symbol.setdefault(word, chr(n if n < 0xD800 else n + 0x800))
-
-    first: dict[str, int] = {}
+    number: dict[str, int] = {}
+    for i in np.flatnonzero(kind == 0).tolist():
+        for w in texts[i].split(" "):
+            number.setdefault(w, len(number) + 2)
+    # one character a word while there are characters, else one integer
+    wide = len(number) > CHARACTERS
+    symbol = number if wide else {w: chr(n if n < 0xD800 else n + 0x800) for w, n in number.items()}
+    unknown = 1 if wide else "\x01"
+
+    def line_of(text: str) -> str | tuple:
+        found = [symbol.get(w, unknown) for w in text.split(" ")]
+        return tuple(found) if wide else "".join(found)
+
+    first: dict[str | tuple, int] = {}
     for i in np.flatnonzero(kind == 0).tolist():
-        line = "".join([symbol.get(w) or name(w) for w in texts[i].split(" ")])
+        line = line_of(texts[i])
         owner = int(o[i])
         for k in range(len(line) - WINDOW + 1):
             w = line[k:k + WINDOW]
             if first.get(w, LAST) >= owner:
                 first[w] = owner
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if wide else ahocorasick.Automaton()
     for w, owner in first.items():
         automaton.add_word(w, owner)
     automaton.make_automaton()
     out: list[list] = [[], [], [], []]
     for i in np.flatnonzero(kind == 1).tolist() if first else ():
-        line = "".join([symbol.get(w, unknown) for w in texts[i].split(" ")])
+        line = line_of(texts[i])
         base, mine, begin, end = int(at[i]), int(o[i]), -1, -1
         spans = []
         for last, owner in automaton.iter(line):

@@ -42,8 +42,10 @@ def test_substring_dedup_equals_brute_force(spark):
     assert got == brute.substring_dedup(rows)
 
 
-def test_substring_dedup_odd_rows(spark, monkeypatch):
+@pytest.mark.parametrize("characters", [1_100_000, 5])
+def test_substring_dedup_odd_rows(spark, monkeypatch, characters):
     monkeypatch.setattr(phrase_dedup, "STREAM_BYTES", 200)
+    monkeypatch.setattr(phrase_dedup, "CHARACTERS", characters)
     p = " ".join(f"p{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "x " + p), (1, "x " + p), (2, p + " y"), (2, None), (None, p), (3, ""), (4, " ".join("ab") + " " + p)] + [(k, p + f" z{k}") for k in range(10, 40)], "doc_id long, text string")
     out = collections.Counter((r["row"]["doc_id"], r.n_words, r.n_removed, r.kept) for r in phrase_dedup.drop_repeated_words(docs).collect())
