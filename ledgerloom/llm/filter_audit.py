@@ -16,6 +16,7 @@ from .common import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Letters of the filters in the order of their bits; the last, exact duplicates, needs the whole table.
 LETTERS = "ABCDE"
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 def text_mask(text: Column) -> Column:
@@ -40,8 +41,8 @@ def mask_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("g"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"))
     known = counted.join(marks, "d", "left").select("digest", "part", "mask", F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("t", F.lit(0)).alias("t"), "d", "c")
     # Per text, part and label at most a few rows: all documents, those without doc_id, the smallest doc_id and how often it occurs.
-    kinds = known.groupBy("digest", "part", "mask", "g", "t").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("d").isNull(), F.col("c")).otherwise(0)).alias("unnamed"),
-                                                               F.min("d").alias("least"), F.min_by("c", "d").alias("at_least"))
+    kinds = stage(known.groupBy("digest", "part", "mask", "g", "t").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("d").isNull(), F.col("c")).otherwise(0)).alias("unnamed"),
+                                                                     F.min("d").alias("least"), F.min_by("c", "d").alias("at_least")))
     first = kinds.groupBy("digest").agg(F.min("least").alias("first")).where("first is not null")
     # The rows of a kind that have the first doc_id of the text; one doc_id in several kinds is first in each.
     both = kinds.join(first, "digest", "left")
@@ -52,22 +53,21 @@ def mask_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("g")).alias("good"), F.sum(F.col("n") * F.col("t")).alias("toxic"))
 
 
-#: Cells travel as one array a part; the letters are those of the masks' bits. A step's metrics are sums over the cells of the part.
+#: A part's cells are one array, joined at each level; the letters are those of the masks' bits. A step's metrics are sums over the cells of the part.
 STEPS = """
-with recursive letters(letter, bit) as (select * from values {letters}),
-walk(part, cells, prefix, applied, step, metrics) as (
-  select part, cells, '', 0, 0, cast(array() as array<struct<filter:string, kept:bigint, removed:bigint, redundant:bigint, unique_fails:bigint, good_lost:bigint, toxic_lost:bigint>>)
+with recursive walk(part, prefix, applied, step, metrics) as (
+  select part, '', 0, 0, cast(array() as array<struct<filter:string, kept:bigint, removed:bigint, redundant:bigint, unique_fails:bigint, good_lost:bigint, toxic_lost:bigint>>)
   from {cells}
   union all
-  select w.part, w.cells, concat(w.prefix, l.letter), w.applied | l.bit, w.step + 1, concat(w.metrics, array(named_struct(
+  select w.part, concat(prefix, l.letter), applied | l.bit, step + 1, concat(metrics, array(named_struct(
     'filter', l.letter,
-    'kept', aggregate(w.cells, 0L, (s, x) -> s + if(x.mask & (w.applied | l.bit) = 0, x.n, 0L)),
-    'removed', aggregate(w.cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & w.applied = 0, x.n, 0L)),
-    'redundant', aggregate(w.cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & w.applied <> 0, x.n, 0L)),
-    'unique_fails', aggregate(w.cells, 0L, (s, x) -> s + if(x.mask = l.bit, x.n, 0L)),
-    'good_lost', aggregate(w.cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & w.applied = 0, x.good, 0L)),
-    'toxic_lost', aggregate(w.cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & w.applied = 0, x.toxic, 0L)))))
-  from walk w join letters l on w.applied & l.bit = 0
+    'kept', aggregate(cells, 0L, (s, x) -> s + if(x.mask & (applied | l.bit) = 0, x.n, 0L)),
+    'removed', aggregate(cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & applied = 0, x.n, 0L)),
+    'redundant', aggregate(cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & applied <> 0, x.n, 0L)),
+    'unique_fails', aggregate(cells, 0L, (s, x) -> s + if(x.mask = l.bit, x.n, 0L)),
+    'good_lost', aggregate(cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & applied = 0, x.good, 0L)),
+    'toxic_lost', aggregate(cells, 0L, (s, x) -> s + if(x.mask & l.bit <> 0 and x.mask & applied = 0, x.toxic, 0L)))))
+  from (select *, explode(filter(array({letters}), y -> applied & y.bit = 0)) as l from walk) w join {cells} c on c.part = w.part
 )
 select part, prefix as filter_order, posexplode(metrics) as (at, m) from walk where step = {steps}
 """
@@ -82,10 +82,15 @@ def audit(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
     arrays = cells.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("mask", "n", "good", "toxic"))).alias("cells"))  # at most 2^letters a part
     name = f"mask_cells_{uuid.uuid4().hex}"
     stage(arrays).createOrReplaceTempView(name)
-    pairs = ", ".join(f"('{c}', {1 << k})" for k, c in enumerate(letters))
+    pairs = ", ".join(f"named_struct('letter', '{c}', 'bit', {1 << k})" for k, c in enumerate(letters))
     orders = spark.sql(STEPS.format(letters=pairs, cells=name, steps=len(letters)))
-    spark.catalog.dropTempView(name)
-    rows = stage(orders.select("part", "filter_order", (F.col("at") + 1).cast("int").alias("step"), "m.*"))
+    limit = spark.conf.get(ROW_LIMIT)
+    spark.conf.set(ROW_LIMIT, "-1")  # some 326 rows a part, however many parts there are
+    try:
+        rows = stage(orders.select("part", "filter_order", (F.col("at") + 1).cast("int").alias("step"), "m.*"))
+    finally:
+        spark.conf.set(ROW_LIMIT, limit)
+        spark.catalog.dropTempView(name)
     total = rows.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
     return rows.join(total, ["part", "filter"]).select("part", "filter_order", "step", "filter", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 

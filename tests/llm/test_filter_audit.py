@@ -61,3 +61,16 @@ def test_audit_of_other_letters(spark):
     assert len(rows) == 18
     assert (rows["XYZ", 1].removed, rows["XYZ", 2].removed, rows["XYZ", 2].redundant, rows["XYZ", 3].removed, rows["XYZ", 3].kept) == (2, 0, 2, 7, 5)
     assert rows["XYZ", 1].shapley == 6 and rows["XYZ", 3].shapley == 42
+
+
+def test_audit_of_many_parts(spark):
+    """More rows than a recursive query may have by default, were they to count: the limit is lifted while it runs."""
+    from pyspark.sql import functions as F
+    limit = spark.conf.get(filter_audit.ROW_LIMIT)
+    spark.conf.set(filter_audit.ROW_LIMIT, "1000")
+    try:
+        cells = spark.range(50).select(F.col("id").cast("string").alias("part"), F.lit(1).alias("mask"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
+        assert filter_audit.audit(cells).count() == 50 * 600
+        assert spark.conf.get(filter_audit.ROW_LIMIT) == "1000"
+    finally:
+        spark.conf.set(filter_audit.ROW_LIMIT, limit)
