@@ -50,7 +50,7 @@ def collection_names(instances: DataFrame) -> DataFrame:
     return j.withColumn("label", F.concat(F.col("base"), F.lit(" #"), (F.col("index") + 1).cast("string")))
 
 
-def contract_kv(writes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def contract_kv(writes: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     """Key-sorted page of the latest state of each contract, value shown as hex, text
     or little-endian number where it can be."""
     last = storage_last_write(writes)
@@ -59,7 +59,7 @@ def contract_kv(writes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     b = F.col("value")
     return p.select("contract", "key", F.concat(F.lit("0x"), F.lower(F.hex(b))).alias("value_hex"), utf8_or_null(b).alias("value_text"),
                     u128_le(b).alias("value_number"), "txid", "position", "total",
-                    (F.col("total") > offset + limit).alias("has_more"))
+                    (F.lit(False) if limit is None else F.col("total") > offset + limit).alias("has_more"))
 
 
 def creation_list(creations: DataFrame, holder_counts: DataFrame, by: str = "age", desc: bool = True,

@@ -220,7 +220,7 @@ def latest_traced(txs: DataFrame, n: int = 20) -> DataFrame:
     return page(txs, [F.desc("height"), F.desc("tx_idx")], n, total=False)
 
 
-def address_txs(outputs: DataFrame, pending: DataFrame, tip: int, limit: int, offset: int = 0) -> DataFrame:
+def address_txs(outputs: DataFrame, pending: DataFrame, tip: int | Column, limit: int, offset: int = 0) -> DataFrame:
     """Transactions per address: pending ones first, then confirmed newest first.
     ``pending``: address, tx_id; a pending transaction is not listed again."""
     made = outputs.select("address", "tx_id", F.col("created_height").alias("height"))
@@ -282,23 +282,24 @@ def tx_fees(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
         "tx_id", F.when((F.col("missing") == 0) & (fee >= 0), fee).cast(DEC).alias("fee"))
 
 
-def sample_series(metric: DataFrame, keys: Sequence[str], value: str, lo: int, hi: int, step: int) -> DataFrame:
-    """A step metric at heights lo, lo+step, … and always hi; 0 before its first value.
+def sample_series(metric: DataFrame, keys: Sequence[str], value: str, lo: int, hi: int | None, step: int) -> DataFrame:
+    """A step metric at heights lo, lo+step, … and always hi; 0 before its first value.  Without ``hi`` it ends at the last height of all.
 
     Each stored value covers the heights up to the next change, so the samples inside
     that span are generated beside it; no range join.
     """
     w = Window.partitionBy(*keys).orderBy("height")
-    m = metric.select(*keys, "height", value).filter(F.col("height") <= hi)
-    m = m.withColumn("__to", F.coalesce(F.lead("height").over(w) - 1, F.lit(hi)))
-    start = metric.select(*keys).distinct()
+    end = metric.agg(F.max("height").cast("bigint").alias("hi")).scalar() if hi is None else F.lit(hi).cast("bigint")
+    hi = F.col("__hi")
+    m = metric.select(*keys, "height", value).withColumn("__hi", end).filter(F.col("height") <= hi)
+    m = m.withColumn("__to", F.coalesce(F.lead("height").over(w) - 1, hi))
+    start = metric.select(*keys).distinct().withColumn("__hi", end)
     first = F.greatest(F.col("height"), F.lit(lo))
     k0 = F.ceil((first - lo) / step).cast("bigint")
     k1 = F.floor((F.col("__to") - lo) / step).cast("bigint")
     grid = F.when((k1 >= k0) & (F.col("__to") >= lo), F.transform(F.sequence(k0, F.greatest(k0, k1)), lambda i: i * step + lo)).otherwise(F.array().cast("array<bigint>"))
-    last = F.when((F.col("__to") >= hi) & ((hi - lo) % step != 0), F.array(F.lit(hi).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    last = F.when((F.col("__to") >= hi) & ((hi - lo) % step != 0), F.array(hi)).otherwise(F.array().cast("array<bigint>"))
     hit = m.select(*keys, F.explode(F.concat(grid, last)).alias("sample_height"), F.col(value))
-    heights = F.array_distinct(F.concat(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"), F.lit(step).cast("bigint")),
-                                        F.array(F.lit(hi).cast("bigint"))))
-    every = start.withColumn("sample_height", F.explode(heights))
+    heights = F.array_distinct(F.concat(F.sequence(F.lit(lo).cast("bigint"), hi, F.lit(step).cast("bigint")), F.array(hi)))
+    every = start.withColumn("sample_height", F.explode(heights)).drop("__hi")
     return every.join(hit, [*keys, "sample_height"], "left").withColumn(value, F.coalesce(value, big(0)))

@@ -116,7 +116,7 @@ def formatted_changes(metrics: DataFrame) -> DataFrame:
 
 
 def rank_tokens(creations: DataFrame, metrics: DataFrame, field: str, desc: bool = True,
-                limit: int = 50, offset: int = 0) -> DataFrame:
+                limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Page of tokens by a metric.  Tokens without metrics follow the ranked ones in
     creation order (descending sort) or come before them (ascending)."""
     j = creations.select("token", "creation_height").join(metrics, "token", "left")
@@ -134,7 +134,7 @@ def search_ranked(prefixes: DataFrame, metrics: DataFrame, prefix: str, field: s
     return page(j, [F.desc(field), F.asc("token")], limit, offset)
 
 
-def rank_pools(metrics: DataFrame, field: str, desc: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
+def rank_pools(metrics: DataFrame, field: str, desc: bool = True, limit: int | None = None, offset: int = 0) -> DataFrame:
     c = F.col(field)
     return page(metrics, [c.desc() if desc else c.asc(), F.col("pool_id").asc()], limit, offset)
 

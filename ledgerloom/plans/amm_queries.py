@@ -57,6 +57,17 @@ def trade_prices(t: Facts):
     return t.trades.select("pool_id", "seq", "price_base", "price_quote")
 
 
+@query("wide_prices", """
+select pool_id, seq, case when b = 0 then 0 when q > 34028236692093846346337 then cast(340282366920938463463374607431768211455::uhugeint // cast(b as uhugeint) as hugeint)
+    else q // b * 10000000000000000 + q % b * 10000000000000000 // b end as price_base, case when q = 0 then 0 else b * 10000000000000000 // q end as price_quote
+from (select pool_id, seq, base_reserve as b, quote_reserve * case when pool_id % 2 = 0 then 20000000000 else 50000000000 end as q from trades)
+""", text="price_base price_quote")
+def wide_prices(t: Facts):
+    # quote reserves of 1e22 to 1e23: their products with the price scale pass 38 digits, and in part 2^128 - 1
+    wide = t.reserves.withColumn("quote_reserve", (F.col("quote_reserve") * F.when(F.col("pool_id") % 2 == 0, big(2 * 10**10)).otherwise(big(5 * 10**10))).cast(DEC))
+    return amm.trade_prices(wide).select("pool_id", "seq", "price_base", "price_quote")
+
+
 @query("candles_merge", "select * from m10", text=OHLCV)
 def candles_merge(t: Facts):
     early = F.col("ts") % 600 < 300
@@ -199,7 +210,7 @@ from ({CREATED_SQL})
 """)
 def pool_creations(t: Facts):
     c = amm.pool_create_rows(created_pools(t)).drop("direction")
-    return page(c, [F.desc("ts"), F.desc("tx_id")], 100, total=False)
+    return page(c, [F.desc("ts"), F.desc("tx_id")], None, total=False)
 
 
 @query("address_events", """

@@ -59,7 +59,7 @@ from (select contract, key, arg_max(value, tx_idx) as v from writes group by 1,
 """, text="value_number")
 def contract_kv_numbers(t: Facts):
     w = t.writes.withColumn("value", F.col("value").cast("binary"))
-    return cat.contract_kv(w, 1000).select("contract", "key", "value_number")
+    return cat.contract_kv(w, None).select("contract", "key", "value_number")
 
 
 @query("creation_list", """

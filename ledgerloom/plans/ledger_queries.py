@@ -9,7 +9,6 @@ from ..operators import ledger
 from .facts import Facts
 from .registry import query
 
-LAST_DAY = 2600
 HOLDER = "token, holder_type, holder_id"
 
 
@@ -110,8 +109,14 @@ def balance_at_height(t: Facts):
     return ledger.contract_balance_at(ledger.contract_balance_history(t.contract_deltas), 2000)
 
 
+def moving(t: Facts):
+    """Outputs that are spent by the next transaction, so that addresses also send."""
+    return t.outputs.withColumn("spent_by", F.when(F.col("spent_by").isNotNull(), F.col("tx_id") + 1))
+
+
 VOLUME_SQL = """
-select token, address, sum(amount) as volume from (select distinct tx_id, token, address from outputs)
+select token, address, sum(amount) as volume from (select tx_id, token, address from outputs
+  union select tx_id + 1, token, address from outputs where spent_by is not null)
 join (select tx_id, token, sum(amount) as amount from outputs group by 1, 2) using (tx_id, token) group by 1, 2
 """
 
@@ -121,7 +126,7 @@ select token, address, volume, position from (select *, row_number() over (parti
   from ({VOLUME_SQL})) where position <= 100
 """, text="volume")
 def transfer_volume(t: Facts):
-    return ledger.ranked_by_amount(ledger.transfer_volume(t.outputs), "volume", 100)
+    return ledger.ranked_by_amount(ledger.transfer_volume(moving(t)), "volume", 100)
 
 
 @query("total_received", """
@@ -136,7 +141,7 @@ def total_received(t: Facts):
 select address, token, volume, received from ({VOLUME_SQL}) join (select token, address, sum(amount) as received from outputs group by 1, 2) using (token, address)
 """, text="volume received")
 def address_activity(t: Facts):
-    return ledger.address_activity(ledger.transfer_volume(t.outputs), ledger.total_received(t.outputs))
+    return ledger.address_activity(ledger.transfer_volume(moving(t)), ledger.total_received(t.outputs))
 
 
 @query("balance_log", """
@@ -183,7 +188,7 @@ def latest_traced(t: Facts):
 
 
 @query("address_txs", f"""
-select address, tx_id, height, is_pending, position, {LAST_DAY} - height + 1 as confirmations from (
+select address, tx_id, height, is_pending, position, (select greatest(max(created_height), max(spent_height)) from outputs) - height + 1 as confirmations from (
   select *, row_number() over (partition by address order by is_pending desc, height desc nulls last, tx_id desc) as position from (
     select c.address, c.tx_id, c.height, false as is_pending from (
       select address, tx_id, max(height) as height from (select address, tx_id, created_height as height from outputs
@@ -193,7 +198,8 @@ select address, tx_id, height, is_pending, position, {LAST_DAY} - height + 1 as
 """, ints="confirmations height")
 def address_txs(t: Facts):
     pending = t.mempool.filter(~F.col("confirmed")).select("address", F.col("txid").alias("tx_id"))
-    return ledger.address_txs(t.outputs, pending, LAST_DAY, 20)
+    tip = t.outputs.agg(F.greatest(F.max("created_height"), F.max("spent_height")).alias("tip")).scalar()
+    return ledger.address_txs(t.outputs, pending, tip, 20)
 
 
 
@@ -241,10 +247,10 @@ def tx_fees(t: Facts):
 
 @query("balance_line_chart", """
 select g.token, g.sample_height, coalesce(s.supply, 0) as supply
-from (select token, unnest(list_append(generate_series(0, 2460, 30), 2475)) as sample_height from (select distinct token from deltas where height <= 100000)) g
+from (select token, unnest(list_distinct(list_append(generate_series(0, last, 30), last))) as sample_height from (select distinct token from deltas), (select max(height) as last from (select height from deltas group by token, height having sum(delta) <> 0))) g
 asof left join (select token, height, sum(delta) over (partition by token order by height rows unbounded preceding) as supply
                 from (select token, height, sum(delta) as delta from deltas group by 1, 2) where delta <> 0) s
 on g.token = s.token and g.sample_height >= s.height
 """, text="supply")
 def balance_line_chart(t: Facts):
-    return ledger.sample_series(ledger.supply_by_height(t.deltas), ["token"], "supply", 0, 2475, 30)
+    return ledger.sample_series(ledger.supply_by_height(t.deltas), ["token"], "supply", 0, None, 30)

@@ -88,11 +88,11 @@ def _merge_sql(f: str) -> str:
 @query("merge_strategies", f"""
 select a.pool_id // 2 as pair, a.bucket_ts, strategy, {', '.join(_merge_sql(f) for f in PRICES)},
        case when a.volume = 0 then b.volume else a.volume end as volume
-from m10 a join m10 b on b.pool_id = a.pool_id + 1 and a.bucket_ts = b.bucket_ts and a.pool_id % 2 = 0 and a.pool_id < 20
+from m10 a join m10 b on b.pool_id = a.pool_id + 1 and a.bucket_ts = b.bucket_ts and a.pool_id % 2 = 0
      and a.side = 'base' and b.side = 'base', (values ('optimistic'), ('pessimistic'), ('neutral'), ('neutral_vwap')) s(strategy)
 """, text=OHLCV, ints="pair")
 def merge_strategies(t: Facts):
-    c = t.m10.filter((F.col("side") == "base") & (F.col("pool_id") < 20)) \
+    c = t.m10.filter(F.col("side") == "base") \
         .withColumn("pair", F.floor(F.col("pool_id") / 2)).drop("side")
     odd = F.col("pool_id") % 2 == 1
     return prices.merge_strategies(c.filter(~odd), c.filter(odd), ["pair", "bucket_ts"])
@@ -422,8 +422,7 @@ select token, change_7d_bp, position from (
   from creations c left join token_metrics m on c.token = m.token) where position > (select count(*) - 30 from creations)
 """)
 def rank_tokens_asc(t: Facts):
-    n = t.table("part").count()
-    return metrics.rank_tokens(t.creations, metrics_of(t), "change_7d_bp", False, 30, max(n - 30, 0)) \
+    return metrics.rank_tokens(t.creations, metrics_of(t), "change_7d_bp", False, 30, -30) \
         .select("token", "change_7d_bp", "position")
 
 

@@ -115,19 +115,19 @@ def seen(t: Facts):
 
 @query("mempool_state", "select txid, address, first_seen, fee_rate from mempool where fee_rate >= 1")
 def mempool_state(t: Facts):
-    return mempool.mempool_state(seen(t))
+    return mempool.mempool_state(seen(t), mempool.MIN_FEE_RATE)
 
 
 @query("mempool_prune", """
 select txid, address, first_seen, fee_rate from mempool where fee_rate >= 1 order by first_seen desc, txid desc limit 5000
 """)
 def mempool_prune(t: Facts):
-    return mempool.mempool_prune(mempool.mempool_state(seen(t)), 5000)
+    return mempool.mempool_prune(mempool.mempool_state(seen(t), mempool.MIN_FEE_RATE), 5000)
 
 
 @query("mempool_confirmed", "select txid, address, first_seen, fee_rate from mempool where fee_rate >= 1 and not confirmed")
 def mempool_confirmed(t: Facts):
-    return mempool.mempool_confirmed(mempool.mempool_state(seen(t)), t.mempool.filter("confirmed"))
+    return mempool.mempool_confirmed(mempool.mempool_state(seen(t), mempool.MIN_FEE_RATE), t.mempool.filter("confirmed"))
 
 
 @query("pending_for_address", """
@@ -135,7 +135,7 @@ select txid, address, first_seen, position from (select *, row_number() over (pa
   from mempool where fee_rate >= 1 and not confirmed) where position <= 15
 """)
 def pending_for_address(t: Facts):
-    p = mempool.mempool_confirmed(mempool.mempool_state(seen(t)), t.mempool.filter("confirmed"))
+    p = mempool.mempool_confirmed(mempool.mempool_state(seen(t), mempool.MIN_FEE_RATE), t.mempool.filter("confirmed"))
     return mempool.pending_for_address(p, 15).select("txid", "address", "first_seen", "position")
 
 
@@ -144,7 +144,7 @@ select txid, position, total from (select txid, row_number() over (order by firs
   from mempool where fee_rate >= 1 and txid in (select tx_id from flow)) where position <= 50
 """)
 def pending_traces(t: Facts):
-    p = mempool.pending_traces(mempool.mempool_state(seen(t)), t.flow.select(F.col("tx_id").alias("txid")), 50)
+    p = mempool.pending_traces(mempool.mempool_state(seen(t), mempool.MIN_FEE_RATE), t.flow.select(F.col("tx_id").alias("txid")), 50)
     return p.select("txid", "position", "total")
 
 

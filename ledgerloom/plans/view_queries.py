@@ -127,6 +127,40 @@ def arb_cycles(t: Facts):
     return routing.arbitrage_cycles(e.select(F.col("token_in").alias("token")).distinct(), e)
 
 
+SMALL_EDGES_SQL = """(
+  select pool_id, a as token_in, b as token_out, x as r_in, y as r_out from (
+    select s_suppkey as pool_id, s_suppkey // 4 * 3 + case s_suppkey % 4 when 1 then 1 when 2 then 2 else 0 end as a, s_suppkey // 4 * 3 + case s_suppkey % 4 when 1 then 2 when 2 then 0 else 1 end as b,
+      50 + cents % 2950 as x, 50 + cents // 7 % 2950 as y from (select s_suppkey, abs(cast(cast(s_acctbal as decimal(18,2)) * 100 as bigint)) as cents from supplier))
+  union all
+  select pool_id, b, a, y, x from (
+    select s_suppkey as pool_id, s_suppkey // 4 * 3 + case s_suppkey % 4 when 1 then 1 when 2 then 2 else 0 end as a, s_suppkey // 4 * 3 + case s_suppkey % 4 when 1 then 2 when 2 then 0 else 1 end as b,
+      50 + cents % 2950 as x, 50 + cents // 7 % 2950 as y from (select s_suppkey, abs(cast(cast(s_acctbal as decimal(18,2)) * 100 as bigint)) as cents from supplier)))"""
+
+
+@query("arb_cycles_small", f"""
+select token, profit, amount_in, cycle from (select *, row_number() over (partition by token order by profit desc, legs, cycle desc) as place from (
+  select token, cycle, legs, max(v - x) as profit, arg_max(x, (v - x) * 10000 - x) as amount_in from (
+    select token, cycle, legs, x, case when legs = 2 then v2 else (v2 * 9950 // 10000) * o3 // (i3 + v2 * 9950 // 10000) end as v from (
+      select *, (v1 * 9950 // 10000) * o2 // (i2 + v1 * 9950 // 10000) as v2 from (
+        select *, (x * 9950 // 10000) * o1 // (i1 + x * 9950 // 10000) as v1 from (
+          select *, unnest(range(1, least(i1, i2, coalesce(i3, i1)) // 3 + 1)) as x from (
+            select a.token_in as token, a.pool_id || '>' || b.pool_id as cycle, 2 as legs, a.r_in as i1, a.r_out as o1, b.r_in as i2, b.r_out as o2, null as i3, null as o3
+            from {SMALL_EDGES_SQL} a join {SMALL_EDGES_SQL} b on a.token_out = b.token_in and b.token_out = a.token_in and a.pool_id <> b.pool_id
+            union all
+            select a.token_in, a.pool_id || '>' || b.pool_id || '>' || c.pool_id, 3, a.r_in, a.r_out, b.r_in, b.r_out, c.r_in, c.r_out
+            from {SMALL_EDGES_SQL} a join {SMALL_EDGES_SQL} b on a.token_out = b.token_in and b.token_out <> a.token_in join {SMALL_EDGES_SQL} c on b.token_out = c.token_in and c.token_out = a.token_in)))))
+  group by 1, 2, 3) where profit > 0) where place = 1
+""", text="profit amount_in")
+def arb_cycles_small(t: Facts):
+    # suppliers as pools of 50 to 2999 units: four of them between three tokens, so that every input can be tried
+    k, cents = F.col("s_suppkey").cast("bigint"), F.abs((F.col("s_acctbal").cast("decimal(18,2)") * 100).cast("bigint"))
+    end = lambda one, two, other: (F.floor(k / 4) * 3 + F.when(k % 4 == 1, one).when(k % 4 == 2, two).otherwise(other)).cast("bigint")
+    pools = t.table("supplier").select(k.alias("pool_id"), end(1, 2, 0).alias("base_id"), end(2, 0, 1).alias("quote_id"),
+                                       (F.lit(50) + cents % 2950).cast(DEC).alias("base_reserve"), (F.lit(50) + F.floor(cents / 7) % 2950).cast(DEC).alias("quote_reserve"))
+    e = routing.pool_edges(pools.select("pool_id", "base_reserve", "quote_reserve"), pools.select("pool_id", "base_id", "quote_id"))
+    return routing.arbitrage_cycles(e.select(F.col("token_in").alias("token")).distinct(), e)
+
+
 # ---------------------------------------------------------------- tokens
 
 CTES["minted"] = "select token, cast(sum(amount) as hugeint) as minted from outputs group by 1"

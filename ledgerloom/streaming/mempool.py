@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paging import page, top_per_key
 
-# The usual bound on pending transactions and the least fee rate kept.
+# The usual bound on pending transactions and the least fee rate kept; callers name the ones that they want.
 MAX_PENDING = 50_000
 MIN_FEE_RATE = 0.5
 
@@ -19,14 +19,14 @@ def _transactions(pending: DataFrame) -> DataFrame:
     return pending.groupBy("txid").agg(F.min("first_seen").alias("first_seen"))
 
 
-def mempool_state(seen: DataFrame, min_fee_rate: float = MIN_FEE_RATE) -> DataFrame:
+def mempool_state(seen: DataFrame, min_fee_rate: float) -> DataFrame:
     """One row per pending (txid, address) with its earliest sighting; low fees are skipped.
     Works on a stream too, where it keeps one state row per pair."""
     return seen.filter(F.col("fee_rate") >= min_fee_rate).groupBy("txid", "address").agg(
         F.min("first_seen").alias("first_seen"), F.max("fee_rate").alias("fee_rate"))
 
 
-def mempool_prune(pending: DataFrame, limit: int = MAX_PENDING) -> DataFrame:
+def mempool_prune(pending: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` transactions with all their addresses; the oldest beyond it leave."""
     kept = _transactions(pending).orderBy(F.desc("first_seen"), F.desc("txid")).limit(limit)
     return pending.join(kept.select("txid"), "txid", "left_semi").select(*pending.columns)
@@ -48,6 +48,6 @@ def pending_traces(pending: DataFrame, traces: DataFrame, limit: int, offset: in
     return page(t, [F.desc("first_seen"), F.desc("txid")], limit, offset)
 
 
-def stream_mempool(sightings: DataFrame, min_fee_rate: float = MIN_FEE_RATE) -> DataFrame:
+def stream_mempool(sightings: DataFrame, min_fee_rate: float) -> DataFrame:
     """Streaming form: the first sighting of each (txid, address); none is forgotten, so ``first_seen`` never moves."""
     return sightings.filter(F.col("fee_rate") >= min_fee_rate).dropDuplicates(["txid", "address"])

@@ -31,6 +31,18 @@ def test_mul_div_matches_saturating_integers(spark):
         assert int(g.z) == (a // c if c else 0)
 
 
+def test_wide_products_are_exact(spark):
+    """Products of 37 to 50 digits, divided by anything from 1 to 37 digits, down and up."""
+    r = random.Random(13)
+    rows = [(r.randrange(10**18, 10**r.randrange(19, 26)), r.randrange(10**17, 10**r.randrange(18, 23)), r.randrange(1, 10**r.randrange(1, 38))) for _ in range(400)]
+    rows += [(2 * 10**22, 10**16, 10**12), (5 * 10**22, 10**16, 10**12), (3 * 10**16, 5 * 10**21, 5 * 10**22), (10**19, 10**19, 10**28), (10**19 - 1, 10**19 + 1, 10**37), (18446744073709551616, 18446744073709551616, 7)]
+    df = frame(spark, rows).select("a", "b", "c", exact.mul_div_floor(F.col("a"), F.col("b"), F.col("c")).alias("x"), exact.mul_div_ceil(F.col("a"), F.col("b"), F.col("c")).alias("y"))
+    for g in df.collect():
+        a, b, c = int(g.a), int(g.b), int(g.c)
+        product, cap = min(a * b, U128), 10**38 - 1
+        assert (int(g.x), int(g.y)) == (min(product // c, cap), min(-(-product // c), cap)), (a, b, c)
+
+
 def test_percent_change_truncates_toward_zero(spark):
     rows = [(110, 100, 0), (90, 100, 0), (1, 3, 0), (2, 3, 0), (5, 0, 0), (10**30, 1, 0)]
     got = [r.p for r in frame(spark, rows).select(exact.percent_change_bp(F.col("a"), F.col("b")).alias("p")).collect()]

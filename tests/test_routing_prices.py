@@ -4,6 +4,7 @@ import itertools
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import prices, routing
@@ -67,6 +68,43 @@ def test_arbitrage_profit_is_real(spark):
         assert at == r.token and v - int(r.amount_in) == int(r.profit) > 0
 
 
+def test_best_inputs_equal_trying_all():
+    """Random cycles of small pools: the best profit, and the smallest input that reaches it."""
+    r = random.Random(1)
+    for _ in range(400):
+        legs = [(r.randrange(50, 3000), r.randrange(50, 3000)) for _ in range(r.choice([2, 2, 3, 4]))]
+        pay, limit = r.choice([10000, 9950, 9000]), min(x for x, _ in legs) // 3
+        best = max(((routing.cycle_output(legs, x, pay) - x, -x) for x in range(1, limit + 1)), default=(0, 0))
+        assert routing.best_input(legs, limit, pay) == ((best[0], -best[1]) if best[0] > 0 else (0, 0))
+
+
+def test_best_input_of_large_pools():
+    """No input nearby is better, and none that is smaller is as good."""
+    legs = [(3 * 10**11, 9 * 10**11), (8 * 10**11, 5 * 10**11)]
+    profit, x = routing.best_input(legs, 10**11, 9950)
+    got = lambda v: routing.cycle_output(legs, v, 9950) - v
+    assert got(x) == profit and max(got(v) for v in range(x - 20000, x)) < profit and max(got(v) for v in range(x, x + 200_000)) <= profit
+
+
+def test_hops_out_of_range_are_refused(spark):
+    e = edges_df(spark, graph())
+    pairs = spark.createDataFrame([(0, 1)], "source bigint, target bigint")
+    for hops in (0, routing.MAX_HOPS + 1):
+        with pytest.raises(ValueError):
+            routing.path_index(pairs, e, hops)
+
+
+@pytest.mark.parametrize("hops", [1, 2, 4, 5])
+def test_path_index_equals_enumeration(spark, hops):
+    g = graph(4)
+    pairs = list(itertools.permutations(range(5), 2))
+    rows = routing.path_index(spark.createDataFrame(pairs, "source bigint, target bigint"), edges_df(spark, g), hops).collect()
+    found = {(r.source, r.target): sorted(tuple(p.tokens) for p in r.paths) for r in rows}
+    for a, b in pairs:
+        want = {tuple([a] + [leg[2] for leg in legs]) for legs in paths(g, a, b, hops)}
+        assert found.get((a, b), []) == sorted(want)
+
+
 def test_price_from_square_root(spark):
     s = int((40000 * 100) ** 0.5 * 2**96) // 100
     df = spark.createDataFrame([(str(s), False), (str(2**200), True), ("0", False)], "s string, inv boolean")
