@@ -354,21 +354,27 @@ def _own_candle(inputs: DataFrame) -> DataFrame:
     for f in PRICES:
         e = e.withColumn(f"b_{f}", F.when(F.col("__priced"), mul_div_floor(F.col("last_q_close"), F.col(f"p_{f}"), PRICE_SCALE)))
     e = e.withColumn("b_volume", F.when(F.col("__priced"), mul_div_floor(F.col("p_volume"), F.col("b_close"), PRICE_SCALE)))
-    weight = sat_add(F.col("b_volume"), F.col("t_volume"))
-
-    def blend(f: str) -> Column:
+    # each part is a column of its own: a wide product is a large expression, and must not be repeated inside others
+    e = e.withColumn("__weight", sat_add(F.col("b_volume"), F.col("t_volume")))
+    weight, bv, tv = F.col("__weight"), F.col("b_volume"), F.col("t_volume")
+    e = e.withColumn("__cap", mul_div_floor(big(CAP), big(CAP), weight))
+    parts = {}
+    for f in PRICES:
         b, t = F.col(f"b_{f}"), F.col(f"t_{f}")
-        bv, tv = F.col("b_volume"), F.col("t_volume")
         total = F.try_add(F.try_multiply(b, bv).cast(DEC), F.try_multiply(t, tv).cast(DEC)).cast(DEC)
+        parts |= {f"__total_{f}": total, f"__by_{f}": mul_div_floor(b, bv, weight), f"__ty_{f}": mul_div_floor(t, tv, weight), f"__mid_{f}": _middle(b, t)}
+    e = e.withColumns(parts)
+    e = e.withColumns({f"__share_{f}": div_floor(F.col(f"__total_{f}"), weight) for f in PRICES} | {f"__both_{f}": sat_add(F.col(f"__by_{f}"), F.col(f"__ty_{f}")) for f in PRICES})
+
+    def blend(f: str) -> Column:
         # past 38 digits: share by share, at most one unit below, and held where the sum saturates
-        wide = F.least(sat_add(mul_div_floor(b, bv, weight), mul_div_floor(t, tv, weight)), mul_div_floor(big(CAP), big(CAP), weight))
-        weighted = F.when(total.isNotNull(), div_floor(total, weight)).otherwise(wide)
-        return (F.when(strategy == "optimistic", F.greatest(b, t)).when(strategy == "pessimistic", F.least(b, t))
-                .when((strategy == "neutral") | (weight == 0), _middle(b, t)).otherwise(weighted))
+        weighted = F.when(F.col(f"__total_{f}").isNotNull(), F.col(f"__share_{f}")).otherwise(F.least(f"__both_{f}", "__cap"))
+        return (F.when(strategy == "optimistic", F.greatest(f"b_{f}", f"t_{f}")).when(strategy == "pessimistic", F.least(f"b_{f}", f"t_{f}"))
+                .when((strategy == "neutral") | (weight == 0), F.col(f"__mid_{f}")).otherwise(weighted))
 
     both = F.col("__priced") & have("t")
     own = {f: F.when(both, blend(f) if f != "volume" else weight).otherwise(F.coalesce(f"b_{f}", f"t_{f}")).cast(DEC) for f in names}
-    e = e.withColumns({f"own_{f}": c for f, c in own.items()})
+    e = e.withColumns({f"own_{f}": c for f, c in own.items()}).drop(*parts, "__weight", "__cap", *[f"__{k}_{f}" for k in ("share", "both") for f in PRICES])
     seen = F.coalesce("p_real", F.lit(False))
     e = e.withColumn("moved", pooled & have("q"))
     evenly = (strategy == "neutral") | (F.coalesce("own_volume", big(0)) == 0)
@@ -425,20 +431,27 @@ def derived_candles(inputs: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("last", F.coalesce(F.last("ended", ignorenulls=True).over(before), big(0)))
     old = F.col("last") != 0
-    rate = F.when(old, F.when(F.col("prev_q_close") != 0, mul_div_floor(F.col("last"), big(PRICE_SCALE), F.col("prev_q_close")))).otherwise(F.col("last_p_close").cast(DEC))
-    e = e.withColumn("rate", F.when(F.col("moved"), F.nullif(rate, big(0))))
+    e = e.withColumn("__drift", mul_div_floor(F.col("last"), big(PRICE_SCALE), F.col("prev_q_close")))
+    e = e.withColumn("__rate", F.when(old, F.when(F.col("prev_q_close") != 0, F.col("__drift"))).otherwise(F.col("last_p_close").cast(DEC)))
+    e = e.withColumn("rate", F.when(F.col("moved") & (F.col("__rate") != 0), F.col("__rate")))
+
+    # own and carried prices, then their averages with the close before, then the two together: a column each
+    e = e.withColumns({f"__c_{f}": mul_div_floor(F.col(f"q_{f}"), F.col("rate"), PRICE_SCALE) for f in PRICES} | {f"__m_{f}": _middle(F.col(f"own_{f}"), F.col("last")) for f in PRICES})
+    e = e.withColumns({f"__a_{f}": _middle(F.col(f"__c_{f}"), F.col("last")) for f in PRICES})
+    held = lambda f: F.least(f"own_{f}", "own_limit")
+    e = e.withColumns({f"__o_{f}": F.when(F.col("pull") & old, F.when(F.col("how") == OWN, held(f)).otherwise(F.col(f"__m_{f}"))).otherwise(F.col(f"own_{f}")) for f in PRICES}
+                      | {f"__k_{f}": F.when(F.col("idle") & old, F.col(f"__a_{f}")).otherwise(F.col(f"__c_{f}")) for f in PRICES})
+    e = e.withColumns({f"__j_{f}": _middle(F.col(f"__o_{f}"), F.col(f"__k_{f}")) for f in PRICES})
 
     def value(f: str) -> Column:
-        own, carried = F.col(f"own_{f}"), mul_div_floor(F.col(f"q_{f}"), F.col("rate"), PRICE_SCALE)
-        held = F.least(own, F.col("own_limit"))
-        own = F.when(F.col("pull") & old, F.when(F.col("how") == OWN, held).otherwise(_middle(own, F.col("last")))).otherwise(own)
-        carried = F.when(F.col("idle") & old, _middle(carried, F.col("last"))).otherwise(carried)
+        own, carried = F.col(f"__o_{f}"), F.col(f"__k_{f}")
         joint = F.when(F.col("how") == HIGHER, F.greatest(own, carried)).when(F.col("how") == LOWER, F.least(own, carried)) \
-            .when(F.col("how") == MIDDLE, _middle(own, carried)).otherwise(held)
+            .when(F.col("how") == MIDDLE, F.col(f"__j_{f}")).otherwise(held(f))
         flat = F.when(~F.col("moved") & old, F.col("last"))
         return F.when(own.isNotNull() & carried.isNotNull(), joint).otherwise(F.coalesce(own, carried, flat)).cast(DEC)
 
-    e = e.withColumns({f"v_{f}": value(f) for f in PRICES}).filter("v_close is not null")
+    # written before it is filtered: a filter would be pushed below all these columns, with their expressions spelt out in it
+    e = stage(e.select(*key, "bucket_ts", "last", "own_volume", *[value(f).alias(f"v_{f}") for f in PRICES])).filter("v_close is not null")
     return e.select(*key, "bucket_ts", F.when(old, F.col("last")).otherwise(F.col("v_open")).alias("open"),
                     F.when(old, F.greatest("v_high", "last")).otherwise(F.col("v_high")).alias("high"),
                     F.when(old, F.least("v_low", "last")).otherwise(F.col("v_low")).alias("low"),
