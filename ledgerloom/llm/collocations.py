@@ -28,7 +28,7 @@ GAP[[0x20, 0x09]] = True
 LONGEST, LEAST, SHARE = 4, 30, 80
 TOP = 2000
 #: Bytes of text that are counted together; a text is cut only where a piece ends.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: A bitmap has about 16 bits a phrase, at most this many.
 MAX_BITS = 1 << 26
 #: Prefixes with a share of 1 / HEAVY of all words are split into SHARDS, the empty prefix into ROOT_SHARDS.

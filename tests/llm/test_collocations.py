@@ -53,7 +53,7 @@ def sample(count):
     return docs + [(None, "en"), ("", None), (" . ", "fr"), ("lonely words", "fr")] + docs[:3] * 4
 
 
-@pytest.mark.parametrize("heavy, block", [(1000, 8 << 20), (10, 300)])
+@pytest.mark.parametrize("heavy, block", [(1000, 4 << 20), (10, 300)])
 def test_collocations_equal_brute_force(spark, monkeypatch, heavy, block):
     monkeypatch.setattr(collocations, "HEAVY", heavy)
     monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
