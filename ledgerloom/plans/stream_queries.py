@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.exact import DEC, invert_price, percent_change_bp, apr_bp_30d
 from ..session import ensure_checkpoint_dir
-from ..sources import blocks, upsert
+from ..sources import blocks, upsert, versions
 from ..streaming import chain, incremental, mempool
 from .facts import TIP, Facts
 from .registry import query
@@ -59,7 +59,7 @@ def stream_candles(t: Facts):
     source = t.spark.readStream.schema(trades.schema).parquet(trades.inputFiles()[0].rsplit("/", 1)[0])
     q = incremental.candles_to_table(incremental.stream_candles(source), f"{where}/candles", f"{where}/state")
     q.awaitTermination()
-    return t.spark.read.parquet(f"{where}/candles").drop("bucket", "epoch")
+    return versions.read_table(t.spark, f"{where}/candles").drop("part", "epoch")
 
 
 @query("run_incremental", """
@@ -73,7 +73,7 @@ def run_incremental(t: Facts):
     for run in ("first", "again"):
         src = t.spark.readStream.schema("height bigint, block_hash string, cents bigint").parquet(f"{where}/in")
         incremental.run_incremental(t.spark, src, f"{where}/ledger", f"{where}/out", [("totals", 10, per_height)], f"{where}/{run}").awaitTermination()
-    return t.spark.read.parquet(f"{where}/out/totals").select(F.col("height").cast("bigint").alias("height"), "events", "cents")
+    return versions.read_table(t.spark, f"{where}/out/totals").select(F.col("height").cast("bigint").alias("height"), "events", "cents")
 
 
 @query("reprocess_from", "select height, sum(cents) * 2 as cents from ev where height >= 2000 group by 1 union all select height, sum(cents) from ev where height < 2000 group by 1",
@@ -83,7 +83,7 @@ def reprocess_from(t: Facts):
     per = lambda k: lambda df: df.groupBy("height").agg((F.sum("cents") * k).alias("cents"))
     incremental.reprocess_from(t.ev, path, per(1), 0)
     incremental.reprocess_from(t.ev, path, per(2), 2000)
-    return t.spark.read.parquet(path).select(F.col("height").cast("bigint").alias("height"), "cents")
+    return versions.read_table(t.spark, path).select(F.col("height").cast("bigint").alias("height"), "cents")
 
 
 @query("reorg_point", "select max(height) + 1 as reorg_height from ev where height < 4000")

@@ -1,15 +1,15 @@
-"""Keyed upserts: batch deduplication and a bucketed table sink."""
+"""Keyed upserts: batch deduplication and a partitioned table sink."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
+from .versions import publish, read_table
 
-BUCKET = "bucket"
+PART = "part"
 
 
 def last_op(ops: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -21,39 +21,19 @@ def last_op(ops: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return won.select(*keys, "w.*")
 
 
-def current(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+def upsert_sink(ops: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64, part: Column | None = None) -> None:
+    """Apply puts and deletes to a versioned table, partitioned by key hash or by a whole-number ``part`` of the keys.
 
-
-def upsert_sink(ops: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> None:
-    """Apply puts and deletes to a table bucketed by key hash.
-
-    Only the buckets the batch touches are read and rewritten.  Replaying a batch gives
-    the same table.
+    Only the partitions the batch touches are read and written again; readers keep the version before until the new one
+    is published. Replaying a batch gives the same table.
     """
     spark = ops.sparkSession
-    won = stage(last_op(ops, keys, order).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    part = F.pmod(F.xxhash64(*keys), F.lit(buckets)) if part is None else part
+    won = stage(last_op(ops, keys, order).withColumn(PART, part.cast("bigint")))
     new = won.filter(F.col("op") == "put").drop("op")
-    old = current(spark, path)
+    touched = {r[0] for r in won.select(PART).distinct().collect()}  # numbers of partitions
+    old = read_table(spark, path)
     if old is not None:
-        touched = won.select(BUCKET).distinct()
-        kept = old.join(touched, BUCKET, "left_semi").join(won.select(*keys), list(keys), "left_anti")
-        # dynamic overwrite leaves a partition without new rows alone, so emptied ones are dropped
-        new = stage(new.unionByName(kept.select(*new.columns)))
-        gone = touched.join(new.select(BUCKET).distinct(), BUCKET, "left_anti")
-        drop_partitions(spark, path, BUCKET, gone)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-
-
-def drop_partitions(spark, path: str, column: str, gone: DataFrame) -> None:
-    """Remove partition folders; ``gone`` holds one small number per partition."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in gone.toLocalIterator():
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{column}={r[0]}"), True)
+        kept = old.filter(F.col(PART).isin(*touched)).join(won.select(*keys), list(keys), "left_anti") if touched else old.limit(0)
+        new = new.unionByName(kept.select(*new.columns))
+    publish(new, path, PART, touched.__contains__)

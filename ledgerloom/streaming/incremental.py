@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.amm import chain_position, split_sides
 from ..functions.exact import AMOUNT_SCALE, PRICE_SCALE, big, sat_mul, sat_sum
 from ..session import stage
-from ..sources.upsert import current as _current, drop_partitions, upsert_sink
+from ..sources.upsert import upsert_sink
+from ..sources.versions import publish, read_table
 
+#: Files of a height range when it is derived again.
+RANGE_FILES = 8
 Module = tuple[str, int, Callable[[DataFrame], DataFrame]]
 
 
@@ -33,10 +36,10 @@ def stream_candles(trades: DataFrame) -> DataFrame:
 
 
 def candles_to_table(candles: DataFrame, path: str, checkpoint: str):
-    """Start the stream of updated candles into an upserted table; returns the query."""
+    """Start the stream of updated candles into a table by day; returns the query.  A batch rewrites the days that its trades fall in, late or not."""
     def write(batch: DataFrame, epoch: int) -> None:
         rows = split_sides(batch).withColumn("op", F.lit("put")).withColumn("epoch", F.lit(epoch).cast("bigint"))
-        upsert_sink(rows, path, ["pool_id", "bucket_ts", "side"], ["epoch"], buckets=8)
+        upsert_sink(rows, path, ["pool_id", "bucket_ts", "side"], ["epoch"], part=F.floor(F.col("bucket_ts") / 86400))
 
     return candles.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
@@ -45,7 +48,7 @@ def candles_to_table(candles: DataFrame, path: str, checkpoint: str):
 def _received(spark: SparkSession, path: str, ranges: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of the touched height ranges.  Each run delivers a block at most once as a whole, in any
     number of parts, so a row counts as often as the run that delivered it most often did."""
-    rows = _current(spark, path).join(ranges, "height_range", "left_semi").groupBy("height_range", "run", *columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = spark.read.parquet(path).join(ranges, "height_range", "left_semi").groupBy("height_range", "run", *columns).agg(F.count(F.lit(1)).alias("n"))
     most = rows.groupBy("height_range", *columns).agg(F.max("n").cast("int").alias("n"))
     return most.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
 
@@ -58,7 +61,7 @@ def run_incremental(spark: SparkSession, blocks: DataFrame, ledger_path: str, ou
     Every batch is kept under ``ledger_path/blocks``, and each module's ledger holds the
     blocks it has seen with their number of rows.  Height ranges with a block that is new or has
     grown are derived again from all rows received and replaced, results first; rows delivered again by another
-    run change nothing, and a replayed batch rewrites the same partitions.  A module's
+    run change nothing, and a replayed batch publishes the same partitions again.  A module's
     results carry ``height``.  If a module fails, the others still finish the batch; the
     query then ends with its error and the batch is replayed at the next start.
     """
@@ -71,7 +74,7 @@ def run_incremental(spark: SparkSession, blocks: DataFrame, ledger_path: str, ou
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
     def derive(name: str, genesis: int, fn: Callable[[DataFrame], DataFrame], rows: DataFrame, sizes: DataFrame) -> None:
-        known, where = _current(spark, f"{ledger_path}/{name}"), f"{out_path}/{name}"
+        known, where = read_table(spark, f"{ledger_path}/{name}"), f"{out_path}/{name}"
         now = sizes.filter(F.col("height") >= genesis)
         stale = now if known is None else now.join(known.select("height_range", "block_hash", "rows"), ["height_range", "block_hash", "rows"], "left_anti")
         ranges = stage(stale.select("height_range").distinct())
@@ -79,10 +82,9 @@ def run_incremental(spark: SparkSession, blocks: DataFrame, ledger_path: str, ou
             return
         todo = rows.join(ranges, "height_range", "left_semi").filter(F.col("height") >= genesis).drop("height_range")
         fresh = stage(fn(todo).withColumn("height_range", F.floor(F.col("height") / range_width).cast("bigint")))
-        if known is not None:
-            drop_partitions(spark, where, "height_range", ranges.join(fresh.select("height_range").distinct(), "height_range", "left_anti"))
-        put(fresh, where, "height_range")
-        put(stage(now.join(ranges, "height_range", "left_semi")), f"{ledger_path}/{name}", "height_range")
+        touched = {r.height_range for r in ranges.collect()}  # numbers of ranges
+        publish(fresh, where, "height_range", touched.__contains__)
+        publish(now.join(ranges, "height_range", "left_semi"), f"{ledger_path}/{name}", "height_range", touched.__contains__)
 
     def write(batch: DataFrame, epoch: int) -> None:
         part = F.floor(F.col("height") / range_width).cast("bigint")
@@ -114,12 +116,10 @@ def reprocess_from(facts: DataFrame, out_path: str, fn: Callable[[DataFrame], Da
     spark = facts.sparkSession
     part = F.floor(F.col("height") / range_width).cast("bigint")
     fresh = fn(facts.filter(F.col("height") >= height)).withColumn("height_range", part)
-    old = _current(spark, out_path)
+    old = read_table(spark, out_path)
     if old is not None:
         kept = old.filter((F.col("height_range") == height // range_width) & (F.col("height") < height))
-        fresh = stage(fresh.unionByName(kept))
-        gone = old.filter(F.col("height_range") >= height // range_width).select("height_range").distinct() \
-            .join(fresh.select("height_range").distinct(), "height_range", "left_anti")
-        drop_partitions(spark, out_path, "height_range", gone)
-    fresh.repartition("height_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("height_range").parquet(out_path)
+        fresh = fresh.unionByName(kept)
+    # a range is dealt by height over a few tasks, each of which adds a file to it
+    fresh = fresh.repartition("height_range", F.pmod(F.xxhash64("height"), F.lit(RANGE_FILES)))
+    publish(fresh, out_path, "height_range", lambda r: r >= height // range_width)
