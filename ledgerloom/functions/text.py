@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .exact import CAP, DEC, big
+from .exact import CAP, DEC, I64_MAX, big
 
 JSON_SAFE_MAX = 2**53 - 1
 
@@ -31,9 +31,15 @@ def format_bp(c: Column) -> Column:
 
 
 def parse_bp(c: Column) -> Column:
-    """Inverse of :func:`format_bp`; further digits round half away from zero."""
-    d = c.cast("decimal(38,10)")
-    return F.round(d * 10000, 0).cast("bigint")
+    """Inverse of :func:`format_bp`: the fifth digit after the point rounds half away from zero, later ones do not count; held within BIGINT.  Empty or unreadable text is 0."""
+    t = F.trim(c)
+    part = lambda k: F.regexp_extract(t, r"^[+-]?([0-9]*)(?:\.([0-9]*))?$", k)
+    whole = F.coalesce(F.nullif(part(1), F.lit("")).try_cast(DEC), F.when(F.length(part(1)) > 30, big(CAP)).otherwise(big(0)))
+    four = F.rpad(F.substring(part(2), 1, 4), 4, "0").cast("int")
+    up = F.when(F.substring(part(2), 5, 1) >= "5", 1).otherwise(0)
+    size = F.coalesce(F.try_add(F.try_multiply(whole, big(10000)).cast(DEC), (four + up).cast(DEC)).cast(DEC), big(CAP))
+    value = F.when(t.startswith("-"), -F.least(size, big(I64_MAX + 1))).otherwise(F.least(size, big(I64_MAX)))
+    return F.when(c.isNotNull(), value.cast("bigint"))
 
 
 def hex_to_dec(h: Column) -> Column:
@@ -75,9 +81,13 @@ def hex0x(b: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(b)))
 
 
-def short_amount(c: Column, decimals: int = 2) -> Column:
-    """Amount in whole units with thousands separators."""
-    return F.format_number(c.cast("decimal(38,8)") / 100000000, decimals)
+def short_amount(c: Column) -> Column:
+    """Amount in whole units with thousands separators and no closing zeros."""
+    a = c.cast(DEC)
+    rest = (a % 100000000).cast(DEC)
+    frac = F.regexp_replace(F.lpad(rest.cast("string"), 8, "0"), "0+$", "")
+    whole = F.format_number(((a - rest) / 100000000).cast(DEC), 0)
+    return F.when(rest == 0, whole).otherwise(F.concat(whole, F.lit("."), frac))
 
 
 def scale_amount(c: Column) -> Column:
@@ -93,6 +103,13 @@ def beyond_json(c: Column) -> Column:
     return F.abs(c) > big(JSON_SAFE_MAX)
 
 
+def json_series(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``name``: each value as JSON text, quoted in the whole series of ``keys`` if any of its values exceeds the safe integer range."""
+    wide = df.groupBy(*keys).agg(F.max(beyond_json(F.col(column))).alias("__wide"))
+    text = F.col(column).cast("string")
+    return df.join(wide, list(keys)).withColumn(name, F.when(F.col("__wide"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)).drop("__wide")
+
+
 def iso_timestamp(ts: Column) -> Column:
     return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

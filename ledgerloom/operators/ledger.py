@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exact import DEC, big
+from ..functions.exact import DEC, big, div_floor
 from ..functions.paging import page, top_per_key
 from ..functions.scan import clamped_sums
 from .amm import height_chunk
@@ -282,6 +282,18 @@ def tx_fees(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
         "tx_id", F.when((F.col("missing") == 0) & (fee >= 0), fee).cast(DEC).alias("fee"))
 
 
+def fee_rates(fees: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Fees with the fee per virtual byte; null without a fee or a size.  ``sizes``: tx_id, vsize."""
+    rate = F.when(F.col("vsize") > 0, F.col("fee").cast("double") / F.col("vsize"))
+    return fees.join(sizes, "tx_id", "left").select("tx_id", "fee", "vsize", rate.alias("fee_rate"))
+
+
+def block_fees(fees: DataFrame, txs: DataFrame) -> DataFrame:
+    """Average fee of each block over its transactions with a known fee, rounded down; null if it has none.  ``txs``: tx_id, height."""
+    g = txs.join(fees, "tx_id", "left").groupBy("height").agg(total("fee").alias("fees"), F.count("fee").alias("n"))
+    return g.select("height", F.when(F.col("n") > 0, div_floor(F.col("fees"), F.col("n").cast(DEC))).alias("avg_fee"), "n")
+
+
 def sample_series(metric: DataFrame, keys: Sequence[str], value: str, lo: int, hi: int | None, step: int) -> DataFrame:
     """A step metric at heights lo, lo+step, … and always hi; 0 before its first value.  Without ``hi`` it ends at the last height of all.
 

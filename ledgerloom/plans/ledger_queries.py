@@ -245,6 +245,28 @@ def tx_fees(t: Facts):
     return ledger.tx_fees(outs, t.outputs.select("tx_id", (F.col("tx_id") - 1).alias("outpoint")))
 
 
+FEES_SQL = """
+select tx_id, case when missing = 0 and vin >= vout then vin - vout end as fee
+from (select tx_id, sum(amount) as vout from outputs group by 1)
+left join (select i.tx_id, sum(o.amount) as vin, count(*) - count(o.amount) as missing
+           from (select tx_id, tx_id - 1 as prev from outputs) i left join (select tx_id, sum(amount) as amount from outputs group by 1) o on i.prev = o.tx_id
+           group by 1) using (tx_id)
+"""
+
+
+@query("fee_rates", f"select tx_id, fee, tx_id % 5 * 40 as vsize, case when tx_id % 5 > 0 then cast(fee as double) / (tx_id % 5 * 40) end as fee_rate from ({FEES_SQL})", text="fee")
+def fee_rates(t: Facts):
+    return ledger.fee_rates(tx_fees(t), t.outputs.select("tx_id", (F.col("tx_id") % 5 * 40).alias("vsize")).distinct())
+
+
+@query("block_fees", f"""
+select height, case when count(fee) > 0 then sum(fee) // count(fee) end as avg_fee, count(fee) as n
+from (select tx_id, min(created_height) as height from outputs group by 1) left join ({FEES_SQL}) using (tx_id) group by 1
+""", text="avg_fee", ints="height")
+def block_fees(t: Facts):
+    return ledger.block_fees(tx_fees(t), t.outputs.groupBy("tx_id").agg(F.min("created_height").alias("height")))
+
+
 @query("balance_line_chart", """
 select g.token, g.sample_height, coalesce(s.supply, 0) as supply
 from (select token, unnest(list_distinct(list_append(generate_series(0, last, 30), last))) as sample_height from (select distinct token from deltas), (select max(height) as last from (select height from deltas group by token, height having sum(delta) <> 0))) g

@@ -29,6 +29,14 @@ def block_summary(t: Facts):
     return blocks.block_summary(t.ev.select("height").distinct(), t.flow.filter("success"))
 
 
+@query("recent_blocks", """
+select h.height, coalesce(n, 0) as traces from (select unnest(generate_series((select greatest(max(height) - 50, 0) from ev), (select max(height) from ev))) as height) h
+left join (select height, count(*) as n from flow where success group by 1) f using (height)
+""")
+def recent_blocks(t: Facts):
+    return blocks.recent_blocks(blocks.block_summary(t.ev.select("height").distinct(), t.flow.filter("success")), radius=50)
+
+
 @query("attach_traces", """
 select event_id, case when event_type <> 'signup' then event_id % 4 end as vout from ev
 """)
@@ -151,6 +159,20 @@ def pending_traces(t: Facts):
 # ---------------------------------------------------------------- scalar formats
 
 
+@query("amount_formats", """
+select event_id, format('{:,}', c // 100000000) || case when c % 100000000 = 0 then '' else '.' || rtrim(lpad(cast(c % 100000000 as varchar), 8, '0'), '0') end as amount,
+       cast(c as double) / 1e8 as scaled, cast(c as double) / 1e16 as price, case when max(c) over (partition by k) > 9007199254740991 then '"' || c || '"' else cast(c as varchar) end as json,
+       case when cents % 2 = 0 then -1 else 1 end * (cents * 10000 + 1235) as bp
+from (select event_id, cents, k, cast(cents as hugeint) * 1000003 * (k + 1) as c from ev)
+""", ints="bp")
+def amount_formats(t: Facts):
+    e = t.ev.withColumn("c", (F.col("cents").cast(DEC) * 1000003 * (F.col("k") + 1)).cast(DEC))
+    e = tx.json_series(e, ["k"], "c", "json")
+    sign = F.when(F.col("cents") % 2 == 0, "-").otherwise("+")
+    return e.select("event_id", tx.short_amount(F.col("c")).alias("amount"), tx.scale_amount(F.col("c")).alias("scaled"), tx.scale_price(F.col("c")).alias("price"), "json",
+                    tx.parse_bp(F.concat(F.lit(" "), sign, F.col("cents").cast("string"), F.lit(".123459"))).alias("bp"))
+
+
 @query("number_formats", f"""
 select event_id, {pct('cents', 'k')} as change_bp, {bp_text('(cents - 5000)')} as bp_text,
        case when cents = 0 then null else cast(cast(100000000000000000000000000000000 as hugeint) // cents as varchar) end as inverse,

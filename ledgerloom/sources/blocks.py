@@ -41,6 +41,16 @@ def block_summary(blocks: DataFrame, traces: DataFrame) -> DataFrame:
     return blocks.join(n, "height", "left").withColumn("traces", F.coalesce("traces", F.lit(0)).cast("bigint"))
 
 
+def recent_blocks(summary: DataFrame, center: int | None = None, radius: int = 8) -> DataFrame:
+    """Trace counts of the heights around ``center`` (the last height if none is given), up to the last one; heights without a block count 0."""
+    if not 0 <= radius <= 50:
+        raise ValueError("a radius is 0 to 50")
+    tip = summary.agg(F.max("height").alias("tip"), F.lit(center).cast("bigint").alias("center"))
+    middle = F.least(F.coalesce("center", "tip"), F.col("tip"))
+    heights = tip.filter("tip is not null").select(F.explode(F.sequence(F.greatest(middle - radius, F.lit(0)), F.least(middle + radius, F.col("tip")))).alias("height"))
+    return heights.join(summary.select("height", "traces"), "height", "left").withColumn("traces", F.coalesce("traces", F.lit(0)).cast("bigint"))
+
+
 def read_price_history(spark: SparkSession, path: str) -> DataFrame:
     """Height and BTC/USD price points of a JSON file holding one object of
     ``height: price`` pairs."""

@@ -60,6 +60,19 @@ def test_number_text(spark):
     assert (bp.a, bp.b, bp.c, bp.d) == ("-0.0005", "123.4567", -12346, "a / b")
 
 
+def test_percent_text_saturates(spark):
+    cases = {"1.00005": 10001, "1.000049": 10000, "-1.23455": -12346, " +2 ": 20000, "": 0, "-": 0, "x": 0, "1.2.3": 0, ".5": 5000, "9" * 40: 2**63 - 1, "-" + "9" * 40: -2**63, "-922337203685477.5808": -2**63}
+    got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.parse_bp(F.col("t")).alias("v")).collect()}
+    assert got == cases
+
+
+def test_amount_text_and_json_series(spark):
+    df = frame(spark, [(123456700000000, 0, 1), (100000000, 0, 1), (5, 0, 2), (2**53, 0, 2)])
+    assert [r.v for r in df.select(text.short_amount(F.col("a")).alias("v")).collect()] == ["1,234,567", "1", "0.00000005", "90,071,992.54740992"]
+    got = {int(r.a): r.j for r in text.json_series(df, ["c"], "a", "j").collect()}
+    assert got == {123456700000000: "123456700000000", 100000000: "100000000", 5: '"5"', 2**53: '"9007199254740992"'}
+
+
 def test_little_endian_numbers(spark):
     df = spark.createDataFrame([(bytearray(b"\x01\x02"),), (bytearray(),), (bytearray(b"\x00" * 15 + b"\x10"),)], "b binary")
     assert [r.v and int(r.v) for r in df.select(text.u128_le(F.col("b")).alias("v")).collect()] == [513, None, 16 * 256**15]
