@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import as_bytes, chunks, gram_hashes, small_batches, sorted_groups, stage, word_hashes
@@ -65,8 +66,8 @@ def minimizers(docs: DataFrame) -> DataFrame:
 
 def segments(docs: DataFrame) -> DataFrame:
     """(o, h, at, text): stretches of words whose windows may recur in another document."""
-    seen = minimizers(docs)
-    several = stage(seen.groupBy("m").agg(F.min("o").alias("a"), F.max("o").alias("z")).where("a < z").select("m"))
+    seen = minimizers(docs).repartition("m")  # dealt once: both sides of the join read it
+    several = seen.groupBy("m").agg(F.min("o").alias("a"), F.max("o").alias("z")).where("a < z").select("m")
     mine = seen.join(several.hint("shuffle_hash"), "m").groupBy("o", "h").agg(F.collect_set("m").alias("ms"))
     held = documents(docs).join(mine, ["o", "h"])
 
@@ -181,13 +182,14 @@ def drop_repeated_words(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     spans = covered(docs).groupBy("o", "h").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = documents(docs, row).join(spans, ["o", "h"], "left").select("row", "text", "spans")
+    found = documents(docs, row).drop("text").join(spans, ["o", "h"], "left").select("row", "spans")
+    place = docs.columns.index("text")
     schema = T.StructType([found.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone, kept = [], [], []
-            for raw, ranges in zip(as_bytes(b.column(1)), b.column(2).to_pylist()):
+            for raw, ranges in zip(as_bytes(pc.struct_field(b.column(0), [place])), b.column(1).to_pylist()):
                 words = raw.split()
                 total.append(len(words))
                 if ranges:
