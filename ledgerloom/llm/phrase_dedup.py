@@ -66,8 +66,9 @@ def minimizers(docs: DataFrame) -> DataFrame:
 
 def segments(docs: DataFrame) -> DataFrame:
     """(o, h, at, text): stretches of words whose windows may recur in another document."""
-    seen = minimizers(docs).repartition("m")  # dealt once: both sides of the join read it
-    several = seen.groupBy("m").agg(F.min("o").alias("a"), F.max("o").alias("z")).where("a < z").select("m")
+    # dealt once: both sides of the join read it, with the same columns and filters
+    seen = minimizers(docs).where("m is not null and o is not null and h is not null").repartition("m")
+    several = seen.groupBy("m").agg(F.min("o").alias("a"), F.max("o").alias("z"), F.max("h").alias("any")).where("a < z and any is not null").select("m")
     mine = seen.join(several.hint("shuffle_hash"), "m").groupBy("o", "h").agg(F.collect_set("m").alias("ms"))
     held = documents(docs).join(mine, ["o", "h"])
 
