@@ -136,22 +136,19 @@ def _locate(group: pa.Table) -> Iterator[pa.RecordBatch]:
         automaton.add_word(w, owner)
     automaton.make_automaton()
     out: list[list] = [[], [], [], []]
+    # segments of copies are equal: the automaton reads each text once, and every segment takes its own part of the matches
+    seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for i in np.flatnonzero(kind == 1).tolist() if first else ():
-        line = line_of(texts[i])
-        base, mine, begin, end = int(at[i]), int(o[i]), -1, -1
-        spans = []
-        for last, owner in automaton.iter(line):
-            if owner < mine:
-                if last - WINDOW + 1 > end:
-                    if begin >= 0:
-                        spans.append((begin, end))
-                    begin = last - WINDOW + 1
-                end = last + 1
-        if begin >= 0:
-            spans.append((begin, end))
-        for x, y in spans:
-            for column, value in zip(out, (mine, int(h[i]), base + x, base + y)):
-                column.append(value)
+        if texts[i] not in seen:
+            matches = list(automaton.iter(line_of(texts[i])))
+            seen[texts[i]] = np.array([m for m, _ in matches], dtype=np.int64), np.array([w for _, w in matches], dtype=np.int64)
+        lasts, owners = seen[texts[i]]
+        lasts = lasts[owners < o[i]]
+        if len(lasts):
+            cut = np.flatnonzero(lasts[1:] - WINDOW > lasts[:-1])
+            begins, ends = lasts[np.concatenate(([0], cut + 1))] - WINDOW + 1, lasts[np.append(cut, len(lasts) - 1)] + 1
+            for column, values in zip(out, ([int(o[i])] * len(begins), [int(h[i])] * len(begins), (begins + at[i]).tolist(), (ends + at[i]).tolist())):
+                column.extend(values)
     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["o", "h", "x", "y"])
 
 
