@@ -10,7 +10,7 @@ from ..operators.amm import TIMEFRAMES
 from .facts import EPOCH, NOW, TIP, Facts
 from .registry import query
 from .facts_sql import CTES
-from .sqltext import TF_VALUES, bp_text, muldiv, pct
+from .sqltext import HIGHER_VALUES, TF_VALUES, bp_text, muldiv, pct
 
 OHLCV = "open high low close volume"
 PRICES = ("open", "high", "low", "close")
@@ -191,6 +191,92 @@ def candles_page(t: Facts):
         "token", "bucket_ts", "position", "total", *PRICES, "volume")
 
 
+# Pages of every kind of series at every timeframe.
+
+def _dense(name: str, src: str, keys: str) -> None:
+    """Named subquery: the dense candles of ``src`` at all timeframes."""
+    w = f"partition by {keys}, tf order by bucket_ts"
+    CTES[f"{name}_frames"] = f"""
+select {keys}, '10m' as tf, cast(600 as bigint) as dur, bucket_ts, open, high, low, close, volume from {src}
+union all
+select {keys}, tf, dur, bucket_ts // dur * dur, arg_min(o, bucket_ts), max(greatest(high, o)), min(least(low, o)), arg_max(close, bucket_ts), sum(volume)
+from (select *, coalesce(lag(close) over (partition by {keys} order by bucket_ts), close) as o from {src}), {HIGHER_VALUES}
+group by {keys}, tf, dur, bucket_ts // dur * dur
+"""
+    CTES[f"{name}_dense"] = f"""
+select {keys}, tf, bucket_ts, case when is_real then coalesce(prev, open) else fill end as open,
+       case when is_real then greatest(high, coalesce(prev, open)) else fill end as high,
+       case when is_real then least(low, coalesce(prev, open)) else fill end as low,
+       fill as close, case when is_real then volume else 0 end as volume,
+       row_number() over ({w} desc) as position, count(*) over (partition by {keys}, tf) as total
+from (select *, lag(fill) over ({w}) as prev
+      from (select *, close is not null as is_real, last_value(close ignore nulls) over ({w}) as fill
+            from (select {keys}, tf, unnest(generate_series(min(bucket_ts), {NOW} // dur * dur, dur)) as bucket_ts from {name}_frames group by {keys}, tf, dur)
+            left join {name}_frames using ({keys}, tf, bucket_ts)))
+"""
+    CTES[f"{name}_spot"] = f"""
+select d.* replace (case when hit then greatest(high, open, spot) else high end as high, case when hit then least(low, open, spot) else low end as low,
+                    case when hit then spot else close end as close)
+from (select *, position = 1 and tf <> '10m' as hit from {name}_dense) d join (select {keys}, arg_max(close, bucket_ts) as spot from {src} group by {keys}) using ({keys})
+"""
+
+
+_dense("pool", "m10", "pool_id, side")
+_dense("usd", "token_usd", "token")
+_dense("mcusd", "mcusd", "token")
+
+CTES["line_frames"] = f"""
+select g.tf, g.bucket_ts, last_value(price ignore nulls) over (partition by g.tf order by g.bucket_ts) as btc
+from (select tf, unnest(generate_series(min(ts // dur * dur), {NOW} // dur * dur, dur)) as bucket_ts from btc, {TF_VALUES} group by tf, dur) g
+left join (select tf, ts // dur * dur as bucket_ts, arg_max(price, height) as price from btc, {TF_VALUES} group by 1, 2) b using (tf, bucket_ts)
+"""
+
+
+def _page_sql(source: str, keys: str, limit: int, offset: int) -> str:
+    return f"""
+select {keys}, tf, bucket_ts, position, total, {', '.join(PRICES)}, volume from {source} where position > {offset} and position <= {offset + limit}
+"""
+
+
+def _sats_pages_sql(name: str, limit: int, offset: int) -> str:
+    return f"""
+select token, tf, bucket_ts, position, total, coalesce(prev, open) as open, greatest(high, coalesce(prev, open)) as high,
+       least(low, coalesce(prev, open)) as low, close, volume
+from (select *, lag(close) over (partition by token, tf order by bucket_ts) as prev
+      from (select token, tf, bucket_ts, position, total, {', '.join(f'{_sats(f)} as {f}' for f in (*PRICES, 'volume'))}
+            from (select u.*, coalesce(l.btc, case when u.bucket_ts < e.lo then e.head else e.tail end) as btc
+                  from {name}_spot u left join line_frames l using (tf, bucket_ts)
+                  join (select tf, min(bucket_ts) as lo, arg_min(btc, bucket_ts) as head, arg_max(btc, bucket_ts) as tail from line_frames group by 1) e using (tf))))
+where position > {offset} and position <= {offset + limit}
+"""
+
+
+@query("pool_candle_pages", _page_sql("pool_dense", "pool_id, side", 40, 0), text=OHLCV)
+def pool_candle_pages(t: Facts):
+    return prices.candle_pages(t.m10, ["pool_id", "side"], NOW, 40)
+
+
+@query("usd_candle_pages", _page_sql("usd_spot", "token", 60, 0), text=OHLCV)
+def usd_candle_pages(t: Facts):
+    return prices.candle_pages(t.token_usd, ["token"], NOW, 60)
+
+
+@query("mcusd_candle_pages", _page_sql("mcusd_spot", "token", 50, 0), text=OHLCV)
+def mcusd_candle_pages(t: Facts):
+    return prices.candle_pages(mcusd(t), ["token"], NOW, 50)
+
+
+@query("sats_candle_pages", _sats_pages_sql("usd", 60, 0), text=OHLCV)
+def sats_candle_pages(t: Facts):
+    return prices.candle_pages(t.token_usd, ["token"], NOW, 60, btc=t.btc)
+
+
+@query("mcsats_candle_pages", _sats_pages_sql("mcusd", 50, 50), text=OHLCV)
+def mcsats_candle_pages(t: Facts):
+    # the second page
+    return prices.candle_pages(mcusd(t), ["token"], NOW, 50, 50, btc=t.btc)
+
+
 # ---------------------------------------------------------------- changes
 
 
