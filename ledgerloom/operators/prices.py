@@ -261,8 +261,11 @@ def candle_pages(candles: DataFrame, keys: Sequence[str], now: int, limit: int =
         c = c.join(line, ["tf", "bucket_ts"], "left").join(ends, "tf", "left")
         outside = F.when(F.col("bucket_ts") < F.col("__lo"), F.col("__first")).otherwise(F.col("__last"))
         c = c.withColumns({"__btc": F.coalesce("price", outside, big(0)), "__prev": F.coalesce("__prev", outside, big(0))})
-        c = c.withColumns({"open": F.when(F.col("__before").isNotNull(), usd_to_sats(F.col("__before"), F.col("__prev")))
-                          .otherwise(usd_to_sats(F.col("open"), F.col("__btc")))} | {f: usd_to_sats(F.col(f), F.col("__btc")) for f in ("high", "low", "close", "volume")})
+        # one conversion over an array: its expression is large
+        chain = F.struct(F.coalesce("__before", "open").cast(DEC).alias("v"), F.when(F.col("__before").isNotNull(), F.col("__prev")).otherwise(F.col("__btc")).cast(DEC).alias("b"))
+        pairs = F.array(chain, *[F.struct(F.col(f).cast(DEC).alias("v"), F.col("__btc").cast(DEC).alias("b")) for f in ("high", "low", "close", "volume")])
+        c = c.withColumn("__sats", F.transform(pairs, lambda x: usd_to_sats(x["v"], x["b"])))
+        c = c.withColumns({f: F.col("__sats")[i] for i, f in enumerate((*PRICES, "volume"))})
         c = c.withColumns({"high": F.greatest("high", "open"), "low": F.least("low", "open")})
     return c.select(*k, "bucket_ts", "position", "total", *PRICES, "volume")
 
