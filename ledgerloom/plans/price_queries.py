@@ -375,16 +375,112 @@ def derived_of(t: Facts):
     return prices.derived_candles(prices.derived_inputs(t.m10, choice, t.token_usd, t.derived_quotes))
 
 
-@query("derived_candles")
+# Every derived quote merges by the neutral strategy: the rules below are that one's, bucket after bucket.
+CTES["derived_quotes"] = "select distinct quote_id from pools where quote_id not in (1, 2)"
+
+CTES["derived_pairs"] = f"select * from ({CHOICE_SQL}) where quote in (select quote_id from derived_quotes)"
+
+
+def _pool_price(f: str, mirrored: str) -> str:
+    return f"case when token_is_base then base_{f} when base_{mirrored} = 0 then 0 else cast('100000000000000000000000000000000' as hugeint) // base_{mirrored} end as p_{f}"
+
+
+def _priced(f: str) -> str:
+    value = muldiv("last_q", "p_volume" if f == "volume" else f"p_{f}", 10**16) if f != "volume" else muldiv("p_volume", "b_close", 10**16)
+    return f"case when priced then {value} end as b_{f}"
+
+
+CTES["derived_rows"] = f"""
+select *, has_pool and not moved and own_close is not null and (t_close is not null) <> real as pull, has_pool and moved and t_close is null and not real as idle,
+       row_number() over (partition by token, quote order by bucket_ts) as n
+from (select *, {', '.join(f"case when b_{f} is not null and t_{f} is not null then {'b_volume + t_volume' if f == 'volume' else f'(b_{f} + t_{f}) // 2'} else coalesce(b_{f}, t_{f}) end as own_{f}" for f in (*PRICES, 'volume'))}
+  from (select *, {_priced('volume')}
+    from (select *, {', '.join(_priced(f) for f in PRICES)}
+      from (select *, has_pool and last_q is not null and real and p_open <> 0 and p_high <> 0 and p_low <> 0 and p_close <> 0 as priced, has_pool and q_close is not null as moved
+        from (select *, last_value(q_close ignore nulls) over w as last_q, last_value(p_close ignore nulls) over w as last_p,
+                     last_value(q_close ignore nulls) over (partition by token, quote order by bucket_ts rows between unbounded preceding and 1 preceding) as prev_q
+          from (select token, quote, bucket_ts, {', '.join(f't.{f} as t_{f}' for f in (*PRICES, 'volume'))}, {', '.join(f'p_{f}' for f in (*PRICES, 'volume'))},
+                       {', '.join(f'q.{f} as q_{f}' for f in PRICES)}, p_close is not null as real, d.pool_id is not null as has_pool
+            from (select u.*, quote_id as quote from token_usd u, derived_quotes where token <> quote_id) t
+            full join (select token, quote, bucket_ts, {_pool_price('open', 'open')}, {_pool_price('high', 'low')}, {_pool_price('low', 'high')}, {_pool_price('close', 'close')},
+                              case when token_is_base then base_volume else quote_volume end as p_volume
+                       from m10_wide join derived_pairs using (pool_id)) p using (token, quote, bucket_ts)
+            full join (select d.token, d.quote, u.bucket_ts, {', '.join(f'u.{f}' for f in PRICES)} from token_usd u join derived_pairs d on u.token = d.quote) q using (token, quote, bucket_ts)
+            left join derived_pairs d using (token, quote))
+          window w as (partition by token, quote order by bucket_ts rows unbounded preceding))))))
+"""
+
+_OWN = "case when pull and last <> 0 then (own_{f} + last) // 2 else own_{f} end"
+_CARRIED = "case when moved and rate <> 0 then case when idle and last <> 0 then (" + muldiv("q_{f}", "rate", 10**16) + " + last) // 2 else " + muldiv("q_{f}", "rate", 10**16) + " end end"
+# the product saturates at 2^128 - 1
+_WIDE = "cast({} as uhugeint)"
+_DRIFT = (f"case when last <= {(2**128 - 1) // 10**16} then {_WIDE.format('last')} * {_WIDE.format(10**16)} "
+          f"else {_WIDE.format(chr(39) + str(2**128 - 1) + chr(39))} end // {_WIDE.format('prev_q')}")
+_RATE = f"case when last = 0 then last_p when prev_q <> 0 then cast({_DRIFT} as hugeint) end as rate"
+
+
+def _joint(f: str) -> str:
+    """Value of a bucket: own and carried price averaged, else whichever there is, else the close before unless the quote moved."""
+    own, carried = _OWN.format(f=f), _CARRIED.format(f=f)
+    return f"coalesce(({own} + {carried}) // 2, {own}, {carried}, case when not moved and last <> 0 then last end)"
+
+
+CTES["derived"] = f"""
+select token, quote, bucket_ts, case when last <> 0 then last else v_open end as open, case when last <> 0 then greatest(v_high, last) else v_high end as high,
+       case when last <> 0 then least(v_low, last) else v_low end as low, v_close as close, coalesce(own_volume, 0) as volume
+from (select *, {', '.join(f'{_joint(f)} as v_{f}' for f in PRICES)}
+      from (select r.*, last, {_RATE} from derived_rows r join (
+        with recursive walk as (
+          select token, quote, cast(1 as bigint) as n, cast(0 as hugeint) as last from derived_rows group by token, quote
+          union all
+          select token, quote, n + 1, cast(coalesce({_joint('close')}, last) as hugeint)
+          from (select r.*, last, {_RATE} from walk join derived_rows r using (token, quote, n)))
+        select * from walk) using (token, quote, n)))
+where v_close is not null
+"""
+
+
+@query("derived_candles", "select * from derived", text=OHLCV)
 def derived_candles(t: Facts):
     return derived_of(t)
 
 
-@query("derived_metrics")
-def derived_metrics(t: Facts):
+CTES["derived_metrics"] = f"""
+select token, quote, price_usd, {muldiv('price_usd', 'coalesce(supply, 0)', 10**8)} as fdv_usd, {muldiv('price_usd', 'coalesce(supply, 0)', 10**8)} as marketcap_usd,
+       {', '.join(f"{muldiv(f'coalesce(amount_{w}, 0)', 'price_usd', 10**8)} as {n}" for w, n in
+                  (('all', 'volume_all_time'), ('1d', 'volume_1d'), ('7d', 'volume_7d'), ('30d', 'volume_30d')))},
+       {', '.join(f"{pct('price_usd', f'c_{w}')} as change_{w}_bp" for w in ('1d', '7d', '30d'))}, {pct('price_usd', 'c_first')} as change_all_time_bp
+from (select token, quote, arg_max(close, bucket_ts) as price_usd, arg_min(close, bucket_ts) as c_first,
+             {', '.join(f"{_close_at('', str(NOW - d * 86400))} as c_{w}" for w, d in (('1d', 1), ('7d', 7), ('30d', 30)))}
+      from derived group by token, quote)
+left join supply using (token) left join token_windows using (token)
+"""
+
+
+def derived_metrics_of(t: Facts):
     return metrics.token_metrics(derived_of(t), t.supply, token_windows(t), NOW, keys=("token", "quote"))
 
 
+@query("derived_metrics", "select * from derived_metrics", text=METRIC_TEXT)
+def derived_metrics(t: Facts):
+    return derived_metrics_of(t)
+
+
+_dense("derived", "derived", "token, quote")
+
+
+@query("derived_candle_pages", _page_sql("derived_spot", "token, quote", 40, 0), text=OHLCV)
+def derived_candle_pages(t: Facts):
+    return prices.candle_pages(derived_of(t), ["token", "quote"], NOW, 40)
+
+
+@query("derived_mcap_candles", f"""
+select token, quote, bucket_ts, {', '.join(f"{muldiv(f, 'supply', 10**8)} as {f}" for f in PRICES)}, volume from derived join supply using (token)
+""", text=OHLCV)
+def derived_mcap_candles(t: Facts):
+    return prices.mcap_candles(derived_of(t), t.supply)
+
+
 # TVL after every block with pool activity, at the prices of that block.
 CTES["pool_closing"] = """
 select pool_id, height, arg_max(base_reserve, seq) as base_reserve, arg_max(quote_reserve, seq) as quote_reserve from reserves group by 1, 2
