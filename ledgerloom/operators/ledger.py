@@ -86,6 +86,18 @@ def balance_history(deltas: DataFrame) -> DataFrame:
     return per.withColumn("amount", F.sum("delta").over(w).cast(DEC))
 
 
+def balance_violations(deltas: DataFrame) -> DataFrame:
+    """Holders whose balance was ever below zero: first such height, lowest balance, number of heights, and the balance in the end.
+
+    Balances themselves go on, so that one broken key holds up no others; a caller that must stop counts these rows.
+    """
+    below = F.col("amount") < 0
+    g = balance_history(deltas).groupBy("token", "holder_type", "holder_id").agg(
+        F.min(F.when(below, F.col("height"))).alias("first_height"), F.min("amount").alias("lowest"),
+        F.count_if(below).alias("heights"), F.max_by("amount", "height").alias("amount"))
+    return g.filter(F.col("heights") > 0)
+
+
 def holder_sort_key() -> Column:
     """Order among equal amounts: addresses by text, contracts zero-padded."""
     return F.when(F.col("holder_type") == "address", F.concat(F.lit("addr:"), F.col("holder_id"))) \
@@ -202,6 +214,21 @@ def balance_log(deltas: DataFrame, limit: int = 50, offset: int = 0, owner=None,
     return top_per_key(t, keys, [F.desc("height"), F.desc("seq")], limit, offset)
 
 
+def balance_log_after(deltas: DataFrame, cursors: DataFrame, limit: int = 100) -> DataFrame:
+    """Next ``limit`` log entries of each owner that lie before its cursor, newest first.  ``cursors``: owner, height, seq of the last entry seen.
+
+    ``has_more`` tells whether entries are left; if so, ``next_height`` and ``next_seq`` of an owner's rows are its next cursor.  Entries past the
+    cursor are dropped before they are grouped, and an owner sends at most ``limit + 1`` of them per map task.
+    """
+    at = cursors.select("owner", F.struct(F.col("height").cast("bigint").alias("height"), F.col("seq").cast("bigint").alias("seq")).alias("__at"))
+    d = deltas.join(at, "owner").filter(F.struct(F.col("height").cast("bigint").alias("height"), F.col("seq").cast("bigint").alias("seq")) < F.col("__at")).drop("__at")
+    rows = balance_log(d, limit + 1)
+    own = Window.partitionBy("owner")
+    rows = rows.withColumn("has_more", F.max("position").over(own) > limit).filter(F.col("position") <= limit)
+    last = F.max(F.struct("position", "height", "seq")).over(own)
+    return rows.withColumns({f"next_{c}": F.when(F.col("has_more"), last[c]) for c in ("height", "seq")})
+
+
 def tx_summary(deltas: DataFrame, traces: DataFrame) -> DataFrame:
     """Outflow entries and trace count per transaction."""
     o = deltas.groupBy("tx_id", "height").agg(F.count(F.lit(1)).alias("outflows"))
@@ -220,20 +247,35 @@ def latest_traced(txs: DataFrame, n: int = 20) -> DataFrame:
     return page(txs, [F.desc("height"), F.desc("tx_idx")], n, total=False)
 
 
-def address_txs(outputs: DataFrame, pending: DataFrame, tip: int | Column, limit: int, offset: int = 0) -> DataFrame:
+def address_index(outs: DataFrame, ins: DataFrame, protocol: DataFrame | None = None) -> DataFrame:
+    """(address, tx_id, height): transactions by the owners of their inputs and of their outputs, once each; a data-only output has no owner.
+
+    ``outs``: tx_id, address, height, is_data; ``ins``: tx_id, address, height.  ``protocol`` (tx_id) keeps only the transactions it names.
+    """
+    both = outs.filter(~F.coalesce("is_data", F.lit(False))).select("address", "tx_id", "height").unionByName(ins.select("address", "tx_id", "height"))
+    if protocol is not None:
+        both = both.join(protocol.select("tx_id").distinct(), "tx_id", "left_semi")
+    return both.filter(F.col("address").isNotNull()).groupBy("address", "tx_id").agg(F.max("height").alias("height"))
+
+
+def indexed_txs(index: DataFrame, pending: DataFrame, tip: int | Column, limit: int, offset: int = 0) -> DataFrame:
     """Transactions per address: pending ones first, then confirmed newest first.
     ``pending``: address, tx_id; a pending transaction is not listed again."""
-    made = outputs.select("address", "tx_id", F.col("created_height").alias("height"))
-    spent = outputs.filter(F.col("spent_by").isNotNull()).select(
-        "address", F.col("spent_by").alias("tx_id"), F.col("spent_height").alias("height"))
-    confirmed = made.unionByName(spent).groupBy("address", "tx_id").agg(F.max("height").alias("height"))
     p = pending.select("address", "tx_id").distinct()
-    u = confirmed.join(p, ["address", "tx_id"], "left_anti").withColumn("is_pending", F.lit(False)) \
+    u = index.join(p, ["address", "tx_id"], "left_anti").withColumn("is_pending", F.lit(False)) \
         .unionByName(p.withColumn("height", F.lit(None).cast("bigint")).withColumn("is_pending", F.lit(True)))
     order = [F.desc("is_pending"), F.desc("height"), F.desc("tx_id")]
     return top_per_key(u, ["address"], order, limit, offset).withColumn("confirmations", F.lit(tip) - F.col("height") + 1)
 
 
+def address_txs(outputs: DataFrame, pending: DataFrame, tip: int | Column, limit: int, offset: int = 0) -> DataFrame:
+    """Transactions per address from token outputs and their spends."""
+    made = outputs.select("address", "tx_id", F.col("created_height").alias("height"), F.lit(False).alias("is_data"))
+    spent = outputs.filter(F.col("spent_by").isNotNull()).select(
+        "address", F.col("spent_by").alias("tx_id"), F.col("spent_height").alias("height"))
+    return indexed_txs(address_index(made, spent), pending, tip, limit, offset)
+
+
 # ---------------------------------------------------------------- checks
 
 def reconcile(local: DataFrame, authority: DataFrame, changed: DataFrame) -> DataFrame:
@@ -315,3 +357,15 @@ def sample_series(metric: DataFrame, keys: Sequence[str], value: str, lo: int, h
     heights = F.array_distinct(F.concat(F.sequence(F.lit(lo).cast("bigint"), hi, F.lit(step).cast("bigint")), F.array(hi)))
     every = start.withColumn("sample_height", F.explode(heights)).drop("__hi")
     return every.join(hit, [*keys, "sample_height"], "left").withColumn(value, F.coalesce(value, big(0)))
+
+
+#: Blocks that a chart looks back and its step; no lookback starts at the first block.  Fixed values.
+CHART_RANGES = {"1d": (144, 1), "1w": (1008, 7), "1m": (4320, 30), "all": (None, 500)}
+CHART_NAMES = {"24h": "1d", "7d": "1w", "30d": "1m", "max": "all", "3m": "all", "90d": "all"}
+
+
+def chart_series(metric: DataFrame, keys: Sequence[str], value: str, span: str, lo: int, hi: int) -> DataFrame:
+    """A step metric sampled for a named range that ends at ``hi`` and starts at ``lo`` or later; unknown names show everything."""
+    name = span.strip().lower()
+    back, step = CHART_RANGES.get(CHART_NAMES.get(name, name), CHART_RANGES["all"])
+    return sample_series(metric, keys, value, lo if back is None else max(hi - back, lo), hi, step)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.asof import asof_backward
 from ..functions.exact import (AMOUNT_SCALE, DEC, PRICE_SCALE, apr_bp_30d,
     big, mul_div_floor, percent_change_bp, sat_add, sat_mul)
-from ..functions.paging import page
-from ..functions.text import format_bp
+from ..functions.paging import page, top_per_key
+from ..functions.text import format_bp, normalize_name
 from .amm import BLOCKS_PER_DAY, BLOCKS_PER_WEEK, chain_position
 from .prices import close_windows
 
@@ -126,6 +126,20 @@ def rank_tokens(creations: DataFrame, metrics: DataFrame, field: str, desc: bool
     return page(j, order, limit, offset)
 
 
+def rank_tokens_by_quote(creations: DataFrame, derived: DataFrame, quotes: DataFrame, field: str, desc: bool = True,
+                         limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """A page of tokens for each derived quote, by a metric of their derived series; tokens without one follow as in :func:`rank_tokens`.
+
+    ``derived``: token, quote, metrics; ``quotes``: the few configured quote_ids.
+    """
+    every = creations.select("token", "creation_height").withColumn("quote", F.explode(quotes.agg(F.collect_set("quote_id")).scalar()))
+    j = every.join(derived, ["token", "quote"], "left")
+    missing = F.col(field).isNull()
+    order = ([missing.asc(), F.col(field).desc(), F.when(missing, F.col("creation_height")), F.col("token").desc()]
+             if desc else [missing.desc(), F.col(field).asc(), F.when(missing, F.col("creation_height")), F.col("token")])
+    return top_per_key(j, ["quote"], order, limit, offset)
+
+
 def search_ranked(prefixes: DataFrame, metrics: DataFrame, prefix: str, field: str,
                   limit: int = 20, offset: int = 0) -> DataFrame:
     """Tokens having the prefix, best metric first.  ``prefixes``: token, prefix."""
@@ -134,6 +148,28 @@ def search_ranked(prefixes: DataFrame, metrics: DataFrame, prefix: str, field: s
     return page(j, [F.desc(field), F.asc("token")], limit, offset)
 
 
+def search_or_scan(prefixes: DataFrame, creations: DataFrame, holders: DataFrame, metrics: DataFrame, text: str, field: str,
+                   limit: int = 20, offset: int = 0, quote: int | None = None, longest: int = 6) -> DataFrame:
+    """A page of tokens for a search text: from the prefix index by a metric, or, where that page is empty, every token any of whose names or
+    symbols starts with the text, by holders.  ``scanned`` tells which.
+
+    ``prefixes``: token, prefix (of at most ``longest`` characters: longer texts always scan); ``holders``: token, holders.  With ``quote``,
+    ``metrics`` are derived ones (token, quote, …) and only tokens that have them count.
+    """
+    q = text.strip().lower()
+    if quote is not None:
+        metrics = metrics.filter(F.col("quote") == quote).drop("quote")
+    known = prefixes if quote is None else prefixes.join(metrics.select("token"), "token", "left_semi")
+    found = search_ranked(known if len(q) <= longest else known.filter(F.lit(False)), metrics, q, field, limit, offset).select("token", "position")
+    starts = F.exists(F.concat("names", "symbols"), lambda n: normalize_name(n).startswith(q))
+    named = creations.filter(starts).select("token").join(holders, "token", "left").withColumn("holders", F.coalesce("holders", F.lit(0)).cast("bigint"))
+    scan = page(named, [F.desc("holders"), F.asc("token")], limit, offset, total=False).select("token", "position")
+    if quote is not None:
+        scan = scan.join(metrics.select("token"), "token", "left_semi")
+    empty = found.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+    return found.withColumn("scanned", F.lit(False)).unionByName(scan.filter(empty).withColumn("scanned", F.lit(True)))
+
+
 def rank_pools(metrics: DataFrame, field: str, desc: bool = True, limit: int | None = None, offset: int = 0) -> DataFrame:
     c = F.col(field)
     return page(metrics, [c.desc() if desc else c.asc(), F.col("pool_id").asc()], limit, offset)

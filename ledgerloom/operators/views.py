@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exact import DEC, big, div_floor, mul_div_floor, sat_mul
-from ..functions.paging import page
+from ..functions.exact import DEC, big, div_floor, mul_div_floor, sat_add, sat_mul
+from ..functions.paging import page, top_per_key
 from ..functions.text import normalize_name
 
 
@@ -23,6 +23,20 @@ def token_table(creations: DataFrame, metrics: DataFrame, holder_counts: DataFra
         .withColumn("mint_active", F.col("minted") < F.col("max_supply"))
 
 
+DERIVED_FIELDS = ("price_usd", "fdv_usd", "marketcap_usd", "volume_1d", "volume_7d", "volume_30d", "volume_all_time",
+                  "change_1d_bp", "change_7d_bp", "change_30d_bp", "change_all_time_bp")
+
+
+def with_derived(table: DataFrame, derived: DataFrame) -> DataFrame:
+    """Listing rows with ``derived``: one entry per quote for which the token has derived metrics, by quote; an empty list if none.
+
+    A list, not columns per quote, so that the schema does not depend on the configured quotes.  ``derived``: token, quote, metrics.
+    """
+    entry = F.struct(F.col("quote"), *[F.col(f) for f in DERIVED_FIELDS])
+    per = derived.groupBy("token").agg(F.array_sort(F.collect_list(entry)).alias("derived"))
+    return table.join(per, "token", "left").withColumn("derived", F.coalesce("derived", F.array().cast(per.schema["derived"].dataType)))
+
+
 def token_listing(table: DataFrame, sort: str = "marketcap_usd", desc: bool = True, limit: int = 50, offset: int = 0,
                   query: str | None = None) -> DataFrame:
     t = table
@@ -58,13 +72,17 @@ def pool_details(values: DataFrame, metrics: DataFrame, creation: DataFrame, lp:
 
 
 def pools_overview(table: DataFrame, sort: str = "tvl_usd", desc: bool = True, limit: int = 50, offset: int = 0,
-                   holders_of: DataFrame | None = None, name_prefix: str | None = None, token=None) -> DataFrame:
+                   holders_of: DataFrame | None = None, name_prefix: str | None = None, token=None, factory=None, pool_or_token=None) -> DataFrame:
     """Filtered, sorted page of pools with totals, the largest and the trending pool.
 
     table: pool_id, pool_name, base_id, quote_id, tvl_usd, volume_1d_usd, apr_bp,
-    tvl_change_1d_bp; ``holders_of``: pool_id to keep.
+    tvl_change_1d_bp, factory_id; ``holders_of``: pool_id to keep.  ``pool_or_token`` is an id that a search may mean either way.
     """
     t = table
+    if factory is not None:
+        t = t.filter(F.col("factory_id") == factory)
+    if pool_or_token is not None:
+        t = t.filter((F.col("pool_id") == pool_or_token) | (F.col("base_id") == pool_or_token) | (F.col("quote_id") == pool_or_token))
     if holders_of is not None:
         t = t.join(holders_of.select("pool_id").distinct(), "pool_id", "left_semi")
     if name_prefix:
@@ -89,6 +107,21 @@ def lp_positions(balances: DataFrame, pools: DataFrame) -> DataFrame:
                     (F.col("base_value") + F.col("quote_value")).cast(DEC).alias("total_value"))
 
 
+def factory_positions(balances: DataFrame, pools: DataFrame, factory) -> DataFrame:
+    """Each address's shares of a factory's pools in USD and sats, the most valuable first (``position`` within the address, ties by pool).
+
+    balances: address, token, amount; pools: pool_id, factory_id, lp_token, lp_supply and base_tvl_…, quote_tvl_… in usd and sats.  A pool
+    without shares is worth nothing.
+    """
+    p = pools.filter(F.col("factory_id") == factory)
+    j = balances.filter(F.col("amount") > 0).join(p, balances.token == p.lp_token)
+    value = lambda s, u: F.when(F.col("lp_supply") > 0, mul_div_floor(F.col(f"{s}_tvl_{u}"), F.col("amount"), F.col("lp_supply"))).otherwise(big(0))
+    j = j.withColumns({f"{s}_{u}": value(s, u) for u in ("usd", "sats") for s in ("base", "quote")})
+    j = j.withColumns({f"total_{u}": sat_add(F.col(f"base_{u}"), F.col(f"quote_{u}")) for u in ("usd", "sats")})
+    j = j.select("address", "pool_id", "amount", *[f"{s}_{u}" for u in ("usd", "sats") for s in ("base", "quote", "total")])
+    return top_per_key(j, ["address"], [F.desc("total_usd"), F.asc("pool_id")], None)
+
+
 def token_pairs(pools: DataFrame, tokens: DataFrame, query: str | None = None, token=None) -> DataFrame:
     """Pair rows with both tokens' names; the query matches anywhere in names, symbols
     or ids.  pools: pool_id, base_id, quote_id, tvl_usd; tokens: token, name, symbol."""
@@ -104,6 +137,25 @@ def token_pairs(pools: DataFrame, tokens: DataFrame, query: str | None = None, t
     return j
 
 
+def pair_page(pools: DataFrame, tokens: DataFrame, factory, token=None, query: str | None = None, sort: str | None = "tvl",
+              limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of a factory's pairs, of one token if given, with reserves, TVL and daily volume; by TVL, or by pool for any other ``sort``.
+
+    A query that is an id matches the pool or either token exactly, any other text may stand anywhere in names and symbols.
+    pools: pool_id, factory_id, base_id, quote_id, base_reserve, quote_reserve, tvl_usd, volume_1d_usd.
+    """
+    p = pools.filter(F.col("factory_id") == factory)
+    text = (query or "").strip()
+    if text.isdigit():
+        p = p.filter(F.lit(int(text)).isin(F.col("pool_id"), F.col("base_id"), F.col("quote_id")))
+    j = token_pairs(p, tokens, token=token)
+    if text and not text.isdigit():
+        names = F.concat_ws(" ", *[normalize_name(F.col(c)) for c in ("base_name", "quote_name", "base_symbol", "quote_symbol")])
+        j = j.filter(names.contains(text.lower()))
+    order = [F.desc("tvl_usd"), F.asc("pool_id")] if (sort or "tvl").lower() == "tvl" else [F.asc("pool_id")]
+    return page(j, order, limit, offset)
+
+
 def combined_history(amm: DataFrame, wraps: DataFrame, limit: int, offset: int = 0, address=None) -> DataFrame:
     """AMM and bridge events in one newest-first list with the summed total.
     Both: kind, ts, seq, address, amount."""
@@ -135,9 +187,9 @@ def tokens_by_address(balances: DataFrame, table: DataFrame) -> DataFrame:
     return balances.join(table.select("token", "name", "symbol"), "token", "left")
 
 
-def search_guess(query: str, tip: int, tokens: DataFrame, txs: DataFrame, limit: int = 10) -> DataFrame:
-    """Typed guesses for a search text: block height, transaction, token id, token name.
-    tokens: token, name, symbol, holders; txs: txid (hex)."""
+def search_guess(query: str, tip: int, tokens: DataFrame, txs: DataFrame, limit: int = 10, addresses: DataFrame | None = None) -> DataFrame:
+    """Typed guesses for a search text: block height, transaction, address, token id, token name.
+    tokens: token, name, symbol, holders; txs: txid (hex); addresses: address, matched as a whole."""
     q = query.strip().lower()
     out = []
     if q.isdigit() and int(q) <= tip:
@@ -145,6 +197,9 @@ def search_guess(query: str, tip: int, tokens: DataFrame, txs: DataFrame, limit:
     if len(q) >= 8 and all(ch in "0123456789abcdef" for ch in q):
         out.append(txs.filter(F.col("txid").startswith(q)).orderBy("txid").limit(limit).select(
             F.lit("tx").alias("kind"), F.col("txid").alias("id"), F.lit(None).cast("bigint").alias("rank")))
+    if addresses is not None:
+        hit = addresses.filter(F.lower("address") == q).select(F.lit("address").alias("kind"), F.col("address").alias("id"), F.lit(None).cast("bigint").alias("rank"))
+        out.append(hit.distinct())
     by_id = F.col("token").cast("string") == q
     by_name = normalize_name(F.col("name")).startswith(q) | normalize_name(F.col("symbol")).startswith(q)
     out.append(tokens.filter(by_id | by_name).orderBy(F.desc("holders"), F.asc("token")).limit(limit).select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exact import DEC
+from ..functions.exact import DEC, big
 from ..operators import ledger
 from .facts import Facts
+from .facts_sql import CTES
 from .registry import query
 
 HOLDER = "token, holder_type, holder_id"
@@ -276,3 +277,84 @@ on g.token = s.token and g.sample_height >= s.height
 """, text="supply")
 def balance_line_chart(t: Facts):
     return ledger.sample_series(ledger.supply_by_height(t.deltas), ["token"], "supply", 0, None, 30)
+
+
+CTES["own_balances"] = """
+select token, holder_type, holder_id, amount from balances where not (holder_type = 'contract' and holder_id = cast(token as varchar))
+union all select token, 'contract', cast(token as varchar), cast(700 as hugeint) from (select distinct token from balances) where token % 2 = 1 and token % 5 <> 0 or token % 2 = 0 and token not in (select token from supply)
+union all select token, 'contract', cast(token as varchar), supply // 3 from supply where token % 2 = 0
+"""
+
+
+@query("holders_authority", f"""
+select {HOLDER}, amount, rank, total, supply, cast(amount * 1000000 // supply as bigint) as percent_bp from (
+  select *, row_number() over (partition by token order by amount desc,
+              case when holder_type = 'address' then 'addr:' || holder_id else 'contract:' || lpad(holder_id, 20, '0') end) as rank,
+         count(*) over (partition by token) as total, sum(amount) over (partition by token) as supply
+  from own_balances where amount > 0) where rank <= 25
+""", text="amount supply")
+def holders_authority(t: Facts):
+    # every contract holds 700 of its own token; the authority knows better for even ones and says 0 for multiples of 5
+    tokens = t.balances.select("token").distinct()
+    own = tokens.select("token", F.lit("contract").alias("holder_type"), F.col("token").cast("string").alias("holder_id"), big(700).cast(DEC).alias("amount"))
+    even = t.supply.filter(F.col("token") % 2 == 0).select("token", F.floor(F.col("supply") / 3).cast(DEC).alias("amount"))
+    none = tokens.filter((F.col("token") % 5 == 0) & (F.col("token") % 2 == 1)).select("token", big(0).cast(DEC).alias("amount"))
+    return ledger.holders(ledger.with_authority(t.balances.unionByName(own), even.unionByName(none)), 25)
+
+
+@query("balance_violations", f"""
+select {HOLDER}, min(height) filter (amount < 0) as first_height, min(amount) as lowest, count(*) filter (amount < 0) as heights, arg_max(amount, height) as amount
+from (select {HOLDER}, height, sum(delta) over (partition by {HOLDER} order by height rows unbounded preceding) as amount from deltas)
+group by {HOLDER} having count(*) filter (amount < 0) > 0
+""", text="lowest amount")
+def balance_violations(t: Facts):
+    return ledger.balance_violations(t.deltas)
+
+
+@query("balance_log_cursor", """
+select owner, height, seq, tx_id, outflow, position, left_over > 35 as has_more,
+       case when left_over > 35 then arg_max(height, position) over (partition by owner) end as next_height,
+       case when left_over > 35 then arg_max(seq, position) over (partition by owner) end as next_seq
+from (select l.*, row_number() over (partition by owner order by height desc, seq desc) as position, count(*) over (partition by owner) as left_over from (
+    select owner, height, seq, tx_id, string_agg(cast(token as varchar) || '=' || cast(delta as varchar), ',' order by cast(token as varchar) || '=' || cast(delta as varchar)) as outflow
+    from contract_deltas where delta <> 0 group by 1, 2, 3, 4) l
+  join (select owner, arg_max(height, seq) as ch, max(seq) as cs from contract_deltas where seq % 4 = 1 group by 1) c using (owner)
+  where l.height < ch or l.height = ch and l.seq < cs) where position <= 35
+""")
+def balance_log_cursor(t: Facts):
+    seen = t.contract_deltas.filter(F.col("seq") % 4 == 1).groupBy("owner").agg(F.max_by("height", "seq").alias("height"), F.max("seq").alias("seq"))
+    return ledger.balance_log_after(t.contract_deltas, seen, 35)
+
+
+@query("address_protocol_txs", """
+select address, tx_id, height, is_pending, position, (select greatest(max(created_height), max(spent_height)) from outputs) - height + 1 as confirmations from (
+  select *, row_number() over (partition by address order by is_pending desc, height desc nulls last, tx_id desc) as position from (
+    select c.address, c.tx_id, c.height, false as is_pending from (
+      select address, tx_id, max(height) as height from (select address, tx_id, created_height as height from outputs where token % 10 <> 3
+        union all select address, spent_by, spent_height from outputs where spent_by is not null) where tx_id % 3 = 0 group by 1, 2) c
+    anti join (select distinct address, txid as tx_id from mempool where not confirmed and txid % 3 = 0) p on c.address = p.address and c.tx_id = p.tx_id
+    union all select distinct address, txid, null, true from mempool where not confirmed and txid % 3 = 0)) where position <= 20
+""", ints="confirmations height")
+def address_protocol_txs(t: Facts):
+    # outputs of one token are data-only, every third transaction has a protocol message
+    outs = t.outputs.select("tx_id", "address", F.col("created_height").alias("height"), (F.col("token") % 10 == 3).alias("is_data"))
+    ins = t.outputs.filter(F.col("spent_by").isNotNull()).select(F.col("spent_by").alias("tx_id"), "address", F.col("spent_height").alias("height"))
+    messages = outs.select("tx_id").unionByName(ins.select("tx_id")).filter(F.col("tx_id") % 3 == 0)
+    pending = t.mempool.filter(~F.col("confirmed") & (F.col("txid") % 3 == 0)).select("address", F.col("txid").alias("tx_id"))
+    tip = t.outputs.agg(F.greatest(F.max("created_height"), F.max("spent_height")).alias("tip")).scalar()
+    return ledger.indexed_txs(ledger.address_index(outs, ins, messages), pending, tip, 20)
+
+
+@query("balance_charts", """
+select g.span, g.token, g.sample_height, coalesce(s.supply, 0) as supply
+from (select token, span, unnest(list_distinct(list_append(generate_series(case when back is null then 0 else 2400 - back end, 2400, step), 2400))) as sample_height
+      from (select distinct token from deltas where height <= 2400), (values ('1d', 144, 1), ('1w', 1008, 7), ('all', null, 500)) as r(span, back, step)) g
+asof left join (select token, height, sum(delta) over (partition by token order by height rows unbounded preceding) as supply
+                from (select token, height, sum(delta) as delta from deltas group by 1, 2) where delta <> 0) s
+on g.token = s.token and g.sample_height >= s.height
+""", text="supply")
+def balance_charts(t: Facts):
+    s = ledger.supply_by_height(t.deltas)
+    charts = [ledger.chart_series(s, ["token"], "supply", span, 0, 2400).withColumn("span", F.lit(name))
+              for span, name in (("24h", "1d"), ("1W", "1w"), ("max", "all"))]
+    return charts[0].unionByName(charts[1]).unionByName(charts[2])

@@ -10,7 +10,7 @@ from ..operators import catalogue as cat
 from .amm_queries import CATALOG_SQL, created_pools, pool_names
 from .facts import EPOCH, NOW, TIP, Facts
 from .facts_sql import CTES
-from .price_queries import CANON_PRICE_SQL, METRIC_TEXT, metrics_of, pool_metrics_of, pool_values_of
+from .price_queries import CANON_PRICE_SQL, METRIC_TEXT, derived_metrics_of, metrics_of, pool_metrics_of, pool_values_of
 from .catalogue_queries import PREFIX_SQL
 from .registry import query
 from .trace_queries import wraps_of
@@ -337,3 +337,106 @@ def utxo_portfolio(t: Facts):
     tk = t.outputs.filter(F.col("spent_by").isNull()).select(F.col("tx_id").alias("outpoint"))
     return views.utxo_portfolio(o.drop("o_orderstatus"), tk, o.filter(F.col("outpoint") % 11 == 0), o.filter(F.col("outpoint") % 13 == 0),
                                 o.filter(F.col("o_orderstatus") == "P"))
+
+
+# ---------------------------------------------------------------- filtered and derived listings
+
+
+def _entry_sql() -> str:
+    return " || ' ' || ".join(["cast(quote as varchar)"] + [f"cast({f} as varchar)" for f in views.DERIVED_FIELDS])
+
+
+@query("token_listing_derived", f"""
+select t.token, name, price_usd, d.entries as derived, position, (select count(*) from creations) as total
+from (select *, row_number() over (order by volume_7d desc nulls last, token) as position from token_table) t
+left join (select token, string_agg({_entry_sql()}, ',' order by quote) as entries from derived_metrics group by token) d on d.token = t.token
+where position <= 40
+""", text="price_usd")
+def token_listing_derived(t: Facts):
+    rows = views.token_listing(views.with_derived(token_table_of(t), derived_metrics_of(t)), "volume_7d", True, 40)
+    entry = lambda d: F.concat_ws(" ", *[d[f].cast("string") for f in ("quote", *views.DERIVED_FIELDS)])
+    return rows.select("token", "name", "price_usd", F.nullif(F.array_join(F.transform("derived", entry), ","), F.lit("")).alias("derived"), "position", "total")
+
+
+@query("rank_tokens_derived", """
+select quote, token, volume_7d, change_7d_bp, position from (
+  select c.quote_id as quote, c.token, volume_7d, change_7d_bp,
+         row_number() over (partition by c.quote_id order by volume_7d is null, volume_7d desc, case when volume_7d is null then creation_height end, c.token desc) as position
+  from (select * from creations, derived_quotes) c left join derived_metrics m on c.token = m.token and c.quote_id = m.quote) where position <= 40
+""", text="volume_7d")
+def rank_tokens_derived(t: Facts):
+    return metrics.rank_tokens_by_quote(t.creations, derived_metrics_of(t), t.derived_quotes, "volume_7d", True, 40) \
+        .select("quote", "token", "volume_7d", "change_7d_bp", "position")
+
+
+@query("search_scan", f"""
+select token, position, scanned from (
+  select token, row_number() over (order by holders desc, token) as position, true as scanned
+  from slim_tokens where lower(name) like 'medium%' or lower(symbol) like 'medium%') where position <= 15 and not exists (select 1 from ({PREFIX_SQL}) where prefix = 'medium ') or position = 0
+""")
+def search_scan(t: Facts):
+    # the text is longer than any prefix of the index
+    return metrics.search_or_scan(cat.search_prefixes(t.creations), t.creations, t.holder_counts, metrics_of(t), "Medium ", "volume_7d", 15)
+
+
+@query("search_derived", f"""
+select token, row_number() over (order by marketcap_usd desc, token) as position, false as scanned
+from derived_metrics where quote = 100 and token in (select token from ({PREFIX_SQL}) where prefix = '#1')
+order by position limit 20
+""")
+def search_derived(t: Facts):
+    return metrics.search_or_scan(cat.search_prefixes(t.creations), t.creations, t.holder_counts, derived_metrics_of(t), "#1", "marketcap_usd", 20, quote=100)
+
+
+@query("search_address", """
+(select 'block' as kind, '7' as id, null as rank)
+union all (select 'address', holder_id, null from balances where holder_type = 'address' and holder_id = '7' limit 1)
+union all (select 'token', cast(token as varchar), holders from slim_tokens where cast(token as varchar) = '7' or lower(name) like '7%' or lower(symbol) like '7%' order by holders desc, token limit 10)
+""", ints="rank")
+def search_address(t: Facts):
+    from ..operators.ledger import address_balances
+    return views.search_guess("7", TIP, slim_tokens(t), t.ev.select(F.lower(F.hex("event_id")).alias("txid")), addresses=address_balances(t.deltas).select("address"))
+
+
+@query("pools_filtered", """
+select pool_id, apr_bp, row_number() over (order by apr_bp, pool_id) as position, sum(tvl_usd) over () as total_tvl, sum(volume_1d_usd) over () as total_volume_1d,
+       arg_max(pool_id, tvl_usd) over () as largest, arg_max(pool_id, tvl_change_1d_bp) over () as trending
+from (select m.* from pool_metrics m join pools p using (pool_id) where factory_id = 1 and quote_id = 2
+      and pool_id % 10 + 100 in (select token from balances where holder_type = 'address' and amount > 5000000000) order by pool_id desc)
+""", text="total_tvl total_volume_1d")
+def pools_filtered(t: Facts):
+    from ..operators.ledger import address_balances
+    from ..session import stage
+    table = stage(pool_metrics_of(t).join(amm.pool_catalog(t.pools, pool_names(t)), "pool_id"))
+    rich = address_balances(t.deltas).filter(F.col("amount") > 5000000000).select("token").distinct()
+    held = t.pools.join(rich, F.col("pool_id") % 10 + 100 == F.col("token"), "left_semi")
+    return views.pools_overview(table, "apr_bp", False, 50, holders_of=held, factory=1, pool_or_token=2) \
+        .select("pool_id", "apr_bp", "position", "total_tvl", "total_volume_1d", "largest", "trending")
+
+
+@query("factory_positions", """
+select *, row_number() over (partition by address order by total_usd desc, pool_id) as position from (
+  select *, base_usd + quote_usd as total_usd, base_sats + quote_sats as total_sats from (
+    select holder_id as address, pool_id, amount, base_tvl_usd * amount // supply as base_usd, quote_tvl_usd * amount // supply as quote_usd,
+           base_tvl_sats * amount // supply as base_sats, quote_tvl_sats * amount // supply as quote_sats
+    from balances b join supply s using (token) join pool_values v on v.pool_id % 10 + 100 = b.token join pools using (pool_id)
+    where holder_type = 'address' and amount > 0 and factory_id = 2))
+""", text="amount base_usd quote_usd base_sats quote_sats total_usd total_sats")
+def factory_positions(t: Facts):
+    from ..operators.ledger import address_balances
+    v = pool_values_of(t).join(t.pools.select("pool_id", "factory_id"), "pool_id").withColumn("lp_token", (F.col("pool_id") % 10 + 100).cast("bigint"))
+    p = v.join(t.supply.select(F.col("token").alias("lp_token"), F.col("supply").alias("lp_supply")), "lp_token")
+    return views.factory_positions(address_balances(t.deltas), p, 2)
+
+
+@query("factory_token_pairs", """
+select pool_id, base_id, quote_id, base_name, quote_name, base_reserve, quote_reserve, tvl_usd, volume_1d_usd, position, total from (
+  select p.pool_id, base_id, quote_id, b.name as base_name, q.name as quote_name, base_reserve, quote_reserve, tvl_usd, volume_1d_usd,
+         row_number() over (order by tvl_usd desc, p.pool_id) as position, count(*) over () as total
+  from pools p join last_reserves using (pool_id) join pool_metrics using (pool_id) left join creations b on b.token = base_id left join creations q on q.token = quote_id
+  where factory_id = 0 and (base_id = 1 or quote_id = 1)) where position > 1 and position <= 5
+""", text="base_reserve quote_reserve tvl_usd volume_1d_usd")
+def factory_token_pairs(t: Facts):
+    p = t.pools.join(amm.latest_reserves(t.reserves), "pool_id").join(pool_metrics_of(t).select("pool_id", "tvl_usd", "volume_1d_usd"), "pool_id")
+    return views.pair_page(p, slim_tokens(t), 0, 1, None, "tvl", 4, 1) \
+        .select("pool_id", "base_id", "quote_id", "base_name", "quote_name", "base_reserve", "quote_reserve", "tvl_usd", "volume_1d_usd", "position", "total")
