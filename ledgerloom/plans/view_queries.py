@@ -369,23 +369,22 @@ def rank_tokens_derived(t: Facts):
         .select("quote", "token", "volume_7d", "change_7d_bp", "position")
 
 
-@query("search_scan", f"""
-select token, position, scanned from (
-  select token, row_number() over (order by holders desc, token) as position, true as scanned
-  from slim_tokens where lower(name) like 'medium%' or lower(symbol) like 'medium%') where position <= 15 and not exists (select 1 from ({PREFIX_SQL}) where prefix = 'medium ') or position = 0
+@query("search_scan", """
+select token, row_number() over (order by holders desc, token) as position, true as scanned
+from slim_tokens where lower(name) like 'brand#1%' or lower(symbol) like 'brand#1%' order by position limit 15
 """)
 def search_scan(t: Facts):
     # the text is longer than any prefix of the index
-    return metrics.search_or_scan(cat.search_prefixes(t.creations), t.creations, t.holder_counts, metrics_of(t), "Medium ", "volume_7d", 15)
+    return metrics.search_or_scan(cat.search_prefixes(t.creations), t.creations, t.holder_counts, metrics_of(t), "Brand#1 ", "volume_7d", 15)
 
 
 @query("search_derived", f"""
 select token, row_number() over (order by marketcap_usd desc, token) as position, false as scanned
-from derived_metrics where quote = 100 and token in (select token from ({PREFIX_SQL}) where prefix = '#1')
+from derived_metrics where quote = 100 and token in (select token from ({PREFIX_SQL}) where prefix = 'brand')
 order by position limit 20
 """)
 def search_derived(t: Facts):
-    return metrics.search_or_scan(cat.search_prefixes(t.creations), t.creations, t.holder_counts, derived_metrics_of(t), "#1", "marketcap_usd", 20, quote=100)
+    return metrics.search_or_scan(cat.search_prefixes(t.creations), t.creations, t.holder_counts, derived_metrics_of(t), "Brand", "marketcap_usd", 20, quote=100)
 
 
 @query("search_address", """
