@@ -10,7 +10,7 @@ from ..operators.amm import TIMEFRAMES
 from .facts import EPOCH, NOW, TIP, Facts
 from .registry import query
 from .facts_sql import CTES
-from .sqltext import HIGHER_VALUES, TF_VALUES, bp_text, muldiv, pct
+from .sqltext import HIGHER_VALUES, TF_VALUES, bp_text, muldiv, muldiv_wide, pct
 
 OHLCV = "open high low close volume"
 PRICES = ("open", "high", "low", "close")
@@ -386,7 +386,7 @@ def _pool_price(f: str, mirrored: str) -> str:
 
 
 def _priced(f: str) -> str:
-    value = muldiv("last_q", "p_volume" if f == "volume" else f"p_{f}", 10**16) if f != "volume" else muldiv("p_volume", "b_close", 10**16)
+    value = muldiv_wide("p_volume", "b_close", 10**16) if f == "volume" else muldiv_wide("last_q", f"p_{f}", 10**16)
     return f"case when priced then {value} end as b_{f}"
 
 
@@ -411,7 +411,7 @@ from (select *, {', '.join(f"case when b_{f} is not null and t_{f} is not null t
 """
 
 _OWN = "case when pull and last <> 0 then (own_{f} + last) // 2 else own_{f} end"
-_CARRIED = "case when moved and rate <> 0 then case when idle and last <> 0 then (" + muldiv("q_{f}", "rate", 10**16) + " + last) // 2 else " + muldiv("q_{f}", "rate", 10**16) + " end end"
+_CARRIED = "case when moved and rate <> 0 then case when idle and last <> 0 then (" + muldiv_wide("q_{f}", "rate", 10**16) + " + last) // 2 else " + muldiv_wide("q_{f}", "rate", 10**16) + " end end"
 # the product saturates at 2^128 - 1
 _WIDE = "cast({} as uhugeint)"
 _DRIFT = (f"case when last <= {(2**128 - 1) // 10**16} then {_WIDE.format('last')} * {_WIDE.format(10**16)} "

@@ -11,6 +11,11 @@ def muldiv(a: str, b: str, c: int) -> str:
     return f"least(({a}) // {c} * ({b}) + (({a}) % {c}) * ({b}) // {c}, {U128_MAX // c})"
 
 
+def muldiv_wide(a: str, b: str, c: int) -> str:
+    """As :func:`muldiv`, with both factors split, for factors that are large against ``c``."""
+    return f"least(({a}) // {c} * ({b}) + ({a}) % {c} * (({b}) // {c}) + ({a}) % {c} * (({b}) % {c}) // {c}, {U128_MAX // c})"
+
+
 def pct(now: str, prev: str) -> str:
     return (f"cast(case when ({prev}) = 0 then 0 else (case when ({now}) < ({prev}) then -1 else 1 end) * "
             f"least(abs(({now}) - ({prev})) * 1000000 // ({prev}), 9223372036854775807) end as bigint)")
