@@ -4,21 +4,24 @@ edges     pool_id, token_in, token_out, r_in, r_out
 requests  request_id, source, target, amount
 
 Token paths are found once per distinct (source, target) and kept with the pools of each step; a request is one
-join with its pair's row and one fold over its paths, so nothing is shuffled or written per hop and request.
+join with its pair's row and one fold over its paths in whole numbers, so nothing is shuffled or written per hop and request.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from functools import reduce
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.exact import BPS, DEC, big, mul_div_ceil, mul_div_floor
+from ..functions.exact import BPS, CAP, DEC, U128_MAX, big, mul_div_ceil, mul_div_floor
 from ..session import stage
 
 DEFAULT_FEE_BPS = 50
@@ -101,33 +104,109 @@ def path_index(pairs: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_HOPS)
     return reduce(DataFrame.unionByName, found).groupBy("source", "target").agg(F.collect_list("p").alias("paths"))
 
 
-def _folded(path: Column, amount: Column, fee_bps: int, forward: bool) -> Column:
-    """(amount, pools) over a path's legs; each step takes the best of its parallel pools, which is exact because outputs grow with inputs."""
-    def step(s: Column, leg: Column) -> Column:
-        def one(p: Column) -> Column:
-            value = xyk_out(p["r_in"], p["r_out"], s["amount"], fee_bps) if forward else xyk_in(p["r_in"], p["r_out"], s["amount"], fee_bps)
-            return _let(value, lambda v: F.struct((-v if forward else v).cast(DEC).alias("k"), p["pool_id"].alias("pool_id"), (v > 0).alias("ok")))
-        best = F.array_min(F.filter(F.transform(leg, one), lambda x: x["ok"]))
-        pools = lambda b: F.concat(s["pools"], F.array(b["pool_id"])) if forward else F.concat(F.array(b["pool_id"]), s["pools"])
-        return _let(best, lambda b: F.struct((-b["k"] if forward else b["k"]).cast(DEC).alias("amount"), pools(b).alias("pools")))
-    legs = path["legs"] if forward else F.reverse(path["legs"])
-    return F.aggregate(legs, F.struct(amount.alias("amount"), F.array().cast("array<bigint>").alias("pools")), step)
+def _step_out(r_in: int, r_out: int, amount: int, fee_bps: int) -> int:
+    """xyk_out() in whole numbers of a worker."""
+    paid = _scaled(amount, BPS - fee_bps, BPS)
+    return _scaled(paid, r_out, r_in + paid)
+
+
+def _step_in(r_in: int, r_out: int, amount: int, fee_bps: int) -> int:
+    """xyk_in() in whole numbers of a worker; 0 when the pool cannot give it."""
+    if not 0 < amount < r_out:
+        return 0
+    return _scaled(_scaled(amount, r_in, r_out - amount, True), BPS, BPS - fee_bps, True)
+
+
+def _scaled(a: int, b: int, c: int, up: bool = False) -> int:
+    """mul_div_floor() or mul_div_ceil() in whole numbers of a worker."""
+    p = a * b
+    if p > U128_MAX:
+        p = U128_MAX
+    if not c:
+        return 0
+    if p < 0 or c < 0:  # toward zero
+        q = abs(p) // abs(c)
+        q = -q if (p < 0) != (c < 0) else q
+    else:
+        q = -(-p // c) if up else p // c
+    return q if q <= CAP else CAP
+
+
+def _parsed(text: str, forward: bool) -> list[tuple]:
+    """(hops, tokens, legs in the order of the fold) of a pair's paths; a leg is its pools with reserves on both sides, by pool_id."""
+    at = lambda x: (x is not None, x or 0)
+    out = []
+    for p in json.loads(text):
+        legs = [sorted(((x.get("pool_id"), x["r_in"], x["r_out"]) for x in leg if x.get("r_in", 0) > 0 and x.get("r_out", 0) > 0), key=lambda x: at(x[0])) for leg in p["legs"]]
+        if all(legs):
+            out.append((len(legs), p["tokens"], legs if forward else legs[::-1]))
+    return out
+
+
+def _best_path(paths: list[tuple], asked: int, fee_bps: int, forward: bool) -> tuple | None:
+    """(amount, hops, tokens, pools) of the best path: most output or least input, then fewer hops, the smaller pools and tokens.
+
+    Each step takes the best of its parallel pools, which is exact because outputs grow with inputs.
+    """
+    best = rank = None
+    for hops, tokens, legs in paths:
+        amount, pools = asked, []
+        for leg in legs:
+            value = via = None
+            for pool, r_in, r_out in leg:
+                v = _step_out(r_in, r_out, amount, fee_bps) if forward else _step_in(r_in, r_out, amount, fee_bps)
+                if v > 0 and (value is None or (v > value if forward else v < value)):
+                    value, via = v, pool
+            if value is None:
+                break
+            amount = value
+            pools.append(via)
+        else:
+            if best is not None and (amount < best[0] if forward else amount > best[0]):
+                continue
+            pools = pools if forward else pools[::-1]
+            mine = (hops, [(x is not None, x or 0) for x in pools], tokens)
+            if best is None or amount != best[0] or mine < rank:
+                best, rank = (amount, hops, tokens, pools), mine
+    return best
+
+
+#: Parsed pairs that a worker keeps at once.
+PARSED = 64
 
 
 def _search(requests: DataFrame, edges: DataFrame, max_hops: int, fee_bps: int, forward: bool) -> DataFrame:
-    index = stage(path_index(requests, edges, max_hops))
-    # one pair may have most of the requests: they are dealt over shares, its one row is copied
+    paths = path_index(requests, edges, max_hops)
+    tokens = paths.schema["paths"].dataType.elementType["tokens"].dataType
+    tokens_type = to_arrow_type(tokens)
+    index = stage(paths.select("source", "target", F.to_json("paths").alias("paths")))
+    # one pair may have most of the requests: they are dealt over all tasks, its one row is copied to the shares
     asked = requests.select("request_id", "source", "target", F.col("amount").cast(DEC).alias("asked"), F.pmod(F.xxhash64("request_id"), F.lit(PAIR_SHARES)).alias("share"))
+    asked = asked.filter(F.col("asked").isNotNull()).repartition(parallelism(requests.sparkSession))
     copies = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_SHARES - 1).cast("long"))).alias("share"))
-    r = asked.join(copies, ["source", "target", "share"])
-
-    def entry(p: Column) -> Column:
-        return _let(_folded(p, F.col("asked"), fee_bps, forward), lambda s: F.struct(
-            (-s["amount"] if forward else s["amount"]).cast(DEC).alias("k"), F.size(p["legs"]).alias("hops"), s["pools"].alias("pools"), p["tokens"].alias("tokens")))
-    best = F.array_min(F.filter(F.transform("paths", entry), lambda x: x["k"].isNotNull()))
-    b = r.select("request_id", best.alias("b")).filter(F.col("b").isNotNull())
-    return b.select("request_id", (-F.col("b.k") if forward else F.col("b.k")).cast(DEC).alias("amount"), F.col("b.hops").alias("hops"),
-                    F.col("b.tokens").alias("tokens"), F.col("b.pools").alias("pools"))
+    r = asked.join(copies, ["source", "target", "share"]).select("request_id", "asked", "paths")
+    schema = f"request_id {r.schema['request_id'].dataType.simpleString()}, amount decimal(38,0), hops int, tokens {tokens.simpleString()}, pools array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple]] = {}
+        for b in batches:
+            places, rows = [], []
+            texts = b.column(2).dictionary_encode()
+            names = texts.dictionary.to_pylist()
+            for k, (amount, name) in enumerate(zip(b.column(1).to_pylist(), texts.indices.to_pylist())):
+                text = names[name]
+                if text not in known:
+                    if len(known) >= PARSED:
+                        known.clear()
+                    known[text] = _parsed(text, forward)
+                found = _best_path(known[text], int(amount), fee_bps, forward)
+                if found:
+                    places.append(k)
+                    rows.append(found)
+            amounts = pa.array([Decimal(x[0]) for x in rows], pa.decimal128(38, 0))
+            columns = [b.column(0).take(pa.array(places, pa.int64())), amounts, pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], tokens_type), pa.array([x[3] for x in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["request_id", "amount", "hops", "tokens", "pools"])
+    return r.mapInArrow(run, schema)
 
 
 def best_route_exact_in(requests: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_HOPS, min_out: int = 0,

@@ -54,6 +54,36 @@ def test_best_routes_match_enumeration(spark):
         assert got.get(i, 0) == best
 
 
+def dealt_requests(spark, n=2000):
+    """All in one partition, as a small file is read."""
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("request_id"), F.lit(0).cast("long").alias("source"), F.lit(1).cast("long").alias("target"), (F.col("id") + 10**5).cast("decimal(38,0)").alias("amount"))
+
+
+def test_requests_of_one_file_are_dealt_out_exact_out(spark):
+    g = graph()
+    r = routing.best_route_exact_out(dealt_requests(spark), edges_df(spark, g)).withColumn("part", F.spark_partition_id())
+    assert r.select("part").distinct().count() > 1
+    for x in r.filter("request_id % 500 = 0").collect():
+        least = None
+        for legs in paths(g, 0, 1, 3):
+            v = x.request_id + 10**5
+            for _, _, _, ri, ro in reversed(legs):
+                v = None if v is None or v >= ro else -(-(-(-v * ri // (ro - v))) * 10000 // 9950)
+            least = v if least is None or v is not None and v < least else least
+        assert int(x.amount) == least
+
+
+def test_steps_in_workers_equal_columns(spark):
+    """Small, wide, saturating and impossible steps."""
+    r = random.Random(3)
+    rows = [(Decimal(r.randrange(1, 10**a)), Decimal(r.randrange(1, 10**b)), Decimal(r.randrange(1, 10**c))) for a in (4, 18, 28, 37) for b in (4, 18, 28, 37) for c in (4, 18, 28, 37)]
+    df = spark.createDataFrame(rows, "r_in decimal(38,0), r_out decimal(38,0), amount decimal(38,0)")
+    both = routing.with_xyk_in(routing.with_xyk_out(df, "r_in", "r_out", "amount", "got"), "r_in", "r_out", "amount", "needed").collect()
+    for x in both:
+        a, b, c = int(x.r_in), int(x.r_out), int(x.amount)
+        assert routing._step_out(a, b, c, 50) == int(x.got) and routing._step_in(a, b, c, 50) == int(x.needed or 0)
+
+
 def test_arbitrage_profit_is_real(spark):
     g = graph(5)
     e = edges_df(spark, g)
