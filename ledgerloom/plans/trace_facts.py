@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exact import DEC
 from ..operators.traces import BASE_KEY, FACTORY_KEY, QUOTE_KEY
+from ..session import spread
 from .facts_sql import CTES
 
 ROUTER, ORACLE, FACTORY, BRIDGE = 9001, 9002, 9004, 1
@@ -97,8 +98,8 @@ join (values {_values()}) s(shape, idx, event, ctype, owner, opcode, in_tok, in_
 
 
 def trace_events(t) -> DataFrame:
-    """Trace events of every row of the events table (see STEPS)."""
-    e = t.ev.join(t.pools, "pool_id")
+    """Trace events of every row of the events table (see STEPS), dealt by trace before a row becomes its events."""
+    e = spread(t.ev.join(t.pools, "pool_id").withColumn("trace_id", F.col("event_id")), "trace_id")
     c = F.col("cents").cast(DEC)
     e = e.withColumns({"a": (c * 1000000).cast(DEC),
                        "b": (c * 10000 * (F.col("pool_id") * 7 + 45 + F.col("event_id") % 11)).cast(DEC),
@@ -138,5 +139,5 @@ def trace_events(t) -> DataFrame:
     for shape, rows in STEPS.items():
         arr = F.array(*[step(i, s) for i, s in enumerate(rows)])
         steps = F.when(F.col("shape") == shape, arr) if steps is None else steps.when(F.col("shape") == shape, arr)
-    return e.select(F.col("event_id").alias("trace_id"), "height", F.col("event_id").alias("tx_idx"), F.explode(steps).alias("s")) \
+    return e.select("trace_id", "height", F.col("event_id").alias("tx_idx"), F.explode(steps).alias("s")) \
         .select("trace_id", "height", "tx_idx", "s.*")

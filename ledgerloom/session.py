@@ -45,6 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-", dir=os.environ.get("TMPDIR")))
 
 
+#: Partitions of spread(); each sort of a task takes a page of up to 64 MB whatever it holds, so more of them cost small inputs dearly.
+SPREAD = 48
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over a number of partitions that adaptive execution keeps, as it does for every exchange of the same step.
+
+    It merges small partitions by their compressed bytes; rows that compress well, or that are sorted and aggregated several times in one step, then outgrow a task's memory.
+    """
+    return df.repartition(SPREAD, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iterative plan in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
