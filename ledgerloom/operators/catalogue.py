@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exact import DEC
 from ..functions.paging import page, top_per_key
 from ..functions.text import normalize_name, slug, u128_le, utf8_or_null
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # Method opcodes every factory offers.
 FACTORY_OPCODES = (0, 1, 2, 3, 4, 7, 10, 11, 12, 13, 14, 21, 29, 50)
@@ -85,7 +85,7 @@ def name_prefix_search(creations: DataFrame, prefix: str, field: str = "names",
 
 def search_prefixes(creations: DataFrame, shortest: int = 2, longest: int = 6) -> DataFrame:
     """All distinct name and symbol prefixes of each token in a length range."""
-    n = creations.select("token", F.explode(F.array_distinct(F.transform(
+    n = spread(creations.select("token", "names", "symbols"), "token").select("token", F.explode(F.array_distinct(F.transform(
         F.concat("names", "symbols"), lambda x: normalize_name(x)))).alias("norm"))
     n = n.filter(F.length("norm") >= shortest)
     size = F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("norm")))).alias("size")
