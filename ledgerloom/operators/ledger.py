@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.exact import DEC, big, div_floor
 from ..functions.paging import page, top_per_key
 from ..functions.scan import clamped_sums
+from ..session import spread
 from .amm import height_chunk
 
 
@@ -69,8 +70,8 @@ def holder_deltas(outputs: DataFrame, contract_deltas: DataFrame | None = None)
     if contract_deltas is not None:
         u = u.unionByName(contract_deltas.filter(F.col("owner") != F.col("token")).select(
             "token", F.lit("contract").alias("holder_type"), F.col("owner").cast("string").alias("holder_id"), "height", "delta"))
-    return u.groupBy("token", "holder_type", "holder_id", "height").agg(total("delta").alias("delta")) \
-        .filter(F.col("delta") != 0)
+    k = ["token", "holder_type", "holder_id", "height"]
+    return spread(u, *k).groupBy(*k).agg(total("delta").alias("delta")).filter(F.col("delta") != 0)
 
 
 def holder_balances(deltas: DataFrame, height: int | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def holder_balances(deltas: DataFrame, height: int | None = None) -> DataFrame:
 
 def balance_history(deltas: DataFrame) -> DataFrame:
     """Balance of every holder after each height it changed at."""
-    per = deltas.groupBy("token", "holder_type", "holder_id", "height").agg(total("delta").alias("delta"))
+    per = spread(deltas, "token", "holder_type", "holder_id").groupBy("token", "holder_type", "holder_id", "height").agg(total("delta").alias("delta"))
     w = Window.partitionBy("token", "holder_type", "holder_id").orderBy("height").rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("amount", F.sum("delta").over(w).cast(DEC))
 
@@ -181,10 +182,10 @@ def contract_balance_at(history: DataFrame, height: int) -> DataFrame:
 def transfer_volume(outputs: DataFrame) -> DataFrame:
     """Amount moved per token and address.  A transaction's output total of a token
     counts in full for every address on either side of it, once each."""
-    per_tx = outputs.groupBy("tx_id", "token").agg(total("amount").alias("amount"))
+    per_tx = spread(outputs.select("tx_id", "token", "amount"), "tx_id", "token").groupBy("tx_id", "token").agg(total("amount").alias("amount"))
     receivers = outputs.select("tx_id", "token", "address")
     senders = outputs.filter(F.col("spent_by").isNotNull()).select(F.col("spent_by").alias("tx_id"), "token", "address")
-    parties = receivers.unionByName(senders).distinct()
+    parties = spread(receivers.unionByName(senders), "tx_id", "token").distinct()
     return parties.join(per_tx, ["tx_id", "token"]).groupBy("token", "address").agg(total("amount").alias("volume"))
 
 
@@ -197,7 +198,7 @@ def ranked_by_amount(df: DataFrame, column: str, limit: int, offset: int = 0) ->
 
 
 def address_activity(volume: DataFrame, received: DataFrame) -> DataFrame:
-    j = volume.join(received, ["token", "address"], "full_outer")
+    j = volume.join(spread(received, "token", "address"), ["token", "address"], "full_outer")
     return j.select("address", "token", F.coalesce("volume", big(0)).alias("volume"), F.coalesce("received", big(0)).alias("received"))
 
 
@@ -316,9 +317,9 @@ def tx_fees(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     """Fee per transaction: inputs minus outputs; null if a previous output is unknown
     or the result negative.  ``outputs``: tx_id, outpoint, value; ``inputs``: tx_id, outpoint."""
     prev = outputs.select("outpoint", F.col("value").alias("prev_value"))
-    i = inputs.join(prev, "outpoint", "left").groupBy("tx_id").agg(
+    i = inputs.join(spread(prev, "outpoint"), "outpoint", "left").groupBy("tx_id").agg(
         total("prev_value").alias("value_in"), F.count_if(F.col("prev_value").isNull()).alias("missing"))
-    o = outputs.groupBy("tx_id").agg(total("value").alias("value_out"))
+    o = spread(outputs.groupBy("tx_id").agg(total("value").alias("value_out")), "tx_id")
     fee = F.col("value_in") - F.col("value_out")
     return o.join(i, "tx_id", "left").select(
         "tx_id", F.when((F.col("missing") == 0) & (fee >= 0), fee).cast(DEC).alias("fee"))
