@@ -1,28 +1,36 @@
 """Quality classifier: Bradley-Terry ranking learned from pairs of a good and a bad document.
 
 Every text has a strength ``w . x`` over features of its style (shares of kinds of characters, word lengths, repetition). The chance
-that a good document beats a bad one is the logistic of the difference of their strengths; ``w`` minimises the logistic loss
-on feature differences of sampled pairs. Strengths are cut at the quantile that the share of bad documents among the labelled
-ones gives, and the score is the logistic of the strength shifted so that this cut has the score ``CUT``.
+that a good document beats a bad one is the logistic of the difference of their strengths; ``w`` minimises the logistic loss on feature
+differences of pairs. All labelled documents take part: they are dealt to groups, and each meets ``MEETINGS`` documents of the other kind
+in its group, so that pairs grow with documents and not with their square. Newton's sums are added up in tasks; the driver solves
+twenty equations. Strengths are cut at the exact quantile that the share of bad documents among the labelled ones gives, and
+the score is the logistic of the strength shifted so that this cut has the score ``CUT``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small_batches
+from .common import small_batches, sorted_groups, stage
 
-#: Labelled documents to fit on, at most (the first ones by hash of their id).
-SAMPLE = 20_000
-#: Preference pairs, and the weight of the ridge.
-PAIRS, RIDGE, STEPS = 200_000, 1e-2, 12
+#: Labelled documents to fit on (the first ones by hash of their id); None: all.
+SAMPLE = None
+#: Labelled documents of a group, the least number of each kind in it (documents of a rare kind are in several groups), and pairs of a document.
+GROUP, LEAST, MEETINGS = 512, 64, 8
+#: Weight of the ridge, and Newton's steps, at most.
+RIDGE, STEPS = 1e-2, 12
+#: Bins of one pass that looks for a quantile.
+BINS = 4096
 #: The score at which a document counts as good.
 CUT = 0.3
+#: Features of a text.
+WIDTH = 20
 #: Frequent function words of four languages (fixed values).
 STOP = frozenset("the of and to in is that it for on was with as be at by this are le la de et les des en un une du que est pour "
                  "qui dans der die und das ist nicht ein eine zu den mit el los las y que por con para se del su al".split())
@@ -36,7 +44,7 @@ def features(text: str | None) -> list[float]:
     words = text.split()
     n, m = len(words), len(text)
     if not n:
-        return [0.0] * 19 + [1.0]
+        return [0.0] * (WIDTH - 1) + [1.0]
     lower = text.lower()
     distinct = len(set(lower.split()))
     lines = text.split("\n")
@@ -54,52 +62,132 @@ def features(text: str | None) -> list[float]:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array([features(t) for t in column.to_pylist()], dtype=float).reshape(-1, 20)
+    return np.array([features(t) for t in column.to_pylist()], dtype=float).reshape(-1, WIDTH)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(f, y) of at most SAMPLE labelled documents whose crc32(doc_id) mod 5 is not 0; repeated rows are one document.
+    """(k, h, f, y) of the labelled documents whose crc32(doc_id) mod 5 is not 0, all of them without SAMPLE; repeated rows are one document.
 
     Labels that disagree about one document count as their majority (a tie as good); rows without label or id are left out.
     """
-    known = (labels.where("quality is not null and doc_id is not null")
-             .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-             .groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-             .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
+    learnt = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    known = (labels.where("quality is not null and doc_id is not null").where(learnt)
+             .groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(2))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(list(x), pa.list_(pa.float64())), b.column(3)], ["k", "h", "f", "y"])
-
-    picked = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(known), "_id")  # at most SAMPLE rows of 12 bytes
-    rows = picked.select(F.xxhash64("_id").alias("k"), F.xxhash64("text").alias("h"), "text", "y").mapInArrow(run, "k long, h long, f array<double>, y int")
-    once = rows.groupBy("k", "h").agg(F.first("f").alias("f"), F.first("y").alias("y"))
-    return once.orderBy(F.xxhash64("k", "h"), "k", "h").limit(SAMPLE).select("f", "y")
-
-
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
-    """Weights, scaling and cut from features and labels; without both kinds of label every document has the same strength."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(20), np.ones(20))
-    z = np.clip((x - mean) / scale, -6, 6)
-    good, bad = z[y == 1], z[y == 0]
-    w = np.zeros(z.shape[1])
-    if len(good) and len(bad):
-        rng = np.random.default_rng(seed)
-        n = min(PAIRS, len(good) * len(bad))
-        diff = good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]
-        for _ in range(STEPS):  # Newton's method on the logistic loss of the differences
-            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance of the wrong winner
-            slope = diff.T @ p / n - RIDGE * w
-            curve = (diff * (p * (1 - p))[:, None]).T @ diff / n + RIDGE * np.eye(len(w))
-            w = w + np.linalg.solve(curve, slope)
-        strength = np.sort(z @ w)
-        share = len(bad) / len(z)
-        at = min(max(int(round(share * len(z))), 1), len(z) - 1)
-        cut = float((strength[at - 1] + strength[at]) / 2)
-    else:
-        cut = 0.0 if len(bad) == 0 else 1e9
-    return {"mean": mean, "scale": scale, "w": w, "cut": cut if abs(cut) < 1e8 else 10.0}
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(list(_matrix(b.column(2))), pa.list_(pa.float64()))], ["_id", "h", "f"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.where("doc_id is not null").where(learnt).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("h"), "text")
+    rows = made.mapInArrow(run, f"_id {kind}, h long, f array<double>").join(known, "_id")  # features, not texts, are dealt
+    once = rows.groupBy(F.xxhash64("_id").alias("k"), "h").agg(F.first("f").alias("f"), F.first("y").alias("y"))
+    return once if SAMPLE is None else once.orderBy(F.xxhash64("k", "h"), "k", "h").limit(SAMPLE)
+
+
+def _sums(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of the arrays that ``fn`` makes of the batches; each task adds up its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            part = fn(b)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "value"])
+
+    rows = df.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value")).collect()
+    return np.array([v for _, v in sorted(rows)])
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, WIDTH)
+
+
+def groups(rows: DataFrame, good: int, bad: int) -> DataFrame:
+    """(id, good, bad): features of the documents that meet each other. Every document is in a group, with some LEAST or more of the other kind
+    in the mean; documents of a kind too rare for that are in several groups."""
+    n = max(1, (good + bad) // GROUP)
+    copies = F.when(F.col("y") == 1, max(1, -(-LEAST * n // good))).otherwise(max(1, -(-LEAST * n // bad)))
+    copies = F.least(copies, F.lit(n))
+    # consecutive groups from a hashed one: copies of a document are in different groups
+    dealt = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    dealt = dealt.select(((F.pmod(F.xxhash64("k", "h"), F.lit(n)) + F.floor(F.col("copy") * n / copies)) % n).cast("long").alias("id"), "k", "h", "f", "y")
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((group.column("h").to_numpy(), group.column("k").to_numpy()))
+        f, y = _floats(group.column("f").combine_chunks())[order], group.column("y").to_numpy()[order]
+        sides = [pa.array([f[y == side].tobytes()], pa.binary()) for side in (1, 0)]
+        yield pa.RecordBatch.from_arrays([group.column("id").combine_chunks()[:1], *sides], ["id", "good", "bad"])
+
+    return sorted_groups(dealt, ["id"], run, "id long, good binary, bad binary")
+
+
+def _differences(b: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray, seed: int) -> Iterator[np.ndarray]:
+    """Of each group, features of good minus bad documents: each document of the larger kind is in MEETINGS pairs, each of the smaller in as many or more."""
+    for key, *sides in zip(*(c.to_pylist() for c in b.columns)):
+        good, bad = (np.clip((np.frombuffer(s).reshape(-1, WIDTH) - mean) / scale, -6, 6) for s in sides)
+        if len(good) and len(bad):
+            rng = np.random.default_rng((seed, key))
+            n = max(len(good), len(bad))
+            for _ in range(MEETINGS):
+                yield good[rng.permutation(n) % len(good)] - bad[rng.permutation(n) % len(bad)]
+
+
+def nth_gap(values: DataFrame, n: int) -> float:
+    """Middle between the ``n``-th and the next of the sorted numbers ``s`` (the last: itself), found by exact counts in ever smaller ranges."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    above = high
+    while low < high:
+        place = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = values.where(F.col("s").between(low, high)).groupBy(place.alias("p")).agg(F.count("*").alias("c"), F.min("s").alias("a"), F.max("s").alias("z"))
+        bins = sorted(bins.collect())  # BINS rows at most
+        at = 0
+        while n > bins[at].c:
+            n -= bins[at].c
+            at += 1
+        low, high, above = bins[at].a, bins[at].z, bins[at + 1].a if at + 1 < len(bins) else above
+        last = n == bins[at].c
+        if low == high:
+            return (low + above) / 2 if last else low
+    return low
+
+
+def fit(rows: DataFrame, seed: int = 7) -> dict:
+    """Weights, scaling and cut from features and labels (k, h, f, y); without both kinds of label every document has the same strength."""
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        x = _floats(b.column(0))
+        return np.concatenate(([len(x), b.column(1).to_numpy().sum()], x.sum(0)))
+
+    sums = _sums(rows.select("f", "y"), moments)
+    n, good = (int(sums[0]), int(sums[1])) if len(sums) else (0, 0)
+    bad = n - good
+    if not (good and bad):
+        return {"mean": np.zeros(WIDTH), "scale": np.ones(WIDTH), "w": np.zeros(WIDTH), "cut": 10.0 if bad else 0.0}
+    mean = sums[2:] / n
+    scale = np.sqrt(_sums(rows.select("f"), lambda b: ((_floats(b.column(0)) - mean) ** 2).sum(0)) / n) + 1e-6
+    met = stage(groups(rows, good, bad))
+    w = np.zeros(WIDTH)
+    for _ in range(STEPS):  # Newton's method on the logistic loss of the differences
+        def step(b: pa.RecordBatch, w: np.ndarray = w) -> np.ndarray:
+            out = np.zeros(1 + WIDTH + WIDTH * WIDTH)
+            for diff in _differences(b, mean, scale, seed):
+                p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance of the wrong winner
+                out += np.concatenate(([len(p)], diff.T @ p, ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()))
+            return out
+
+        sums = _sums(met, step)
+        pairs = max(sums[0], 1)
+        slope = sums[1:1 + WIDTH] / pairs - RIDGE * w
+        change = np.linalg.solve(sums[1 + WIDTH:].reshape(WIDTH, WIDTH) / pairs + RIDGE * np.eye(WIDTH), slope)
+        w = w + change
+        if np.abs(change).max() < 1e-9:
+            break
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.clip((_floats(b.column(0)) - mean) / scale, -6, 6) @ w)], ["s"])
+
+    return {"mean": mean, "scale": scale, "w": w, "cut": nth_gap(stage(rows.select("f").mapInArrow(strengths, "s double")), bad)}
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,9 +196,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows score alike; a null or empty text gets the score of its (zero) features.
     """
     small_batches(docs.sparkSession)
-    known = training_rows(docs, labels).toPandas()  # bounded by SAMPLE
-    x = np.array(known["f"].tolist(), dtype=float).reshape(-1, 20)
-    model = fit(x, known["y"].to_numpy())
+    model = fit(stage(training_rows(docs, labels)))
     shift = np.log(CUT / (1 - CUT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import extraction, fingerprints, lattice_lm, phrase_dedup, quality, queries, url_filter
 
@@ -286,6 +287,31 @@ def test_quality_learns_from_repeated_rows_once(spark, monkeypatch):
     assert quality.training_rows(docs, labels).count() == 8
 
 
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """More rows than the old bound; each is in a group with the other kind, however rare that is, and the cut is the exact quantile."""
+    import numpy as np
+    ids = spark.range(30_000)
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string"), F.when(F.col("id") % 9999 == 2, " $$").otherwise("")).alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 9999 != 2).cast("int").alias("quality"))
+    rows = quality.stage(quality.training_rows(docs, labels))
+    learnt = [k for k in range(30_000) if zlib.crc32(str(k).encode()) % 5]
+    assert rows.count() == len(learnt) > 20_000
+    bad = sum(k % 9999 == 2 for k in learnt)
+    met = quality.groups(rows, len(learnt) - bad, bad).collect()
+    assert sum(len(g.good) for g in met) == (len(learnt) - bad) * quality.WIDTH * 8 and len(met) > 1 and all(g.bad for g in met)
+    model = quality.fit(rows)
+    strength = np.sort([np.clip((np.array(r.f) - model["mean"]) / model["scale"], -6, 6) @ model["w"] for r in rows.select("f").collect()])
+    assert bad and model["cut"] == pytest.approx((strength[bad - 1] + strength[bad]) / 2, abs=1e-9) and strength[bad - 1] < strength[bad]
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 1.0, 1.0], [0.5, -2.0, 7.0, 7.0, 7.5, 1e-9, 0.0], list(range(200))])
+def test_quantile_gap_is_exact(spark, monkeypatch, values):
+    monkeypatch.setattr(quality, "BINS", 4)
+    df, held = spark.createDataFrame([(float(v),) for v in values], "s double").cache(), sorted(values)
+    for n in {1, len(held) // 2 or 1, max(len(held) - 1, 1), len(held)}:
+        assert quality.nth_gap(df, n) == (held[n - 1] + held[min(n, len(held) - 1)]) / 2
+
+
 def test_labeller_reads_long_pages_as_one_sequence(monkeypatch):
     import numpy as np
     model, rng = extraction.Labeller(), np.random.default_rng(1)
