@@ -3,14 +3,15 @@
 Only documents of more than ``CAPACITY`` tokens are cut: the first piece takes the remainder, all others are full. Full pieces are sequences of their own. The rest
 is dealt to shards; on each shard several islands evolve packings of the same pieces. A child is made from two parents: well-filled bins of the
 one are injected whole into the other, bins of the other that hold a piece twice are dissolved, and the displaced pieces go, largest first, where
-they fit best. After an epoch each island takes over its neighbour's elite, and the best island of a shard gives its sequences.
+they fit best. The fittest child is then bred on in fields, some open and some full bins at a time, until no bin more can be saved or its
+share of fields is used up, which grows with the pieces. After an epoch each island takes over its neighbour's elite, and the best island of a
+shard gives its sequences.
 """
 
 from __future__ import annotations
 
 import base64
 import random
-import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -25,10 +26,10 @@ from .common import keyed, small_batches, sorted_groups, stage
 CAPACITY, END = 1024, 2
 #: Pieces of a shard, islands of a shard, packings of an island, children of an epoch, epochs.
 SHARD, ISLANDS, POPULATION, CHILDREN, EPOCHS = 16_384, 2, 3, 5, 2
+#: Open and full bins of a field, pieces that earn a further field in an epoch, and fields of an epoch, at least.
+FIELD, EARN, FIELDS = 50, 64, 100
 #: Distinct units whose ids a task keeps at once.
 CACHE = 400_000
-#: White space other than one blank or one line end between words.
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|[\x1c-\x1f\x85]")
 
 
 class Encoder(dict):
@@ -63,7 +64,8 @@ class Encoder(dict):
                 from tokenizers import Tokenizer
                 self.full = Tokenizer.from_file(public_tokenizers.path(self.vocabulary))
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not text or ODD_SPACE.search(text):
+        flat = text.replace("\n", " ")
+        if not text or " ".join(flat.split()) != flat:  # other white space than one blank or one line end between words
             return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
         head, *units = text.replace("\n", " \n").split(" ")
         first = self.fast.encode_ordinary(head)
@@ -150,27 +152,72 @@ def cross(giver: tuple, taker: tuple, sizes: list[int], capacity: int, rng: rand
     return new, left
 
 
-def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed: int) -> list[list[int]]:
-    """The fittest packing after some children of the given and of new packings."""
-    rng = random.Random(seed)
-    people = [(e, [capacity - sum(sizes[x] for x in b) for b in e]) for e in elites]
-    while len(people) < POPULATION:
-        order = list(range(len(sizes)))
-        rng.shuffle(order)
-        apart = int(len(order) * 0.05 * len(people))  # some pieces come first, so that packings differ
-        bins: list[list[int]] = []
-        room: list[int] = []
-        best_fit(order[:apart], sizes, capacity, bins, room)
-        best_fit(order[apart:], sizes, capacity, bins, room)
-        people.append((bins, room))
-    floor = -(-sum(sizes) // capacity)
+def fresh(sizes: list[int], capacity: int, apart: float, rng: random.Random) -> tuple:
+    """A new packing (bins, room): the ``apart`` share of the pieces comes first, so that packings differ."""
+    order = list(range(len(sizes)))
+    rng.shuffle(order)
+    first = int(len(order) * apart)
+    bins: list[list[int]] = []
+    room: list[int] = []
+    best_fit(order[:first], sizes, capacity, bins, room)
+    best_fit(order[first:], sizes, capacity, bins, room)
+    return bins, room
+
+
+def generation(people: list[tuple], sizes: list[int], capacity: int, floor: int, rng: random.Random) -> tuple:
+    """The fittest of some packings and their children."""
     for _ in range(CHILDREN):
         people.sort(key=lambda p: -fitness(p[1], capacity))
         if len(people[0][0]) <= floor:
             break
         a, b = rng.sample(range(min(3, len(people))), 2)
         people[-1] = cross(people[a], people[b], sizes, capacity, rng)
-    return max(people, key=lambda p: fitness(p[1], capacity))[0]
+    return max(people, key=lambda p: fitness(p[1], capacity))
+
+
+def breed_field(pick: list[int], bins: list[list[int]], room: list[int], sizes: list[int], capacity: int, rng: random.Random) -> bool:
+    """Breed the pieces of a few bins among themselves and keep a fitter packing of them, the emptiest bin last; a bin saved is left empty. Tells whether one was found."""
+    items = [x for k in pick for x in bins[k]]
+    part = [sizes[x] for x in items]
+    number = iter(range(len(items)))
+    now = [[next(number) for _ in bins[k]] for k in pick], [room[k] for k in pick]
+    people = [now, *(fresh(part, capacity, rng.random(), rng) for _ in range(POPULATION - 1))]
+    best = generation(people, part, capacity, len(pick) - 1, rng)  # slack gathers in one bin before it can be saved
+    if fitness(best[1], capacity) <= fitness(now[1], capacity) + 1e-9:
+        return False
+    order = sorted(range(len(best[0])), key=lambda i: best[1][i])
+    for at, k in enumerate(pick):
+        i = order[at] if at < len(order) else None
+        bins[k], room[k] = ([], capacity) if i is None else ([items[x] for x in best[0][i]], best[1][i])
+    return True
+
+
+def evolve(sizes: list[int], elites: list[list[list[int]]], capacity: int, seed: int) -> list[list[int]]:
+    """The fittest packing after some children of the given and of new packings, and after its fields are bred."""
+    rng = random.Random(seed)
+    people = [(e, [capacity - sum(sizes[x] for x in b) for b in e]) for e in elites]
+    while len(people) < POPULATION:
+        people.append(fresh(sizes, capacity, 0.05 * len(people), rng))
+    floor = -(-sum(sizes) // capacity)
+    bins, room = map(list, generation(people, sizes, capacity, floor, rng))
+    left = max(FIELDS, len(sizes) // EARN)
+    while left > 0 and len(bins) > floor:
+        kinds: list[list[int]] = [[], []]
+        for k, r in enumerate(room):
+            kinds[not r].append(k)
+        opened, full = kinds
+        last = max(opened, key=room.__getitem__)
+        opened.remove(last)
+        rng.shuffle(opened)
+        rng.shuffle(full)
+        for at in range(0, max(len(opened), 1), FIELD):
+            left -= 1
+            breed_field([*opened[at:at + FIELD], *full[at:at + FIELD], last], bins, room, sizes, capacity, rng)
+            if left <= 0 or not bins[last]:
+                break
+        held = [k for k, b in enumerate(bins) if b]
+        bins, room = [bins[k] for k in held], [room[k] for k in held]
+    return bins
 
 
 def _island(group: pa.Table, capacity: int, epoch: int) -> Iterator[pa.RecordBatch]:
