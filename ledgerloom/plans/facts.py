@@ -20,7 +20,7 @@ TIP = 30 * 144 - 1
 
 class Facts:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._kept = spark, sf_dir, False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -28,12 +28,13 @@ class Facts:
     # ------------------------------------------------------------ events
     @cached_property
     def ev(self) -> DataFrame:
+        """Events with typed columns as a staged table: most plans read them several times, and a column made from ``k`` would parse the text at each use."""
         ts = F.unix_seconds(F.col("ts").cast("timestamp"))
         k = F.get_json_object("props", "$.k").cast("int")
-        return self.table("events").select(
+        return stage(self.table("events").select(
             "event_id", ts.alias("ts"), F.floor((ts - EPOCH) / 600).cast("bigint").alias("height"),
             (k % 24).alias("pool_id"), k.alias("k"), "user_id", "event_type",
-            (F.col("value").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"))
+            (F.col("value").cast("decimal(18,2)") * 100).cast("bigint").alias("cents")))
 
     @cached_property
     def flow(self) -> DataFrame:
@@ -59,17 +60,18 @@ class Facts:
 
     @cached_property
     def pools(self) -> DataFrame:
+        """Pools as a staged table: a few rows out of all events, joined often."""
         p = F.col("pool_id")
         half = F.floor(p / 2).cast("int")
         base = F.when(p < 20, half + 100).when(p == 20, 1).otherwise(p + 80)
         quote = F.when((p < 20) & (p % 2 == 0), 1).when(p <= 20, 2).otherwise(100)
         small = p >= 21
-        return self.ev.select("pool_id").distinct().select(
+        return stage(self.ev.select("pool_id").distinct().select(
             "pool_id", base.cast("bigint").alias("base_id"), quote.cast("bigint").alias("quote_id"),
             (p % 3).cast("bigint").alias("factory_id"),
             F.when(small, big(10**10)).otherwise(big(10**12)).alias("base_initial"),
             F.when(small, (big(10**8) * (p * 7 + 50).cast(DEC)).cast(DEC))
-            .otherwise((big(10**10) * (p * 7 + 50).cast(DEC)).cast(DEC)).alias("quote_initial"))
+            .otherwise((big(10**10) * (p * 7 + 50).cast(DEC)).cast(DEC)).alias("quote_initial")))
 
     @cached_property
     def initial(self) -> DataFrame:
@@ -85,6 +87,11 @@ class Facts:
         from ..operators.amm import running_reserves
         return running_reserves(self.flow, self.initial)
 
+    def keep_reserves(self) -> None:
+        """Stage the reserves and the BTC prices, for plans that read them several times; to be called before anything is derived from them."""
+        if not self._kept:
+            self.reserves, self.btc, self._kept = stage(self.reserves), stage(self.btc), True
+
     @cached_property
     def trades(self) -> DataFrame:
         from ..operators.amm import trade_prices
@@ -149,8 +156,9 @@ class Facts:
 
     @cached_property
     def supply(self) -> DataFrame:
-        return self.outputs.filter(F.col("spent_height").isNull()).groupBy("token") \
-            .agg(F.sum("amount").cast(DEC).alias("supply"))
+        """Supply as a staged table: one row per token out of all outputs, joined to tokens, metrics and pools."""
+        return stage(self.outputs.filter(F.col("spent_height").isNull()).groupBy("token")
+                     .agg(F.sum("amount").cast(DEC).alias("supply")))
 
     # ------------------------------------------------------------ part
     @cached_property

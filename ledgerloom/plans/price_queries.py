@@ -569,6 +569,7 @@ def price_table(t: Facts):
 
 
 def pool_values_of(t: Facts):
+    t.keep_reserves()
     btc = t.btc.agg(F.max_by("price", "height").alias("price")).scalar()
     return metrics.pool_values(amm.latest_reserves(t.reserves), t.pools, t.quotes, price_table(t), btc)
 
