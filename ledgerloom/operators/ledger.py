@@ -60,18 +60,19 @@ def holder_deltas(outputs: DataFrame, contract_deltas: DataFrame | None = None)
     """Signed change per token, holder and height; zero changes drop out.
 
     ``contract_deltas``: owner, token, height, delta; a contract's own token is left out.
+    Outputs are read once, and rows are dealt by holder, so that balances are summed up where the changes are.
     """
-    plus = outputs.select("token", F.lit("address").alias("holder_type"), F.col("address").cast("string").alias("holder_id"),
-                          F.col("created_height").alias("height"), F.col("amount").alias("delta"))
-    minus = outputs.filter(F.col("spent_height").isNotNull()).select(
-        "token", F.lit("address").alias("holder_type"), F.col("address").cast("string").alias("holder_id"),
-        F.col("spent_height").alias("height"), (-F.col("amount")).cast(DEC).alias("delta"))
-    u = plus.unionByName(minus)
+    made = F.struct(F.col("created_height").alias("height"), F.col("amount").cast(DEC).alias("delta"))
+    gone = F.struct(F.col("spent_height").alias("height"), (-F.col("amount")).cast(DEC).alias("delta"))
+    moves = F.explode(F.when(F.col("spent_height").isNotNull(), F.array(made, gone)).otherwise(F.array(made))).alias("m")
+    u = outputs.select("token", "address", moves).select(
+        "token", F.lit("address").alias("holder_type"), F.col("address").cast("string").alias("holder_id"), "m.height", "m.delta")
     if contract_deltas is not None:
-        u = u.unionByName(contract_deltas.filter(F.col("owner") != F.col("token")).select(
-            "token", F.lit("contract").alias("holder_type"), F.col("owner").cast("string").alias("holder_id"), "height", "delta"))
+        # few contracts hold most rows: they are summed up before they are dealt
+        c = contract_deltas.filter(F.col("owner") != F.col("token")).groupBy("token", "owner", "height").agg(total("delta").alias("delta"))
+        u = u.unionByName(c.select("token", F.lit("contract").alias("holder_type"), F.col("owner").cast("string").alias("holder_id"), "height", "delta"))
     k = ["token", "holder_type", "holder_id", "height"]
-    return spread(u, *k).groupBy(*k).agg(total("delta").alias("delta")).filter(F.col("delta") != 0)
+    return spread(u, "token", "holder_id").groupBy(*k).agg(total("delta").alias("delta")).filter(F.col("delta") != 0)
 
 
 def holder_balances(deltas: DataFrame, height: int | None = None) -> DataFrame:

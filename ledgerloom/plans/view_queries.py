@@ -295,9 +295,10 @@ from balances b join supply s using (token) join pool_values v on v.pool_id % 10
 """, text="amount base_value quote_value total_value")
 def lp_positions(t: Facts):
     from ..operators.ledger import address_balances
+    from ..session import stage
     # each pool's shares are represented by one of the ledger tokens
     v = pool_values_of(t).withColumn("lp_token", (F.col("pool_id") % 10 + 100).cast("bigint"))
-    p = v.join(t.supply.select(F.col("token").alias("lp_token"), F.col("supply").alias("lp_supply")), "lp_token")
+    p = stage(v.join(t.supply.select(F.col("token").alias("lp_token"), F.col("supply").alias("lp_supply")), "lp_token"))
     return views.lp_positions(address_balances(t.deltas), p)
 
 
@@ -423,8 +424,9 @@ select *, row_number() over (partition by address order by total_usd desc, pool_
 """, text="amount base_usd quote_usd base_sats quote_sats total_usd total_sats")
 def factory_positions(t: Facts):
     from ..operators.ledger import address_balances
+    from ..session import stage
     v = pool_values_of(t).join(t.pools.select("pool_id", "factory_id"), "pool_id").withColumn("lp_token", (F.col("pool_id") % 10 + 100).cast("bigint"))
-    p = v.join(t.supply.select(F.col("token").alias("lp_token"), F.col("supply").alias("lp_supply")), "lp_token")
+    p = stage(v.join(t.supply.select(F.col("token").alias("lp_token"), F.col("supply").alias("lp_supply")), "lp_token"))
     return views.factory_positions(address_balances(t.deltas), p, 2)
 
 
