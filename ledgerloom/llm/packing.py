@@ -28,48 +28,52 @@ CAPACITY, END = 1024, 2
 SHARD, ISLANDS, POPULATION, CHILDREN, EPOCHS = 16_384, 2, 3, 5, 2
 #: Open and full bins of a field, pieces that earn a further field in an epoch, and fields of an epoch, at least.
 FIELD, EARN, FIELDS = 50, 64, 100
-#: Distinct units whose ids a task keeps at once.
-CACHE = 400_000
+#: Words of texts that have one blank or line end between words, where the vocabulary's pattern needs no look-ahead.
+PLAIN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
-class Encoder(dict):
-    """Ids of a text under a byte-level BPE vocabulary, put together from the ids of its words.
+class Encoder:
+    """Ids of a text under a byte-level BPE vocabulary.
 
-    A token never spans the blank or line end before a word, so a word with its separator is encoded once and looked up afterwards. Texts
-    with other white space are encoded whole, and texts with the vocabulary's special token by the tokenizer itself.
+    Texts with other white space than one blank or line end between words take the vocabulary's own pattern, and texts with its special token,
+    or with a run of white space too long for that pattern, the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str, special: str = "<|endoftext|>"):
-        super().__init__()
         import public_tokenizers
-        import tiktoken
         self.vocabulary, self.special = vocabulary, special
         with open(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken")), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = None
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.plain = self.encoding(PLAIN)
+        self.whole = self.full = None
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.fast.encode_ordinary(unit if unit[0] == "\n" else " " + unit)
-        if len(self) > CACHE:
-            self.clear()
-        self[unit] = out = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+    def encoding(self, pattern: str):
+        import tiktoken
+        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={self.special: max(self.ranks.values()) + 1})
+
+    def fast(self, text: str) -> np.ndarray | None:
+        """Ids of a text without the special token, if its white space is not too long."""
+        flat = text.replace("\n", " ")
+        if " ".join(flat.split()) == flat:
+            return self.plain.encode_to_numpy(text, disallowed_special=())
+        if self.whole is None:
+            import public_tokenizers
+            self.whole = self.encoding(public_tokenizers.PATTERN)
+        try:
+            return self.whole.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the look-ahead goes back over a run of white space
+            return None
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.special in text:
+        out = None if self.special in text else self.fast(text)
+        if out is None:
             if self.full is None:
                 import public_tokenizers
                 from tokenizers import Tokenizer
                 self.full = Tokenizer.from_file(public_tokenizers.path(self.vocabulary))
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        flat = text.replace("\n", " ")
-        if not text or " ".join(flat.split()) != flat:  # other white space than one blank or one line end between words
-            return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-        head, *units = text.replace("\n", " \n").split(" ")
-        first = self.fast.encode_ordinary(head)
-        return struct.pack(f"<{len(first)}I", *first) + b"".join(map(self.__getitem__, units))
+            out = np.array(self.full.encode(text, add_special_tokens=False).ids)
+        return out.astype("<u4").tobytes()
 
 
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:

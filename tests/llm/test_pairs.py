@@ -1,6 +1,8 @@
 """Line dedup, Jaccard join, decontamination and packing against brute force."""
 
 import random
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -196,6 +198,36 @@ def test_ids_of_any_white_space():
             assert np.frombuffer(encoder.ids(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_new_words_in_one_call():
+    """Neither calls nor memory grow with the distinct words of a text (a cache of words took six calls for each and kept 13 MB here)."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(5, 9))) for _ in range(2000)) for _ in range(50)]
+    encoder, calls = packing.Encoder("byte_bpe_50k.json"), []
+    encoder.ids(texts[0])
+    tracemalloc.start()
+    try:
+        for t in texts[1:]:
+            encoder.ids(t)
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    before = sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        encoder.ids(texts[0][::-1])
+    finally:
+        sys.setprofile(before)
+    assert kept < 1 << 20 and len(calls) < 200
+
+
+def test_ids_of_long_white_space():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+    full, encoder = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder("byte_bpe_50k.json")
+    for text in ("a" + " " * 1_000_001 + "b", "\n" * 1_000_001):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_the_table_is_tight(spark):
     texts = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     used, least = check_packing(queries.op9_best_fit_packing(spark, SF).collect(), texts)
